@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandlake.llm.components import connected_components, written
+from bandlake.llm.components import connected_components, release, written
 from bandlake.llm.packing import expand, pack, squeeze, unpack
 from bandlake.llm.wordbytes import Words, batches, mix64, text_bytes
 
@@ -163,14 +163,21 @@ def _ordered_sets(nodes: DataFrame, percent: int, n_fragments: int) -> DataFrame
         own = np.bincount(row, minlength=len(size))
         least = -(-size * percent // 100)
         keep = own >= least
-        return header.filter(pa.array(keep)).append_column("grams", _lists(keys, row, keep)).append_column("prefix", pa.array((own - least + 1)[keep].astype(np.int32)))
+        bits = np.zeros((len(size), 4), np.uint64)
+        place = mix64(keys) >> np.uint64(56)
+        np.bitwise_or.at(bits, (row, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+        sketch = pa.ListArray.from_arrays(pa.array(np.arange(int(keep.sum()) + 1, dtype=np.int32) * 4), pa.array(bits[keep].view(np.int64).reshape(-1)))
+        found = header.filter(pa.array(keep)).append_column("grams", _lists(keys, row, keep)).append_column("prefix", pa.array((own - least + 1)[keep].astype(np.int32)))
+        return found.append_column("alone", pa.array((size - own)[keep])).append_column("bits", sketch)
 
-    return nodes.mapInArrow(scatter, ROWS).groupBy("fragment").applyInArrow(_count_fragment, ROWS).groupBy("batch").applyInArrow(gather, "sid long, n long, grams array<long>, prefix int")
+    return nodes.mapInArrow(scatter, ROWS).groupBy("fragment").applyInArrow(_count_fragment, ROWS).groupBy("batch").applyInArrow(gather, "sid long, n long, grams array<long>, prefix int, alone long, bits array<long>")
 
 
 def _candidates(nodes: DataFrame, percent: int, n_fragments: int, ring: int) -> DataFrame:
     """Pairs (a, b) of nodes in different components that share a prefix n-gram: all of them for groups with
-    at most eight times as many pairs as nodes, else those up to `ring` apart. A pair 0, 0 says that more are left."""
+    at most eight times as many pairs as nodes, else those up to `ring` apart. A pair 0, 0 says that more are left.
+    Pairs are left out if they can't link: n-grams that no other node has, and bits that differ in the sketches
+    of the shared n-grams, are a lower bound of the sets' difference."""
 
     def scatter(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -179,15 +186,17 @@ def _candidates(nodes: DataFrame, percent: int, n_fragments: int, ring: int) ->
             order = np.argsort(gram, kind="stable")
             gram, row = gram[order], row[order]
             cuts = _cuts(gram, n_fragments)
-            columns = [np.asarray(batch.column(c)) for c in ("sid", "component", "n")]
+            bits = np.asarray(batch.column("bits").flatten()).reshape(-1, 4)
+            columns = [*(np.asarray(batch.column(c)) for c in ("sid", "component", "n", "alone")), *bits.T]
             some = [k for k in range(n_fragments) if cuts[k + 1] > cuts[k]]
             yield _rows(some, [""] * len(some), [squeeze(b"".join([gram[cuts[k] : cuts[k + 1]].tobytes(), *(c[row[cuts[k] : cuts[k + 1]]].tobytes() for c in columns)])) for k in some])
 
     def pairs(t: pa.Table) -> pa.Table:
-        blocks = [np.frombuffer(expand(x.as_py()), np.int64).reshape(4, -1) for x in t["blob"]]
-        gram, sid, component, n = np.concatenate(blocks, axis=1)
+        blocks = [np.frombuffer(expand(x.as_py()), np.int64).reshape(9, -1) for x in t["blob"]]
+        gram, sid, component, n, alone, *bits = np.concatenate(blocks, axis=1)
         order = np.lexsort((mix64(sid.view(np.uint64)), gram))
-        gram, sid, component, n = gram[order], sid[order], component[order], n[order]
+        gram, sid, component, n, alone = gram[order], sid[order], component[order], n[order], alone[order]
+        bits = [x[order].view(np.uint64) for x in bits]
         starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(gram)))
         group = np.repeat(np.arange(len(starts)), sizes)
@@ -199,12 +208,16 @@ def _candidates(nodes: DataFrame, percent: int, n_fragments: int, ring: int) ->
         reach = np.where(across <= np.maximum(64, 8 * sizes), sizes - 1, np.minimum(ring, sizes - 1))
         reach[across == 0] = 0
         left = bool(((reach < sizes - 1) & (across > 0)).any())
-        found = [np.zeros((2, 0), np.int64)]
+        found, active = [np.zeros((2, 0), np.int64)], np.arange(len(gram))
         reach_of, at = reach[group], np.arange(len(gram)) - starts[group]
         for o in range(1, int(reach.max()) + 1 if len(reach) else 1):
-            i = np.flatnonzero((reach_of >= o) & (at + o < sizes[group]))
-            j = i + o
-            ok = (component[i] != component[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
+            active = active[(reach_of[active] >= o) & (at[active] + o < sizes[group[active]])]
+            i, j = active, active + o
+            most = (100 - percent) * (n[i] + n[j])
+            ok = (component[i] != component[j]) & ((alone[i] + alone[j]) * (100 + percent) <= most)
+            i, j, most = i[ok], j[ok], most[ok]
+            differ = alone[i] + alone[j] + sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in bits)
+            ok = differ * (100 + percent) <= most
             a, b = sid[i[ok]], sid[j[ok]]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
             if len(found) > 256:
@@ -212,7 +225,7 @@ def _candidates(nodes: DataFrame, percent: int, n_fragments: int, ring: int) ->
         a, b = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.table({"a": np.append(a, 0) if left else a, "b": np.append(b, 0) if left else b})
 
-    heads = nodes.select("sid", "component", "n", F.slice("grams", 1, F.col("prefix")).alias("head"))
+    heads = nodes.select("sid", "component", "n", "alone", "bits", F.slice("grams", 1, F.col("prefix")).alias("head"))
     return heads.mapInArrow(scatter, ROWS).groupBy("fragment").applyInArrow(pairs, "a long, b long").distinct()
 
 
@@ -243,6 +256,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_fragments = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = written(_shared_sets(docs, n, percent, n_fragments), "sets")
+    release(spark)
     shared = sets.where("grams is not null")
     nodes = written(_ordered_sets(shared.dropDuplicates(["sid", "check"]).select("sid", "n", "grams"), percent, n_fragments), "nodes")
     links, compared, component = None, None, None
