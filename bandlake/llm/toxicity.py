@@ -54,18 +54,17 @@ def fit(texts: list[str], labels: np.ndarray, sizes: tuple[int, ...] = (6, 8), s
     y = labels.astype(np.float64)
     if not len(y) or y.min() == y.max():
         return NgramModel(sizes, np.zeros(1 << BITS, np.float32), 0.0 if not len(y) else 8.0 * (2 * y[0] - 1))
-    lists = list(features(pa.table({"text": pa.array(texts, pa.string())}), sizes))
     learn = np.arange(len(y)) % 5 != 0
     if min(y[learn].sum(), (1 - y[learn]).sum()) < 10 or min(y[~learn].sum(), (1 - y[~learn]).sum()) < 5:
         learn[:] = True  # too few of a class to leave any out
     count = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
-    for x, label, use in zip(lists, labels, learn, strict=True):
+    for x, label, use in zip(_features_of(texts, sizes), labels, learn, strict=True):
         if use:
             count[int(label)][x] += 1
     p, q = smooth + count[1], smooth + count[0]
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio[(count[0] + count[1] < least) | (np.abs(ratio) < faint)] = 0
-    lists = [x[ratio[x] != 0] for x in lists]
+    lists = [x[ratio[x] != 0] for x in _features_of(texts, sizes)]
     flat, row, value = _matrix([x for x, use in zip(lists, learn, strict=True) if use], ratio)
     t = y[learn]
     n = len(t)
@@ -87,6 +86,11 @@ def fit(texts: list[str], labels: np.ndarray, sizes: tuple[int, ...] = (6, 8), s
     return NgramModel(sizes, (w * ratio * scale).astype(np.float32), float(bias * scale + shift))
 
 
+def _features_of(texts: list[str], sizes: tuple[int, ...]) -> Iterator[np.ndarray]:
+    for t in batches(iter(pa.table({"text": pa.array(texts, pa.string())}).to_batches()), "text", 1 << 20):
+        yield from features(t, sizes)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
