@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bandlake.llm.arc_to_warc import arc_round_trip
 from bandlake.llm.ngram_join import ngram_join
 from bandlake.llm.quality import quality
 from bandlake.llm.substring_dedup import substring_dedup
@@ -42,3 +43,20 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = arc_round_trip(spark, _table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op7_arc_to_warc"] = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+     d as (select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest from p),
+     f as (select *, min(page_id) over (partition by payload_digest) as low from d)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> low then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> low then low end as refers_to
+from f
+"""
