@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandlake.llm.arc_to_warc import arc_round_trip
+from bandlake.llm.license_scan import license_scan
 from bandlake.llm.ngram_join import ngram_join
 from bandlake.llm.quality import quality
 from bandlake.llm.substring_dedup import substring_dedup
@@ -60,3 +61,8 @@ select page_id, payload_bytes, payload_digest,
        case when payload_bytes >= 100 and page_id <> low then low end as refers_to
 from f
 """
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents")).drop("detections")
