@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bandlake.llm.arc_to_warc import arc_round_trip
 from bandlake.llm.license_scan import license_scan
+from bandlake.llm.mixing import mix_sources
 from bandlake.llm.ngram_join import ngram_join
 from bandlake.llm.quality import quality
 from bandlake.llm.substring_dedup import substring_dedup
@@ -66,3 +67,29 @@ from f
 @query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix_sources(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "mix_block", "mix_position", "in_mix")
+
+
+ORACLES["op4_mix_sources"] = """
+with recursive d as (select doc_id, source, coalesce(source, '') as src, row_number() over (partition by coalesce(source, '') order by md5(cast(doc_id as varchar))) - 1 as n from documents),
+sizes as (select src, count(*) as size from d group by 1),
+shares as (select src, size, greatest(1, cast(round(sqrt(size) * 1000 / (select sum(sqrt(size)) from sizes)) as bigint)) as parts from sizes),
+one as (select list(struct_pack(src := src, parts := parts) order by parts desc, src) as s, cast(sum(parts) as bigint) as p from shares),
+fold(t, s, p, turn, pick) as (
+  select cast(-1 as bigint), s, p, list_transform(s, lambda x: cast(0 as bigint)), cast(0 as bigint) from one
+  union all
+  select t + 1, s, p, list_transform(turn, lambda v, i: case when i = k then v + 1 else v end), k
+  from (select t, s, p, turn, cast(list_position(due, list_min(due)) as bigint) as k
+        from (select *, list_transform(s, lambda x, i: case when turn[i] * p // x.parts <= t + 1 then ((turn[i] + 1) * p + x.parts - 1) // x.parts end) as due from fold where t + 1 < p) a) b
+),
+plan as (select t as slot, p as period, s[pick].src as src, turn[pick] - 1 as turn from fold where t >= 0),
+ends as (select min(((size // 8) // parts) * period + slot) as mix_end from shares join plan on plan.src = shares.src and plan.turn = (size // 8) % parts)
+select doc_id, source, cast(((n // 8) // parts) * period + slot as bigint) as mix_block, cast((((n // 8) // parts) * period + slot) * 8 + n % 8 as bigint) as mix_position,
+       ((n // 8) // parts) * period + slot < mix_end as in_mix
+from d join shares using (src) join plan on plan.src = d.src and plan.turn = (n // 8) % parts, ends
+"""
