@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandlake.llm.arc_to_warc import arc_round_trip
+from bandlake.llm.decontaminate import decontaminate
 from bandlake.llm.license_scan import license_scan
 from bandlake.llm.mixing import mix_sources
 from bandlake.llm.ngram_join import ngram_join
@@ -93,3 +94,8 @@ select doc_id, source, cast(((n // 8) // parts) * period + slot as bigint) as mi
        ((n // 8) // parts) * period + slot < mix_end as in_mix
 from d join shares using (src) join plan on plan.src = d.src and plan.turn = (n // 8) % parts, ends
 """
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).where("contaminated").drop("contaminated")
