@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bandlake.llm.arc_to_warc import arc_round_trip
 from bandlake.llm.decontaminate import decontaminate
 from bandlake.llm.license_scan import license_scan
+from bandlake.llm.line_dedup import line_dedup
 from bandlake.llm.mixing import mix_sources
 from bandlake.llm.ngram_join import ngram_join
 from bandlake.llm.quality import quality
@@ -99,3 +100,9 @@ from d join shares using (src) join plan on plan.src = d.src and plan.turn = (n
 @query
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).where("contaminated").drop("contaminated")
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
