@@ -2,27 +2,48 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandlake.session import shared_folder
 
+BLOCK_EDGES = 500_000
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # once written, the plan's shuffle files are of no use
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans that are no longer used; it acts on the JVM's garbage collections only."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _forest(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a block as stars around the smallest node of each tree (union-find)."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = x = root[y]
+        return x
+
+    for t in stream:
+        for a, b in zip(t.column("u").to_pylist(), t.column("v").to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    nodes = [x for x in root if find(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["u", "v"])
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -32,11 +53,15 @@ def _signature(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, component) of every node of edges(a, b): the smallest node that it reaches.
 
-    Alternates the large-star and small-star steps until the edges are stars, which takes about the logarithm
-    of the largest component's size. Minima are pre-aggregated before each shuffle.
+    Blocks of BLOCK_EDGES edges are reduced to forests first. If there are several, the large-star and
+    small-star steps follow until all edges are stars, which takes about the logarithm of the largest component's
+    size. Minima are pre-aggregated before each shuffle.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = written(e, "edges")
+    e = edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    blocks = e.count() // BLOCK_EDGES + 1
+    e = written(e.coalesce(blocks).mapInArrow(_forest, "u long, v long"), "edges")
+    if blocks == 1:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     before = _signature(e)
     for _ in range(limit):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -23,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandlake.llm.components import connected_components, release, written
+from bandlake.llm.components import connected_components, written
 from bandlake.llm.packing import expand, pack, squeeze, unpack
 from bandlake.llm.wordbytes import Words, batches, mix64, text_bytes
 
 ROWS = "fragment long, batch string, blob binary"
 SEGMENTS = 4
-RINGS = (4, 32, 256, 1 << 40)
+RINGS = (0, 64, 1 << 40)
 _BITS = np.uint64(24)
 
 
@@ -175,7 +175,9 @@ def _ordered_sets(nodes: DataFrame, percent: int, n_fragments: int) -> DataFrame
 
 def _candidates(nodes: DataFrame, percent: int, n_fragments: int, ring: int) -> DataFrame:
     """Pairs (a, b) of nodes in different components that share a prefix n-gram: all of them for groups with
-    at most eight times as many pairs as nodes, else those up to `ring` apart. A pair 0, 0 says that more are left.
+    at most four times as many pairs as nodes, else those up to `ring` apart. Nodes are ordered by the n-grams that only
+    they have; ring 0 pairs each with its neighbour and with the first, the likeliest origin of its copies. A pair 0, 0
+    says that more are left.
     Pairs are left out if they can't link: n-grams that no other node has, and bits that differ in the sketches
     of the shared n-grams, are a lower bound of the sets' difference."""
 
@@ -194,7 +196,7 @@ def _candidates(nodes: DataFrame, percent: int, n_fragments: int, ring: int) ->
     def pairs(t: pa.Table) -> pa.Table:
         blocks = [np.frombuffer(expand(x.as_py()), np.int64).reshape(9, -1) for x in t["blob"]]
         gram, sid, component, n, alone, *bits = np.concatenate(blocks, axis=1)
-        order = np.lexsort((mix64(sid.view(np.uint64)), gram))
+        order = np.lexsort((mix64(sid.view(np.uint64)), alone, gram))
         gram, sid, component, n, alone = gram[order], sid[order], component[order], n[order], alone[order]
         bits = [x[order].view(np.uint64) for x in bits]
         starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
@@ -205,14 +207,18 @@ def _candidates(nodes: DataFrame, percent: int, n_fragments: int, ring: int) ->
         run = np.diff(np.append(np.flatnonzero(same), len(by)))
         within = np.bincount(group[by][same], weights=(run.astype(float) ** 2), minlength=len(starts))
         across = (sizes.astype(float) ** 2 - within) / 2
-        reach = np.where(across <= np.maximum(64, 8 * sizes), sizes - 1, np.minimum(ring, sizes - 1))
+        reach = np.where(across <= np.maximum(8, 4 * sizes * (ring > 0)), sizes - 1, np.minimum(max(1, ring), sizes - 1))
         reach[across == 0] = 0
         left = bool(((reach < sizes - 1) & (across > 0)).any())
         found, active = [np.zeros((2, 0), np.int64)], np.arange(len(gram))
         reach_of, at = reach[group], np.arange(len(gram)) - starts[group]
-        for o in range(1, int(reach.max()) + 1 if len(reach) else 1):
-            active = active[(reach_of[active] >= o) & (at[active] + o < sizes[group[active]])]
-            i, j = active, active + o
+        for o in range(int(ring > 0), int(reach.max()) + 1 if len(reach) else 1):
+            if o:
+                active = active[(reach_of[active] >= o) & (at[active] + o < sizes[group[active]])]
+                i, j = active, active + o
+            else:
+                j = np.flatnonzero(at > 1)
+                i = starts[group[j]]
             most = (100 - percent) * (n[i] + n[j])
             ok = (component[i] != component[j]) & ((alone[i] + alone[j]) * (100 + percent) <= most)
             i, j, most = i[ok], j[ok], most[ok]
@@ -225,6 +231,7 @@ def _candidates(nodes: DataFrame, percent: int, n_fragments: int, ring: int) ->
         a, b = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.table({"a": np.append(a, 0) if left else a, "b": np.append(b, 0) if left else b})
 
+    n_fragments = max(1, n_fragments // 4)
     heads = nodes.select("sid", "component", "n", "alone", "bits", F.slice("grams", 1, F.col("prefix")).alias("head"))
     return heads.mapInArrow(scatter, ROWS).groupBy("fragment").applyInArrow(pairs, "a long, b long").distinct()
 
@@ -256,7 +263,6 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_fragments = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = written(_shared_sets(docs, n, percent, n_fragments), "sets")
-    release(spark)
     shared = sets.where("grams is not null")
     nodes = written(_ordered_sets(shared.dropDuplicates(["sid", "check"]).select("sid", "n", "grams"), percent, n_fragments), "nodes")
     links, compared, component = None, None, None
