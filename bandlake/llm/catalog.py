@@ -14,6 +14,7 @@ from bandlake.llm.ngram_join import ngram_join
 from bandlake.llm.quality import quality
 from bandlake.llm.substring_dedup import substring_dedup
 from bandlake.llm.toxicity import toxicity
+from bandlake.llm.vector_dedup import vector_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +107,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup(_table(spark, sf_dir, "embeddings"))
