@@ -28,7 +28,7 @@ from bandlake.llm.packing import expand, pack, squeeze, unpack
 from bandlake.llm.wordbytes import Words, batches, mix64, text_bytes
 
 ROWS = "fragment long, batch string, blob binary"
-SEGMENTS = 4
+SEGMENTS = 2
 RINGS = (0, 64, 1 << 40)
 _BITS = np.uint64(24)
 
@@ -189,16 +189,19 @@ def _candidates(nodes: DataFrame, percent: int, n_fragments: int, ring: int) ->
             gram, row = gram[order], row[order]
             cuts = _cuts(gram, n_fragments)
             bits = np.asarray(batch.column("bits").flatten()).reshape(-1, 4)
-            columns = [*(np.asarray(batch.column(c)) for c in ("sid", "component", "n", "alone")), *bits.T]
+            at = np.asarray(lists.offsets).astype(np.int64)
+            first, flat = at[:-1] - at[0], np.asarray(lists.flatten())
+            leads = [flat[first], flat[np.minimum(first + 1, at[1:] - at[0] - 1)]] if len(flat) else []
+            columns = [*(np.asarray(batch.column(c)) for c in ("sid", "component", "n", "alone")), *leads, *bits.T]
             some = [k for k in range(n_fragments) if cuts[k + 1] > cuts[k]]
             yield _rows(some, [""] * len(some), [squeeze(b"".join([gram[cuts[k] : cuts[k + 1]].tobytes(), *(c[row[cuts[k] : cuts[k + 1]]].tobytes() for c in columns)])) for k in some])
 
     def pairs(t: pa.Table) -> pa.Table:
-        blocks = [np.frombuffer(expand(x.as_py()), np.int64).reshape(9, -1) for x in t["blob"]]
-        gram, sid, component, n, alone, *bits = np.concatenate(blocks, axis=1)
+        blocks = [np.frombuffer(expand(x.as_py()), np.int64).reshape(11, -1) for x in t["blob"]]
+        gram, sid, component, n, alone, lead, next_, *bits = np.concatenate(blocks, axis=1)
         order = np.lexsort((mix64(sid.view(np.uint64)), alone, gram))
         gram, sid, component, n, alone = gram[order], sid[order], component[order], n[order], alone[order]
-        bits = [x[order].view(np.uint64) for x in bits]
+        lead, next_, bits = lead[order], next_[order], [x[order].view(np.uint64) for x in bits]
         starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(gram)))
         group = np.repeat(np.arange(len(starts)), sizes)
@@ -221,6 +224,11 @@ def _candidates(nodes: DataFrame, percent: int, n_fragments: int, ring: int) ->
                 i = starts[group[j]]
             most = (100 - percent) * (n[i] + n[j])
             ok = (component[i] != component[j]) & ((alone[i] + alone[j]) * (100 + percent) <= most)
+            # a pair that shares one of its two rarest n-grams is found there, once
+            none = np.iinfo(np.int64).max
+            both = [np.where((x[i] == lead[j]) | (x[i] == next_[j]), x[i], none) for x in (lead, next_)]
+            home = np.minimum(*both)
+            ok &= (home == none) | (home == gram[i])
             i, j, most = i[ok], j[ok], most[ok]
             differ = alone[i] + alone[j] + sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in bits)
             ok = differ * (100 + percent) <= most
