@@ -22,6 +22,7 @@ from bandlake.llm.wordbytes import mix64
 SHARD_NODES = 4096
 DEGREE, BUILD_BEAM, BEAM = 16, 48, 48
 AUDIT = 64
+BROADCAST_LABELS = 100_000
 
 
 class Graph:
@@ -182,9 +183,11 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     nodes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first("label").alias("label"), F.first("x").alias("x"), F.min("vec_id").alias("low"))
     nodes = written(nodes.withColumn("width", F.size("x")), "nodes")
     # the shards of a label: as many as its nodes need; every node goes to its own shard as data and to all as a query
-    counts = nodes.groupBy("label", "width").agg(F.ceil(F.count("*") / shard_nodes).alias("shards"))
-    sharded = nodes.join(counts, ["label", "width"]).withColumn("home", F.pmod(F.xxhash64("node", F.lit(5)), F.col("shards")))
-    dealt = sharded.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    # (labels that need several are nodes / shard_nodes at most)
+    counts = written(nodes.groupBy("label", "width").agg(F.ceil(F.count("*") / shard_nodes).alias("shards")).where("shards > 1"), "labels")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LABELS else counts
+    sharded = nodes.join(counts, ["label", "width"], "left").withColumn("shards", F.coalesce("shards", F.lit(1).cast("long"))).withColumn("home", F.pmod(F.xxhash64("node", F.lit(5)), F.col("shards")))
+    dealt = sharded.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).withColumn("cell", F.xxhash64("label", "width", "shard"))
 
     def search(t: pa.Table) -> pa.Table:
         width = t["width"][0].as_py()
@@ -206,7 +209,7 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         some = np.flatnonzero(links)
         return pa.table({"a": np.concatenate([node[some], a]), "b": pa.array(np.concatenate([node[some], b]), pa.int64()), "n": np.concatenate([links[some], np.zeros(len(a), np.int64)])})
 
-    found = written(dealt.groupBy("label", "width", "shard").applyInArrow(search, "a long, b long, n long"), "vector-links")
+    found = written(dealt.groupBy("cell", "label", "width", "shard").applyInArrow(search, "a long, b long, n long"), "vector-links")
     components = connected_components(found.where("a <> b").select("a", "b"))
     links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     named = nodes.select("node", "copies", "low").join(links, "node", "left").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
