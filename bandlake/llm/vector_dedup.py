@@ -209,7 +209,7 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         some = np.flatnonzero(links)
         return pa.table({"a": np.concatenate([node[some], a]), "b": pa.array(np.concatenate([node[some], b]), pa.int64()), "n": np.concatenate([links[some], np.zeros(len(a), np.int64)])})
 
-    found = written(dealt.groupBy("cell", "label", "width", "shard").applyInArrow(search, "a long, b long, n long"), "vector-links")
+    found = written(dealt.groupBy("cell").applyInArrow(search, "a long, b long, n long"), "vector-links")
     components = connected_components(found.where("a <> b").select("a", "b"))
     links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     named = nodes.select("node", "copies", "low").join(links, "node", "left").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
