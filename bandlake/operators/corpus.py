@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bandlake.functions import text as T
 from bandlake.operators import metrics
-from bandlake.operators.ranking import hash_order
+from bandlake.operators.ranking import hash_order, hashed_rank
 
 
 def labelled(df: DataFrame, id_col: str, text_cols: list[str], label_col: str) -> DataFrame:
@@ -42,9 +42,8 @@ def negatives(df: DataFrame, id_col: str, group: str, text: str, n: int, seed: i
     Rows of a group stand in hash order and a row takes those that follow it in the circle, so the work is rows x ring, not pairs
     of a group. A row with fewer other texts within `ring` places gets fewer.
     """
-    w = Window.partitionBy(group).orderBy(hash_order(id_col, seed), id_col)
-    some = df.where(F.col(text).isNotNull())
-    placed = some.select(F.col(id_col).alias("id"), F.col(group).alias("g"), F.col(text).alias("t"), (F.row_number().over(w) - 1).alias("at"), F.count("*").over(Window.partitionBy(group)).alias("size"))
+    some = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(group).alias("g"), F.col(text).alias("t"))
+    placed = hashed_rank(some, ["g"], "id", seed).select("id", "g", "t", (F.col("rank") - 1).alias("at"), F.col("group_size").alias("size"))
     asked = placed.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(ring)))).where("step < size").withColumn("to", F.expr("(at + step) % size"))
     other = placed.select("g", F.col("at").alias("to"), F.col("id").alias("negative_id"), F.col("t").alias("other"))
     met = asked.join(other, ["g", "to"]).where("t <> other").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("step")))
@@ -85,10 +84,8 @@ def convert_newsgroups(files: DataFrame, dev_share: float = 0.2, seed: int = 42)
     path = F.split("path", "/")
     rows = files.select(F.element_at(path, -1).alias("name"), F.element_at(path, -2).alias("label"), F.element_at(path, -3).alias("tree"), F.decode("content", "ISO-8859-1").alias("text")).where(F.col("name").rlike(r"^\d+"))
     rows = rows.withColumn("id", F.concat_ws("/", "tree", "label", "name"))
-    order = hash_order("id", seed)
-    w = Window.partitionBy("tree")
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(order))).withColumn("_n", F.count("*").over(w))
-    split = F.when(F.col("tree").endswith("-test"), "test").when(F.col("_r") <= F.floor(F.col("_n") * dev_share + 0.5), "dev").otherwise("train")
+    ranked = hashed_rank(rows, ["tree"], "id", seed)
+    split = F.when(F.col("tree").endswith("-test"), "test").when(F.col("rank") <= F.floor(F.col("group_size") * dev_share + 0.5), "dev").otherwise("train")
     return ranked.select("id", "text", "label", split.alias("split"))
 
 

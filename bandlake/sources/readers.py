@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -53,8 +54,8 @@ def get_config(name: str) -> EmbeddingConfig:
 def read_npz(spark: SparkSession, path: str, label_key: str | None = None, layout: str = "channel_major", config: EmbeddingConfig | None = None) -> DataFrame:
     """NPZ archives of embeddings (B,F,T), (B,C,S,T) or (B,L,C,S,T) and labels as a series table (with `layer` in the last case).
 
-    feature = channel * segments + segment, or segment * channels + channel with layout="segment_major". sample_id is the row's number, in
-    the high bits the file's. A file is one task's work, as it is one archive; many files spread over the cluster.
+    feature = channel * segments + segment, or segment * channels + channel with layout="segment_major". sample_id is the row's number, with
+    a checksum of the file's name in the high bits. A file is one task's work, as it is one archive; many files spread over the cluster.
     """
     if layout not in ("channel_major", "segment_major"):
         raise ValueError(f"unknown layout {layout!r}")
@@ -76,7 +77,7 @@ def read_npz(spark: SparkSession, path: str, label_key: str | None = None, layou
                 if x.ndim == 5:
                     x = x if layout == "channel_major" else x.transpose(0, 1, 3, 2, 4)
                     x = x.reshape(*x.shape[:2], -1, x.shape[-1])
-                base = (abs(hash(name)) & 0x7FFF) << 40 if batch.num_rows > 1 else 0
+                base = zlib.crc32(name.encode()) << 31
                 for b in range(len(x)):
                     n = x.shape[1] * x.shape[2]
                     series = x[b].reshape(n, -1).astype(np.float64)
@@ -190,3 +191,19 @@ def long_series(df: DataFrame, sample: str, at: str, value: str, length: int, by
 
 
 register_embedder("waveform", lambda _: decode_wav)
+
+
+def read_chords(spark: SparkSession, csv_path: str, npy_path: str) -> DataFrame:
+    """Chord segments (one CSV file, read as a whole) beside their embeddings (NPY, one row a segment in the same order), joined by row number."""
+    rows = spark.read.csv(csv_path, header=True, inferSchema=True, multiLine=True).withColumn("row", F.monotonically_increasing_id())
+
+    def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for content in batch.column("content").to_pylist():
+                x = np.load(io.BytesIO(content), allow_pickle=False).astype(np.float64)
+                for at in range(0, len(x), 1024):
+                    part = x[at : at + 1024]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part.tolist(), pa.list_(pa.float64()))], ["row", "features"])
+
+    vectors = spark.read.format("binaryFile").load(npy_path).select("content").mapInArrow(task, "row long, features array<double>")
+    return rows.join(vectors, "row")

@@ -46,6 +46,13 @@ def test_text_formats(spark, tmp_path):
     assert readers.read_pairs_tsv(spark, str(tmp_path / "p.tsv")).count() == 2
 
 
+def test_chords(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("track_id,chord_label\na,C:maj\nb,N\n")
+    np.save(tmp_path / "e.npy", np.array([[1.0, 2.0], [3.0, 4.0]]))
+    got = readers.read_chords(spark, str(tmp_path / "s.csv"), str(tmp_path / "e.npy")).collect()
+    assert {(r.chord_label, tuple(r.features)) for r in got} == {("C:maj", (1.0, 2.0)), ("N", (3.0, 4.0))}
+
+
 def test_files_and_sinks(spark, tmp_path):
     sound = io.BytesIO()
     with wave.open(sound, "wb") as f:
