@@ -112,3 +112,25 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup(_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op1_substring_dedup"] = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13)),
+m as (select k, min(doc_id) as low from g group by k),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as j from g join m using (k) where low < doc_id),
+words as (select doc_id, unnest(range(1, len(ws) + 1)) as j, unnest(ws) as x from w),
+kept as (select doc_id, string_agg(x, ' ' order by j) as t, count(*) as n from words anti join gone using (doc_id, j) group by doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)
+"""
+
+ORACLES["op3_ngram_jaccard_join"] = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as g from w),
+n as (select doc_id, count(*) as n from s group by 1),
+o as (select a.doc_id as x, b.doc_id as y, count(*) as o from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as (select x, y from o join n a on a.doc_id = x join n b on b.doc_id = y where 100 * o >= 75 * (a.n + b.n - o)),
+sym as (select x, y from e union all select y, x from e),
+r(x, c) as (select doc_id, doc_id from w union select sym.y, r.c from r join sym on sym.x = r.x)
+select w.doc_id, coalesce(n, 0) as n_shingles, min(c) as component_id from w left join n using (doc_id) join r on r.x = w.doc_id group by all
+"""
