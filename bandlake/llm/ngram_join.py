@@ -29,6 +29,7 @@ from bandlake.llm.wordbytes import Words, batches, mix64, text_bytes
 
 ROWS = "fragment long, batch string, blob binary"
 SEGMENTS = 2
+OFTEN = 32
 RINGS = (0, 64, 1 << 40)
 _BITS = np.uint64(24)
 
@@ -158,19 +159,27 @@ def _ordered_sets(nodes: DataFrame, percent: int, n_fragments: int) -> DataFrame
                 seq += 1
 
     def gather(t: pa.Table) -> pa.Table:
-        header, keys, row, _ = _gather(t)
+        header, keys, row, count = _gather(t)
         size = np.asarray(header["n"])
         own = np.bincount(row, minlength=len(size))
         least = -(-size * percent // 100)
-        keep = own >= least
+        prefix, keep = own - least + 1, own >= least
         bits = np.zeros((len(size), 4), np.uint64)
         place = mix64(keys) >> np.uint64(56)
         np.bitwise_or.at(bits, (row, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
         sketch = pa.ListArray.from_arrays(pa.array(np.arange(int(keep.sum()) + 1, dtype=np.int32) * 4), pa.array(bits[keep].view(np.int64).reshape(-1)))
-        found = header.filter(pa.array(keep)).append_column("grams", _lists(keys, row, keep)).append_column("prefix", pa.array((own - least + 1)[keep].astype(np.int32)))
-        return found.append_column("alone", pa.array((size - own)[keep])).append_column("bits", sketch)
+        # the first two n-grams of the prefix that OFTEN nodes or more have, 0 for none
+        often = np.flatnonzero((count >= OFTEN) & (np.arange(len(row)) - (np.cumsum(own) - own)[row] < prefix[row]))
+        leads = np.zeros((2, len(size)), np.int64)
+        if len(often):
+            rank = np.arange(len(often)) - np.searchsorted(row[often], row[often])
+            for k in range(2):
+                leads[k, row[often[rank == k]]] = keys[often[rank == k]].view(np.int64)
+        found = header.filter(pa.array(keep)).append_column("grams", _lists(keys, row, keep)).append_column("prefix", pa.array(prefix[keep].astype(np.int32)))
+        found = found.append_column("alone", pa.array((size - own)[keep])).append_column("bits", sketch)
+        return found.append_column("lead", pa.array(leads[0][keep])).append_column("next", pa.array(leads[1][keep]))
 
-    return nodes.mapInArrow(scatter, ROWS).groupBy("fragment").applyInArrow(_count_fragment, ROWS).groupBy("batch").applyInArrow(gather, "sid long, n long, grams array<long>, prefix int, alone long, bits array<long>")
+    return nodes.mapInArrow(scatter, ROWS).groupBy("fragment").applyInArrow(_count_fragment, ROWS).groupBy("batch").applyInArrow(gather, "sid long, n long, grams array<long>, prefix int, alone long, bits array<long>, lead long, next long")
 
 
 def _candidates(nodes: DataFrame, percent: int, n_fragments: int, ring: int) -> DataFrame:
@@ -189,10 +198,7 @@ def _candidates(nodes: DataFrame, percent: int, n_fragments: int, ring: int) ->
             gram, row = gram[order], row[order]
             cuts = _cuts(gram, n_fragments)
             bits = np.asarray(batch.column("bits").flatten()).reshape(-1, 4)
-            at = np.asarray(lists.offsets).astype(np.int64)
-            first, flat = at[:-1] - at[0], np.asarray(lists.flatten())
-            leads = [flat[first], flat[np.minimum(first + 1, at[1:] - at[0] - 1)]] if len(flat) else []
-            columns = [*(np.asarray(batch.column(c)) for c in ("sid", "component", "n", "alone")), *leads, *bits.T]
+            columns = [*(np.asarray(batch.column(c)) for c in ("sid", "component", "n", "alone", "lead", "next")), *bits.T]
             some = [k for k in range(n_fragments) if cuts[k + 1] > cuts[k]]
             yield _rows(some, [""] * len(some), [squeeze(b"".join([gram[cuts[k] : cuts[k + 1]].tobytes(), *(c[row[cuts[k] : cuts[k + 1]]].tobytes() for c in columns)])) for k in some])
 
@@ -224,9 +230,9 @@ def _candidates(nodes: DataFrame, percent: int, n_fragments: int, ring: int) ->
                 i = starts[group[j]]
             most = (100 - percent) * (n[i] + n[j])
             ok = (component[i] != component[j]) & ((alone[i] + alone[j]) * (100 + percent) <= most)
-            # a pair that shares one of its two rarest n-grams is found there, once
+            # a pair that shares a lead is found there, once
             none = np.iinfo(np.int64).max
-            both = [np.where((x[i] == lead[j]) | (x[i] == next_[j]), x[i], none) for x in (lead, next_)]
+            both = [np.where((x[i] != 0) & ((x[i] == lead[j]) | (x[i] == next_[j])), x[i], none) for x in (lead, next_)]
             home = np.minimum(*both)
             ok &= (home == none) | (home == gram[i])
             i, j, most = i[ok], j[ok], most[ok]
@@ -240,7 +246,7 @@ def _candidates(nodes: DataFrame, percent: int, n_fragments: int, ring: int) ->
         return pa.table({"a": np.append(a, 0) if left else a, "b": np.append(b, 0) if left else b})
 
     n_fragments = max(1, n_fragments // 4)
-    heads = nodes.select("sid", "component", "n", "alone", "bits", F.slice("grams", 1, F.col("prefix")).alias("head"))
+    heads = nodes.select("sid", "component", "n", "alone", "lead", "next", "bits", F.slice("grams", 1, F.col("prefix")).alias("head"))
     return heads.mapInArrow(scatter, ROWS).groupBy("fragment").applyInArrow(pairs, "a long, b long").distinct()
 
 
