@@ -24,7 +24,7 @@ from bandlake.llm.packing import expand, squeeze
 from bandlake.llm.wordbytes import batches, mix64
 
 EDITS, LEAST_LENGTH = 2, 20
-RINGS = (4, 64, 1 << 40)
+RINGS = (0, 64, 1 << 40)
 BROADCAST_LINES = 1_000_000
 _BLANK = r" \t\r\u000b\f"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -167,7 +167,8 @@ def _entries(lines: DataFrame, edits: int, n_fragments: int) -> DataFrame:
 
 def _pairs(entries: DataFrame, edits: int, n_fragments: int, ring: int) -> DataFrame:
     """Pairs of lines in different components, one indexed and one probed under a key, up to `ring` apart in the key's
-    group, whose sketches differ in at most 2 * edits bits. A pair 0, 0 says that more are left."""
+    group, whose sketches differ in at most 2 * edits bits. Ring 0 pairs each line of a large group with its neighbour and with
+    the group's likeliest origin. A pair 0, 0 says that more are left."""
 
     def scatter(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -188,9 +189,18 @@ def _pairs(entries: DataFrame, edits: int, n_fragments: int, ring: int) -> DataF
         at, end = np.arange(len(key)) - starts[group], size[group]
         low, high = np.minimum.reduceat(component, starts), np.maximum.reduceat(component, starts)
         several = (low != high)[group]
-        reach = np.minimum(np.where(end <= 64, 64, ring), end - 1)
+        reach = np.minimum(np.where(end <= (64 if ring else 8), 64, max(1, ring)), end - 1)
         left = bool((several & (reach < end - 1)).any())
         found, active = [np.zeros((2, 0), np.int64)], np.flatnonzero(several)
+        if not ring and len(key):  # each with the line that is nearest to the group's common sketch, the likeliest origin
+            common = sum((np.add.reduceat(sketch >> b & 1, starts) * 2 > size).astype(np.int64) << b for b in range(32))
+            far = np.bitwise_count(sketch ^ common[group]).astype(np.int64)
+            origin = np.minimum.reduceat(far << 40 | np.arange(len(key)), starts) & ((1 << 40) - 1)
+            j = np.flatnonzero(several & (reach < end - 1))
+            i = origin[group[j]]
+            ok = (component[i] != component[j]) & (np.bitwise_count(sketch[i] ^ sketch[j]) <= 2 * edits)
+            a, b = h[i[ok]], h[j[ok]]
+            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
         o = 0
         while len(active):
             o += 1
