@@ -3,8 +3,8 @@
 Lines within `edits` edits of each other are repeats. A line is split into edits + 1 segments, of which one at least
 survives in any line that near; segments are indexed by line length and number, and a line probes the
 indexes of the lengths it can match with the substrings that the multi-match-aware rule leaves. Candidates whose
-character sketches differ too much are dropped, the others are verified by banded bit-parallel edit distance. Linked
-lines form components, and the first line of a component, by document and place, stays.
+sketches of characters and character pairs differ too much are dropped, the others are verified by banded bit-parallel
+edit distance. Linked lines form components, and the first line of a component, by document and place, stays.
 
 Exactly equal lines are one node. Nodes that are connected already are not compared again: groups of candidates
 are compared in rings of growing distance with components in between, as in the n-gram join.
@@ -26,6 +26,7 @@ from bandlake.llm.wordbytes import batches, mix64
 EDITS, LEAST_LENGTH = 2, 20
 RINGS = (0, 64, 1 << 40)
 BROADCAST_LINES = 1_000_000
+CHARACTER_BITS, PAIR_BITS = 15, 47
 _BLANK = r" \t\r\u000b\f"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -83,7 +84,8 @@ def _segments(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.nd
 
 
 def _keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, line, kind: 0 indexed or 1 probed) of all entries, and each line's sketch of character parities."""
+    """(key, line, kind: 0 indexed or 1 probed) of all entries, and each line's sketch: parities of its characters in the
+    low bits, of its pairs of neighbouring characters above."""
     length = np.array([len(x) for x in lines], np.int64)
     start = np.cumsum(length) - length
     c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -95,7 +97,12 @@ def _keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     np.cumprod(back, out=back)
     total = np.zeros(len(c) + 1, np.uint64)
     np.cumsum((c + np.uint64(1)) * power[:-1], out=total[1:])
-    parity = np.bitwise_xor.reduceat(np.uint32(1) << (mix64(c) >> np.uint64(59)).astype(np.uint32), start) if len(lines) else np.zeros(0, np.uint32)
+    one = np.uint64(1)
+    bit = one << ((mix64(c) >> np.uint64(32)) * np.uint64(CHARACTER_BITS) >> np.uint64(32))
+    pair = mix64(c[:-1] * np.uint64(0x10FFFF1) + c[1:])
+    pair = np.append(one << ((pair >> np.uint64(32)) * np.uint64(PAIR_BITS) >> np.uint64(32)) + np.uint64(CHARACTER_BITS), np.zeros(1, np.uint64))
+    pair[(start + length - 1)[length > 0]] = 0  # the pair would reach into the next line
+    parity = np.bitwise_xor.reduceat(bit ^ pair[: len(c)], start).astype(np.int64) if len(lines) else np.zeros(0, np.int64)
 
     def key(row: np.ndarray, at: np.ndarray, size: np.ndarray, of: np.ndarray, i: int) -> np.ndarray:
         s = start[row] + at
@@ -139,16 +146,13 @@ def _entries(lines: DataFrame, edits: int, n_fragments: int) -> DataFrame:
             parts = [p for p in np.split(order, cut) if len(p)]
             yield pa.RecordBatch.from_arrays([
                 pa.array([int(fragment[p[0]]) for p in parts], pa.int64()),
-                pa.array([squeeze(key[p].tobytes() + h[row[p]].tobytes() + (sketch[row[p]].astype(np.int64) << 1 | kind[p]).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()) for p in parts], pa.binary()),
+                pa.array([squeeze(key[p].tobytes() + h[row[p]].tobytes() + (sketch[row[p]] << 1 | kind[p]).tobytes()) for p in parts], pa.binary()),
             ], ["fragment", "blob"])
 
     def shared(t: pa.Table) -> pa.Table:
         parts = [expand(x.as_py()) for x in t["blob"]]
-        sizes = [len(p) // 21 for p in parts]
-        key = np.concatenate([np.frombuffer(p, np.uint64, n) for p, n in zip(parts, sizes, strict=True)])
-        h = np.concatenate([np.frombuffer(p, np.int64, n, 8 * n) for p, n in zip(parts, sizes, strict=True)])
-        rest = np.concatenate([np.pad(np.frombuffer(p, np.uint8, 5 * n, 16 * n).reshape(5, n).T, ((0, 0), (0, 3))) for p, n in zip(parts, sizes, strict=True)])
-        rest = np.ascontiguousarray(rest).view("<i8").reshape(-1)
+        key, h, rest = np.concatenate([np.frombuffer(p, np.int64).reshape(3, -1) for p in parts], axis=1)
+        key = key.view(np.uint64)
         order = np.lexsort((rest, h, key))
         key, h, rest = key[order], h[order], rest[order]
         new = np.ones(len(key), bool)
@@ -167,9 +171,15 @@ def _entries(lines: DataFrame, edits: int, n_fragments: int) -> DataFrame:
 
 def _pairs(entries: DataFrame, edits: int, n_fragments: int, ring: int) -> DataFrame:
     """Pairs of lines in different components, one indexed and one probed under a key, up to `ring` apart in the key's
-    group, whose sketches differ in at most 2 * edits bits. Ring 0 pairs each line of a large group with its neighbour and with
+    group, whose sketches differ in at most 2 bits of characters and 4 of pairs for each edit. Ring 0 pairs each line of a large group with its neighbour and with
     the group's likeliest origin. A pair 0, 0 says that more are left."""
 
+    low_bits = np.int64((1 << CHARACTER_BITS) - 1)
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        differ = x ^ y
+        return (np.bitwise_count(differ & low_bits) <= 2 * edits) & (np.bitwise_count(differ >> CHARACTER_BITS) <= 4 * edits)
+
     def scatter(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             a = np.stack([np.asarray(batch.column(c)) for c in ("key", "h", "sketch", "kind", "component")])
@@ -193,12 +203,12 @@ def _pairs(entries: DataFrame, edits: int, n_fragments: int, ring: int) -> DataF
         left = bool((several & (reach < end - 1)).any())
         found, active = [np.zeros((2, 0), np.int64)], np.flatnonzero(several)
         if not ring and len(key):  # each with the line that is nearest to the group's common sketch, the likeliest origin
-            common = sum((np.add.reduceat(sketch >> b & 1, starts) * 2 > size).astype(np.int64) << b for b in range(32))
+            common = sum((np.add.reduceat(sketch >> b & 1, starts) * 2 > size).astype(np.int64) << b for b in range(CHARACTER_BITS + PAIR_BITS))
             far = np.bitwise_count(sketch ^ common[group]).astype(np.int64)
             origin = np.minimum.reduceat(far << 40 | np.arange(len(key)), starts) & ((1 << 40) - 1)
             j = np.flatnonzero(several & (reach < end - 1))
             i = origin[group[j]]
-            ok = (component[i] != component[j]) & (np.bitwise_count(sketch[i] ^ sketch[j]) <= 2 * edits)
+            ok = (component[i] != component[j]) & near(sketch[i], sketch[j])
             a, b = h[i[ok]], h[j[ok]]
             found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
         o = 0
@@ -206,7 +216,7 @@ def _pairs(entries: DataFrame, edits: int, n_fragments: int, ring: int) -> DataF
             o += 1
             active = active[(at[active] + o < end[active]) & (reach[active] >= o)]
             i, j = active, active + o
-            ok = (component[i] != component[j]) & (kind[i] != kind[j]) & (np.bitwise_count(sketch[i] ^ sketch[j]) <= 2 * edits)
+            ok = (component[i] != component[j]) & (kind[i] != kind[j]) & near(sketch[i], sketch[j])
             a, b = h[i[ok]], h[j[ok]]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
             if len(found) > 256:
