@@ -227,10 +227,14 @@ def _pairs(entries: DataFrame, edits: int, n_fragments: int, ring: int) -> DataF
     return entries.mapInArrow(scatter, "fragment long, blob binary").groupBy("fragment").applyInArrow(pairs, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    nodes = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
+def _texts(entries: DataFrame, lines: DataFrame) -> DataFrame:
+    """(h, line) of every line with an entry, once, so that the rings don't go through the documents again."""
+    nodes = written(entries.select("h").distinct(), "nodes")
     nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_LINES else nodes
-    texts = written(lines.select("h", "line").join(nodes, "h", "left_semi").dropDuplicates(["h"]), "lines")
+    return written(lines.select("h", "line").join(nodes, "h", "left_semi").dropDuplicates(["h"]), "lines")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +252,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least_length: int = LEAST_
     lines = _lines(docs)
     long = lines.where(f"length(line) >= {least_length}")
     entries = written(_entries(long, edits, n_fragments), "entries")
+    texts = _texts(entries, long)
     component = links = compared = None
     for ring in RINGS:
         current = entries.withColumn("component", F.col("h")) if component is None else entries.join(component.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
@@ -255,7 +260,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least_length: int = LEAST_
         pairs = written(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti").unionByName(pairs.where("a = 0 and b = 0")), "pairs")
         fresh, more = pairs.where("a <> b"), bool(pairs.where("a = 0 and b = 0").take(1))
         if fresh.take(1):
-            found = written(_verified(fresh, long, edits), "links")
+            found = written(_verified(fresh, texts, edits), "links")
             links = found if links is None else links.unionByName(found)
             compared = fresh if compared is None else compared.unionByName(fresh)
             component = written(connected_components(links), "components")
