@@ -256,9 +256,10 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least_length: int = LEAST_
     component = links = compared = None
     for ring in RINGS:
         current = entries.withColumn("component", F.col("h")) if component is None else entries.join(component.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-        pairs = _pairs(current, edits, n_fragments, ring)
-        pairs = written(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti").unionByName(pairs.where("a = 0 and b = 0")), "pairs")
+        pairs = written(_pairs(current, edits, n_fragments, ring), "pairs")
         fresh, more = pairs.where("a <> b"), bool(pairs.where("a = 0 and b = 0").take(1))
+        if compared is not None:
+            fresh = written(fresh.join(compared, ["a", "b"], "left_anti"), "fresh")
         if fresh.take(1):
             found = written(_verified(fresh, texts, edits), "links")
             links = found if links is None else links.unionByName(found)
