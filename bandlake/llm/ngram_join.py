@@ -282,10 +282,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links, compared, component = None, None, None
     for ring in RINGS:
         current = nodes.withColumn("component", F.col("sid")) if component is None else nodes.join(component.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        pairs = _candidates(current, percent, n_fragments, ring)
-        pairs = written(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti").unionByName(pairs.where("a = 0 and b = 0")), "pairs")
+        pairs = written(_candidates(current, percent, n_fragments, ring), "pairs")
         fresh = pairs.where("a <> b")
         more = bool(pairs.where("a = 0 and b = 0").take(1))
+        if compared is not None:
+            fresh = written(fresh.join(compared, ["a", "b"], "left_anti"), "fresh")
         if fresh.take(1):
             found = written(_links(fresh, nodes, percent), "links")
             links = found if links is None else links.unionByName(found)
