@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so a question with other values is the same template. Hashes
-of template windows of documents and benchmark items are joined; for each document and item that share windows, the
-values in the slots must map one to one, or the match is a coincidence of templates. Everything is DataFrame and SQL
+of template windows of documents and benchmark items are joined; windows of one occurrence of an item in a document lie
+on one diagonal, and its values in the slots must map one to one, or the match is a coincidence of templates. Everything is DataFrame and SQL
 functions.
 """
 
@@ -44,30 +44,38 @@ def _windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
     return cut.select(*(c for c in rows.columns if c != "text"), F.inline(every))
 
 
+def _row(places: str, least: str) -> str:
+    """Whether a sorted array of distinct numbers holds `least` in a row."""
+    return f"exists(sequence(0, size({places})), i -> coalesce(get({places}, i + {least} - 1) = get({places}, i) + {least} - 1, false))"
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id) that share templates: n_windows, n_item_windows, n_slots, n_consistent, contaminated.
 
-    A pair is contaminated if the distinct windows shared cover LEAST_WORDS words in a row, or all of a shorter item, and at least
-    four fifths of the slot values map one to one. Windows of WINDOW words (all words of a shorter item) of which
+    A pair is contaminated if the windows of one occurrence cover LEAST_WORDS words in a row, or all of a shorter item, and at least
+    four fifths of its slot values map one to one; the figures are those of the best occurrence. Windows of WINDOW words (all words of a shorter item) of which
     over half are slots don't count, nor do items of fewer than LEAST_ITEM words. Null and empty texts share
-    nothing. Rows of one id are one document, or item; rows with a null doc_id count as one document, items with a null id are not looked for. Letters compare without case; punctuation and
+    nothing. Rows of one id are one document, or item, but an occurrence lies within one row; rows with a null doc_id count as one document, items with a null id are not looked for. Letters compare without case; punctuation and
     other columns don't matter. Pairs without a shared window are not returned.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null and item_id is not null").withColumn("size", F.size(F.filter(F.split(F.lower("text"), _TOKEN), lambda x: x != "")))
-    items = items.where(f"size >= {LEAST_ITEM}").withColumn("text", F.expr(rf"regexp_replace(text, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '')"))
+    items = items.where(f"size >= {LEAST_ITEM}").withColumn("item_row", F.xxhash64("text")).withColumn("text", F.expr(rf"regexp_replace(text, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '')"))
     lengths = sorted(r.n for r in items.select(F.least("size", F.lit(WINDOW)).alias("n")).distinct().collect()) or [WINDOW]
     known = _windows(items, lengths).where(f"length = least(size, {WINDOW}) and coalesce(size(values), 0) * 2 <= length")
-    known = known.dropDuplicates(["item_id", "at", "h"])
-    totals = known.groupBy("item_id").agg(F.count_distinct("at").alias("n_item_windows"))
-    known = known.select("h", "item_id", "length", F.col("at").alias("item_at"), F.col("values").alias("item_values"))
+    known = known.dropDuplicates(["item_id", "item_row", "at", "h"])
+    # an item's windows are numbered without those that don't count, so these don't end a row of windows
+    known = known.withColumn("place", F.expr("dense_rank() over (partition by item_id, item_row order by at)")).withColumn("n_item_windows", F.expr("max(place) over (partition by item_id, item_row)").cast("long"))
+    known = known.select("h", "item_id", "item_row", "length", "place", "n_item_windows", F.col("at").alias("item_at"), F.col("values").alias("item_values"))
     if known.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
-    found = _windows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null"), lengths)
-    met = found.join(known, ["h", "length"])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("doc_row", F.xxhash64("text"))
+    # an occurrence of an item is a diagonal: its windows are all as far from the item's
+    met = _windows(rows, lengths).join(known, ["h", "length"]).withColumn("diagonal", F.col("at") - F.col("item_at"))
     pairs = F.arrays_zip(F.col("item_values").alias("b"), F.col("values").alias("d"))
     slots = F.array_distinct(F.flatten(F.collect_set(F.when(F.col("values").isNotNull() & F.col("item_values").isNotNull(), pairs))))
-    each = met.groupBy("doc_id", "item_id").agg(F.count_distinct("item_at").alias("n_windows"), F.max("length").alias("length"), slots.alias("slots"))
-    each = each.withColumn("n_slots", F.size("slots").cast("long")).withColumn("n_consistent", F.expr("size(filter(slots, x -> not exists(slots, y -> (y.b = x.b) <> (y.d = x.d))))").cast("long"))
-    each = each.join(totals, "item_id")
-    enough = f"n_windows >= least(n_item_windows, {LEAST_WORDS} - length + 1) and 5 * n_consistent >= 4 * n_slots"
-    return each.select("doc_id", "item_id", "n_windows", "n_item_windows", "n_slots", "n_consistent", F.expr(enough).alias("contaminated"))
+    each = met.groupBy("doc_id", "item_id", "doc_row", "item_row", "diagonal").agg(F.array_sort(F.collect_set("place")).alias("places"), F.max("n_item_windows").alias("n_item_windows"), F.max("length").alias("length"), slots.alias("slots"))
+    each = each.withColumn("n_windows", F.size("places").cast("long")).withColumn("n_slots", F.size("slots").cast("long"))
+    each = each.withColumn("n_consistent", F.expr("size(filter(slots, x -> not exists(slots, y -> (y.b = x.b) <> (y.d = x.d))))").cast("long"))
+    each = each.withColumn("least", F.least("n_item_windows", F.lit(LEAST_WORDS + 1) - F.col("length")).cast("int")).withColumn("contaminated", F.expr(f"{_row('places', 'least')} and 5 * n_consistent >= 4 * n_slots"))
+    best = each.groupBy("doc_id", "item_id").agg(F.max(F.struct("contaminated", "n_windows", "n_consistent", "n_slots", "n_item_windows")).alias("best"))
+    return best.select("doc_id", "item_id", "best.n_windows", "best.n_item_windows", "best.n_slots", "best.n_consistent", "best.contaminated")

@@ -32,6 +32,17 @@ def test_cases(spark):
     assert not got[5, 2].contaminated
 
 
+def test_occurrences_are_judged_apart(spark):
+    """A verbatim copy counts beside a re-parameterised one, in one row or two, and in an item that repeats a passage with other numbers."""
+    other = "If Berta drives 90 miles in 2 days, how far does she drive with the same speed in 7 days?"
+    third = "If Carla drives 60 km in 4 hours, how far does she drive with the same speed in 9 hours?"
+    items = [ITEMS[0], (8, "there are 3 red apples and 2 green apples in the box and there are 5 red apples and 7 green apples in the box", "q")]
+    docs = [(1, f"Noise. {ITEMS[0][1]} More noise. {other} The end.", "x"), (2, f"{other} And {third}", "x"), (3, other, "x"), (3, ITEMS[0][1], "x"), (4, f"words before {items[1][1]} words after", "x"), (5, "how far does she drive if Berta drives 90 miles in 2 days with the same speed", "x")]
+    got = run(spark, docs, items)
+    assert {k for k, r in got.items() if r.contaminated} == {(1, 1), (2, 1), (3, 1), (4, 8)}
+    assert all(got[k].n_windows == got[k].n_item_windows for k in [(1, 1), (2, 1), (3, 1), (4, 8)])
+
+
 def test_empty(spark):
     assert run(spark, []) == {} == run(spark, [(1, "a b c d e f g h", "x")], [])
 
