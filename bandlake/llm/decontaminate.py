@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so a question with other values is the same template. Hashes
-of template windows of documents and benchmark items are joined; windows of one occurrence of an item in a document lie
+of plain windows and of template windows of documents and benchmark items are joined; windows of one occurrence of an item in a document lie
 on one diagonal, and its values in the slots must map one to one, or the match is a coincidence of templates. Everything is DataFrame and SQL
 functions.
 """
@@ -20,28 +20,38 @@ _UNITS = "km|cm|mm|m|miles?|feet|foot|inch(?:es)?|yards?|kg|g|mg|tons?|pounds?|l
 _TOKEN = r"[^\p{L}\p{M}\p{N}" + NUMBER + NAME + UNIT + "]+"
 
 
-def _filled(text: Column) -> Column:
-    """The text with a placeholder for each name, number and unit; every token stays one token."""
-    names = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME)
-    # a text with a name at over a fifth of its words is in title case: capitals tell nothing there
-    many = F.length(F.regexp_replace(names, f"[^{NAME}]+", "")) * 5 > F.length(names) - F.length(F.replace(names, F.lit(" "), F.lit("")))
-    numbers = F.regexp_replace(F.when(many, text).otherwise(names), rf"(?<![\p{{L}}\p{{N}}])(?:\p{{N}}+|(?i:{_WORDS}))(?![\p{{L}}\p{{N}}])", NUMBER)
+def _named(text: Column) -> Column:
+    """The text with a placeholder for each name; every token stays one token."""
+    return F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME)
+
+
+def _numbered(text: Column) -> Column:
+    """The text with a placeholder for each number and unit; every token stays one token."""
+    numbers = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}])(?:\p{{N}}+|(?i:{_WORDS}))(?![\p{{L}}\p{{N}}])", NUMBER)
     return F.when(F.contains(numbers, F.lit(NUMBER)), F.regexp_replace(numbers, rf"(?<={NUMBER}[ -]?)(?i:{_UNITS})(?![\p{{L}}\p{{N}}])", UNIT)).otherwise(numbers)
 
 
 def _windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """The rows with one template window each: `at`, `length`, `h`, and `values`, the words at its slots (null without any)."""
-    filled = rows.withColumn("filled", _filled(F.col("text")))
-    slots = F.contains("filled", F.lit(NUMBER)) | F.contains("filled", F.lit(NAME))
-    cut = filled.withColumn("c", F.split(F.lower("filled"), _TOKEN)).withColumn("r", F.when(slots, F.split(F.lower("text"), _TOKEN)))
+    """The rows with their windows: `at`, `length`, `kind`, `h`, and `values`, the words at its slots.
+
+    A window is there as its plain words (kind 0, values null), with its numbers and units as slots (kind 1) and with its names too
+    (kind 2), each kind only if it has slots of its own: what capitals around a passage say of names changes no plain window and none of kind 1.
+    """
+    texts = rows.withColumn("named", _named(F.col("text"))).withColumn("r", F.split(F.lower("text"), _TOKEN)).withColumn("t1", _numbered(F.col("text")))
+    texts = texts.withColumn("t2", F.when(F.contains("named", F.lit(NAME)), _numbered(F.col("named"))))
+    cut = texts.withColumn("c1", F.when(F.contains("t1", F.lit(NUMBER)), F.split(F.lower("t1"), _TOKEN))).withColumn("c2", F.when(F.col("t2").isNotNull(), F.split(F.lower("t2"), _TOKEN)))
     marks = f"array('{NUMBER}', '{NAME}', '{UNIT}')"
     parts = []
     for n in lengths:
-        window = f"slice(c, i, {n})"
-        values = f"if(r is null or not arrays_overlap({window}, {marks}), null, filter(transform({window}, (x, k) -> if(array_contains({marks}, x), get(r, i + k - 1), null)), x -> x is not null))"
-        parts.append(F.expr(f"if(size(c) >= {n}, transform(sequence(1, size(c) - {n - 1}), i -> struct(i as at, {n} as length, xxhash64({window}) as h, {values} as values)), array())"))
-    every = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return cut.select(*(c for c in rows.columns if c != "text"), F.inline(every))
+        places = f"sequence(1, size(r) - {n - 1})"
+        window = lambda c: f"slice({c}, i, {n})"  # noqa: B023, E731
+        parts.append(f"transform({places}, i -> struct(i as at, {n} as length, 0 as kind, xxhash64({window('r')}) as h, cast(null as array<string>) as values))")
+        for kind, c, own in ((1, "c1", f"array('{NUMBER}', '{UNIT}')"), (2, "c2", f"array('{NAME}')")):
+            values = f"filter(transform({window(c)}, (x, k) -> if(array_contains({marks}, x), get(r, i + k - 1), null)), x -> x is not null)"
+            slotted = f"filter({places}, i -> arrays_overlap({window(c)}, {own}))"
+            parts.append(f"if({c} is null, array(), transform({slotted}, i -> struct(i as at, {n} as length, {kind} as kind, xxhash64({window(c)}) as h, {values} as values)))")
+        parts[-3:] = [f"if(size(r) >= {n}, {x}, array())" for x in parts[-3:]]
+    return cut.select(*(c for c in rows.columns if c != "text"), F.inline(F.expr(f"concat({', '.join(parts)})")))
 
 
 def _row(places: str, least: str) -> str:
@@ -52,20 +62,26 @@ def _row(places: str, least: str) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id) that share templates: n_windows, n_item_windows, n_slots, n_consistent, contaminated.
 
-    A pair is contaminated if the windows of one occurrence cover LEAST_WORDS words in a row, or all of a shorter item, and at least
-    four fifths of its slot values map one to one; the figures are those of the best occurrence. Windows of WINDOW words (all words of a shorter item) of which
-    over half are slots don't count, nor do items of fewer than LEAST_ITEM words. Null and empty texts share
+    A pair is contaminated if the windows of one occurrence cover LEAST_WORDS words in a row, or all of a shorter item, as plain words, or as
+    templates with at least four fifths of the slot values mapped one to one; the figures are those of the best occurrence.
+    Templates of WINDOW words (all words of a shorter item) of which over half are slots don't count, nor do items of fewer than LEAST_ITEM words. Null and empty texts share
     nothing. Rows of one id are one document, or item, but an occurrence lies within one row; rows with a null doc_id count as one document, items with a null id are not looked for. Letters compare without case; punctuation and
     other columns don't matter. Pairs without a shared window are not returned.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null and item_id is not null").withColumn("size", F.size(F.filter(F.split(F.lower("text"), _TOKEN), lambda x: x != "")))
     items = items.where(f"size >= {LEAST_ITEM}").withColumn("item_row", F.xxhash64("text")).withColumn("text", F.expr(rf"regexp_replace(text, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '')"))
     lengths = sorted(r.n for r in items.select(F.least("size", F.lit(WINDOW)).alias("n")).distinct().collect()) or [WINDOW]
-    known = _windows(items, lengths).where(f"length = least(size, {WINDOW}) and coalesce(size(values), 0) * 2 <= length")
+    # within a document an item's first word can look like a name: its first window is looked for in that form too
+    begun = _windows(items.withColumn("text", F.concat(F.lit("a "), "text")), lengths).where("at = 2 and kind > 0").withColumn("at", F.lit(1))
+    known = _windows(items, lengths).withColumn("begun", F.lit(False)).unionByName(begun.withColumn("begun", F.lit(True))).where(f"length = least(size, {WINDOW})")
     known = known.dropDuplicates(["item_id", "item_row", "at", "h"])
-    # an item's windows are numbered without those that don't count, so these don't end a row of windows
-    known = known.withColumn("place", F.expr("dense_rank() over (partition by item_id, item_row order by at)")).withColumn("n_item_windows", F.expr("max(place) over (partition by item_id, item_row)").cast("long"))
-    known = known.select("h", "item_id", "item_row", "length", "place", "n_item_windows", F.col("at").alias("item_at"), F.col("values").alias("item_values"))
+    # the windows that count have few slots when all names are slots; they are numbered without the others, so these don't end a row of windows
+    light = "coalesce(size(values), 0) * 2 <= length"
+    known = known.withColumn("counts", F.expr(f"not begun and {light} and kind = max(if(begun, 0, kind)) over (partition by item_id, item_row, at)"))
+    known = known.withColumn("place", F.expr("sum(int(counts)) over (partition by item_id, item_row order by at)")).withColumn("counts", F.expr("max(counts) over (partition by item_id, item_row, at)")).withColumn("place", F.expr("if(counts, place, null)"))
+    known = known.withColumn("n_item_windows", F.expr("coalesce(max(place) over (partition by item_id, item_row), 0)")).withColumn("n_all", F.expr("max(at) over (partition by item_id, item_row)").cast("long"))
+    known = known.where(light)
+    known = known.select("h", "item_id", "item_row", "length", "place", "n_item_windows", "n_all", F.col("at").alias("item_at"), F.col("values").alias("item_values"))
     if known.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("doc_row", F.xxhash64("text"))
@@ -73,9 +89,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     met = _windows(rows, lengths).join(known, ["h", "length"]).withColumn("diagonal", F.col("at") - F.col("item_at"))
     pairs = F.arrays_zip(F.col("item_values").alias("b"), F.col("values").alias("d"))
     slots = F.array_distinct(F.flatten(F.collect_set(F.when(F.col("values").isNotNull() & F.col("item_values").isNotNull(), pairs))))
-    each = met.groupBy("doc_id", "item_id", "doc_row", "item_row", "diagonal").agg(F.array_sort(F.collect_set("place")).alias("places"), F.max("n_item_windows").alias("n_item_windows"), F.max("length").alias("length"), slots.alias("slots"))
-    each = each.withColumn("n_windows", F.size("places").cast("long")).withColumn("n_slots", F.size("slots").cast("long"))
-    each = each.withColumn("n_consistent", F.expr("size(filter(slots, x -> not exists(slots, y -> (y.b = x.b) <> (y.d = x.d))))").cast("long"))
-    each = each.withColumn("least", F.least("n_item_windows", F.lit(LEAST_WORDS + 1) - F.col("length")).cast("int")).withColumn("contaminated", F.expr(f"{_row('places', 'least')} and 5 * n_consistent >= 4 * n_slots"))
+    sets = {"plain": F.when(F.col("item_values").isNull(), F.col("item_at")), "every": F.col("item_at"), "places": F.col("place")}
+    each = met.groupBy("doc_id", "item_id", "doc_row", "item_row", "diagonal").agg(*(F.array_sort(F.collect_set(c)).alias(name) for name, c in sets.items()), F.max("n_item_windows").alias("n_places"), F.max("n_all").alias("n_all"), F.max("length").alias("length"), slots.alias("slots"))
+    each = each.withColumn("n_slots", F.size("slots").cast("long")).withColumn("n_consistent", F.expr("size(filter(slots, x -> not exists(slots, y -> (y.b = x.b) <> (y.d = x.d))))").cast("long"))
+    each = each.withColumn("row", F.lit(LEAST_WORDS + 1) - F.col("length")).withColumn("least", F.least("n_all", "row").cast("int")).withColumn("fewest", F.least("n_places", "row").cast("int"))
+    same = "5 * n_consistent >= 4 * n_slots"
+    each = each.withColumn("contaminated", F.expr(f"{_row('plain', 'least')} or ({_row('every', 'least')} or fewest > 0 and {_row('places', 'fewest')}) and {same}"))
+    # figures are of the windows that count, of an item without any of all its windows
+    each = each.withColumn("n_windows", F.when(F.col("n_places") > 0, F.size("places")).otherwise(F.size("every")).cast("long")).withColumn("n_item_windows", F.when(F.col("n_places") > 0, F.col("n_places")).otherwise(F.col("n_all")))
     best = each.groupBy("doc_id", "item_id").agg(F.max(F.struct("contaminated", "n_windows", "n_consistent", "n_slots", "n_item_windows")).alias("best"))
     return best.select("doc_id", "item_id", "best.n_windows", "best.n_item_windows", "best.n_slots", "best.n_consistent", "best.contaminated")

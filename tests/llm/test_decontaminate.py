@@ -43,6 +43,14 @@ def test_occurrences_are_judged_apart(spark):
     assert all(got[k].n_windows == got[k].n_item_windows for k in [(1, 1), (2, 1), (3, 1), (4, 8)])
 
 
+def test_surroundings_do_not_hide_a_copy(spark):
+    """Copies in text full of capitals, or in the middle of a sentence."""
+    items = [ITEMS[0], (8, "Which planet of the system has the most moons today", "q"), (9, "He met Anna and then Otto with Emma, Paul, Karl, Rosa and Ida before they all went to see Berta at home", "q"), (10, "Anna buys 12 apples and sells 5 of these apples", "q"), (11, "we asked Anna about the cold river and Otto about the old tree and Emma about the wide field", "q")]
+    prose = "Der Hund und die Katze und der Vogel und das Pferd, Haus, Baum, Wald, Berg, See, Fluss, Stadt, Land, Weg, Tor, Dach, Wand, Stuhl, Tisch. " * 6
+    docs = [(1, f"{prose}{ITEMS[0][1]} {prose}", "x"), (2, f"he asked, {items[1][1]} and left", "x"), (3, f"noise {items[2][1]} noise", "x"), (4, "they say, Berta buys 30 apples and sells 8 of these apples daily", "x"), (5, f"{prose}{prose}", "x"), (6, f"noise {items[2][1].lower()} noise", "x"), (8, f"{prose}{items[4][1]} {prose}", "x"), (7, f"{prose}If Berta drives 90 miles in 2 days, how far does she drive with the same speed in 7 days? {prose}", "x")]
+    assert {k for k, r in run(spark, docs, items).items() if r.contaminated} == {(1, 1), (2, 8), (3, 9), (4, 10), (6, 9), (7, 1), (8, 11)}
+
+
 def test_empty(spark):
     assert run(spark, []) == {} == run(spark, [(1, "a b c d e f g h", "x")], [])
 
