@@ -1,14 +1,18 @@
 """License scans: ordered signature rules over normalised text.
 
 A rule is a keyword, a regular expression over lower-cased words joined by one space, a label, a priority and a
-confidence. A text's keywords choose the rules that look at it, so most texts meet none. Detections are intervals
+confidence. A text's keywords choose the rules that look at it, and strings that every match of a rule holds, taken from the rule's
+expression, choose the texts, so most texts meet no rule. Detections are intervals
 of words; one that lies within the interval of a better rule's detection (lower priority, then longer, then the
 earlier rule) is suppressed. Everything is DataFrame and SQL functions.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from re._constants import BRANCH, LITERAL, MAX_REPEAT, SUBPATTERN
+from re._parser import parse
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,16 +88,45 @@ def rules() -> list[Rule]:
     return out
 
 
-#: A text without any of these holds no detection.
-GATES = ("licen", "gpl", "copyright", "creative", "public domain", "cc0", "spdx", "rights reserved", "proprietary", "bsd", "wtfpl", "permission", "redistribution and use", "neither the name", "advertising materials", "as is without", "eupl", "cddl", "gfdl", "mpl", "epl")
+def _literals(pattern: str) -> set[str]:
+    """Strings of which any match of the pattern at the start of a word, after a space, holds one at least."""
 
+    def options(items: list) -> list[set[str]]:
+        """Sets of strings of which each match of these parts, one after the other, holds one of every set."""
+        found, run = [], ""
+        for op, value in [*items, (None, None)]:
+            if op is LITERAL:
+                run += chr(value)
+                continue
+            found += [{run}] if run else []
+            run = ""
+            if op is SUBPATTERN:
+                found += options(list(value[3]))
+            elif op is MAX_REPEAT and value[0] > 0:
+                found += options(list(value[2]))
+            elif op is BRANCH:
+                each = [options(list(x)) for x in value[1]]
+                if all(each):
+                    found.append(set().union(*(max(x, key=_least) for x in each)))
+        return found
 
-def _lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return max(options(list(parse(" (?:" + pattern + ")" if "|" in pattern else " " + pattern))), key=_least)
+
+
+def _least(strings: set[str]) -> tuple[int, int, int]:
+    """Greater for strings that fewer texts hold: longer ones without their common words, or else fewer."""
+    shortest = min(len(re.sub(r"\b(?:the|of|under|and|to|in|is)\b| ", "", x)) for x in strings)
+    return min(shortest, 5), -len(strings), shortest
 
 
-def _phrase(words: list[str]) -> str:
-    return r"(?i)(?<![0-9A-Za-z\x{80}-\x{10FFFF}])" + SEPARATORS.join(words) + r"(?![0-9A-Za-z\x{80}-\x{10FFFF}])"
+def gates() -> list[str]:
+    """Strings of which a text (lower-cased words, a space before each) holds one at least if any rule matches it."""
+    every = set().union(*(_literals(r.pattern) for r in rules()))
+    return sorted(g for g in every if not any(x != g and x in g for x in every))
+
+
+def _lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,20 +140,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    low = F.lower("text")
-    gate = low.contains(GATES[0])
-    for g in GATES[1:]:
-        gate |= low.contains(g)
-    base = F.lit(False)
-    for phrase, _ in BASE:
-        words = phrase.split()
-        has = low.contains(words[0])
-        for w in words[1:]:
-            has &= low.contains(w)
-        base |= has & F.col("text").rlike(_phrase(words))
-    pieces = F.split("text", SEPARATORS)
-    n_words = F.size(pieces) - (pieces[0] == "").cast("int") - F.when(F.size(pieces) > 1, (F.element_at(pieces, -1) == "").cast("int")).otherwise(0)
-    flagged = rows.select("doc_id", n_words.cast("long").alias("n_words"), F.when(gate | base, F.trim(F.regexp_replace(_lower(F.col("text")), SEPARATORS, " "))).alias("norm"))
+    normal = rows.select("doc_id", F.concat(F.lit(" "), F.trim(F.regexp_replace(_lower(F.col("text")), SEPARATORS, " "))).alias("spaced"))
+    gate = F.lit(False)
+    for g in gates():
+        gate |= F.contains("spaced", F.lit(g))
+    n_words = F.when(F.col("spaced") == " ", 0).otherwise(F.length("spaced") - F.length(F.replace("spaced", F.lit(" "), F.lit(""))))
+    flagged = normal.select("doc_id", n_words.cast("long").alias("n_words"), F.when(gate, F.substr("spaced", F.lit(2))).alias("norm"))
     found = flagged.withColumn("w", F.when(F.col("norm").isNotNull(), F.split("norm", " ")))
     for i, (phrase, _) in enumerate(BASE):
         test = " and ".join(f"get(w, i + {j}) = '{x}'" for j, x in enumerate(phrase.split()))

@@ -43,6 +43,40 @@ def test_matches_brute_force(spark):
     assert all(0 <= r.score <= 1 and (r.score > 0) == (r.labels != "") for r in got)
 
 
+def sample(pattern, pick):
+    """A text that the pattern matches; pick chooses among branches and numbers of repeats."""
+    from re import _constants as c
+    from re import _parser
+
+    def part(op, v):
+        if op is c.LITERAL:
+            return chr(v)
+        if op is c.SUBPATTERN:
+            return text(v[3])
+        if op is c.BRANCH:
+            return text(v[1][pick(0, len(v[1]) - 1)])
+        if op in (c.MAX_REPEAT, c.MIN_REPEAT):
+            return "".join(text(v[2]) for _ in range(pick(v[0], min(v[1], v[0] + 1))))
+        if op is c.IN:
+            return chr(v[0][1]) if v[0][0] is c.LITERAL else chr(v[0][1][0]) if v[0][0] is c.RANGE else "x"
+        return "" if op in (c.ASSERT, c.ASSERT_NOT) else "x"
+
+    def text(items):
+        return "".join(part(op, v) for op, v in items)
+
+    return text(_parser.parse(pattern))
+
+
+def test_no_rule_is_cut_off(spark):
+    """A text per rule and choice of branches that holds nothing else, its words apart by newlines and commas."""
+    low, high = (lambda a, b: a), (lambda a, b: b)
+    texts = sorted({sample(r.pattern, pick).replace(" ", gap) for r in rules() for pick, gap in ((low, "\n"), (high, ",\n "))})
+    texts += ["Photo by A. Smith, CC BY-SA 4.0", "placed in the public\ndomain", "All rights\nreserved", 'The software is provided "AS IS", WITHOUT warranty of any kind', "redistribution and\nuse in source and binary forms, with or without modification, are permitted"]
+    got = {r.doc_id: tuple(r)[1:7] for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: brute(x) for i, x in enumerate(texts)}
+    assert sum(g[5] != "" for g in got.values()) > 0.9 * len(texts) and all(got[len(texts) - k][5] for k in range(1, 6))
+
+
 def test_rules_are_many_and_valid():
     assert len(rules()) > 200
     for r in rules():
