@@ -27,7 +27,7 @@ EDITS, LEAST_LENGTH = 2, 20
 RINGS = (0, 64, 1 << 40)
 BROADCAST_LINES = 1_000_000
 CHARACTER_BITS, PAIR_BITS = 15, 47
-_BLANK = r" \t\r\u000b\f"
+_BLANK = r" \t\r\u000b\u000c"  # in a SQL literal; \f would be the letter f there
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 

@@ -79,6 +79,14 @@ def test_matches_brute_force(spark, tmp_path):
     assert got == brute(rows)
 
 
+def test_lines_that_begin_and_end_in_f(spark):
+    lines = ["of", "o", "if", "i", "elf", "el", "fall", "all", "f", "ff", "\fof\f", "f", "\f", " \fcalf of a long line that ends in f", "cal"]
+    rows = [(1, "\n".join(lines), "x", 1), (2, "el\nelf\nf\nfine\nine", "x", 1)]
+    got = line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got), key=str) == brute(rows)
+    assert {r.doc_id: r.removed_places for r in got} == {1: [10, 11], 2: [0, 1, 2]}
+
+
 def test_many_near_lines_and_empty_table(spark):
     stem = "a line that a great many documents have, number "
     rows = [(i, stem + f"{i:03d}"[::-1], "x", 1) for i in range(300)]
