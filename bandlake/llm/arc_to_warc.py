@@ -4,6 +4,9 @@ Reads ARC files of version 1 (URL, IP address, date, content type, length) and v
 content type, result code, checksum, location, offset, file name, length), whose version block names the fields,
 takes each document by its declared length, and writes the equivalent WARC/1.1 records: identifier, timestamp, type
 and digests are synthesised. A payload that a smaller page has already becomes a revisit record.
+
+Archives are rows (path, content), read from files by `arc_files` or written by `pages_to_arcs`; gzip members are expanded. A page's number travels in the
+stored HTTP head (`X-Page-ID`), and records without one can be numbered by file and place.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from bandlake.session import shared_folder
 FIELDS = {1: b"URL IP-address Archive-date Content-type Archive-length", 2: b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 LEAST_REVISIT = 100
 FILE_BYTES = 16 << 20
-_ID_SPACE = 0x626C0000_0000_8000_8000_000000000000  # version 8 identifiers; the low 61 bits hold the page's number
+_PAGE = "X-Page-ID"
 
 
 @dataclass
@@ -36,16 +39,12 @@ class ArcRecord:
     date: str
     content_type: str
     document: bytes
+    code: str = ""  # version 2 only
 
 
-def page_urn(page_id: int) -> str:
-    """The record identifier of a page, equal in every run; negative numbers have a bit of their own."""
-    return uuid.UUID(int=_ID_SPACE | (abs(page_id) & ((1 << 60) - 1)) | (page_id < 0) << 60).urn
-
-
-def urn_page(urn: str) -> int:
-    low = uuid.UUID(urn.removeprefix("urn:uuid:")).int & ((1 << 61) - 1)
-    return -(low & ((1 << 60) - 1)) if low >> 60 else low
+def page_urn(page_id: int | None, digest: bytes) -> str:
+    """The record identifier of a page's payload, equal in every run."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"bandlake:{page_id}:{digest.hex()}").urn
 
 
 def write_arc(records: list[ArcRecord], version: int, name: str = "legacy.arc") -> bytes:
@@ -53,13 +52,15 @@ def write_arc(records: list[ArcRecord], version: int, name: str = "legacy.arc")
     body = f"{version} 0 bandlake\n".encode() + FIELDS[version] + b"\n"
     out = [f"filedesc://{name} 0.0.0.0 19960923142103 text/plain {'' if version == 1 else f'200 - - 0 {name} '}{len(body)}\n".encode(), body, b"\n"]
     for r in records:
-        extra = "" if version == 1 else f"200 - - 0 {name} "
+        extra = "" if version == 1 else f"{r.code or 200} - - 0 {name} "
         out += [f"{r.url} {r.ip} {r.date} {r.content_type} {extra}{len(r.document)}\n".encode(), r.document, b"\n"]
     return b"".join(out)
 
 
 def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The documents of an ARC file of either version. Raises ValueError where a line or a length is wrong."""
+    """The documents of an ARC file of either version, plain or of gzip members. Raises ValueError where a line or a length is wrong."""
+    if data.startswith(b"\x1f\x8b"):
+        data = b"".join(_members(data))
     line_end = data.find(b"\n")
     if line_end < 0 or not data.startswith(b"filedesc://"):
         raise ValueError("no ARC version block")
@@ -82,7 +83,7 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         size = int(part[-1])
         if line_end + 1 + size > len(data):
             raise ValueError(f"the document of {part[0][:80]} is cut off")
-        yield ArcRecord(*part[:4], data[line_end + 1 : line_end + 1 + size])
+        yield ArcRecord(*part[:4], data[line_end + 1 : line_end + 1 + size], part[4] if version == 2 else "")
         at = line_end + 1 + size
 
 
@@ -104,18 +105,31 @@ def split_http(document: bytes) -> tuple[bytes, bytes]:
     return b"", document
 
 
-def warc_record(r: ArcRecord, page_id: int, first: int | None = None) -> bytes:
+def _page_id(head: bytes) -> int | None:
+    for line in head.split(b"\r\n"):
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == _PAGE.lower().encode():
+            return int(value)
+    return None
+
+
+def warc_record(r: ArcRecord, page_id: int | None, first: int | None = None) -> bytes:
     """The WARC record of an ARC document; with `first`, a revisit of that page's record, without payload."""
     head, payload = split_http(r.document)
     block = head if first is not None else r.document
     kind = "revisit" if first is not None else "response" if head else "resource"
+    digest = hashlib.sha256(payload)
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{page_urn(page_id)}>", f"WARC-Date: {_stamp(r.date)}", f"WARC-Target-URI: {r.url}", f"WARC-IP-Address: {r.ip}",
-        f"WARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{page_urn(page_id, digest.digest())}>", f"WARC-Date: {_stamp(r.date)}", f"WARC-Target-URI: {r.url}", f"WARC-IP-Address: {r.ip}",
+        f"WARC-Payload-Digest: sha256:{digest.hexdigest()}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         f"Content-Type: {'application/http; msgtype=response' if head else r.content_type}", f"X-Payload-Length: {len(payload)}",
     ]
+    if r.code:
+        lines.append(f"X-ARC-Result-Code: {r.code}")
+    if page_id is not None:
+        lines.append(f"{_PAGE}: {page_id}")
     if first is not None:
-        lines += [f"WARC-Refers-To: <{page_urn(first)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: <{page_urn(first, digest.digest())}>", f"X-Refers-To-Page-ID: {first}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -125,12 +139,16 @@ def gzip_member(data: bytes, level: int = 1) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of a WARC file of gzip members."""
+def _members(data: bytes) -> Iterator[bytes]:
     while data:
         z = zlib.decompressobj(31)
-        raw = z.decompress(data)
+        yield z.decompress(data)
         data = z.unused_data
+
+
+def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of a WARC file of gzip members."""
+    for raw in _members(data):
         head, _, rest = raw.partition(b"\r\n\r\n")
         first, *lines = head.decode("utf-8", "replace").split("\r\n")
         if not first.startswith("WARC/"):
@@ -143,33 +161,90 @@ def _clean_url(url: str | None) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) <= 32 else c for c in url or "") or "urn:none"
 
 
-def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "20240101000000") -> DataFrame:
-    """Pages as ARC files, converted to WARC records: page_id, type, first (the page a revisit refers to), record (gzip member).
+def pages_to_arcs(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "20240101000000") -> DataFrame:
+    """Writes pages as ARC files of about FILE_BYTES / 4, of both versions in turn, below `folder` and returns them: path, content.
 
-    Of equal payloads of at least LEAST_REVISIT bytes, the page with the smallest id is the response. A null html is an
-    empty payload, a null url is urn:none. Repeated ids: rows of the smallest id of a payload are all responses.
-    A null id is written as page 0 if no other row has its payload. Other columns are not read.
+    A null html is an empty payload, a null url is urn:none, a null id is left out of the stored head. Other columns are not read.
+    """
+
+    def chunk(held: list[ArcRecord], name: str, seq: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([write_arc(held, 1 + seq % 2, name)], pa.binary())], ["path", "content"])
+
+    def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, size = TaskContext.get().partitionId(), 0, 0
+        held: list[ArcRecord] = []
+        for batch in stream:
+            for i, u, h in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+                own = "" if i is None else f"{_PAGE}: {i}\r\n"
+                held.append(ArcRecord(_clean_url(u), "0.0.0.0", date, "text/html", f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n{own}\r\n".encode() + h.encode()))
+                size += len(held[-1].document)
+                if size >= FILE_BYTES // 4:
+                    yield chunk(held, f"part-{part:05d}-{seq:05d}.arc", seq)
+                    held, size, seq = [], 0, seq + 1
+        if held:
+            yield chunk(held, f"part-{part:05d}-{seq:05d}.arc", part + seq)
+
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    rows.mapInArrow(task, "path string, content binary").write.mode("errorifexists").option("compression", "zstd").parquet(folder)
+    return pages.sparkSession.read.schema("path string, content binary").parquet(folder)
+
+
+def arc_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The .arc and .arc.gz files of a folder: path, content. Spark reads a file of up to 2 GiB into one row and stops at a larger one; archives are usually of 100 MB."""
+    return spark.read.format("binaryFile").load(folder).where("lower(path) like '%.arc' or lower(path) like '%.arc.gz'").select("path", "content")
+
+
+def read_arcs(archives: DataFrame, documents: bool = True, number: bool = False) -> DataFrame:
+    """Every document of the archives: page_id, digest (of its payload, null below LEAST_REVISIT bytes) and, with documents, url, ip, date, content_type, code and document.
+
+    page_id is the stored head's own, or null; with `number`, a document without one gets a hash of its file and place.
+    """
+    names = ["page_id", "digest"] + (["url", "ip", "date", "content_type", "code", "document"] if documents else [])
+    types = [pa.int64(), pa.binary()] + ([pa.string()] * 5 + [pa.binary()] if documents else [])
+
+    def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                rows, size = [], 0
+                for place, r in enumerate(read_arc(content.as_py())):
+                    head, payload = split_http(r.document)
+                    own = _page_id(head)
+                    if own is None and number:
+                        own = int.from_bytes(hashlib.sha256(f"{path} {place}".encode()).digest()[:8], "big") >> 1
+                    rows.append((own, hashlib.sha256(payload).digest() if len(payload) >= LEAST_REVISIT else None, *((r.url, r.ip, r.date, r.content_type, r.code, r.document) if documents else ())))
+                    size += len(r.document) if documents else 64
+                    if size >= FILE_BYTES // 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return archives.mapInArrow(task, ", ".join(f"{n} {'long' if t == pa.int64() else 'binary' if t == pa.binary() else 'string'}" for n, t in zip(names, types, strict=True)))
+
+
+def convert_archives(archives: DataFrame, number: bool = False) -> DataFrame:
+    """ARC files (path, content) converted to WARC records: page_id, record (gzip member), one per document.
+
+    Of equal payloads of at least LEAST_REVISIT bytes, the page with the smallest id is the response and others revisit it. Documents of that
+    id and payload are all responses. Documents without an id come after those with one; where none has an id, all are responses.
     """
-    rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.when(F.octet_length("html") >= LEAST_REVISIT, F.unhex(F.sha2(F.encode("html", "UTF-8"), 256))))
-    copies = rows.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    # payloads with over a thousandth of the rows, a thousand at most, are broadcast; the others' rows are few each
-    copies, often = written(copies, "payloads"), pages.count() // 1000
-    ids, large = rows.where("digest is not null").select("page_id", "digest"), copies.where(F.col("n") > often).select("digest", F.col("first").alias("often"))
-    found = ids.join(F.broadcast(large), "digest", "left")
-    rest = found.where("often is null").join(copies.where(F.col("n") <= often), "digest").select("page_id", "first")
-    few = written(found.where("often is not null").select("page_id", F.col("often").alias("first")).unionByName(rest).where("page_id <> first").distinct(), "revisits")
-    marked = rows.drop("digest").join(few, "page_id", "left")
+    seen = read_arcs(archives, documents=False, number=number).where("digest is not null")
+    sizes = written(seen.groupBy("page_id", "digest").agg(F.count("*").alias("n")), "payload-pages")
+    copies = written(sizes.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null"), "payloads")
+    # payloads of over a thousandth of the pages, a thousand at most, are broadcast; the others' pages are few each
+    often = sizes.count() // 1000
+    found = sizes.drop("n").join(F.broadcast(copies.where(F.col("n") > often).select("digest", F.col("first").alias("often"))), "digest", "left")
+    rest = found.where("often is null").drop("often").join(copies.where(F.col("n") <= often).select("digest", "first"), "digest")
+    few = found.where("often is not null").withColumnRenamed("often", "first").select("digest", "page_id", "first").unionByName(rest).where("not (page_id <=> first)")
+    few = written(few, "revisits").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first")
+    records = read_arcs(archives, number=number)
+    marked = records.join(few, records["page_id"].eqNullSafe(few["p"]) & (records["digest"] == few["d"]), "left").drop("p", "d", "digest")
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                ids = part.column("page_id").to_pylist()
-                docs = [ArcRecord(_clean_url(u), "0.0.0.0", date, "text/html", b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n\r\n" + h.encode()) for u, h in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True)]
-                arc = write_arc(docs, 1 + (at // 64) % 2)
-                first = part.column("first").to_pylist()
-                records = [gzip_member(warc_record(r, i, f)) for r, i, f in zip(read_arc(arc), ids, first, strict=True)]
+                records = [gzip_member(warc_record(ArcRecord(r["url"], r["ip"], r["date"], r["content_type"], r["document"], r["code"]), r["page_id"], r["first"])) for r in part.to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array(records, pa.binary())], ["page_id", "record"])
 
     return marked.mapInArrow(task, "page_id long, record binary")
@@ -208,8 +283,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 for h, block in read_warc(content.as_py()):
                     payload = split_http(block)[1] if h["warc-type"] == "response" else None
                     rows.append((
-                        urn_page(h["warc-record-id"].strip("<>")), h["warc-target-uri"], h["warc-date"], h["warc-type"], len(payload) if payload is not None else int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha256:"),
-                        urn_page(h["warc-refers-to"].strip("<>")) if "warc-refers-to" in h else None, hashlib.sha256(payload).hexdigest() if payload is not None else None,
+                        int(h[_PAGE.lower()]) if _PAGE.lower() in h else None, h["warc-target-uri"], h["warc-date"], h["warc-type"], len(payload) if payload is not None else int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha256:"),
+                        int(h["x-refers-to-page-id"]) if "x-refers-to-page-id" in h else None, hashlib.sha256(payload).hexdigest() if payload is not None else None,
                     ))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
@@ -221,6 +296,7 @@ _TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.stri
 
 
 def arc_round_trip(spark: SparkSession, pages: DataFrame, **columns: str) -> DataFrame:
-    """Converts pages, writes the archives to the shared folder and reads them back."""
+    """Writes pages as ARC files to the shared folder, converts these, writes the WARC archives and reads them back."""
     folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
-    return read_archives(write_archives(convert_pages(pages, **columns), folder))
+    arcs = pages_to_arcs(pages, f"{folder}/arc", **columns)
+    return read_archives(write_archives(convert_archives(arcs), f"{folder}/warc"))
