@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier of character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Features are the distinct n-grams (of UTF-8 bytes, ASCII letters lower-cased) of a whole text, hashed to a fixed
-width. The model, a weight per hash, is fitted on at most `max_train` labelled texts, those with the smallest
+Features are the distinct n-grams of characters (ASCII letters lower-cased, white space as blanks) of a whole text, hashed to a fixed
+width. The model, a weight per hash, is fitted on at most `max_train` labelled texts of `max_bytes` in all, those with the smallest
 hash of their id, and has a fixed size whatever the corpus; scoring is one pass over the texts.
 """
 
@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandlake.llm.wordbytes import _LOWER, _SEPARATOR, batches, mix64, text_bytes, weights
+from bandlake.llm.wordbytes import _LOWER, _SEPARATOR, batches, mix64, weights
 
 BITS = 20
-MAX_TRAIN = 6000
+MAX_TRAIN, MAX_BYTES = 6000, 64 << 20
+_FOLDED = np.where(_SEPARATOR, np.uint8(0x20), _LOWER)[:128].astype(np.uint32)
 
 
 @dataclass
@@ -30,8 +31,10 @@ class NgramModel:
 
 def features(t: pa.Table, sizes: tuple[int, ...]) -> Iterator[np.ndarray]:
     """The distinct hashes of each row's n-grams."""
-    data, offsets = text_bytes(t["text"])
-    data = np.where(_SEPARATOR[data], np.uint8(0x20), _LOWER[data])
+    texts = t["text"].fill_null("").to_pylist()
+    data = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    data = np.where(data < 128, _FOLDED[np.minimum(data, 127)], data)
+    offsets = np.cumsum([0, *map(len, texts)])
     hashed = []
     for n in sizes:
         w = weights(n, 40 + n)
@@ -131,13 +134,22 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_train: int) -> tuple[list[str], np.ndarray]:
-    """At most max_train labelled texts, the same for any layout of the tables."""
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_train: int, max_bytes: int = MAX_BYTES) -> tuple[list[str], np.ndarray]:
+    """At most max_train labelled texts, the same for any layout of the tables, ordered by id. Rows of one id and text count once;
+    a text that would bring the sample over max_bytes is left out of it, so that the sample fits the driver whatever the ids and lengths."""
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     ids = ids.groupBy("doc_id").agg(F.max("label").alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").toArrow()
-    return rows["text"].fill_null("").to_pylist(), rows["label"].to_numpy()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    found = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "h", F.octet_length("text").alias("size")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(max_train)
+    chosen, total = [], 0
+    for r in found.collect():
+        if total + r["size"] <= max_bytes:
+            total += r["size"]
+            chosen.append((r["doc_id"], r["h"]))
+    picked = docs.sparkSession.createDataFrame(chosen, "doc_id long, h long").join(F.broadcast(ids), "doc_id")
+    sample = rows.join(F.broadcast(picked), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).orderBy("doc_id", "text").select("text", "label").toArrow()
+    return sample["text"].to_pylist(), sample["label"].to_numpy()
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
