@@ -1,73 +1,93 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source with weight w gets its j-th block of documents released at floor(j / w) and due at ceil((j + 1) / w), j
+A source with weight w (of all weights' sum) gets its j-th block of documents released at floor(j / w) and due at ceil((j + 1) / w), j
 from 0. In every slot the released block with the earliest deadline goes first, so that after any number of slots a
-source has had its weight's part of them, to less than one block. Weights are parts of a period; the schedule repeats every period,
-so one period is computed, by a SQL fold over its slots, and each block finds its slot from its number in its
-source. Documents are numbered within a source in the order of a hash, by 4,096 ranges of it instead of
-one window over a source. Everything is DataFrame and SQL functions.
+source has had its weight's part of them, to less than one block. Releases and deadlines are computed in whole numbers: weights are
+scaled by a power of ten, so weights of as many decimals are exact, and any others are so near that the whole mix is off by a
+small fraction of a block. The schedule covers the whole mix, in a SQL fold over its slots; blocks grow with
+the corpus, so that there are about SLOTS of them at any size. Documents are numbered within a source in the order of a hash, by 4,096
+ranges of it instead of one window over a source. Everything is DataFrame and SQL functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PERIOD = 1000
-MAX_SOURCES = 5000
+from bandlake.llm.components import written
+
+BLOCK, SLOTS = 8, 50_000
+CHUNK = 256
+
+
+def _name(source: Column) -> Column:
+    """A source's name as a key: null and '' are different sources."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def digits(n_sources: int, slots: int) -> int:
+    """Decimals of a weight below 10 that keep blocks x period within a long: (slots + n) * 10 * n * 10 ** digits < 2 ** 63."""
+    return max(0, 17 - math.ceil(math.log10((slots + n_sources + 1) * max(1, n_sources))))
 
 
-def schedule(shares: DataFrame) -> DataFrame:
-    """One period of the earliest-deadline-first schedule of shares(source, parts): slot, source, turn, parts, period.
+def schedule(shares: DataFrame, slots: int) -> DataFrame:
+    """The first `slots` slots of the earliest-deadline-first schedule of shares(source, parts): slot, source, turn.
 
-    The period is the sum of the parts, so the sources use every slot. A fold keeps each source's turn; a deadline tie
-    goes to the larger share, then the smaller name.
+    A source's weight is its parts of their sum, so the sources use every slot. A fold keeps each source's turn; a deadline tie
+    goes to the larger share, then the smaller name. Slots are folded in chunks, whose results are put together once.
     """
     one = shares.agg(F.array_sort(F.collect_list(F.struct((-F.col("parts")).alias("minus"), "source", "parts"))).alias("s"), F.sum("parts").alias("period"))
-    # j-th block of a source of `parts` in `period` slots: released at floor(j * period / parts), due at ceil((j + 1) * period / parts)
-    due = "struct(-((-(get(st.turn, i) + 1) * period) div x.parts) + if((get(st.turn, i) + 1) * period % x.parts > 0, 1L, 0L) as due, i as i)"
-    pick = f"array_min(filter(transform(s, (x, i) -> if(get(st.turn, i) * period div x.parts <= t, {due}, cast(null as struct<due: bigint, i: int>))), y -> y is not null))"
-    step = f"transform(array({pick}), p -> struct(transform(st.turn, (v, i) -> if(i = p.i, v + 1, v)) as turn, concat(st.done, array(struct(t as slot, get(s, p.i).source as source, get(st.turn, p.i) as turn, get(s, p.i).parts as parts))) as done))[0]"
-    start = "struct(transform(s, x -> 0L) as turn, cast(array() as array<struct<slot: bigint, source: string, turn: bigint, parts: bigint>>) as done)"
-    folded = one.where("period > 0").select("period", F.expr(f"aggregate(sequence(0L, period - 1), {start}, (st, t) -> {step}, st -> st.done)").alias("done"))
-    return folded.select("period", F.inline("done"))
+    # j-th block of a source of `parts` in `period`: released at floor(j * period / parts), due at ceil((j + 1) * period / parts)
+    due = "struct(-(-((get(st.turn, i) + 1) * period) div x.parts) + if((get(st.turn, i) + 1) * period % x.parts > 0, 1L, 0L) as due, i as i)"
+    pick = f"array_min(filter(transform(s, (x, i) -> if(get(st.turn, i) * period div x.parts <= t, {due}, cast(null as struct<due: bigint, i: int>))), y -> y is not null)).i"
+    step = f"transform(array({pick}), p -> struct(transform(st.turn, (v, i) -> if(i = p, v + 1, v)) as turn, concat(st.done, array(struct(t as slot, p as i, get(st.turn, p) as turn))) as done))[0]"
+    none = "cast(array() as array<struct<slot: bigint, i: int, turn: bigint>>)"
+    chunk = f"aggregate(sequence(c * {CHUNK}L, least(c * {CHUNK}L + {CHUNK - 1}, {slots - 1}L)), struct(all.turn as turn, {none} as done), (st, t) -> {step})"
+    whole = f"aggregate(sequence(0L, {max(0, slots - 1) // CHUNK}L), struct(transform(s, x -> 0L) as turn, cast(array() as array<array<struct<slot: bigint, i: int, turn: bigint>>>) as done), (all, c) -> transform(array({chunk}), r -> struct(r.turn as turn, concat(all.done, array(r.done)) as done))[0], all -> flatten(all.done))"
+    if slots <= 0:
+        whole = none
+    folded = one.where("period > 0").select("s", F.expr(whole).alias("done"))
+    return folded.select("s", F.inline("done")).select("slot", F.expr("get(s, i).source").alias("source"), "turn")
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block: int = 8, period: int = PERIOD, power: float = 0.5, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block: int | None = None, power: float = 0.5, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The input's columns and, for every row, mix_block (the slot of its block), mix_position (its place in the mix) and in_mix.
 
-    weights(source, weight) gives target weights; a source without one, or with a weight that isn't positive, is not in the mix. Without
-    weights, a source's weight is its number of rows to the power `power`, which tempers a large source. The mix ends
-    in the first slot that a source can't fill with a whole block; rows after it have in_mix false and keep the
-    slots they would have had, so no row is lost. A mix has at most MAX_SOURCES sources (else ValueError), so its schedule is small. Rows of one source are ordered by a hash of their id; equal ids, null ids
-    and repeated rows are ordered by their whole row. A null source is a source of its own, named ''. Input columns named like a result are replaced.
+    weights(source, weight) gives target weights; a source without one, or with a weight that isn't positive and finite, is not in the mix. Without
+    weights, a source's weight is its number of rows to the power `power`, which tempers a large source. A block has `block` rows, by default
+    BLOCK or as many as make about SLOTS blocks of all rows. The mix ends
+    in the first slot that a source can't fill with a whole block; rows after it have in_mix false and no block or position,
+    so no row is lost. There may be any number of sources; the fold takes their number times that of the slots. Rows of one source are ordered by a hash of their id; equal ids, null ids
+    and repeated rows are ordered by their whole row. A null source is a source of its own, apart from ''. Input columns named like a result are replaced.
     """
     docs = docs.drop("mix_block", "mix_position", "in_mix")
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    named = docs.withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).withColumn("_key", key).withColumn("_range", F.substring("_key", 1, 3))
+    named = docs.withColumn("_source", _name(F.col(source_col))).withColumn("_key", key).withColumn("_range", F.substring("_key", 1, 3))
     named = named.withColumn("_row", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    counts = named.groupBy("_source", "_range").agg(F.count("*").alias("n"))
-    sizes = counts.groupBy("_source").agg(F.sum("n").alias("size")).withColumnRenamed("_source", "source")
-    if len(sizes.select("source").take(MAX_SOURCES + 1)) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources: give coarser ones")
+    counts = written(named.groupBy("_source", "_range").agg(F.count("*").alias("n")), "mix-counts")
+    sizes = counts.groupBy(F.col("_source").alias("source")).agg(F.sum("n").alias("size"))
     if weights is None:
         shares = sizes.withColumn("weight", F.pow(F.col("size").cast("double"), F.lit(power)))
     else:
-        given = weights.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("weight").cast("double")).where("weight > 0").groupBy("source").agg(F.max("weight").alias("weight"))
+        given = weights.select(_name(F.col("source")).alias("source"), F.col("weight").cast("double")).where("weight > 0 and weight < double('infinity')").groupBy("source").agg(F.max("weight").alias("weight"))
         shares = sizes.join(given, "source")
-    total = shares.agg(F.sum("weight").alias("total"))
-    shares = shares.crossJoin(F.broadcast(total)).withColumn("parts", F.greatest(F.lit(1).cast("long"), F.round(F.col("weight") * period / F.col("total")).cast("long"))).drop("total")
-    plan = schedule(shares)
-    # the first slot that its source can't fill: the slot of each source's first missing or partial block
-    firsts = shares.select("source", F.floor(F.col("size") / block).cast("long").alias("j"), "parts").withColumn("turn", F.expr("j % parts")).join(plan.select("source", "turn", "slot", "period"), ["source", "turn"])
-    end = firsts.agg(F.min(F.expr("(j div parts) * period + slot")).alias("mix_end"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    block = block or max(BLOCK, -(-total // SLOTS))
+    of = shares.agg(F.count("*").alias("n"), F.max("weight").alias("top")).first()
+    scale = 10.0 ** (digits(of["n"], total // block) - math.floor(math.log10(of["top"]))) if of["n"] else 1.0
+    shares = written(shares.withColumn("parts", F.greatest(F.lit(1).cast("long"), F.round(F.col("weight") * scale).cast("long"))), "mix-shares")
+    # a source's first missing or partial block is due by ceil((j + 1) * period / parts): one of them lies within this many slots
+    period = shares.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]
+    slots = shares.agg(F.min(F.expr(f"ceil((size div {block} + 1) * cast({period} as double) / parts)")).cast("long")).first()[0] or 0
+    plan = written(schedule(shares, slots + 1 if slots else 0), "mix-plan")
+    firsts = shares.select("source", F.expr(f"size div {block}").alias("turn")).join(plan, ["source", "turn"])
+    end = firsts.agg(F.coalesce(F.min("slot"), F.lit(0)).alias("mix_end"))
     offsets = counts.select("_source", "_range", F.expr("coalesce(sum(n) over (partition by _source order by _range rows between unbounded preceding and 1 preceding), 0L)").alias("before"))
     ranked = named.withColumn("_rank", F.expr("row_number() over (partition by _source, _range order by _key, _row)") - 1)
     ranked = ranked.join(offsets, ["_source", "_range"])
-    numbered = ranked.withColumn("_n", F.col("before") + F.col("_rank")).withColumn("_j", F.expr(f"_n div {block}"))
-    parts = shares.select(F.col("source").alias("_source"), "parts")
-    placed = numbered.join(F.broadcast(parts), "_source", "left").withColumn("_turn", F.expr("_j % parts"))
-    slots = plan.select(F.col("source").alias("_source"), F.col("turn").alias("_turn"), "slot", "period")
-    placed = placed.join(F.broadcast(slots), ["_source", "_turn"], "left").crossJoin(F.broadcast(end))
-    placed = placed.withColumn("mix_block", F.expr("(_j div parts) * period + slot"))
-    return placed.select(*(F.col(f"`{c}`") for c in docs.columns), "mix_block", F.expr(f"mix_block * {block} + _n % {block}").alias("mix_position"), F.coalesce(F.col("mix_block") < F.col("mix_end"), F.lit(False)).alias("in_mix"))
+    numbered = ranked.withColumn("_n", F.col("before") + F.col("_rank")).withColumn("_turn", F.expr(f"_n div {block}"))
+    slot = plan.crossJoin(F.broadcast(end)).where("slot < mix_end").select(F.col("source").alias("_source"), F.col("turn").alias("_turn"), F.col("slot").alias("mix_block"))
+    placed = numbered.join(F.broadcast(slot), ["_source", "_turn"], "left")  # SLOTS rows and one for each source, or as many as a smaller `block` asks for
+    return placed.select(*(F.col(f"`{c}`") for c in docs.columns), "mix_block", F.expr(f"mix_block * {block} + _n % {block}").alias("mix_position"), F.col("mix_block").isNotNull().alias("in_mix"))

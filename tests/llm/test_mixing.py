@@ -1,19 +1,23 @@
+import math
 from collections import Counter
 from fractions import Fraction
 
 import pytest
 
+from bandlake.llm import mixing
 from bandlake.llm.mixing import mix_sources
 
 SCHEMA = "doc_id long, source string, mix_block string, n int"
 
 
-def edf(parts):
-    """The schedule by plain simulation: [(source, turn)] of one period."""
-    order, period = sorted(parts, key=lambda s: (-parts[s], s)), sum(parts.values())
+def edf(weights, slots):
+    """The schedule by plain simulation with exact fractions: [(source, turn)]."""
+    total = sum(map(Fraction, weights.values()))
+    w = {s: Fraction(x) / total for s, x in weights.items()}
+    order = sorted(w, key=lambda s: (-w[s], s))
     turn, out = Counter(), []
-    for t in range(period):
-        ready = [(-(-(turn[s] + 1) * period // parts[s]), i) for i, s in enumerate(order) if turn[s] * period // parts[s] <= t]
+    for t in range(slots):
+        ready = [(math.ceil((turn[s] + 1) / w[s]), i) for i, s in enumerate(order) if math.floor(turn[s] / w[s]) <= t]
         s = order[min(ready)[1]]
         out.append((s, turn[s]))
         turn[s] += 1
@@ -24,35 +28,72 @@ def rows(sizes):
     return [(i, s, "x", 1) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
 
 
+def frame(spark, weights):
+    return spark.createDataFrame(list(weights.items()), "source string, weight double")
+
+
+def deviation(slots, weights):
+    """The largest distance, over all prefixes, of a source's blocks from its exact part."""
+    total = sum(map(Fraction, weights.values()))
+    w = {s: Fraction(x) / total for s, x in weights.items()}
+    seen, most = Counter(), 0
+    for t, s in enumerate(slots):
+        seen[s] += 1
+        most = max(most, *(abs(seen[n] - x * (t + 1)) for n, x in w.items())) if t % 50 < 10 or t < 3000 else most
+    return most
+
+
 def test_schedule_and_deviation(spark):
     weights = {"a": 5.0, "b": 3.0, "c": 1.0, "d": 1.0}
     sizes = {"a": 900, "b": 400, "c": 130, "d": 300}
-    found = mix_sources(spark.createDataFrame(rows(sizes), SCHEMA), spark.createDataFrame(list(weights.items()), "source string, weight double"), block=4, period=10).collect()
+    found = mix_sources(spark.createDataFrame(rows(sizes), SCHEMA), frame(spark, weights), block=4).collect()
     assert len(found) == sum(sizes.values())
-    at = {r.mix_block: r.source for r in found}
-    plan = edf({"a": 5, "b": 3, "c": 1, "d": 1})
-    assert all(s == plan[t % 10][0] for t, s in at.items())
     mixed = sorted({(r.mix_block, r.source) for r in found if r.in_mix})
     assert [t for t, _ in mixed] == list(range(len(mixed))) and len(mixed) > 250
-    seen = Counter()
-    for t, s in mixed:
-        seen[s] += 1
-        for name, w in weights.items():
-            assert abs(seen[name] - Fraction(int(w), 10) * (t + 1)) < 1
+    assert [s for _, s in mixed] == [s for s, _ in edf(weights, len(mixed))]
+    # the next slot's source has no whole block left
+    s, turn = edf(weights, len(mixed) + 1)[-1]
+    assert turn == sizes[s] // 4
+    assert deviation([s for _, s in mixed], weights) < 1
     assert sorted(r.mix_position for r in found if r.in_mix) == list(range(4 * len(mixed)))
     assert all(n == 4 for n in Counter(r.mix_block for r in found if r.in_mix).values())
+    assert all(r.mix_block is None and r.mix_position is None for r in found if not r.in_mix)
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.9997, "b": 0.0003}, {"a": 2**0.5, "b": 3**0.5, "c": 0.0101, "d": math.pi, "e": 1e-3}, {f"s{i}": 1 / (i + 1) for i in range(40)}])
+def test_arbitrary_weights_stay_below_one_block(spark, weights):
+    slots = 20_000 if len(weights) < 10 else 4_000
+    shares = [(f"={s}", round(w * 10 ** mixing.digits(len(weights), slots))) for s, w in weights.items()]
+    plan = mixing.schedule(spark.createDataFrame(shares, "source string, parts long"), slots).orderBy("slot").collect()
+    assert [r.slot for r in plan] == list(range(slots))
+    assert deviation([r.source[1:] for r in plan], weights) < 1
+    if len(weights) == 2:
+        assert [(r.source[1:], r.turn) for r in plan] == edf({s: Fraction(str(w)) for s, w in weights.items()}, slots)
+
+
+def test_rare_source_gets_its_part(spark):
+    weights = {"a": 0.9997, "b": 0.0003}
+    found = mix_sources(spark.createDataFrame(rows({"a": 60_000, "b": 30}), SCHEMA), frame(spark, weights), block=1).where("in_mix").groupBy("source").count().collect()
+    n = {r.source: r["count"] for r in found}
+    assert abs(n["b"] - 0.0003 * sum(n.values())) < 1 and n["a"] > 59_000
 
 
 def test_every_source_and_edges(spark):
-    data = rows({"hot": 300, "b": 20, "c": 9}) + [(None, None, None, None), (None, None, None, None), (5, "hot", "x", 1), (5, "hot", "x", 1)]
+    data = rows({"hot": 300, "b": 20, "c": 9}) + [(None, None, None, None), (None, None, None, None), (5, "hot", "x", 1), (5, "hot", "x", 1), (7, "", "x", 1), (8, "", "x", 1)]
     found = mix_sources(spark.createDataFrame(data, SCHEMA), block=2).collect()
     assert len(found) == len(data) and [f for f in found[0].__fields__] == ["doc_id", "source", "n", "mix_block", "mix_position", "in_mix"]
-    assert len({r.mix_position for r in found}) == len(data)
-    some = mix_sources(spark.createDataFrame(data, SCHEMA), spark.createDataFrame([("hot", 1.0), ("b", 0.0), ("zz", 3.0), (None, None)], "source string, weight double")).collect()
-    assert all((r.mix_block is not None) == (r.source == "hot") for r in some) and sum(r.in_mix for r in some) == 296
+    places = [r.mix_position for r in found if r.in_mix]
+    assert len(set(places)) == len(places) > 8
+    # null and '' are two sources: each has a block of its own
+    assert len({r.mix_block for r in found if r.source is None}) == len({r.mix_block for r in found if r.source == ""}) == 1 and {r.mix_block for r in found if r.source is None} != {r.mix_block for r in found if r.source == ""}
+    some = mix_sources(spark.createDataFrame(data, SCHEMA), spark.createDataFrame([("hot", 1.0), ("b", 0.0), ("zz", 3.0), (None, None), ("c", float("nan"))], "source string, weight double")).collect()
+    assert len(some) == len(data) and {r.source for r in some if r.in_mix} == {"hot"} and sum(r.in_mix for r in some) == 296
     assert mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_too_many_sources(spark):
-    with pytest.raises(ValueError):
-        mix_sources(spark.range(6000).selectExpr("id as doc_id", "cast(id as string) as source"))
+def test_many_sources_and_growing_blocks(spark, monkeypatch):
+    many = mix_sources(spark.range(1_500).selectExpr("id as doc_id", "cast(id as string) as source"), block=1)
+    assert many.where("in_mix").count() == 1_500
+    monkeypatch.setattr(mixing, "SLOTS", 100)
+    found = mix_sources(spark.range(10_000).selectExpr("id as doc_id", "if(id % 3 = 0, 'a', 'b') as source")).where("in_mix").groupBy("mix_block").count().collect()
+    assert len(found) <= 101 and {r["count"] for r in found} == {100}
