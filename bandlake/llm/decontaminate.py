@@ -21,8 +21,9 @@ _TOKEN = r"[^\p{L}\p{M}\p{N}" + NUMBER + NAME + UNIT + "]+"
 
 
 def _named(text: Column) -> Column:
-    """The text with a placeholder for each name; every token stays one token."""
-    return F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME)
+    """The text with a placeholder for each word in title case, wherever it stands, so that nothing around a passage changes its
+    template; every token stays one token."""
+    return F.regexp_replace(text, r"(?<![\p{L}\p{M}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{M}\p{N}])", NAME)
 
 
 def _numbered(text: Column) -> Column:
@@ -35,7 +36,7 @@ def _windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
     """The rows with their windows: `at`, `length`, `kind`, `h`, and `values`, the words at its slots.
 
     A window is there as its plain words (kind 0, values null), with its numbers and units as slots (kind 1) and with its names too
-    (kind 2), each kind only if it has slots of its own: what capitals around a passage say of names changes no plain window and none of kind 1.
+    (kind 2), each kind only if it has slots of its own: capitals change no plain window and none of kind 1.
     """
     texts = rows.withColumn("named", _named(F.col("text"))).withColumn("r", F.split(F.lower("text"), _TOKEN)).withColumn("t1", _numbered(F.col("text")))
     texts = texts.withColumn("t2", F.when(F.contains("named", F.lit(NAME)), _numbered(F.col("named"))))
@@ -59,25 +60,34 @@ def _row(places: str, least: str) -> str:
     return f"exists(sequence(0, size({places})), i -> coalesce(get({places}, i + {least} - 1) = get({places}, i) + {least} - 1, false))"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def _lines_of_items(rows: DataFrame, short: DataFrame) -> DataFrame:
+    """Pairs of short items and the rows that have one as a whole line."""
+    lines = rows.select("doc_id", "doc_row", F.explode(F.split("text", "[\r\n]+")).alias("line"))
+    cut = lambda c: F.filter(F.split(F.lower(c), _TOKEN), lambda x: x != "")
+    lines = lines.select("doc_id", "doc_row", cut("line").alias("words")).where(F.size("words").between(1, LEAST_ITEM - 1))
+    met = lines.join(short.select("item_id", cut("text").alias("words")), "words").select("doc_id", "item_id", "doc_row").distinct()
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    return met.withColumn("best", F.struct(F.lit(True).alias("contaminated"), one.alias("n_windows"), none.alias("n_consistent"), none.alias("n_slots"), one.alias("n_item_windows")))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", by_text: bool = False) -> DataFrame:
     """(doc_id, item_id) that share templates: n_windows, n_item_windows, n_slots, n_consistent, contaminated.
 
     A pair is contaminated if the windows of one occurrence cover LEAST_WORDS words in a row, or all of a shorter item, as plain words, or as
     templates with at least four fifths of the slot values mapped one to one; the figures are those of the best occurrence.
-    Templates of WINDOW words (all words of a shorter item) of which over half are slots don't count, nor do items of fewer than LEAST_ITEM words. Null and empty texts share
-    nothing. Rows of one id are one document, or item, but an occurrence lies within one row; rows with a null doc_id count as one document, items with a null id are not looked for. Letters compare without case; punctuation and
+    Templates of WINDOW words (all words of a shorter item) of which over half are slots don't count. An item of fewer than LEAST_ITEM words is found where it is a whole line. Null and empty texts share
+    nothing. Rows of one id are one document, or item, but an occurrence lies within one row; rows with a null doc_id count as one document, items with a null id are not looked for. With `by_text` there is a
+    row for each text of an id, with its hash as doc_row. Letters compare without case; punctuation and
     other columns don't matter. Pairs without a shared window are not returned.
     """
+    keys = ["doc_id", "item_id", *(["doc_row"] if by_text else [])]
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null and item_id is not null").withColumn("size", F.size(F.filter(F.split(F.lower("text"), _TOKEN), lambda x: x != "")))
-    items = items.where(f"size >= {LEAST_ITEM}").withColumn("item_row", F.xxhash64("text")).withColumn("text", F.expr(rf"regexp_replace(text, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '')"))
+    short, items = items.where(f"size between 1 and {LEAST_ITEM - 1}"), items.where(f"size >= {LEAST_ITEM}").withColumn("item_row", F.xxhash64("text")).withColumn("text", F.expr(rf"regexp_replace(text, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '')"))
     lengths = sorted(r.n for r in items.select(F.least("size", F.lit(WINDOW)).alias("n")).distinct().collect()) or [WINDOW]
-    # within a document an item's first word can look like a name: its first window is looked for in that form too
-    begun = _windows(items.withColumn("text", F.concat(F.lit("a "), "text")), lengths).where("at = 2 and kind > 0").withColumn("at", F.lit(1))
-    known = _windows(items, lengths).withColumn("begun", F.lit(False)).unionByName(begun.withColumn("begun", F.lit(True))).where(f"length = least(size, {WINDOW})")
-    known = known.dropDuplicates(["item_id", "item_row", "at", "h"])
+    known = _windows(items, lengths).where(f"length = least(size, {WINDOW})").dropDuplicates(["item_id", "item_row", "at", "h"])
     # the windows that count have few slots when all names are slots; they are numbered without the others, so these don't end a row of windows
     light = "coalesce(size(values), 0) * 2 <= length"
-    known = known.withColumn("counts", F.expr(f"not begun and {light} and kind = max(if(begun, 0, kind)) over (partition by item_id, item_row, at)"))
+    known = known.withColumn("counts", F.expr(f"{light} and kind = max(kind) over (partition by item_id, item_row, at)"))
     known = known.withColumn("place", F.expr("sum(int(counts)) over (partition by item_id, item_row order by at)")).withColumn("counts", F.expr("max(counts) over (partition by item_id, item_row, at)")).withColumn("place", F.expr("if(counts, place, null)"))
     known = known.withColumn("n_item_windows", F.expr("coalesce(max(place) over (partition by item_id, item_row), 0)")).withColumn("n_all", F.expr("max(at) over (partition by item_id, item_row)").cast("long"))
     known = known.where(light)
@@ -97,5 +107,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     each = each.withColumn("contaminated", F.expr(f"{_row('plain', 'least')} or ({_row('every', 'least')} or fewest > 0 and {_row('places', 'fewest')}) and {same}"))
     # figures are of the windows that count, of an item without any of all its windows
     each = each.withColumn("n_windows", F.when(F.col("n_places") > 0, F.size("places")).otherwise(F.size("every")).cast("long")).withColumn("n_item_windows", F.when(F.col("n_places") > 0, F.col("n_places")).otherwise(F.col("n_all")))
-    best = each.groupBy("doc_id", "item_id").agg(F.max(F.struct("contaminated", "n_windows", "n_consistent", "n_slots", "n_item_windows")).alias("best"))
-    return best.select("doc_id", "item_id", "best.n_windows", "best.n_item_windows", "best.n_slots", "best.n_consistent", "best.contaminated")
+    best = each.groupBy(*keys).agg(F.max(F.struct("contaminated", "n_windows", "n_consistent", "n_slots", "n_item_windows")).alias("best"))
+    if short.take(1):
+        best = best.unionByName(_lines_of_items(rows, short).groupBy(*keys).agg(F.max("best").alias("best")))
+    return best.select(*keys, "best.n_windows", "best.n_item_windows", "best.n_slots", "best.n_consistent", "best.contaminated")

@@ -26,7 +26,7 @@ def test_cases(spark):
     ]
     got = run(spark, docs)
     bad = {k for k, r in got.items() if r.contaminated}
-    assert bad == {(1, 1), (2, 1), (4, 2), (6, 3), (None, 2)}
+    assert bad == {(1, 1), (2, 1), (4, 2), (6, 3), (10, 4), (None, 2)}  # item 4 is all of document 10
     assert not got[3, 1].contaminated and got[3, 1].n_consistent < got[3, 1].n_slots
     assert got[2, 1].n_slots == got[2, 1].n_consistent > 3
     assert not got[5, 2].contaminated
@@ -51,6 +51,20 @@ def test_surroundings_do_not_hide_a_copy(spark):
     assert {k for k, r in run(spark, docs, items).items() if r.contaminated} == {(1, 1), (2, 8), (3, 9), (4, 10), (6, 9), (7, 1), (8, 11)}
 
 
+def test_other_names(spark):
+    """Questions under other names, alone, amid plain words and with a name at the start of a sentence; and names that don't map one to one."""
+    item = "Maria gave Peter seven old books while Laura and Simon were waiting for the bus near the town hall"
+    short = "Otto sells apples to Emma on the market square"
+    new = item.replace("Maria", "Julia").replace("Peter", "Marco").replace("Laura", "Sonja").replace("Simon", "David")
+    docs = [(1, new, "x"), (2, f"some plain words before it. {new} and some plain words after it", "x"), (3, "Paula sells apples to Karl on the market square", "x"), (4, f"we saw that {short.replace('Otto', 'Nina')} again", "x"), (5, short.replace("apples", "pears"), "x"), (6, new.replace("Marco", "Julia").replace("Sonja", "Julia"), "x")]
+    items = [(1, item, "q"), (2, short, "q"), (3, "Yes, he did", "q")]
+    assert {k for k, r in run(spark, docs, items).items() if r.contaminated} == {(1, 1), (2, 1), (3, 2), (4, 2)}
+    lines = [(1, "He asked.\n- yes he DID!\nThe end", "x"), (2, "yes he did it", "x"), (None, "Yes, he did", "x"), (None, "clean", "x")]
+    assert {k for k, r in run(spark, lines, items).items() if r.contaminated} == {(1, 3), (None, 3)}
+    by_text = decontaminate(spark.createDataFrame(lines, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string, doc_id string"), by_text=True).collect()
+    assert len({r.doc_row for r in by_text}) == 2
+
+
 def test_empty(spark):
     assert run(spark, []) == {} == run(spark, [(1, "a b c d e f g h", "x")], [])
 

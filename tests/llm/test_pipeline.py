@@ -24,7 +24,8 @@ def test_pipeline_matches_brute_force(spark, monkeypatch):
     want = {i: t for i, t in rows if not held(words(t))}
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id: r.text for r in got} == want and len(got) == len(want)
-    assert len({r.mix_position for r in got}) == len(got) and all(r.n_chars == len(r.text) for r in got)
+    places = [r.mix_position for r in got if r.in_mix]
+    assert sorted(places) == list(range(len(places))) and places and all(r.n_chars == len(r.text) for r in got)
 
 
 def test_stages_keep_columns_and_bear_edges(spark, tmp_path):
@@ -40,3 +41,16 @@ def test_stages_keep_columns_and_bear_edges(spark, tmp_path):
             out.write.mode("overwrite").parquet(str(tmp_path / f"s{k}"))
             docs = spark.read.parquet(str(tmp_path / f"s{k}"))
         assert docs.count() == (5 if data else 0)
+
+
+def test_null_and_repeated_ids_lose_nothing(spark, tmp_path):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first().text
+    clean = ["a quiet river runs along the old mill and the children play there all day", "nobody knew why the red lamp was burning in the tower that cold night", "seven boats came back from the sea with more fish than ever seen before"]
+    rows = [(None, clean[0], "en", "a", 1), (None, f"so {item} then", "en", "a", 1), (7, clean[1], "en", "a", 1), (7, item, "en", "a", 1), (7, clean[2], "en", "a", 1), (None, clean[2], "en", "a", 1), (9, clean[2], "en", "a", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    leaks = corpus_pipeline.drop_benchmark_leaks(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.text) for r in leaks) == sorted((str(i), t) for i, t, *_ in rows if item not in t)
+    copies = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    gone = [(9, clean[2]), (None, clean[2]), (None, f"so {item} then")]  # copies of rows with a smaller id, or with one
+    assert sorted((str(r.doc_id), r.text) for r in copies) == sorted((str(i), t) for i, t, *_ in rows if (i, t) not in gone)
