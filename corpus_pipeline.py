@@ -25,16 +25,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, once; documents without an id all stay."""
-    kept = ngram_join(docs)[0].where("doc_id = component_id").select("doc_id").distinct()
-    some = docs.join(kept, "doc_id", "left_semi").dropDuplicates()
-    return some.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group of near copies the document with the smallest id stays, once: rows of equal ids or without an id are told apart by a
+    hash of the whole row, and one without an id stays if the group has no other. Texts without words are copies of nothing: equal rows of them stay once."""
+    keyed = docs.withColumn("_row", F.xxhash64(*(F.col(c) for c in docs.columns)))
+    classes = ngram_join(keyed, id_col="_row")[0].select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    members = keyed.select("_row", "doc_id").distinct().join(classes, "_row")
+    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row")).select("_row")
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or a re-parameterised one, go."""
-    leaks = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id").distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti")
+    leaks = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), by_text=True).where("contaminated").select(F.col("doc_id").alias("_id"), "doc_row").distinct()
+    # rows of equal ids, or without one, are told apart by their texts
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_id"]) & (F.xxhash64(docs["text"]) == leaks["doc_row"]), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
