@@ -28,24 +28,17 @@ def equal_count(n: int, count: int) -> list[Band]:
 def allocated(n: int, count: int, exact: bool = True) -> list[Band]:
     """Bands whose left-over frequencies go to the outer bands first, left and right in turn.
 
-    exact: a partition. Otherwise the compatible layout, whose bands all start at multiples of the common width, so that
-    wider bands overlap the next one and the end may be left out.
+    exact: a partition, whose first and last bands are the wider ones. Otherwise the compatible layout, whose bands all start at multiples of the
+    common width, so that wider bands overlap the next one and the end may be left out; its wider bands are every third from the first, and the last ones.
     """
     if not 0 < count <= n:
         raise ValueError("between one band and as many as frequencies")
     size, extra = divmod(n, count)
-    wide: set[int] = set()
-    turn = 0
-    for i in range(extra):
-        wide.add((i // 2 if exact else i + turn) if i % 2 == 0 else count - 1 - turn)
-        turn += i % 2
-    if not exact:
-        return [(b * size, (b + 1) * size + (b in wide)) for b in range(count)]
-    out, at = [], 0
-    for b in range(count):
-        out.append((at, at + size + (b in wide)))
-        at = out[-1][1]
-    return out
+    left, right = extra - extra // 2, extra // 2  # how many wider bands there are on each side
+    b = np.arange(count)
+    wide = ((b < left) if exact else (b % 3 == 0) & (b < 3 * left)) | (b >= count - right)
+    start = b * size + (np.cumsum(wide) - wide if exact else 0)
+    return list(zip(start.tolist(), (start + size + wide).tolist(), strict=True))
 
 
 def parse_filter(text: str) -> np.ndarray | None:

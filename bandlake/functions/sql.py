@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 from bandlake.functions import transforms
 
 
-@udtf(returnType="k int, frequency double, magnitude double")
-class Spectrum:
-    def eval(self, series: list) -> Iterator[tuple[int, float, float]]:
-        if series:
-            m = transforms._rfft(np.array([series], dtype=float))[0]
-            for k, v in enumerate(m):
-                yield k, k / max(1, len(m) - 1), float(v)
-
-
 def register(spark: SparkSession) -> None:
-    """rfft_magnitude, dct, inverse_dct (arrays) and spectrum (rows)."""
+    """rfft_magnitude, dct, inverse_dct (arrays, by Arrow batches) and spectrum (rows k, frequency, magnitude, from the first)."""
     functions = {"rfft_magnitude": transforms._rfft, "dct": lambda x: x @ transforms.dct_basis(x.shape[1]).T, "inverse_dct": lambda x: x @ transforms.dct_basis(x.shape[1])}
     for name, f in functions.items():
         spark.udf.register(name, transforms._arrow(f))
-    spark.udtf.register("spectrum", Spectrum)
+    spark.sql("""
+        create or replace temporary function spectrum(series array<double>) returns table (k int, frequency double, magnitude double)
+        return select pos, pos / greatest(1, size(m) - 1), col from (select rfft_magnitude(series) as m) lateral view posexplode(m) as pos, col
+    """)

@@ -23,8 +23,8 @@ def simplify_chord(c: Column) -> Column:
 
 
 def treebank_tokens(line: Column) -> tuple[Column, Column]:
-    """(words, tags) of a bracketed parse."""
-    pattern = r"\(([A-Z\-\$#`',\.:]+) ([^\(\)]+)\)"
+    """(words, tags) of a bracketed parse: its leaves are brackets around a tag, blanks and a word, none of which holds a bracket or a blank."""
+    pattern = r"\((?<tag>[^\s()]+)\s+(?<word>[^\s()]+)\)"
     names = F.create_map(*(F.lit(x) for x in chain(*TREEBANK_TOKENS.items())))
     words = F.regexp_extract_all(line, F.lit(pattern), 2)
     return F.transform(words, lambda w: F.coalesce(F.try_element_at(names, w), w)), F.regexp_extract_all(line, F.lit(pattern), 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bandlake.functions import text as T
 from bandlake.operators import metrics
-from bandlake.operators.ranking import hash_order, hashed_rank
+from bandlake.operators.ranking import _joined, hash_order, hashed_rank
 
 
 def labelled(df: DataFrame, id_col: str, text_cols: list[str], label_col: str) -> DataFrame:
@@ -36,18 +36,19 @@ def turn_pairs(conversations: DataFrame) -> DataFrame:
     return found.where("role = 'user' and text1 is not null").select("conv_id", "turn", F.col("text").alias("text0"), "text1", "label")
 
 
-def negatives(df: DataFrame, id_col: str, group: str, text: str, n: int, seed: int = 42, ring: int = 8) -> DataFrame:
+def negatives(df: DataFrame, id_col: str, group: str, text: str, n: int, seed: int = 42) -> DataFrame:
     """For each row, n rows of its group with other texts: id, negative_id, rank.
 
-    Rows of a group stand in hash order and a row takes those that follow it in the circle, so the work is rows x ring, not pairs
-    of a group. A row with fewer other texts within `ring` places gets fewer.
+    The distinct texts of a group, each with its smallest id, stand in hash order, and a row takes those that follow its own text in the circle, so the work is
+    rows x n, not pairs of a group, and only a group of n texts or fewer gives fewer. Rows without text take no part; a null group is a group.
     """
     some = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(group).alias("g"), F.col(text).alias("t"))
-    placed = hashed_rank(some, ["g"], "id", seed).select("id", "g", "t", (F.col("rank") - 1).alias("at"), F.col("group_size").alias("size"))
-    asked = placed.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(ring)))).where("step < size").withColumn("to", F.expr("(at + step) % size"))
-    other = placed.select("g", F.col("at").alias("to"), F.col("id").alias("negative_id"), F.col("t").alias("other"))
-    met = asked.join(other, ["g", "to"]).where("t <> other").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("step")))
-    return met.where(F.col("rank") <= n).select("id", "negative_id", "rank")
+    texts = some.groupBy("g", "t").agg(F.min("id").alias("id"))
+    placed = hashed_rank(texts, ["g"], "id", seed).select("g", "t", F.col("id").alias("own"), (F.col("rank") - 1).alias("at"), F.col("group_size").alias("size"))
+    follow = placed.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(n)))).where("rank < size").withColumn("to", F.expr("(at + rank) % size"))
+    other = placed.select("g", F.col("at").alias("to"), F.col("own").alias("negative_id"))
+    chosen = _joined(follow, other, ["g", "to"]).select("g", "t", "rank", "negative_id")
+    return _joined(some, chosen, ["g", "t"]).select("id", "negative_id", "rank")
 
 
 def repeat_labels(df: DataFrame, words: Column, labels: Column, pieces: int, keys: list[str]) -> DataFrame:

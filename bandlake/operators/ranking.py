@@ -6,23 +6,33 @@ that hash, so no task holds a whole group.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def hash_order(id_col: str, seed: int = 42) -> Column:
-    return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-{seed}")))
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f"-{seed}")))
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join in which null equals null; the keys are those of `left`."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys))
+    return left.join(renamed, same, how).drop(*(f"_right_{k}" for k in keys))
 
 
 def hashed_rank(df: DataFrame, by: list[str], id_col: str, seed: int = 42) -> DataFrame:
-    """df with `rank` (from 1, in hash order) and `group_size` within the groups; rows are counted by 4,096 hash ranges of each group."""
+    """df with `rank` (from 1, in hash order) and `group_size` within the groups; rows are counted by 4,096 hash ranges of each group. A null
+    group is a group, and a null id an id, so every row gets its rank."""
     keyed = df.withColumn("_key", hash_order(id_col, seed)).withColumn("_range", F.substring("_key", 1, 3))
     counts = keyed.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
     group = Window.partitionBy(*by)
     before = F.coalesce(F.sum("_n").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select(*by, "_range", before.alias("_before"), F.sum("_n").over(group).alias("group_size"))
     ranked = keyed.withColumn("_row", F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_key", id_col)))
-    joined = ranked.join(offsets, [*by, "_range"])
+    joined = _joined(ranked, offsets, [*by, "_range"])
     return joined.withColumn("rank", F.col("_before") + F.col("_row")).select(*df.columns, "rank", "group_size")
 
 
@@ -36,7 +46,7 @@ def group_split(df: DataFrame, group_col: str, test_size: float = 0.2, seed: int
     """df with is_test: whole groups, ceil(test_size * number of groups) of them."""
     groups = hashed_rank(df.select(group_col).distinct().withColumn("_all", F.lit(1)), ["_all"], group_col, seed)
     test = groups.where(F.col("rank") <= F.ceil(F.round(F.col("group_size") * test_size, 9))).select(group_col, F.lit(True).alias("is_test"))
-    return df.join(test, group_col, "left").withColumn("is_test", F.coalesce("is_test", F.lit(False))).select(*df.columns, "is_test")
+    return _joined(df, test, [group_col], "left").withColumn("is_test", F.coalesce("is_test", F.lit(False))).select(*df.columns, "is_test")
 
 
 def first_share(df: DataFrame, id_col: str, share: float, seed: int = 42) -> DataFrame:
@@ -67,13 +77,13 @@ def top_k(df: DataFrame, value: str, index: str, k: int) -> DataFrame:
 
 
 def batches(df: DataFrame, id_col: str, size: int, seed: int | None = None) -> DataFrame:
-    """df with `batch`: consecutive ids, or hash order with a seed, in batches of `size`."""
+    """df with `batch`: consecutive ids (nulls first), or hash order with a seed, in batches of `size`. Ids are counted by ranges between their quantiles."""
     if seed is not None:
         ranked = hashed_rank(df.withColumn("_all", F.lit(1)), ["_all"], id_col, seed)
         return ranked.withColumn("batch", F.floor((F.col("rank") - 1) / size).cast("long")).drop("rank", "group_size", "_all")
-    span = df.agg(F.min(id_col).alias("_lo"), F.max(id_col).alias("_hi"))
-    part = F.floor((F.col(id_col) - F.col("_lo")) / (((F.col("_hi") - F.col("_lo")) / 4096) + 1e-9)).cast("long")
-    keyed = df.crossJoin(F.broadcast(span)).withColumn("_range", part).drop("_lo", "_hi")
+    quantiles = df.agg(F.percentile_approx(id_col, [i / 256 for i in range(1, 256)], 4096).alias("_q"))
+    part = F.when(F.col(id_col).isNull(), -1).otherwise(F.size(F.filter(F.array_distinct("_q"), lambda q: q < F.col(id_col))))
+    keyed = df.crossJoin(F.broadcast(quantiles)).withColumn("_range", part).drop("_q")
     counts = keyed.groupBy("_range").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = keyed.withColumn("_row", F.row_number().over(Window.partitionBy("_range").orderBy(id_col)))

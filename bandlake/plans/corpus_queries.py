@@ -72,8 +72,8 @@ def corpus_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "with p as (select item_id as id, item_id % 2 as g, text as t, row_number() over (partition by item_id % 2 order by md5(cast(item_id as varchar) || '-42'), item_id) - 1 as a, count(*) over (partition by item_id % 2) as size from benchmark where text is not null), "
-    "m as (select x.id, y.id as negative_id, row_number() over (partition by x.id order by s) as rank from p x, (select unnest(range(1, 9)) as s) q join p y on true where s < x.size and y.g = x.g and y.a = (x.a + s) % x.size and y.t <> x.t) select id, negative_id, cast(rank as integer) as rank from m where rank <= 2"
+    "with t as (select item_id % 2 as g, text as t, min(item_id) as id from benchmark where text is not null group by all), p as (select *, row_number() over (partition by g order by md5(cast(id as varchar) || '-42'), id) - 1 as a, count(*) over (partition by g) as size from t) "
+    "select b.item_id as id, y.id as negative_id, cast(s as integer) as rank from benchmark b join p x on x.g = b.item_id % 2 and x.t = b.text, (select unnest(range(1, 3)) as s) q join p y on true where s < x.size and y.g = x.g and y.a = (x.a + s) % x.size"
 )
 def negative_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").withColumn("type", F.col("item_id") % 2)
@@ -148,9 +148,9 @@ def daily_event_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", rounded("mean").alias("mean"), rounded("std").alias("std"))
 
 
-@query("select item_id, length(text) as n, translate(left(text, 12), ' /', '__') as name, lpad(cast(item_id as varchar), 6, '0') || '.mp3' as file from benchmark")
+@query("select item_id, length(text) as n, translate(text, ' /', '__') as name, lpad(cast(item_id as varchar), 6, '0') || '.mp3' as file from benchmark")
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     file = F.substring_index(arrays.audio_path(F.col("item_id"), "audio"), "/", -1)
-    return items.select("item_id", F.length("text").cast("long").alias("n"), arrays.safe_name(F.substring("text", 1, 12)).alias("name"), file.alias("file"))
+    return items.select("item_id", F.length("text").cast("long").alias("n"), arrays.safe_name(F.col("text")).alias("name"), file.alias("file"))
 

@@ -295,13 +295,13 @@ def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # series built from relational tables
 
-_DAYS = "date_diff('day', timestamp '1995-01-01', l_shipdate)"
+_DAYS = "date_diff('day', timestamp '1992-01-01', l_shipdate)"  # 32 buckets of 80 days hold all shipments, 1992 to 1998
 _SUPPLIED = f"g as (select l_suppkey as vec_id, ({_DAYS} // 80) as t, sum(l_quantity) as v from lineitem where {_DAYS} between 0 and 32 * 80 - 1 group by all)"
 
 
 def supplied(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Each supplier's quantities in 32 buckets of 80 days, zeros included."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("vec_id"), *by, F.floor(F.datediff("l_shipdate", F.lit("1995-01-01")) / 80).cast("int").alias("t"), "l_quantity")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("vec_id"), *by, F.floor(F.datediff("l_shipdate", F.lit("1992-01-01")) / 80).cast("int").alias("t"), "l_quantity")
     return long_series(rows, "vec_id", "t", "l_quantity", 32, by)
 
 
@@ -320,12 +320,12 @@ def lineitem_band_energy_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "with e as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as t, value as v from events qualify t < 32), f as (select * from e where user_id in (select user_id from e group by 1 having count(*) = 32)), c as (select user_id, t, v - avg(v) over (partition by user_id) as v from f), "
-    "r as (select a.user_id, b.t - a.t as lag, sum(a.v * b.v) as r from c a join c b on a.user_id = b.user_id and b.t between a.t and a.t + 8 group by all) select cast(r.lag as integer) as lag, round(avg(r.r / o.r), 6) + 0.0 as rho from r join r o on o.user_id = r.user_id and o.lag = 0 group by r.lag"
+    "with e as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as t, value as v from events), c as (select user_id, t, v - avg(v) over (partition by user_id) as v from e), "
+    "r as (select a.user_id, b.t - a.t as lag, sum(a.v * b.v) as r, count(*) as n from c a join c b on a.user_id = b.user_id and b.t between a.t and a.t + 8 group by all) select cast(r.lag as integer) as lag, round(avg(case when o.r <= 1e-12 * o.n then 0 else r.r / o.r end), 6) + 0.0 as rho from r join r o on o.user_id = r.user_id and o.lag = 0 group by r.lag"
 )
 def events_user_autocorr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = ranking.head_per_group(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], 32)
-    series = first.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("series")).where("size(series) = 32")
+    """Of each user's whole series of values; a series is one user's events, so it fits a row."""
+    series = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("series"))
     return aggregates.autocorrelation_curves(series, 8).select("lag", rounded("rho").alias("rho"))
 
 
@@ -337,9 +337,9 @@ def compare_model_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.aligned_curves(a.unionByName(b)).select("model", "lag", rounded("rho").alias("rho"))
 
 
-@query(MAGNITUDE + ", n as (select vec_id, k, m / (sqrt(sum(m * m) over (partition by vec_id)) + 1e-8) as v, sqrt(sum(m * m) over (partition by vec_id)) as e from d) select vec_id, cast(k as integer) as k, round(v, 6) as v, round(e, 6) as energy from n where vec_id % 5 = 0")
+@query(MAGNITUDE + ", n as (select vec_id, k, m / (sqrt(sum(m * m) over (partition by vec_id)) + 1e-8) as v, sqrt(sum(m * m) over (partition by vec_id)) as e from d) select vec_id, cast(k as integer) as k, round(v, 6) as v, round(e, 6) as energy from n")
 def heatmap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spectra divided by their norms, with the raw norm to rank them by: every fifth vector, the step of a dense heat map."""
-    m = embeddings(spark, sf_dir).where("vec_id % 5 = 0").select("vec_id", transforms.rfft_magnitude(F.col("series")).alias("m"))
+    """Spectra divided by their norms, with the raw norm to rank them by."""
+    m = embeddings(spark, sf_dir).select("vec_id", transforms.rfft_magnitude(F.col("series")).alias("m"))
     norm = F.sqrt(F.aggregate("m", F.lit(0.0), lambda a, x: a + x * x))
     return m.withColumn("e", norm).select("vec_id", F.posexplode("m").alias("k", "v"), "e").select("vec_id", "k", rounded(F.col("v") / (F.col("e") + 1e-8)).alias("v"), rounded("e").alias("energy"))

@@ -28,6 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="bandlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

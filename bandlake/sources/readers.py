@@ -151,10 +151,19 @@ def random_series(spark: SparkSession, rows: int, length: int, seed: int = 42) -
 
 
 def decode_wav(content: bytes) -> np.ndarray:
-    """Mono samples in [-1, 1] of a PCM file of 8 or 16 bits."""
+    """Mono samples in [-1, 1] of a PCM file of 8, 16, 24 or 32 bits."""
     with wave.open(io.BytesIO(content)) as f:
         raw, width = f.readframes(f.getnframes()), f.getsampwidth()
-        x = np.frombuffer(raw, np.uint8).astype(float) / 128 - 1 if width == 1 else np.frombuffer(raw, "<i2").astype(float) / 32768
+        if width == 1:
+            x = np.frombuffer(raw, np.uint8).astype(float) / 128 - 1
+        elif width == 3:
+            low = np.zeros((len(raw) // 3, 4), np.uint8)
+            low[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)  # the highest bytes of a 32-bit number
+            x = low.view("<i4").reshape(-1).astype(float) / 2**31
+        elif width in (2, 4):
+            x = np.frombuffer(raw, f"<i{width}").astype(float) / 2 ** (8 * width - 1)
+        else:
+            raise ValueError(f"samples of {8 * width} bits")
         return x.reshape(-1, f.getnchannels()).mean(axis=1)
 
 
@@ -194,8 +203,11 @@ register_embedder("waveform", lambda _: decode_wav)
 
 
 def read_chords(spark: SparkSession, csv_path: str, npy_path: str) -> DataFrame:
-    """Chord segments (one CSV file, read as a whole) beside their embeddings (NPY, one row a segment in the same order), joined by row number."""
-    rows = spark.read.csv(csv_path, header=True, inferSchema=True, multiLine=True).withColumn("row", F.monotonically_increasing_id())
+    """Chord segments (one CSV file, read as a whole, so that its rows are numbered in order) beside their embeddings (NPY, one row a segment in the same order), joined by row number."""
+    segments = spark.read.csv(csv_path, header=True, inferSchema=True, multiLine=True)
+    if len(segments.inputFiles()) != 1:
+        raise ValueError(f"rows of several files have no common order: {csv_path}")
+    rows = segments.withColumn("row", F.monotonically_increasing_id())
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -207,3 +219,12 @@ def read_chords(spark: SparkSession, csv_path: str, npy_path: str) -> DataFrame:
 
     vectors = spark.read.format("binaryFile").load(npy_path).select("content").mapInArrow(task, "row long, features array<double>")
     return rows.join(vectors, "row")
+
+
+def read_chord_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder's embeddings.npy beside segments_aligned.csv or, where there is none, segments.csv."""
+    names = {r.path.rsplit("/", 1)[-1] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path").collect()}
+    name = next((n for n in ("segments_aligned.csv", "segments.csv") if n in names), None)
+    if not name:
+        raise ValueError(f"no segments below {folder}")
+    return read_chords(spark, f"{folder}/{name}", f"{folder}/embeddings.npy")
