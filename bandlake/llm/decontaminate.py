@@ -21,9 +21,8 @@ _TOKEN = r"[^\p{L}\p{M}\p{N}" + NUMBER + NAME + UNIT + "]+"
 
 
 def _named(text: Column) -> Column:
-    """The text with a placeholder for each word in title case, wherever it stands, so that nothing around a passage changes its
-    template; every token stays one token."""
-    return F.regexp_replace(text, r"(?<![\p{L}\p{M}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{M}\p{N}])", NAME)
+    """The text with a placeholder for each name, a word in title case within a sentence; every token stays one token."""
+    return F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME)
 
 
 def _numbered(text: Column) -> Column:
@@ -75,7 +74,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A pair is contaminated if the windows of one occurrence cover LEAST_WORDS words in a row, or all of a shorter item, as plain words, or as
     templates with at least four fifths of the slot values mapped one to one; the figures are those of the best occurrence.
-    Templates of WINDOW words (all words of a shorter item) of which over half are slots don't count. An item of fewer than LEAST_ITEM words is found where it is a whole line. Null and empty texts share
+    Templates of WINDOW words (all words of a shorter item) of which over half are slots don't count. An item of fewer than LEAST_ITEM words is found where it is a whole line. A word at the start of a sentence is never a slot, so an item of up to LEAST_WORDS words that
+    begins with a name is found under that name only. Null and empty texts share
     nothing. Rows of one id are one document, or item, but an occurrence lies within one row; rows with a null doc_id count as one document, items with a null id are not looked for. With `by_text` there is a
     row for each text of an id, with its hash as doc_row. Letters compare without case; punctuation and
     other columns don't matter. Pairs without a shared window are not returned.
@@ -84,10 +84,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null and item_id is not null").withColumn("size", F.size(F.filter(F.split(F.lower("text"), _TOKEN), lambda x: x != "")))
     short, items = items.where(f"size between 1 and {LEAST_ITEM - 1}"), items.where(f"size >= {LEAST_ITEM}").withColumn("item_row", F.xxhash64("text")).withColumn("text", F.expr(rf"regexp_replace(text, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '')"))
     lengths = sorted(r.n for r in items.select(F.least("size", F.lit(WINDOW)).alias("n")).distinct().collect()) or [WINDOW]
-    known = _windows(items, lengths).where(f"length = least(size, {WINDOW})").dropDuplicates(["item_id", "item_row", "at", "h"])
+    # within a document an item's first word can look like a name: its first window is looked for in that form too
+    begun = _windows(items.withColumn("text", F.concat(F.lit("a "), "text")), lengths).where("at = 2 and kind > 0").withColumn("at", F.lit(1))
+    known = _windows(items, lengths).withColumn("begun", F.lit(False)).unionByName(begun.withColumn("begun", F.lit(True))).where(f"length = least(size, {WINDOW})")
+    known = known.dropDuplicates(["item_id", "item_row", "at", "h"])
     # the windows that count have few slots when all names are slots; they are numbered without the others, so these don't end a row of windows
     light = "coalesce(size(values), 0) * 2 <= length"
-    known = known.withColumn("counts", F.expr(f"{light} and kind = max(kind) over (partition by item_id, item_row, at)"))
+    known = known.withColumn("counts", F.expr(f"not begun and {light} and kind = max(if(begun, 0, kind)) over (partition by item_id, item_row, at)"))
     known = known.withColumn("place", F.expr("sum(int(counts)) over (partition by item_id, item_row order by at)")).withColumn("counts", F.expr("max(counts) over (partition by item_id, item_row, at)")).withColumn("place", F.expr("if(counts, place, null)"))
     known = known.withColumn("n_item_windows", F.expr("coalesce(max(place) over (partition by item_id, item_row), 0)")).withColumn("n_all", F.expr("max(at) over (partition by item_id, item_row)").cast("long"))
     known = known.where(light)

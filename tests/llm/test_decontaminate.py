@@ -52,11 +52,11 @@ def test_surroundings_do_not_hide_a_copy(spark):
 
 
 def test_other_names(spark):
-    """Questions under other names, alone, amid plain words and with a name at the start of a sentence; and names that don't map one to one."""
+    """Questions under other names, alone, amid plain words and with a name at the start; and names that don't map one to one."""
     item = "Maria gave Peter seven old books while Laura and Simon were waiting for the bus near the town hall"
-    short = "Otto sells apples to Emma on the market square"
+    short = "Who sells apples to Emma and Otto on the market square"
     new = item.replace("Maria", "Julia").replace("Peter", "Marco").replace("Laura", "Sonja").replace("Simon", "David")
-    docs = [(1, new, "x"), (2, f"some plain words before it. {new} and some plain words after it", "x"), (3, "Paula sells apples to Karl on the market square", "x"), (4, f"we saw that {short.replace('Otto', 'Nina')} again", "x"), (5, short.replace("apples", "pears"), "x"), (6, new.replace("Marco", "Julia").replace("Sonja", "Julia"), "x")]
+    docs = [(1, new, "x"), (2, f"some plain words before it. {new} and some plain words after it", "x"), (3, "Who sells apples to Paula and Karl on the market square", "x"), (4, f"we saw that {short.replace('Otto', 'Nina').lower().replace('nina', 'Nina').replace('emma', 'Rosa')} again", "x"), (5, short.replace("apples", "pears"), "x"), (6, new.replace("Marco", "Julia").replace("Sonja", "Julia"), "x")]
     items = [(1, item, "q"), (2, short, "q"), (3, "Yes, he did", "q")]
     assert {k for k, r in run(spark, docs, items).items() if r.contaminated} == {(1, 1), (2, 1), (3, 2), (4, 2)}
     lines = [(1, "He asked.\n- yes he DID!\nThe end", "x"), (2, "yes he did it", "x"), (None, "Yes, he did", "x"), (None, "clean", "x")]
