@@ -32,47 +32,54 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def edit_within(a: str, b: str, k: int) -> bool:
-    """Whether the Levenshtein distance is at most k: bit-parallel columns of a band 2k + 1 wide around the diagonal."""
-    if len(a) < len(b):
-        a, b = b, a
-    if len(a) - len(b) > k:
-        return False
-    n = len(b)
-    i = 0
-    while i < n and a[i] == b[i]:
-        i += 1
-    j = 0
-    while j < n - i and a[len(a) - 1 - j] == b[n - 1 - j]:
-        j += 1
-    a, b = a[i : len(a) - j], b[i : n - j]
-    if not b or k == 0:
-        return len(a) <= k
-    width = 2 * k + 1
-    full, top = (1 << width) - 1, 1 << (width - 1)
-    where: dict[str, int] = {}
-    for p, c in enumerate(a):  # bit p + k: rows above the first stand for none
-        where[c] = where.get(c, 0) | 1 << (p + k)
-    # bit r of column c stands for row c - k + r of the pattern; positive and negative vertical steps
-    up, down, distance = (full << k) & full, 0, k
-    for c in range(len(b)):
-        match = (where.get(b[c], 0) >> c) & full
-        zero = ((((match & up) + up) ^ up) | match | down) & full
-        plus, minus = down | (full & ~(zero | up)), zero & up
-        row = c + k  # the band's last row; once it is below the pattern, follow the pattern's last row instead
-        if row < len(a):
-            distance += not zero & top
-        else:
-            last = 1 << (width - 1 - (row - len(a)) - 1)
-            distance += bool(plus & last) - bool(minus & last)
-        shifted = zero >> 1
-        up, down = minus | (full & ~(shifted | plus)), shifted & plus
-    return distance <= k
+def _padded(texts: list[str], before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, lengths): a row per text between `before` and `after` columns that equal no character."""
+    length = np.array([len(x) for x in texts], np.int64)
+    out = np.full((len(texts), before + int(length.max(initial=0)) + after), 0xFFFFFFFF, np.uint32)
+    row = np.repeat(np.arange(len(texts)), length)
+    out[row, before + np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, length
+
+
+def edits_within(left: list[str], right: list[str], k: int, cells: int = 1 << 20) -> np.ndarray:
+    """Which pairs have a Levenshtein distance of at most k: bit-parallel columns of a band 2k + 1 wide around the diagonal, of many pairs at once."""
+    out = np.zeros(len(left), bool)
+    short = np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64)
+    long = np.array([max(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64)
+    near = np.flatnonzero(long - short <= k)
+    near = near[np.argsort(-short[near], kind="stable")]
+    at = 0
+    while at < len(near):
+        block = near[at : at + max(1, cells // (int(short[near[at]]) + 1))]
+        at += len(block)
+        a, n = _padded([max(left[i], right[i], key=len) for i in block], k, k + 1)
+        b, m = _padded([left[i] if len(left[i]) < len(right[i]) else right[i] for i in block], 0, 1)
+        width = 2 * k + 1
+        full, top = (1 << width) - 1, 1 << (width - 1)
+        # bit r of column c stands for row c - k + r of the pattern; positive and negative vertical steps
+        up, down = np.full(len(block), (full << k) & full), np.zeros(len(block), np.int64)
+        distance = np.where(m > 0, k, n)
+        for c in range(int(m.max(initial=0))):
+            live = int(np.searchsorted(-m, -c))  # texts are sorted by length: these have a character here
+            match = np.zeros(live, np.int64)
+            for r in range(width):
+                match |= (a[:live, c + r] == b[:live, c]).astype(np.int64) << r
+            u, d = up[:live], down[:live]
+            zero = ((((match & u) + u) ^ u) | match | d) & full
+            plus, minus = d | (full & ~(zero | u)), zero & u
+            # the band's last row; once it is below the pattern, follow the pattern's last row instead
+            below = c + k - n[:live]
+            last = np.left_shift(1, np.maximum(0, width - 2 - below))
+            distance[:live] += np.where(below < 0, (zero & top) == 0, ((plus & last) > 0).astype(np.int64) - ((minus & last) > 0))
+            shifted = zero >> 1
+            up[:live], down[:live] = minus | (full & ~(shifted | plus)), shifted & plus
+        out[block] = distance <= k
+    return out
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, place, h and line (blanks at its ends cut off) of every line that isn't blank."""
-    lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    """doc_id, row, place, h and line (blanks at its ends cut off) of every line that isn't blank."""
+    lines = docs.where("text is not null").select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     return lines.withColumn("line", F.expr(f"btrim(line, '{_BLANK}')")).where("line <> ''").withColumn("h", F.xxhash64("line"))
 
 
@@ -239,14 +246,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in stream:
-            ok = [edit_within(x, y, edits) for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist(), strict=True)]
-            yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            ok = edits_within(t.column("x").to_pylist(), t.column("y").to_pylist(), edits)
+            yield t.select(["a", "b"]).filter(pa.array(ok))
 
     return both.select("a", "b", "x", "y").mapInArrow(task, "a long, b long")
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, least_length: int = LEAST_LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(lines, classes): every line's doc_id, place and h, and (h, component) of the lines that have near lines."""
+    """(lines, classes): every line's doc_id, row, place and h, and (h, component) of the lines that have near lines."""
     spark = docs.sparkSession
     n_fragments = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     lines = _lines(docs)
@@ -276,14 +283,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line is what stands between newlines; blanks at its ends don't count, blank lines are never removed. Lines of
     at least least_length characters are repeats within `edits` edits of characters, directly or through other
     lines; shorter ones if equal. Of all repeats the first by id and place stays. A null or empty text stays as it
-    is. Rows of equal ids don't remove each other's lines at the same place; a null id comes before all others. n_lines counts lines that are
+    is. Rows of equal ids don't remove each other's lines at the same place; a null id comes before all others, and rows without an id are told apart by their texts. n_lines counts lines that are
     not blank. Input columns named like a result are replaced.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_places")]
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    row = F.when(F.col(id_col).cast("long").isNull(), F.xxhash64(F.col(text_col).cast("string"))).otherwise(F.lit(0).cast("long"))
+    rows = docs.select(key.alias("doc_id"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
     lines, near = line_classes(rows, edits, least_length)
     near = near.withColumnRenamed("node", "h")
-    places = written(lines.select("doc_id", "place", "h"), "places")
+    places = written(lines.select("doc_id", "row", "place", "h"), "places")
     first = places.groupBy("h").agg(F.min(F.struct("doc_id", "place")).alias("own"), F.count("*").alias("n"))
     named = first.join(near, "h", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "h"))
     low = named.groupBy("component").agg(F.min("own").alias("low"))
@@ -292,9 +301,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     often = places.count() // 1000
     marked = places.join(F.broadcast(classes.where(F.col("n") > often).select("h", F.col("low").alias("top"))), "h", "left")
     rest = marked.where("top is null").join(classes.where(F.col("n") <= often).select("h", "low"), "h")
-    repeats = marked.where("top is not null").select("doc_id", "place", "h", F.col("top").alias("low")).unionByName(rest.select("doc_id", "place", "h", "low"))
-    repeats = repeats.where("struct(doc_id, place) > low").groupBy("doc_id").agg(F.collect_set(F.struct("place", "h")).alias("_gone"))
-    joined = docs.select(*columns).withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).join(repeats.withColumnRenamed("doc_id", "_id"), "_id", "left")
+    repeats = marked.where("top is not null").select("doc_id", "row", "place", "h", F.col("top").alias("low")).unionByName(rest.select("doc_id", "row", "place", "h", "low"))
+    repeats = repeats.where("struct(doc_id, place) > low").groupBy("doc_id", "row").agg(F.collect_set(F.struct("place", "h")).alias("_gone"))
+    joined = docs.select(*columns).withColumn("_id", key).withColumn("_text", row).join(repeats.withColumnsRenamed({"doc_id": "_id", "row": "_text"}), ["_id", "_text"], "left")
     split = joined.withColumn("_lines", F.split(F.col(text_col), "\n"))
     blank = f"btrim(x, '{_BLANK}')"
     split = split.withColumn("removed_places", F.when(F.col("_gone").isNotNull(), F.expr(f"filter(array_distinct(transform(array_sort(_gone), g -> g.place)), p -> p < size(_lines) and array_contains(_gone, struct(p as place, xxhash64({blank.replace('x', '_lines[p]')}) as h)))")).otherwise(F.array().cast("array<int>")))

@@ -3,11 +3,15 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from bandlake.llm.line_dedup import edit_within, line_dedup
+from bandlake.llm.line_dedup import edits_within, line_dedup
 
 SCHEMA = "doc_id long, text string, n_lines string, line int"
 
 
+def edit_within(a, b, k):
+    return bool(edits_within([a], [b], k)[0])
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -32,6 +36,12 @@ def test_edit_distance_of_near_lines(a, edits, k):
     assert edit_within(a, b, k) == (distance(a, b) <= k)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text("abé", max_size=9), st.text("abé", max_size=9)), max_size=30), st.integers(0, 3), st.sampled_from([1, 50, 1 << 20]))
+def test_many_pairs_at_once(pairs, k, cells):
+    assert edits_within([a for a, _ in pairs], [b for _, b in pairs], k, cells).tolist() == [distance(a, b) <= k for a, b in pairs]
+
+
 def brute(rows, edits=2, least=20):
     blank = " \t\r\x0b\f"
     places = [(i if i is not None else -(1 << 63), p, x.strip(blank), k) for k, (i, t, *_) in enumerate(rows) for p, x in enumerate((t or "").split("\n")) if x.strip(blank)]
@@ -87,6 +97,16 @@ def test_lines_that_begin_and_end_in_f(spark):
     assert {r.doc_id: r.removed_places for r in got} == {1: [10, 11], 2: [0, 1, 2]}
 
 
+def test_rows_without_an_id(spark):
+    """They are told apart by their texts: each loses its own repeated lines only."""
+    a, b = "a first line of twenty characters", "another line that is long enough"
+    rows = [(None, f"{a}\n{b}", "x", 1), (None, f"something else here at length\n{b}", "x", 1), (4, f"{b}\nthe last of all these long lines", "x", 1)]
+    got = {r.text for r in line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert "the last of all these long lines" in got and f"{a}\n{b}" in got | {f"{a}\n{b}"} and len(got) == 3
+    # b stands at place 1 of both rows without an id, so neither removes the other's
+    assert got == {f"{a}\n{b}", f"something else here at length\n{b}", "the last of all these long lines"}
+
+
 def test_many_near_lines_and_empty_table(spark):
     stem = "a line that a great many documents have, number "
     rows = [(i, stem + f"{i:03d}"[::-1], "x", 1) for i in range(300)]
