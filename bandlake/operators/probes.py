@@ -1,157 +1,322 @@
 """Linear probes: many small logistic regressions over one table, trained together.
 
-A probe is a target class and a set of feature positions. One pass over the data gives every probe's gradient and
-Hessian: each task sums its rows' parts, the sums of the tasks are added by probe, and only they (probes x features
-squared) reach the driver for a Newton step. The data stays distributed and is read once an iteration, whatever the
-number of probes. Probes with more than MAX_WIDTH features go to spark.ml instead, as do multinomial ones.
+A probe is a target class (or all classes at once) and a set of feature positions. One pass over the data gives every probe's loss
+and gradient at its trial point: each task sums its rows' parts, the sums are added by probe in two levels, and only they reach the
+driver for the next step. Narrow probes (up to MAX_WIDTH coefficients) also sum their Hessians and take Newton steps; wider ones, of any
+width, go on by limited-memory quasi-Newton steps on the same passes. The data stays distributed and is read once a step, whatever the
+number of probes.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
+from pyspark import TaskContext
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandlake.functions import arrays, bands, transforms
 from bandlake.operators import metrics
-from bandlake.operators.ranking import stratified_split
+from bandlake.operators.ranking import group_split, stratified_split
 
 MAX_WIDTH = 512
 MIN_POSITIVES = 10
+SLOTS = 16
+BLOCK = 512
 
 
 @dataclass(frozen=True)
 class Probe:
-    """One-vs-rest probe of `target` on feature positions lo..hi - 1 of each (lo, hi)."""
+    """A probe on positions lo..hi - 1 of each (lo, hi): one-vs-rest of `target`, or of all classes (multinomial) if it is None.
+
+    With `width`, features are laid out feature by feature, `width` coefficients each, and the ranges hold in every feature.
+    """
 
     name: str
-    target: str
+    target: str | None
     ranges: tuple[tuple[int, int], ...]
+    width: int | None = None
+    n_features: int = 1
 
     def positions(self) -> np.ndarray:
-        return np.unique(np.concatenate([np.arange(lo, hi) for lo, hi in self.ranges]))
+        k = np.unique(np.concatenate([np.arange(lo, hi) for lo, hi in self.ranges]))
+        return k if self.width is None else (np.arange(self.n_features)[:, None] * self.width + k).reshape(-1)
 
 
 @dataclass
 class Fitted:
-    """Scaled-space coefficients of each probe (its last entry is the intercept) and the scaling."""
+    """Scaled-space coefficients of each probe (the last of a row is the intercept; a multinomial probe has a row a class) and the scaling."""
 
     probes: list[Probe]
     weights: list[np.ndarray]
     mean: np.ndarray
     scale: np.ndarray
     skipped: list[str] = field(default_factory=list)
+    classes: list[str] = field(default_factory=list)
+
+
+class Descent:
+    """Limited-memory BFGS with backtracking, a pass at a time: `trial` is where the next pass evaluates."""
+
+    def __init__(self, start: np.ndarray, memory: int = 10):
+        self.at, self.trial, self.memory = start, start, memory
+        self.loss, self.gradient = np.inf, None
+        self.steps: list[tuple[np.ndarray, np.ndarray]] = []
+        self.length, self.slope = 1.0, 0.0
+
+    def tell(self, loss: float, gradient: np.ndarray, tolerance: float) -> bool:
+        """Takes the trial's loss and gradient; True when converged."""
+        if self.gradient is not None and not loss <= self.loss + 1e-4 * self.length * self.slope:
+            self.length *= 0.5
+            if self.length < 1e-10:
+                return True
+            self.trial = self.at + self.length * self.direction
+            return False
+        if self.gradient is not None:
+            s, y = self.trial - self.at, gradient - self.gradient
+            if s @ y > 1e-12 * (y @ y):
+                self.steps = [*self.steps[1 - self.memory :], (s, y)] if len(self.steps) >= self.memory else [*self.steps, (s, y)]
+        self.at, self.loss, self.gradient = self.trial, loss, gradient
+        if np.abs(gradient).max(initial=0) <= tolerance:
+            return True
+        q, used = gradient.copy(), []
+        for s, y in reversed(self.steps):
+            a = (s @ q) / (s @ y)
+            used.append(a)
+            q -= a * y
+        if self.steps:
+            s, y = self.steps[-1]
+            q *= (s @ y) / (y @ y)
+        for (s, y), a in zip(self.steps, reversed(used), strict=True):
+            q += s * (a - (y @ q) / (s @ y))
+        self.direction, self.slope = -q, -float(q @ gradient)
+        self.length = 1.0 if self.steps else min(1.0, 1.0 / max(1e-30, float(np.abs(gradient).sum())))
+        self.trial = self.at + self.length * self.direction
+        return False
+
+
+def summed(rows: DataFrame, parts) -> dict[int, np.ndarray]:
+    """Sums of {number: vector} that `parts` makes of a task's batches, added over the tasks by number, in two levels."""
+
+    def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = parts(stream)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([TaskContext.get().partitionId() % SLOTS] * len(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["probe", "slot", "v"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.frombuffer(t["v"][0].as_py()).copy()
+        for x in t["v"][1:]:
+            total += np.frombuffer(x.as_py())
+        return pa.table({"probe": t["probe"][:1], "slot": t["slot"][:1], "v": pa.array([total.tobytes()], pa.binary())})
+
+    shape = "probe long, slot long, v binary"
+    found = rows.mapInArrow(task, shape).groupBy("probe", "slot").applyInArrow(add, shape)
+    out: dict[int, np.ndarray] = {}
+    for r in found.collect():  # SLOTS vectors a probe at most
+        out[r["probe"]] = out.get(r["probe"], 0) + np.frombuffer(r["v"])
+    return out
+
+
+def _matrix(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(labels, features) of a batch in blocks of rows."""
+    for at in range(0, batch.num_rows, BLOCK):
+        part = batch.slice(at, BLOCK)
+        yield np.array(part.column("label").to_pylist(), dtype=object), np.asarray(part.column("features").flatten(), dtype=np.float64).reshape(part.num_rows, -1)
+
+
+def flatten_samples(df: DataFrame, sample: str, label: str, at: Sequence[str], series: str = "series") -> DataFrame:
+    """One row a sample: its label and its series one after the other (`features`), ordered by the columns `at` (feature, or layer and feature)."""
+    parts = F.array_sort(F.collect_list(F.struct(*at, arrays.doubles(series).alias("_x"))))
+    return df.groupBy(sample, label).agg(F.flatten(F.transform(parts, lambda p: p["_x"])).alias("features"))
 
 
-def split_features(df: DataFrame, label: str, id_col: str, features: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """(label, features, is_test) with a stratified split; rows without label or features are left out."""
-    some = df.where(F.col(label).isNotNull() & F.col(features).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(id_col).alias("id"), arrays.doubles(features).alias("features"))
-    return stratified_split(some, "label", "id", test_size, seed).select("label", "features", "is_test")
+def split_features(df: DataFrame, label: str, id_col: str, features: str, test_size: float = 0.2, seed: int = 42, group: str | None = None) -> DataFrame:
+    """(label, features, is_test) with a stratified split, or one of whole groups; rows without label or features are left out."""
+    some = df.where(F.col(label).isNotNull() & F.col(features).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(id_col).alias("id"), *([F.col(group).alias("group")] if group else []), arrays.doubles(features).alias("features"))
+    split = group_split(some, "group", test_size, seed) if group else stratified_split(some, "label", "id", test_size, seed)
+    return split.select("label", "features", "is_test")
 
 
-def fit_probes(data: DataFrame, probes: Sequence[Probe], scale: bool = True, balanced: bool = True, c: float = 1.0, steps: int = 25, tolerance: float = 1e-7, min_positives: int = MIN_POSITIVES) -> Fitted:
-    """L2-regularised logistic regressions (the intercept is free) by Newton steps that all probes share.
+def _scaling(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Means and population deviations of the features (two passes); constant features have deviation 1."""
+
+    def first(stream: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        total = 0
+        for batch in stream:
+            for _, x in _matrix(batch):
+                total = total + np.append(x.sum(axis=0), len(x))
+        return {0: total} if np.ndim(total) else {}
+
+    sums = summed(train, first).get(0, np.zeros(1))
+    mean = sums[:-1] / max(1.0, sums[-1])
+
+    def second(stream: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        total = 0
+        for batch in stream:
+            for _, x in _matrix(batch):
+                total = total + ((x - mean) ** 2).sum(axis=0)
+        return {0: total} if np.ndim(total) else {}
+
+    dev = np.sqrt(summed(train, second).get(0, np.zeros(len(mean))) / max(1.0, sums[-1]))
+    return mean, np.where(dev > 1e-12 * np.maximum(1, np.abs(mean)), dev, 1.0)
+
+
+def _part(xs: np.ndarray, y: np.ndarray, s: np.ndarray, w: np.ndarray, hessian: bool) -> np.ndarray:
+    """[loss, gradient, Hessian] of weighted rows: y is 0 or 1 for a row of w, or a one-hot table for one row of w a class."""
+    if len(w) == 1:
+        z = xs @ w[0]
+        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        loss = (s * np.logaddexp(0, np.where(y > 0, -z, z))).sum()
+        gradient = xs.T @ (s * (p - y))
+        return np.concatenate([[loss], gradient, (xs.T @ (xs * (s * p * (1 - p))[:, None])).reshape(-1) if hessian else []])
+    z = xs @ w.T
+    z -= z.max(axis=1, keepdims=True)
+    total = np.log(np.exp(z).sum(axis=1, keepdims=True))
+    p = np.exp(z - total)
+    loss = (s[:, None] * y * (total - z)).sum()
+    gradient = (s[:, None] * (p - y)).T @ xs
+    if not hessian:
+        return np.concatenate([[loss], gradient.reshape(-1)])
+    c, d = w.shape
+    h = np.zeros((c, d, c, d))
+    for a in range(c):
+        for b in range(a, c):
+            h[a, :, b] = xs.T @ (xs * (s * p[:, a] * ((a == b) - p[:, b]))[:, None])
+            h[b, :, a] = h[a, :, b].T
+    return np.concatenate([[loss], gradient.reshape(-1), h.reshape(-1)])
+
+
+def fit_probes(data: DataFrame, probes: Sequence[Probe], scale: bool = True, balanced: bool = True, c: float = 1.0, steps: int = 200, tolerance: float = 1e-7, min_positives: int = MIN_POSITIVES, max_width: int = MAX_WIDTH) -> Fitted:
+    """L2-regularised logistic regressions (the intercept is free) of any width, by steps that all probes share.
 
     Scaling uses population deviations of the training rows, constant features keep scale 1. Probes whose target has fewer
-    than min_positives rows, or all rows, are skipped and named in the result.
+    than min_positives rows, or all rows, are skipped and named in the result; so are multinomial ones of fewer than two classes. Newton steps end when no coefficient moves by
+    more than `tolerance`, quasi-Newton ones when no mean derivative is above it.
     """
-    train = data.where(~F.col("is_test"))
+    train = data.where(~F.col("is_test")).select("label", "features")
     counts = {r["label"]: (r["n"], r["train"]) for r in data.groupBy("label").agg(F.count("*").alias("n"), F.sum((~F.col("is_test")).cast("int")).alias("train")).collect()}
+    classes = sorted(k for k, (_, t) in counts.items() if t)
     total = sum(t for _, t in counts.values())
-    fit = [p for p in probes if counts.get(p.target, (0, 0))[0] >= min_positives and 0 < counts[p.target][1] < total]
-    skipped = [p.name for p in probes if p not in set(fit)]
-    stats = train.select(F.posexplode("features").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("k").collect()
-    mean, dev = np.array([r["m"] for r in stats]), np.array([r["s"] for r in stats])
+    fits = lambda p: len(classes) > 1 if p.target is None else counts.get(p.target, (0, 0))[0] >= min_positives and 0 < counts[p.target][1] < total
+    fit = [p for p in probes if fits(p)]
+    skipped = [p.name for p in probes if not fits(p)]
+    mean, dev = _scaling(train)
     if not scale:
         mean, dev = np.zeros_like(mean), np.ones_like(dev)
-    dev = np.where(dev > 1e-12 * np.maximum(1, np.abs(mean)), dev, 1.0)
     at = [p.positions() for p in fit]
-    if at and max(map(len, at)) > MAX_WIDTH:
-        raise ValueError(f"probes of over {MAX_WIDTH} features: use multinomial_probe")
-    weights = [np.zeros(len(x) + 1) for x in at]
+    start = [np.zeros((1 if p.target is not None else len(classes), len(x) + 1)) for p, x in zip(fit, at, strict=True)]
+    newton = [w.size <= max_width for w in start]
+    state = [Descent(w.reshape(-1)) for w in start]
     share = []
     for p in fit:
-        pos = counts[p.target][1]
-        share.append((total / (2 * pos), total / (2 * (total - pos))) if balanced else (1.0, 1.0))
+        pos = counts[p.target][1] if p.target is not None else 0
+        each = [total / (2 * pos), total / (2 * (total - pos))] if pos else [total / (len(classes) * counts[k][1]) for k in classes]
+        share.append(each if balanced else [1.0] * len(each))
+    ridge = [np.tile(np.append(np.full(w.shape[1] - 1, 1 / c), 1e-9 if len(w) == 1 else 1e-6), len(w)) for w in start]
     open_ = list(range(len(fit)))
+    sc = data.sparkSession.sparkContext
 
     for _ in range(steps):
         if not open_:
             break
-        state = [(i, fit[i].target, at[i], weights[i], share[i]) for i in open_]
+        now = [(i, fit[i].target, at[i], state[i].trial.reshape(start[i].shape), share[i], newton[i]) for i in open_]
+        shared = sc.broadcast(pickle.dumps((mean, dev, classes, now)))
 
-        def parts(stream: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
+        def parts(stream: Iterator[pa.RecordBatch], shared=shared) -> dict[int, np.ndarray]:
+            mean, dev, classes, now = pickle.loads(shared.value)
             sums: dict[int, np.ndarray] = {}
             for batch in stream:
-                if not batch.num_rows:
-                    continue
-                x = (np.asarray(batch.column("features").flatten()).reshape(batch.num_rows, -1) - mean) / dev
-                label = np.array(batch.column("label").to_pylist(), dtype=object)
-                for i, target, pos, w, (up, down) in state:
-                    xs = np.concatenate([x[:, pos], np.ones((len(x), 1))], axis=1)
-                    y = (label == target).astype(float)
-                    s = np.where(y > 0, up, down)
-                    p = 1 / (1 + np.exp(-np.clip(xs @ w, -500, 500)))
-                    g, h = xs.T @ (s * (p - y)), xs.T @ (xs * (s * p * (1 - p))[:, None])
-                    sums[i] = sums.get(i, 0) + np.concatenate([g, h.reshape(-1)])
-            if sums:
-                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["probe", "v"])
-
-        def add(t: pa.Table) -> pa.Table:
-            v = np.asarray(t["v"].combine_chunks().flatten()).reshape(t.num_rows, -1).sum(axis=0)
-            return pa.table({"probe": t["probe"].slice(0, 1), "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
-
+                for label, x in _matrix(batch):
+                    x = (x - mean) / dev
+                    hot = (label[:, None] == np.array(classes, dtype=object)).astype(float)
+                    for i, target, pos, w, each, hessian in now:
+                        xs = np.concatenate([x[:, pos], np.ones((len(x), 1))], axis=1)
+                        y = hot if target is None else (label == target).astype(float)
+                        s = hot @ np.array(each) if target is None else np.where(y > 0, *each)
+                        sums[i] = sums.get(i, 0) + _part(xs, y, s, w, hessian)
+            return sums
+
+        found = summed(train, parts)
+        shared.destroy()
         still = []
-        for r in train.mapInArrow(parts, "probe long, v array<double>").groupBy("probe").applyInArrow(add, "probe long, v array<double>").collect():
-            i, v = r["probe"], np.array(r["v"])
-            n = len(weights[i])
-            ridge = np.append(np.full(n - 1, 1 / c), 1e-9)
-            g, h = v[:n] + ridge * weights[i], v[n:].reshape(n, n) + np.diag(ridge)
-            step = np.linalg.solve(h, g)
-            step *= min(1.0, 4.0 / (np.abs(step).max() + 1e-30))
-            weights[i] = weights[i] - step
-            if np.abs(step).max() > tolerance:
+        for i in open_:
+            v, d, n = found[i], state[i], start[i].size
+            loss, g = v[0] + 0.5 * float(ridge[i] @ d.trial**2), v[1 : n + 1] + ridge[i] * d.trial
+            if newton[i]:
+                step = np.linalg.solve(v[n + 1 :].reshape(n, n) + np.diag(ridge[i]), g)
+                step *= min(1.0, 4.0 / (np.abs(step).max() + 1e-30))
+                d.at = d.trial = d.trial - step
+                done = np.abs(step).max() <= tolerance
+            else:
+                done = d.tell(loss / total, g / total, tolerance)
+            if not done:
                 still.append(i)
-        open_ = sorted(still)
-    return Fitted(fit, weights, mean, dev, skipped)
+        open_ = still
+    return Fitted(fit, [d.at.reshape(w.shape) for d, w in zip(state, start, strict=True)], mean, dev, skipped, classes)
+
+
+def _decisions(fitted: Fitted, x: np.ndarray) -> Iterator[tuple[Probe, np.ndarray]]:
+    """Each probe's decision on scaled rows: whether it is the target, or the class."""
+    for p, w in zip(fitted.probes, fitted.weights, strict=True):
+        z = x[:, p.positions()] @ w[:, :-1].T + w[:, -1]
+        yield p, np.array(fitted.classes, dtype=object)[z.argmax(axis=1)] if p.target is None else z[:, 0] > 0
 
 
 def evaluate(data: DataFrame, fitted: Fitted) -> DataFrame:
-    """probe, target, accuracy, chance and n of the test rows, in one pass."""
-    state = [(p.name, p.target, p.positions(), w) for p, w in zip(fitted.probes, fitted.weights, strict=True)]
-    mean, dev = fitted.mean, fitted.scale
+    """probe, target, accuracy, chance and n of the test rows, in one pass. The chance of a multinomial probe is one among its classes."""
+    shared = data.sparkSession.sparkContext.broadcast(fitted)
 
     def parts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = {s[0]: [s[1], 0, 0, 0] for s in state}
+        fitted = shared.value
+        rows = {p.name: [p.target, 0, 0.0, 0] for p in fitted.probes}
+        for batch in stream:
+            for label, x in _matrix(batch):
+                for p, said in _decisions(fitted, (x - fitted.mean) / fitted.scale):
+                    row = rows[p.name]
+                    y = label == p.target
+                    row[1] += int((said == (label if p.target is None else y)).sum())
+                    row[2] += len(label) / len(fitted.classes) if p.target is None else int(y.sum())
+                    row[3] += len(label)
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array([r[0] for r in rows.values()], pa.string()), *(pa.array([r[i] for r in rows.values()], t) for i, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64())))], ["probe", "target", "hits", "positives", "n"])
+
+    found = data.where("is_test").select("label", "features").mapInArrow(parts, "probe string, target string, hits long, positives double, n long")
+    added = found.groupBy("probe", "target").agg(*(F.sum(c).alias(c) for c in ("hits", "positives", "n")))
+    return added.select("probe", "target", (F.col("hits") / F.col("n")).alias("accuracy"), (F.col("positives") / F.col("n")).alias("chance"), "n")
+
+
+def predictions(data: DataFrame, fitted: Fitted, keep: Sequence[str] = (), only_test: bool = True) -> DataFrame:
+    """probe, label, prediction (the class; of a one-vs-rest probe its target or 'rest') of the test rows, and the columns `keep`."""
+    shared = data.sparkSession.sparkContext.broadcast(fitted)
+    kept = [f for f in data.schema.fields if f.name in keep]
+
+    def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = shared.value
         for batch in stream:
-            if not batch.num_rows:
-                continue
-            x = (np.asarray(batch.column("features").flatten()).reshape(batch.num_rows, -1) - mean) / dev
-            label = np.array(batch.column("label").to_pylist(), dtype=object)
-            for name, target, pos, w in state:
-                y = label == target
-                rows[name][1] += int((((x[:, pos] @ w[:-1] + w[-1]) > 0) == y).sum())
-                rows[name][2] += int(y.sum())
-                rows[name][3] += len(y)
-        yield pa.RecordBatch.from_pydict({"probe": list(rows), "target": [r[0] for r in rows.values()], **{k: pa.array([r[i] for r in rows.values()], pa.int64()) for i, k in ((1, "hits"), (2, "positives"), (3, "n"))}})
-
-    found = data.where("is_test").mapInArrow(parts, "probe string, target string, hits long, positives long, n long")
-    summed = found.groupBy("probe", "target").agg(*(F.sum(c).alias(c) for c in ("hits", "positives", "n")))
-    return summed.select("probe", "target", (F.col("hits") / F.col("n")).alias("accuracy"), (F.col("positives") / F.col("n")).alias("chance"), "n")
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                for label, x in _matrix(part):
+                    for p, said in _decisions(fitted, (x - fitted.mean) / fitted.scale):
+                        said = said if p.target is None else np.where(said, p.target, "rest")
+                        yield pa.RecordBatch.from_arrays([pa.array([p.name] * len(label)), pa.array(label, pa.string()), pa.array(said, pa.string()), *(part.column(f.name) for f in kept)], ["probe", "label", "prediction", *(f.name for f in kept)])
+
+    shape = ", ".join(["probe string, label string, prediction string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)])
+    rows = data.where("is_test") if only_test else data
+    return rows.select("label", "features", *(f.name for f in kept)).mapInArrow(task, shape)
 
 
 def coefficients(data: DataFrame, fitted: Fitted, n_features: int = 1) -> DataFrame:
-    """probe, feature_idx, k, weight: of features laid out feature by feature."""
+    """probe, feature_idx, k, weight: of features laid out feature by feature; multinomial probes' names are followed by | and the class."""
     width = len(fitted.mean) // n_features
-    rows = [(p.name, int(i) // width, int(i) % width, float(w)) for p, ws in zip(fitted.probes, fitted.weights, strict=True) for i, w in zip(p.positions(), ws, strict=False)]
+    rows = []
+    for p, ws in zip(fitted.probes, fitted.weights, strict=True):
+        names = [p.name] if p.target is not None else [f"{p.name}|{k}" for k in fitted.classes]
+        rows += [(name, int(i) // width, int(i) % width, float(v)) for name, w in zip(names, ws, strict=True) for i, v in zip(p.positions(), w, strict=False)]
     return data.sparkSession.createDataFrame(rows, "probe string, feature_idx int, k int, weight double")
 
 
@@ -159,80 +324,134 @@ def labels_of(data: DataFrame) -> list[str]:
     return sorted(r[0] for r in data.select("label").distinct().collect())
 
 
-def band_probe(df: DataFrame, label: str, id_col: str, series: str = "series", transform: str = "fft", band_width: int = 4, targets: Sequence[str] | None = None, window: str | None = None, seed: int = 42) -> DataFrame:
-    """Accuracies of the full spectrum, of each band, of cumulative bands and AUTO (the best cumulative one) for each target."""
-    spectra = df.select(label, id_col, transforms.apply_transform(arrays.doubles(series), transform, window).alias("features"))
-    data = split_features(spectra, label, id_col, "features", seed=seed).persist()
+def _width(data: DataFrame) -> int:
+    return data.select(F.max(F.size("features"))).first()[0] or 0
+
+
+def band_layout_probes(targets: Sequence[str | None], width: int, layout: Sequence[tuple[int, int]], n_features: int = 1) -> list[Probe]:
+    """For each target the full, single-band and cumulative probes; names are target|kind|number."""
+    every = []
+    for t in targets:
+        shape = (width, n_features)
+        every.append(Probe(f"{t}|full|0", t, ((0, width),), *shape))
+        every += [Probe(f"{t}|band|{i}", t, (b,), *shape) for i, b in enumerate(layout)]
+        every += [Probe(f"{t}|cumulative|{i}", t, ((0, b[1]),), *shape) for i, b in enumerate(layout)]
+    return every
+
+
+def probe_bands_of(data: DataFrame, width: int, layout: Sequence[tuple[int, int]], targets: Sequence[str | None], n_features: int = 1, **fit) -> DataFrame:
+    """Accuracies of (label, features, is_test): the full spectrum, each band, cumulative bands and AUTO (the best cumulative one) for each target."""
+    data = data.persist()
     try:
-        width = data.select(F.max(F.size("features"))).first()[0] or 0
-        layout = bands.equal_width(width, band_width)
-        probes = []
-        for t in targets or labels_of(data):
-            probes.append(Probe(f"{t}|full|0", t, ((0, width),)))
-            probes += [Probe(f"{t}|band|{i}", t, (b,)) for i, b in enumerate(layout)]
-            probes += [Probe(f"{t}|cumulative|{i}", t, ((0, b[1]),)) for i, b in enumerate(layout)]
-        found = evaluate(data, fit_probes(data, probes)).collect()
+        found = evaluate(data, fit_probes(data, band_layout_probes(targets, width, layout, n_features), **fit)).collect()
     finally:
         data.unpersist()
-    rows = [(r["target"], *r["probe"].rsplit("|", 2)[1:], r["accuracy"], r["chance"], r["n"]) for r in found]
+    rows = [(r["probe"].rsplit("|", 2)[0], *r["probe"].rsplit("|", 2)[1:], r["accuracy"], r["chance"], r["n"]) for r in found]
     best: dict[str, tuple] = {}
     for r in rows:
         if r[1] == "cumulative" and (r[0] not in best or (r[3], -int(r[2])) > (best[r[0]][3], -int(best[r[0]][2]))):
             best[r[0]] = r
     rows += [(t, "auto", r[2], *r[3:]) for t, r in best.items()]
-    out = df.sparkSession.createDataFrame(rows, "target string, kind string, band string, accuracy double, chance double, n long")
+    out = data.sparkSession.createDataFrame(rows, "target string, kind string, band string, accuracy double, chance double, n long")
     return out.withColumn("band", F.col("band").cast("int"))
 
 
-def variant_probes(df: DataFrame, label: str, id_col: str, variants: dict[str, str], targets: Sequence[str] | None = None, scale: bool = True, seed: int = 42) -> DataFrame:
-    """Full-width probes on several feature columns of one table (windows, lanes, layers, with and without mean), on one split."""
-    parts = []
-    for name, column in variants.items():
-        data = split_features(df.select(label, id_col, column), label, id_col, column, seed=seed).persist()
-        try:
-            width = data.select(F.max(F.size("features"))).first()[0] or 0
-            probes = [Probe(f"{t}", t, ((0, width),)) for t in targets or labels_of(data)]
-            parts += [(name, r["target"], r["accuracy"], r["chance"], r["n"]) for r in evaluate(data, fit_probes(data, probes, scale=scale)).collect()]
-        finally:
-            data.unpersist()
-    return df.sparkSession.createDataFrame(parts, "variant string, target string, accuracy double, chance double, n long")
-
-
-def multinomial_probe(data: DataFrame, positions: Sequence[tuple[int, int]] | None = None, scale: bool = True, balanced: bool = True, max_iter: int = 100) -> DataFrame:
-    """label, prediction of the test rows of (label, features, is_test), by spark.ml with the objective of C = 1."""
-    x = F.col("features") if positions is None else F.concat(*(arrays.band_slice(F.col("features"), lo, hi) for lo, hi in positions))
-    data = data.select("label", "is_test", x.alias("features"))
-    train = data.where(~F.col("is_test"))
-    if scale:
-        stats = train.select(F.posexplode("features").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-        packed = stats.agg(F.array_sort(F.collect_list(F.struct("k", "m", F.when(F.col("s") > 1e-12, F.col("s")).otherwise(1.0).alias("s")))).alias("_st"))
-        scaled = data.crossJoin(F.broadcast(packed)).withColumn("features", F.zip_with("features", "_st", lambda v, s: (v - s["m"]) / s["s"])).drop("_st")
+def band_probe(df: DataFrame, label: str, id_col: str, series: str = "series", transform: str = "fft", band_width: int = 4, targets: Sequence[str] | None = None, window: str | None = None, seed: int = 42, feature: str | None = None, min_positives: int = MIN_POSITIVES) -> DataFrame:
+    """Accuracies of the full spectrum, of each band, of cumulative bands and AUTO (the best cumulative one) for each target.
+
+    A sample is one series, or with `feature` all series of an id, whose coefficients are flattened: a band then holds its coefficients of every feature.
+    """
+    x = transforms.apply_transform(arrays.doubles(series), transform, window)
+    if feature is None:
+        spectra, n_features = df.select(label, id_col, x.alias("features")), 1
     else:
-        scaled = data
-    counts = train.groupBy("label").agg(F.count("*").alias("n"))
-    n, k = counts.agg(F.sum("n"), F.count("*")).first()
-    weighted = scaled.join(F.broadcast(counts), "label", "left").withColumn("weight", F.lit(n) / (F.lit(k) * F.col("n")) if balanced else F.lit(1.0))
-    ready = weighted.select("label", "is_test", "weight", array_to_vector("features").alias("x")).persist()
+        spectra = flatten_samples(df.select(id_col, label, feature, x.alias("series")), id_col, label, [feature])
+        n_features = df.select(feature).distinct().count()
+    data = split_features(spectra, label, id_col, "features", seed=seed)
+    width = _width(data) // max(1, n_features)
+    return probe_bands_of(data, width, bands.equal_width(width, band_width), targets or labels_of(data), n_features, min_positives=min_positives)
+
+
+def bin_profiles(df: DataFrame, label: str, id_col: str, series: str = "series", transform: str = "fft", targets: Sequence[str] | None = None, seed: int = 42, min_positives: int = MIN_POSITIVES) -> DataFrame:
+    """Accuracy of a probe on each single coefficient, for each target: target, k, accuracy, chance, n."""
+    data = split_features(df.select(label, id_col, transforms.apply_transform(arrays.doubles(series), transform).alias("features")), label, id_col, "features", seed=seed).persist()
+    try:
+        wanted = [Probe(f"{t}|{k}", t, ((k, k + 1),)) for t in targets or labels_of(data) for k in range(_width(data))]
+        found = evaluate(data, fit_probes(data, wanted, min_positives=min_positives))
+        parts = F.split("probe", r"\|")
+        rows = found.select("target", F.element_at(parts, -1).cast("int").alias("k"), "accuracy", "chance", "n").collect()
+    finally:
+        data.unpersist()
+    return df.sparkSession.createDataFrame(rows, "target string, k int, accuracy double, chance double, n long")
+
+
+def variant_probes(df: DataFrame, label: str, id_col: str, variants: dict[str, str], targets: Sequence[str | None] | None = None, scale: bool = True, seed: int = 42, min_positives: int = MIN_POSITIVES) -> DataFrame:
+    """Full-width probes on several feature columns of one table (windows, lanes, layers, banks, with and without mean), on one split and in the
+    same passes. targets of [None] make multinomial probes."""
+    names = list(variants)
+    some = df.where(" and ".join(f"`{variants[n]}` is not null" for n in names))
+    sizes = some.agg(*(F.max(F.size(variants[n])).alias(n) for n in names)).first()
+    data = split_features(some.select(label, id_col, F.concat(*(arrays.doubles(variants[n]) for n in names)).alias("_all")), label, id_col, "_all", seed=seed).persist()
     try:
-        fit_rows = ready.where(~F.col("is_test"))
-        index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(fit_rows)
-        total = fit_rows.agg(F.sum("weight")).first()[0]
-        model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", regParam=1 / total, standardization=False, family="multinomial", maxIter=max_iter).fit(index.transform(fit_rows))
-        names = F.array(*(F.lit(v) for v in index.labels))
-        test = ready.where("is_test").select("label", "x")
-        return model.transform(test).select("label", F.get(names, F.col("prediction").cast("int")).alias("prediction"))
+        ends = np.cumsum([sizes[n] or 0 for n in names]).tolist()
+        spans = dict(zip(names, zip([0, *ends[:-1]], ends, strict=True), strict=True))
+        wanted = [Probe(f"{n}|{t}", t, (spans[n],)) for n in names for t in (targets or labels_of(data)) if spans[n][1] > spans[n][0]]
+        rows = [(r["probe"].split("|", 1)[0], r["target"], r["accuracy"], r["chance"], r["n"]) for r in evaluate(data, fit_probes(data, wanted, scale=scale, min_positives=min_positives)).collect()]
     finally:
-        ready.unpersist()
+        data.unpersist()
+    return df.sparkSession.createDataFrame(rows, "variant string, target string, accuracy double, chance double, n long")
+
+
+def feature_probes(df: DataFrame, label: str, id_col: str, series: str = "series", banks: int = 12, seed: int = 42) -> DataFrame:
+    """Multinomial probes on the series, its cosine coefficients, and their mel, logarithmic and wavelet features: variant, accuracy, chance, n."""
+    x = arrays.doubles(series)
+    n = df.select(F.max(F.size(series))).first()[0] or 0
+    c = F.col("dct")
+    columns = {"mel": transforms.filter_bank(c, bands.mel_filter_bank(n, banks)), "log": transforms.filter_bank(c, bands.log_filter_bank(n, banks)), "haar": arrays.haar(c)}
+    wide = df.select(label, id_col, x.alias("time"), transforms.dct(x).alias("dct")).select("*", *(v.alias(k) for k, v in columns.items()))
+    columns = {"time": None, "dct": None} | columns
+    return variant_probes(wide, label, id_col, {k: k for k in columns}, [None], seed=seed).drop("target")
+
+
+def layer_probes(df: DataFrame, label: str, id_col: str, layer: str, at: Sequence[str] = (), series: str = "series", transform: str = "fft", targets: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
+    """A full-spectrum probe of every layer and target, trained together: layer, target, accuracy, chance, n. Every sample has every layer."""
+    x = transforms.apply_transform(arrays.doubles(series), transform)
+    layers = sorted(r[0] for r in df.select(layer).distinct().collect())
+    flat = flatten_samples(df.select(id_col, label, layer, *at, x.alias("series")), id_col, label, [layer, *at])
+    data = split_features(flat, label, id_col, "features", seed=seed).persist()
+    try:
+        width = _width(data) // max(1, len(layers))
+        wanted = [Probe(f"{i}|{t}", t, ((i * width, (i + 1) * width),)) for i in range(len(layers)) for t in targets or labels_of(data)]
+        rows = [(layers[int(r["probe"].split("|", 1)[0])], r["target"], r["accuracy"], r["chance"], r["n"]) for r in evaluate(data, fit_probes(data, wanted)).collect()]
+    finally:
+        data.unpersist()
+    return df.sparkSession.createDataFrame(rows, "layer int, target string, accuracy double, chance double, n long")
+
+
+def resolve_layers(wanted: Sequence[int], n_layers: int) -> list[int]:
+    """Layer numbers in order, each once; negative ones count from the last."""
+    found = sorted({i + n_layers if i < 0 else i for i in wanted})
+    if found and not 0 <= found[0] <= found[-1] < n_layers:
+        raise ValueError(f"layers {wanted} of {n_layers}")
+    return found
+
+
+def multinomial_probe(data: DataFrame, positions: Sequence[tuple[int, int]] | None = None, scale: bool = True, balanced: bool = True) -> DataFrame:
+    """label, prediction of the test rows of (label, features, is_test)."""
+    ranges = tuple(positions) if positions is not None else ((0, _width(data)),)
+    return predictions(data, fit_probes(data, [Probe("all", None, ranges)], scale=scale, balanced=balanced)).select("label", "prediction")
+
+
+def group_probe(df: DataFrame, label: str, id_col: str, group: str, features: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
+    """Predictions of an unscaled multinomial probe whose test rows are whole groups (tracks): label, prediction."""
+    return multinomial_probe(split_features(df, label, id_col, features, test_size, seed, group), scale=False, balanced=False)
 
 
 def pair_probes(data: DataFrame, layout: Sequence[tuple[int, int]]) -> DataFrame:
-    """Accuracy of every band and pair of bands (multinomial), with the gain over the better of the two."""
-    accuracy = {}
-    for a in range(len(layout)):
-        for b in range(a, len(layout)):
-            found = multinomial_probe(data, [layout[a]] if a == b else [layout[a], layout[b]])
-            accuracy[a, b] = found.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
-    rows = [(a, b, v, v - max(accuracy[a, a], accuracy[b, b])) for (a, b), v in accuracy.items()]
+    """Accuracy of every band and pair of bands (multinomial, trained together), with the gain over the better of the two."""
+    pairs = {f"{a}|{b}": Probe(f"{a}|{b}", None, tuple(sorted({layout[a], layout[b]}))) for a in range(len(layout)) for b in range(a, len(layout))}
+    found = {tuple(map(int, r["probe"].split("|"))): r["accuracy"] for r in evaluate(data, fit_probes(data, list(pairs.values()))).collect()}
+    rows = [(a, b, v, v - max(found[a, a], found[b, b])) for (a, b), v in found.items()]
     return data.sparkSession.createDataFrame(rows, "band_a int, band_b int, accuracy double, gain double")
 
 
@@ -246,12 +465,106 @@ def greedy_bands(data: DataFrame, layout: Sequence[tuple[int, int]], target: str
 
 
 def band_confusions(data: DataFrame, layout: Sequence[tuple[int, int]]) -> DataFrame:
-    """Confusion tables of the multinomial probes of each band: band, y_true, y_pred, n."""
-    out = None
-    for i, b in enumerate(layout):
-        table = metrics.confusion(multinomial_probe(data, [b]), "label", "prediction").withColumn("band", F.lit(i))
-        out = table if out is None else out.unionByName(table)
-    return out
+    """Confusion tables of the multinomial probes of each band, trained together: band, y_true, y_pred, n. A band on its own is the masked spectrum,
+    as coefficients that are the same everywhere add nothing."""
+    said = predictions(data, fit_probes(data, [Probe(str(i), None, (b,)) for i, b in enumerate(layout)])).persist()
+    try:
+        out = None
+        for i in range(len(layout)):
+            table = metrics.confusion(said.where(F.col("probe") == str(i)), "label", "prediction").withColumn("band", F.lit(i))
+            out = table if out is None else out.unionByName(table)
+        rows = out.collect()  # classes squared a band
+    finally:
+        said.unpersist()
+    return data.sparkSession.createDataFrame(rows, out.schema)
+
+
+def run_pipeline(df: DataFrame, config: dict) -> DataFrame:
+    """A probe described by a configuration, as rows metric, target, value.
+
+    Keys: label, id; series, feature, transform, window, band_width, targets, seed; probe (bands, full or multiclass); min_samples (labels with fewer samples are left out).
+    """
+    known = {"label", "id", "series", "feature", "transform", "window", "band_width", "targets", "seed", "probe", "min_samples"}
+    if unknown := sorted(set(config) - known):
+        raise ValueError(f"unknown keys {unknown}: known are {sorted(known)}")
+    label, id_col, probe = config["label"], config["id"], config.get("probe", "bands")
+    if probe not in ("bands", "full", "multiclass"):
+        raise ValueError(f"unknown probe {probe!r}")
+    enough = df.groupBy(label).agg(F.countDistinct(id_col).alias("_n")).where(F.col("_n") >= config.get("min_samples", MIN_POSITIVES)).select(label)
+    some = df.join(enough, label, "left_semi")
+    series, transform, window = config.get("series", "series"), config.get("transform", "fft"), config.get("window")
+    seed, targets, feature = config.get("seed", 42), config.get("targets"), config.get("feature")
+    if probe == "multiclass":
+        x = transforms.apply_transform(arrays.doubles(series), transform, window)
+        flat = flatten_samples(some.select(id_col, label, *([feature] if feature else []), x.alias("series")), id_col, label, [feature] if feature else [])
+        found = metrics.scores(metrics.confusion(multinomial_probe(split_features(flat, label, id_col, "features", seed=seed)), "label", "prediction"))
+        return found.select(F.lit(None).cast("string").alias("target"), F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "macro_f1", "weighted_f1"))))).select("metric", "target", "value")
+    found = band_probe(some, label, id_col, series, transform, config.get("band_width", 4), targets, window, seed, feature, config.get("min_samples", MIN_POSITIVES))
+    if probe == "full":
+        found = found.where("kind = 'full'")
+    return found.select(F.concat_ws("_", "kind", "band").alias("metric"), "target", F.col("accuracy").alias("value"))
+
+
+def learn_filter(df: DataFrame, n_frequencies: int, features: str = "features", labels: str = "labels", steps: int = 60, l2: float = 1e-3, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray, list[str], list[float]]:
+    """A frequency filter and a token classifier learnt together: (filter logits, class weights, classes, losses).
+
+    Rows hold `features`, an array of series (one a dimension, over the tokens), and `labels`, one a token. Series are cosine transformed, multiplied by the
+    sigmoid of the filter (pooled to their length), transformed back, and classified token by token; loss and gradients are summed over the tasks.
+    """
+    classes = sorted(r[0] for r in df.select(F.explode(labels).alias("l")).where("l is not null").distinct().collect())
+    dims = df.select(F.max(F.size(features))).first()[0] or 0
+    rows = df.select(F.col(labels).cast("array<string>").alias("y"), F.col(features).cast("array<array<double>>").alias("x"))
+    state, losses = Descent(np.zeros(n_frequencies + len(classes) * (dims + 1))), []
+    for _ in range(steps):
+        trial = state.trial
+
+        def parts(stream: Iterator[pa.RecordBatch], trial=trial) -> dict[int, np.ndarray]:
+            logits, w = trial[:n_frequencies], trial[n_frequencies:].reshape(len(classes), dims + 1)
+            open_, total = 1 / (1 + np.exp(-logits)), 0
+            for batch in stream:
+                for y, x in zip(batch.column("y").to_pylist(), batch.column("x").to_pylist(), strict=True):
+                    x = np.array(x, dtype=float)
+                    n = x.shape[1]
+                    hot = np.array([[k == v for k in classes] for v in y], dtype=float)
+                    basis = transforms.dct_basis(n)
+                    pool = np.stack([transforms.pooled_filter(e, n) for e in np.eye(n_frequencies)], axis=1)
+                    spectrum = x @ basis.T
+                    seen = (spectrum * (pool @ open_)) @ basis
+                    xs = np.concatenate([seen.T, np.ones((n, 1))], axis=1)
+                    part = _part(xs, hot, hot.sum(axis=1), w, False)
+                    z = xs @ w.T
+                    z -= z.max(axis=1, keepdims=True)
+                    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+                    back = ((p * hot.sum(axis=1, keepdims=True) - hot) @ w[:, :-1]).T  # the loss by the filtered series
+                    by_filter = pool.T @ (spectrum * (back @ basis.T)).sum(axis=0) * open_ * (1 - open_)
+                    total = total + np.concatenate([part[:1], by_filter, part[1:], [float(hot.sum())]])
+            return {0: total} if np.ndim(total) else {}
+
+        v = summed(rows, parts)[0]
+        losses.append(float(v[0] / v[-1]))
+        if state.tell(v[0] / v[-1] + 0.5 * l2 * float(trial @ trial), v[1:-1] / v[-1] + l2 * trial, tolerance):
+            break
+    return state.at[:n_frequencies], state.at[n_frequencies:].reshape(len(classes), dims + 1), classes, losses
+
+
+def label_tokens(df: DataFrame, logits: np.ndarray, weights: np.ndarray, classes: Sequence[str], features: str = "features") -> DataFrame:
+    """df with `predicted`, a label for each token, by a learnt filter and classifier."""
+    n_frequencies = len(logits)
+    kept = [c for c in df.columns if c not in (features, "predicted")]
+
+    def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            said = []
+            for x in batch.column(features).to_pylist():
+                x = np.array(x, dtype=float)
+                pool = np.stack([transforms.pooled_filter(e, x.shape[1]) for e in np.eye(n_frequencies)], axis=1)
+                basis = transforms.dct_basis(x.shape[1])
+                seen = (x @ basis.T * (pool @ (1 / (1 + np.exp(-logits))))) @ basis
+                said.append([classes[i] for i in (seen.T @ weights[:, :-1].T + weights[:, -1]).argmax(axis=1)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(said, pa.list_(pa.string()))], [*kept, "predicted"])
+
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept), "predicted array<string>"])
+    return df.select(*kept, features).mapInArrow(task, shape)
 
 
 def cluster_positions(df: DataFrame, key: str, vector: str, k: int = 8, seed: int = 42) -> DataFrame:

@@ -103,3 +103,114 @@ def test_corpus(spark):
         corpus.evaluate(df, df).collect()
     p = spark.createDataFrame([([0.5, 0.7],), ([50.0],)], "a array<double>").select(T.percent(F.col("a")).alias("p")).collect()
     assert [list(r.p) for r in p] == [[50.0, 70.0], [50.0]]
+
+
+def test_wide_and_multinomial_probes(spark):
+    """Quasi-Newton steps end where Newton steps do; multinomial probes match a direct solver; samples of many features are flattened."""
+    rnd = np.random.default_rng(5)
+    x = rnd.standard_normal((240, 3, 8))
+    y = (x[:, 0, 2] + x[:, 2, 5] + 0.7 * rnd.standard_normal(240) > 0).astype(int) + (x[:, 1, 1] > 0.8)
+    rows = [(i, f, str(y[i]), x[i, f].tolist()) for i in range(240) for f in range(3)]
+    df = spark.createDataFrame(rows, "id int, feature_idx int, label string, series array<double>")
+    flat = probes.flatten_samples(df, "id", "label", ["feature_idx"])
+    assert np.allclose([r.features for r in flat.orderBy("id").collect()], x.reshape(240, 24))
+    data = probes.split_features(flat, "label", "id", "features").persist()
+    wanted = [probes.Probe("one", "1", ((0, 8),), 8, 3), probes.Probe("all", None, ((0, 24),)), probes.Probe("band", None, ((2, 4), (5, 6)), 8, 3)]
+    assert wanted[2].positions().tolist() == [2, 3, 5, 10, 11, 13, 18, 19, 21]
+    newton_, quasi = probes.fit_probes(data, wanted), probes.fit_probes(data, wanted, max_width=0)
+    for a, b in zip(newton_.weights, quasi.weights, strict=True):
+        assert np.allclose(a - a.mean(axis=0) * (len(a) > 1), b - b.mean(axis=0) * (len(b) > 1), atol=1e-3)
+    # gradient of the multinomial objective at the solution, computed directly
+    train = data.where("not is_test").toPandas()
+    z = np.c_[(np.stack(train["features"]) - newton_.mean) / newton_.scale, np.ones(len(train))]
+    hot = np.array([[v == c for c in newton_.classes] for v in train["label"]], float)
+    s = hot @ (len(hot) / (len(newton_.classes) * hot.sum(axis=0)))
+    p = np.exp(z @ newton_.weights[1].T)
+    g = (s[:, None] * (p / p.sum(axis=1, keepdims=True) - hot)).T @ z + newton_.weights[1] * np.append(np.ones(24), 0)
+    assert np.abs(g).max() < 1e-4
+    found = {r.probe: r for r in probes.evaluate(data, newton_).collect()}
+    said = probes.predictions(data, newton_).where("probe = 'all'").collect()
+    assert found["all"].accuracy == np.mean([r.label == r.prediction for r in said]) and found["all"].accuracy > 0.6 and found["all"].n == len(said)
+
+
+def test_probes_have_no_width_limit(spark):
+    rnd = np.random.default_rng(6)
+    x = rnd.standard_normal((80, 3000))
+    df = spark.createDataFrame([(i, "ab"[int(x[i, 7] > 0)], (x[i] + 3 * (x[i, 7] > 0)).tolist()) for i in range(80)], "id int, label string, series array<double>")
+    found = probes.band_probe(df, "label", "id", transform="haar", band_width=1500).collect()
+    assert {(r.kind, r.band) for r in found} == {("full", 0), ("band", 0), ("band", 1), ("cumulative", 0), ("cumulative", 1), ("auto", 0)} and max(r.accuracy for r in found) == 1.0
+
+
+def test_layers_features_and_pipeline(spark):
+    rnd = np.random.default_rng(7)
+    rows = [(i, f"{i % 3}", layer, f, (rnd.standard_normal(16) + (i % 3 if layer == 2 else 0)).tolist()) for i in range(90) for layer in (0, 2) for f in range(2)]
+    df = spark.createDataFrame(rows, "id int, label string, layer int, feature_idx int, series array<double>")
+    found = {(r.layer, r.target): r.accuracy for r in probes.layer_probes(df, "label", "id", "layer", ["feature_idx"]).collect()}
+    assert len(found) == 6 and found[2, "2"] > 0.9 > found[0, "2"]
+    assert probes.resolve_layers([-1, 0, 12, -13], 13) == [0, 12]
+    with pytest.raises(ValueError):
+        probes.resolve_layers([13], 13)
+    one = df.where("layer = 2 and feature_idx = 0")
+    kinds = {r.variant: r.accuracy for r in probes.feature_probes(one, "label", "id").collect()}
+    assert set(kinds) == {"time", "dct", "mel", "log", "haar"} and kinds["dct"] > 0.7
+    bins = {(r.target, r.k): r.accuracy for r in probes.bin_profiles(one, "label", "id").collect()}
+    assert len(bins) == 27 and bins["2", 0] > 0.9
+    got = {(r.metric, r.target): r.value for r in probes.run_pipeline(df.where("layer = 2"), {"label": "label", "id": "id", "feature": "feature_idx", "band_width": 4}).collect()}
+    assert ("full_0", "2") in got and ("auto_0", "2") in got and got["full_0", "2"] > 0.9
+    multi = {r.metric: r.value for r in probes.run_pipeline(one, {"label": "label", "id": "id", "probe": "multiclass"}).collect()}
+    assert set(multi) == {"accuracy", "macro_f1", "weighted_f1"}
+    with pytest.raises(ValueError, match="colour"):
+        probes.run_pipeline(one, {"label": "label", "id": "id", "colour": 1})
+
+
+def test_filter_is_learnt(spark):
+    """Labels depend on the slow part of a series beside a fast one: the filter opens for it, and its gradient is that of the loss."""
+    rnd = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        t = np.arange(12 + i % 5)
+        slow, fast = np.cos(np.pi * t / len(t) + i), 2 * rnd.standard_normal() * np.cos(np.pi * t * 0.9)
+        rows.append((i, (slow > 0).astype(int).astype(str).tolist(), [(slow + fast).tolist(), fast.tolist()]))
+    df = spark.createDataFrame(rows, "id int, labels array<string>, features array<array<double>>").persist()
+    logits, weights, classes, losses = probes.learn_filter(df, 8, steps=40)
+    assert classes == ["0", "1"] and losses[-1] < 0.5 * losses[0]
+    said = probes.label_tokens(df, logits, weights, classes).orderBy("id").collect()
+    right = [a == b for r in said for a, b in zip(r.labels, r.predicted, strict=True)]
+    assert np.mean(right) > 0.9
+
+
+def test_null_groups_and_ids_keep_their_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (None, "a"), (4, "b"), (None, None)], "id int, label string")
+    assert ranking.stratified_split(df, "label", "id").count() == 5 == ranking.group_split(df, "label").count()
+    assert ranking.first_share(df, "id", 0.5).count() == 5
+    for seed in (None, 7):
+        assert sorted(r.batch for r in ranking.batches(df, "id", 2, seed).collect()) == [0, 0, 1, 1, 2]
+    clustered = spark.range(1000).selectExpr("if(id = 999, 1000000000, id) as id")
+    assert sorted(r.batch for r in ranking.batches(clustered, "id", 100).where("id < 200").collect()) == [0] * 100 + [1] * 100
+
+
+def test_negatives_are_whole(spark):
+    rows = [(i, "g", "same") for i in range(50)] + [(100 + i, "g", f"other {i}") for i in range(3)] + [(200, "h", "alone"), (300, None, "x"), (301, None, "y"), (400, "g", None)]
+    df = spark.createDataFrame(rows, "id int, grp string, text string")
+    text = {i: t for i, _, t in rows}
+    found = corpus.negatives(df, "id", "grp", "text", 3).collect()
+    per = {}
+    for r in found:
+        per.setdefault(r.id, set()).add(text[r.negative_id])
+        assert text[r.id] != text[r.negative_id]
+    assert all(len(per[i]) == 3 for i in [*range(50), 100, 101, 102]) and per[300] == {"y"} and 200 not in per and 400 not in per
+
+
+def test_band_layouts_by_definition():
+    from bandlake.functions import bands
+
+    assert bands.allocated(512, 5, exact=False) == [(0, 103), (102, 204), (204, 306), (306, 408), (408, 511)]
+    for n in range(1, 40):
+        for count in range(1, n + 1):
+            exact = bands.allocated(n, count)
+            assert [k for lo, hi in exact for k in range(lo, hi)] == list(range(n))
+            sizes = [hi - lo for lo, hi in exact]
+            wide = [b for b, s in enumerate(sizes) if s > n // count]
+            left = (len(wide) + 1) // 2
+            assert len(wide) == n % count and wide == [*range(left), *range(count - len(wide) + left, count)]
+            assert [lo for lo, _ in bands.allocated(n, count, exact=False)] == [b * (n // count) for b in range(count)]
