@@ -17,6 +17,8 @@ from re._parser import parse
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MARK = "\x01"  # a separator, so no word holds it
+CHUNK = 256  # words; no rule's match is as long
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Base labels: phrase, label.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -156,14 +158,18 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the rule table is a constant of a few hundred entries; a rule looks at a text that holds its keyword
     table = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(r.keyword).alias("keyword"), F.lit(r"(?<![^ ])(?:" + r.pattern + r")(?![^ ])").alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence")) for i, r in enumerate(rules())))
     spaces = lambda x: f"(length({x}) - length(replace({x}, ' ', '')))"
-    # a detection's first word: the spaces in the text before it
-    before = f"aggregate(sequence(0, i), 0, (s, j) -> s + {spaces('get(m.gap, j)')} + if(j < i, {spaces('get(m.hit, j)')}, 0))"
-    span = f"struct({before} as start, {before} + {spaces('h')} + 1 as end, r.priority as priority, r.rule as rule, r.label as label, r.confidence as confidence)"
-    spans = f"flatten(transform(array(struct(regexp_extract_all(norm, r.pattern, 0) as hit, split(norm, r.pattern) as gap)), m -> transform(m.hit, (h, i) -> {span})))"
+    # a detection's first word: matches begin words, so a mark before each of them is found among the words
+    marked = f"filter(transform(split(regexp_replace(norm, r.pattern, '{MARK}$0'), ' '), (x, k) -> if(startswith(x, '{MARK}'), k, null)), k -> k is not null)"
+    span = f"struct(get(m.first, i) as start, get(m.first, i) + {spaces('h')} + 1 as end, r.priority as priority, r.rule as rule, r.label as label, r.confidence as confidence)"
+    spans = f"flatten(transform(array(struct(regexp_extract_all(norm, r.pattern, 0) as hit, {marked} as first)), m -> transform(m.hit, (h, i) -> {span})))"
     found = found.withColumn("rules", F.when(F.col("norm").isNotNull(), table))
     found = found.withColumn("d", F.expr(f"flatten(transform(filter(rules, r -> contains(norm, r.keyword) and rlike(norm, r.pattern)), r -> {spans}))"))
     better = "(e.priority < f.priority or e.priority = f.priority and (e.end - e.start > f.end - f.start or e.end - e.start = f.end - f.start and e.rule < f.rule))"
-    kept = F.expr(f"filter(d, f -> not exists(d, e -> e.start <= f.start and e.end >= f.end and {better}))")
+    # a detection is compared with those that start in its own chunk of words or the one before: none is longer than a chunk
+    chunks = f"transform(sequence(0, array_max(transform(d, x -> x.start)) div {CHUNK}), c -> filter(d, x -> x.start div {CHUNK} = c))"
+    found = found.withColumn("chunks", F.expr(f"if(size(d) > 0, {chunks}, array())"))
+    contained = lambda e: f"exists({e}, e -> e.start <= f.start and e.end >= f.end and {better})"
+    kept = F.expr(f"filter(d, f -> not {contained(f'get(chunks, cast(f.start div {CHUNK} as int))')} and not coalesce({contained(f'get(chunks, cast(f.start div {CHUNK} as int) - 1)')}, false))")
     out = found.select("doc_id", "n_words", "places", labels.alias("own"), kept.alias("detections"))
     both = F.array_sort(F.array_distinct(F.concat(F.coalesce("own", F.array().cast("array<string>")), F.coalesce(F.expr("detections.label"), F.array().cast("array<string>")))))
     return out.select(

@@ -1,7 +1,7 @@
 import re
 
 from bandlake.llm.catalog import QUERIES
-from bandlake.llm.license_scan import BASE, license_scan, rules
+from bandlake.llm.license_scan import BASE, CHUNK, license_scan, rules
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -31,6 +31,7 @@ def brute(text):
 TEXTS = [
     "Released under the MIT License. Under the  mit-license!", "Licensed under the Apache License, Version 2.0.", "CC BY-NC 4.0 and cc_by_nc", "This work is licensed under the GNU General Public License, version 3.",
     "GNU Lesser General Public License v2.1 or later", "GNU General Public License version 2 or any later version", "SPDX-License-Identifier: GPL-3.0", "see the BSD 3-Clause license, all rights reserved", "undér the mit license", "xunder the mit license under the mit licensed",
+    "MIT License, BSD license, Apache License 2.0 and GPL v3. " * 400, "x " * 254 + "GNU Lesser General Public License version 2.1 or any later version", "\x01mit license of the \x01 kind\x01",
     "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "Copyright (c) 2020 x. Permission is hereby granted, free of charge, to any person obtaining a copy", "", None, "   ", "mit in der licen", "Mozilla Public License 2.0 MPL 2.0", "w " * 20000 + "under the mit license", "free of licence",
 ]
 
@@ -87,3 +88,27 @@ def test_query_and_empty(spark):
     got = {r.doc_id: tuple(r)[1:7] for r in QUERIES["op10_license_scan"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {r.doc_id: brute(r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_no_rule_reaches_over_a_chunk():
+    """Words of the longest match: a match has at most as many spaces as characters that can be spaces."""
+    from re import _constants as c
+    from re import _parser
+
+    def most(items):
+        n = 0
+        for op, v in items:
+            if op is c.LITERAL:
+                n += chr(v) == " "
+            elif op is c.ANY:
+                n += 1
+            elif op is c.SUBPATTERN:
+                n += most(v[3])
+            elif op is c.BRANCH:
+                n += max(most(x) for x in v[1])
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+                inside = most(v[2])
+                n += inside * v[1] if inside else 0
+        return n
+
+    assert max(most(_parser.parse(r.pattern)) for r in rules()) + 1 < CHUNK
