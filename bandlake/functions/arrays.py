@@ -97,6 +97,21 @@ def haar(c: Column) -> Column:
     return F.when(F.size(c) == 0, c).otherwise(F.concat(low, high))
 
 
+def transpose(c: Column) -> Column:
+    """An array of equally long series as an array of their steps."""
+    return F.transform(F.sequence(F.lit(1), F.size(F.get(c, F.lit(0)))), lambda t: F.transform(c, lambda x: F.element_at(x, t)))
+
+
+def one_hot(c: Column, classes: Sequence[str]) -> Column:
+    """1.0 at the place of the value among the classes; all 0.0 for another value or null."""
+    return F.array(*(F.when(c == k, 1.0).otherwise(0.0) for k in classes))
+
+
+def without_special(tokens: Column, special: Column) -> Column:
+    """The tokens whose flag in `special` is false."""
+    return F.transform(F.filter(F.arrays_zip(tokens.alias("t"), special.alias("s")), lambda x: ~x["s"]), lambda x: x["t"])
+
+
 def safe_name(c: Column) -> Column:
     return F.translate(c, " /", "__")
 

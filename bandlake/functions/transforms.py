@@ -79,6 +79,33 @@ def dct(c: Column) -> Column:
     return _arrow(lambda x: x @ dct_basis(x.shape[1]).T)(c)
 
 
+def dct_sums(c: Column) -> Column:
+    """The cosine transform without normalisation: 2 sum x cos(pi (2n + 1) k / 2N)."""
+
+    def f(x: np.ndarray) -> np.ndarray:
+        n = x.shape[1]
+        scale = np.full(n, np.sqrt(2.0 * n))
+        scale[0] = 2 * np.sqrt(n)
+        return x @ dct_basis(n).T * scale
+
+    return _arrow(f)(c)
+
+
+def mel_spectrogram(c: Column, bank: np.ndarray, length: int = 512, hop: int = 128) -> Column:
+    """Decibels below the loudest, frame by frame: |rfft|^2 of Hann-windowed frames times a bank of length // 2 + 1 columns, at most 80 below. Frames
+    are centred on multiples of `hop`, and the series is extended by zeros."""
+
+    def f(x: np.ndarray) -> np.ndarray:
+        x = np.pad(x, ((0, 0), (length // 2, length // 2)))
+        frames = np.lib.stride_tricks.sliding_window_view(x, length, axis=1)[:, ::hop]
+        hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / length)
+        power = np.abs(np.fft.rfft(frames * hann, axis=2)) ** 2 @ bank.T
+        db = 10 * np.log10(np.maximum(power, 1e-10)) - 10 * np.log10(np.maximum(power.max(axis=(1, 2), keepdims=True), 1e-10))
+        return np.maximum(db, -80).reshape(len(x), -1)
+
+    return _arrow(f)(c)
+
+
 def inverse_dct(c: Column) -> Column:
     return _arrow(lambda x: x @ dct_basis(x.shape[1]))(c)
 

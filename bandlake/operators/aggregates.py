@@ -5,10 +5,15 @@ Array columns are summed position by position after a posexplode, with partial s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import DoubleType
 
 from bandlake.functions import arrays, transforms
 
@@ -74,11 +79,44 @@ def feature_mean(df: DataFrame, sample: str, series: str = "series") -> DataFram
 
 
 def correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = (), least_pairs: int = 10) -> DataFrame:
-    """Pearson's r of the finite pairs, its t value and number; null r below least_pairs."""
+    """Pearson's r of the finite pairs, its t value, two-sided p value and number; null r below least_pairs."""
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
     found = ok.groupBy(*by).agg(F.corr(x, y).alias("r"), F.count("*").alias("n"))
     r = F.when(F.col("n") >= least_pairs, F.col("r"))
-    return found.select(*by, r.alias("r"), F.when(F.abs(r) < 1, r * F.sqrt(F.try_divide(F.col("n") - 2, 1 - r * r))).alias("t"), "n")
+    tested = found.select(*by, r.alias("r"), F.when(F.abs(r) < 1, r * F.sqrt(F.try_divide(F.col("n") - 2, 1 - r * r))).alias("t"), "n")
+    return tested.withColumn("p", F.when(F.abs("r") >= 1, 0.0).otherwise(_two_sided("t", (F.col("n") - 2).cast("double"))))
+
+
+def student_p(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
+    """Two-sided p values of Student's t: the regularised incomplete beta function of dof / (dof + t^2), by its continued fraction."""
+    t, dof = np.asarray(t, float), np.asarray(dof, float)
+    x = dof / (dof + t * t)
+    a, b = dof / 2, np.full_like(dof, 0.5)
+    turn = x > (a + 1) / (a + b + 2)  # the fraction converges fast on the other side
+    a, b, x = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, 1 - x, x)
+    log_gamma = np.vectorize(math.lgamma, otypes=[float])
+    with np.errstate(divide="ignore"):
+        front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    c, d = np.ones_like(x), 1 / (1 - (a + b) * x / (a + 1))
+    total = d.copy()
+    for m in range(1, 5000):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for step in (even, odd):
+            d, c = 1 / (1 + step * d), 1 + step / c
+            total = total * d * c
+        if np.all(np.abs(d * c - 1) < 1e-15):
+            break
+    found = front * total
+    return np.clip(np.where(turn, 1 - found, found), 0, 1)
+
+
+@arrow_udf(DoubleType())
+def _two_sided(t: pa.Array, dof: pa.Array) -> pa.Array:
+    known = np.asarray(pa.compute.and_(t.is_valid(), pa.compute.greater(dof, 0)).fill_null(False))
+    out = np.full(len(t), np.nan)
+    out[known] = student_p(np.asarray(t.fill_null(0.0))[known], np.asarray(dof)[known])
+    return pa.array(out, mask=~known)
 
 
 def lookup_join(df: DataFrame, table: DataFrame, key: str, value: str, small_rows: int = 1_000_000) -> DataFrame:

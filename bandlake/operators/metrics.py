@@ -54,3 +54,8 @@ def weight_summary(coefficients: DataFrame) -> DataFrame:
 
 def across_runs(runs: DataFrame, by: list[str], value: str) -> DataFrame:
     return runs.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n_runs"))
+
+
+def batch_mean(df: DataFrame, batch: str, value: str) -> DataFrame:
+    """The unweighted mean of the batches' means: a short last batch counts as much as a full one."""
+    return df.groupBy(batch).agg(F.avg(value).alias("_m")).agg(F.avg("_m").alias(value))

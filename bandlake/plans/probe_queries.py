@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandlake.functions import arrays, bands, transforms
-from bandlake.operators import metrics, probes
-from bandlake.plans.registry import embeddings, query, rounded
+from bandlake.operators import corpus, metrics, probes
+from bandlake.plans.registry import SERIES_SQL, embeddings, query, rfft_sql, rounded
+from bandlake.session import table
 
 
 def _magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,3 +78,70 @@ def kmeans_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = embeddings(spark, sf_dir).select("vec_id", transforms.rfft_magnitude(F.col("series")).alias("m"))
     found = probes.cluster_positions(m, "vec_id", "m")
     return found.select("cluster", F.posexplode("features").alias("k", "v")).groupBy("cluster", "k").agg(F.avg("v").alias("mean"), F.count("*").alias("size"))
+
+
+_BINS = (
+    "with recursive {s}, {d}, l as (select vec_id, cast(label as varchar) as label, row_number() over (partition by label order by md5(cast(vec_id as varchar) || '-42'), vec_id) <= floor(count(*) over (partition by label) * 0.2 + 0.5) as is_test from embeddings where label is not null), "
+    "st as (select k, avg(m) as mu, stddev_pop(m) as sd from d join l using (vec_id) where not is_test group by k), "
+    "z as (select l.label, is_test, k, (m - mu) / case when sd > 1e-12 * greatest(1, abs(mu)) then sd else 1 end as x from d join l using (vec_id) join st using (k)), "
+    "c as (select label as target, count(*) filter (not is_test) as pos from l group by label having count(*) >= 10), n as (select count(*) as n from l where not is_test), "
+    "t as (select k, target, x, case when label = target then 1 else 0 end as y, n / (2.0 * case when label = target then pos else n - pos end) as s from z, c, n where not is_test), "
+    "fit(i, k, target, w, b) as (select 0, k, target, cast(0 as double), cast(0 as double) from (select distinct k, target from t) union all "
+    "select i + 1, k, target, w - least(1, 4 / greatest(abs(dw), abs(db), 1e-30)) * dw, b - least(1, 4 / greatest(abs(dw), abs(db), 1e-30)) * db from (select *, (h00 * g1 - h01 * g0) / (h11 * h00 - h01 * h01) as dw, (h11 * g0 - h01 * g1) / (h11 * h00 - h01 * h01) as db from "
+    "(select i, k, target, w, b, sum(s * (p - y) * x) + w as g1, sum(s * (p - y)) + 1e-9 * b as g0, sum(s * p * (1 - p) * x * x) + 1 as h11, sum(s * p * (1 - p) * x) as h01, sum(s * p * (1 - p)) + 1e-9 as h00 from (select f.*, x, y, s, 1 / (1 + exp(-(w * x + b))) as p from fit f join t using (k, target) where i < 15) q group by i, k, target, w, b) h) g) "
+    "select f.target, cast(f.k as integer) as k, round(avg(case when (w * x + b > 0) = (label = f.target) then 1.0 else 0.0 end), 4) as accuracy, round(avg(case when label = f.target then 1.0 else 0.0 end), 4) as chance, count(*) as n from fit f join z on z.k = f.k where i = 15 and is_test group by f.target, f.k"
+)
+
+
+@query(_BINS.format(s=SERIES_SQL, d=rfft_sql()))
+def probe_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A probe of each class on each single frequency; the SQL fits them by the same Newton steps, written out for two coefficients."""
+    return _accuracy(probes.bin_profiles(embeddings(spark, sf_dir).where("label is not null"), "label", "vec_id"), "target", "k")
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as samples of four features of 16 steps."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("series", i * 16 + 1, F.lit(16)))
+    return embeddings(spark, sf_dir).select("vec_id", "label", F.posexplode(parts).alias("feature_idx", "series"))
+
+
+@query()
+def probe_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of samples of several features: a band's coefficients of all of them."""
+    return _accuracy(probes.band_probe(_features(spark, sf_dir), "label", "vec_id", feature="feature_idx", band_width=3), "target", "kind", "band")
+
+
+@query()
+def probe_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layered = _features(spark, sf_dir).withColumn("layer", F.floor(F.col("feature_idx") / 2).cast("int"))
+    return _accuracy(probes.layer_probes(layered, "label", "vec_id", "layer", ["feature_idx"]), "layer", "target")
+
+
+@query()
+def probe_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multinomial probes on time, cosine, mel, logarithmic and wavelet features."""
+    return _accuracy(probes.feature_probes(embeddings(spark, sf_dir), "label", "vec_id"), "variant")
+
+
+@query()
+def probe_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An unscaled multinomial probe whose test rows are whole groups."""
+    rows = embeddings(spark, sf_dir).withColumn("track", F.floor(F.col("vec_id") / 4))
+    return metrics.class_report(metrics.confusion(probes.group_probe(rows, "label", "vec_id", "track", "series"), "label", "prediction"))
+
+
+@query()
+def probe_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configured run over labels with samples enough, as metric rows."""
+    config = {"label": "label", "id": "vec_id", "transform": "dct", "band_width": 16, "min_samples": 5, "targets": ["0", "1"]}
+    return probes.run_pipeline(embeddings(spark, sf_dir), config).select("metric", "target", rounded("value", 4).alias("value"))
+
+
+@query()
+def learnt_token_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openness of a filter learnt with a token classifier of short and long words."""
+    words = F.filter(F.split(F.lower("text"), " "), lambda w: w != "")
+    items = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", words.alias("words")).where("size(words) > 0")
+    rows = items.select("item_id", F.transform("words", lambda w: F.when(F.length(w) > 4, "long").otherwise("short")).alias("labels"), corpus.hashed_embedding(F.col("words"), 3).alias("features"))
+    logits, *_ = probes.learn_filter(rows, 8, steps=15)
+    return spark.createDataFrame([(k, round(float(1 / (1 + 2.718281828459045**-v)), 4)) for k, v in enumerate(logits)], "k int, openness double")

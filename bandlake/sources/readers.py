@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
+import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -51,8 +52,9 @@ def get_config(name: str) -> EmbeddingConfig:
     return _CONFIGS[name]
 
 
-def read_npz(spark: SparkSession, path: str, label_key: str | None = None, layout: str = "channel_major", config: EmbeddingConfig | None = None) -> DataFrame:
-    """NPZ archives of embeddings (B,F,T), (B,C,S,T) or (B,L,C,S,T) and labels as a series table (with `layer` in the last case).
+def read_npz(spark: SparkSession, path: str, label_key: str | None = None, layout: str = "channel_major", config: EmbeddingConfig | None = None, data_key: str = "embeddings") -> DataFrame:
+    """NPZ archives of embeddings (B,F,T), (B,C,S,T) or (B,L,C,S,T) and labels as a series table (with `layer` in the last case, and `source_path`, the archive's file_paths).
+    data_key names another array, as dct_coeffs of a coefficient cache. Archives of over 2 GiB are read by read_large_npz.
 
     feature = channel * segments + segment, or segment * channels + channel with layout="segment_major". sample_id is the row's number, with
     a checksum of the file's name in the high bits. A file is one task's work, as it is one archive; many files spread over the cluster.
@@ -65,13 +67,16 @@ def read_npz(spark: SparkSession, path: str, label_key: str | None = None, layou
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 data = np.load(io.BytesIO(content), allow_pickle=False)
                 keys = [label_key] if label_key else [k for k in LABEL_KEYS if k in data]
-                if "embeddings" not in data or not keys or keys[0] not in data:
-                    raise ValueError(f"{name}: needs embeddings and labels ({label_key or ', '.join(LABEL_KEYS)}), has {sorted(data.files)}")
-                x, labels = data["embeddings"], data[keys[0]].astype(str)
+                if data_key not in data or not keys or keys[0] not in data:
+                    raise ValueError(f"{name}: needs {data_key} and labels ({label_key or ', '.join(LABEL_KEYS)}), has {sorted(data.files)}")
+                x, labels = data[data_key], data[keys[0]].astype(str)
                 if x.ndim not in (3, 4, 5) or len(x) != len(labels):
                     raise ValueError(f"{name}: embeddings of shape {x.shape} with {len(labels)} labels")
                 if config and x.ndim == 4 and x.shape[1:] != (config.channels, config.segments, config.steps):
                     raise ValueError(f"{name}: shape {x.shape[1:]} is not that of {config.name}")
+                if config and x.ndim == 3 and x.shape[1] != config.features:
+                    raise ValueError(f"{name}: {x.shape[1]} features are not {config.channels} x {config.segments} of {config.name}")
+                paths = data["file_paths"].astype(str) if "file_paths" in data else [None] * len(x)
                 layers = data["layers"] if x.ndim == 5 and "layers" in data else np.arange(x.shape[1] if x.ndim == 5 else 1)
                 x = x if x.ndim == 5 else x[:, None]
                 if x.ndim == 5:
@@ -83,10 +88,44 @@ def read_npz(spark: SparkSession, path: str, label_key: str | None = None, layou
                     series = x[b].reshape(n, -1).astype(np.float64)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(n, base + b)), pa.array([labels[b]] * n), pa.array(np.tile(np.arange(x.shape[2], dtype=np.int32), x.shape[1])),
-                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * series.shape[1]), pa.array(series.reshape(-1))), pa.array(np.repeat(np.asarray(layers, np.int32), x.shape[2])),
-                    ], ["sample_id", "label", "feature_idx", "series", "layer"])
+                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * series.shape[1]), pa.array(series.reshape(-1))), pa.array(np.repeat(np.asarray(layers, np.int32), x.shape[2])), pa.array([paths[b]] * n, pa.string()),
+                    ], ["sample_id", "label", "feature_idx", "series", "layer", "source_path"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(task, SERIES + ", layer int")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(task, SERIES + ", layer int, source_path string")
+
+
+def _npy_head(f) -> tuple[tuple[int, ...], bool, np.dtype]:
+    version = np.lib.format.read_magic(f)
+    return np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+
+
+def read_large_npz(spark: SparkSession, path: str, label_key: str | None = None, data_key: str = "embeddings", rows: int = 256) -> DataFrame:
+    """One NPZ archive (B, ...) of any size on a folder that all workers have mounted, as a series table: sample_id is the row's number.
+
+    Tasks take `rows` samples each and stream their part of the member, so memory doesn't depend on the archive; a compressed member is read from its start by every task.
+    """
+    path = path.removeprefix("file://")
+    with zipfile.ZipFile(path) as z, z.open(f"{data_key}.npy") as f:
+        shape, fortran, kind = _npy_head(f)
+        names = [n.removesuffix(".npy") for n in z.namelist()]
+    label_key = label_key or next((k for k in LABEL_KEYS if k in names), None)
+    if fortran or len(shape) < 3 or not label_key:
+        raise ValueError(f"{path}: needs {data_key} (B, ..., T) in C order and labels, has {names}")
+    width, per_row = shape[-1], int(np.prod(shape[1:]))
+
+    def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for first in batch.column("id").to_pylist():
+                labels = np.load(path, allow_pickle=False)[label_key].astype(str)
+                with zipfile.ZipFile(path) as z, z.open(f"{data_key}.npy") as f:
+                    _npy_head(f)
+                    f.seek(f.tell() + first * per_row * kind.itemsize)
+                    for b in range(first, min(shape[0], first + rows)):
+                        series = np.frombuffer(f.read(per_row * kind.itemsize), kind).astype(np.float64)
+                        n = per_row // width
+                        yield pa.RecordBatch.from_arrays([pa.array([b] * n, pa.int64()), pa.array([labels[b]] * n), pa.array(np.arange(n, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(series))], ["sample_id", "label", "feature_idx", "series"])
+
+    return spark.range(0, shape[0], rows, numPartitions=max(1, -(-shape[0] // rows))).mapInArrow(task, SERIES)
 
 
 def read_hierarchical_csv(spark: SparkSession, path: str) -> DataFrame:

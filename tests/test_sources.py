@@ -84,3 +84,41 @@ def test_stream_equals_batch(spark, tmp_path):
         run = f(live).writeStream.format("memory").queryName(name).outputMode("complete" if name != "sessions" else "complete").trigger(availableNow=True).start()
         run.awaitTermination()
         assert sorted(map(str, spark.table(name).collect())) == sorted(map(str, f(events).collect()))
+
+
+def test_archives_and_sounds_of_any_size(spark, tmp_path):
+    x = np.random.default_rng(1).standard_normal((7, 3, 5)).astype(np.float32)
+    for save in (np.savez, np.savez_compressed):
+        save(tmp_path / "a.npz", embeddings=x, genres=np.array(list("abcabca")), file_paths=np.array([f"f{i}" for i in range(7)]))
+        got = readers.read_large_npz(spark, str(tmp_path / "a.npz"), rows=2).orderBy("sample_id", "feature_idx").collect()
+        assert np.allclose([r.series for r in got], x.reshape(21, 5)) and [r.label for r in got[::3]] == list("abcabca")
+    assert {r.source_path for r in readers.read_npz(spark, str(tmp_path / "a.npz")).collect()} == {f"f{i}" for i in range(7)}
+    np.savez(tmp_path / "c.npz", dct_coeffs=x, genres=np.array(list("abcabca")))
+    assert readers.read_npz(spark, str(tmp_path / "c.npz"), data_key="dct_coeffs").count() == 21
+    with pytest.raises(Exception, match="are not 2 x 2"):
+        readers.read_npz(spark, str(tmp_path / "a.npz"), config=readers.EmbeddingConfig("s", "p", 2, 2, 5)).collect()
+    for width in (1, 2, 3, 4):
+        sink = io.BytesIO()
+        with wave.open(sink, "wb") as f:
+            f.setnchannels(2), f.setsampwidth(width), f.setframerate(8000)
+            whole = [int(v * 2 ** (8 * width - 1)) for v in (0.5, 0.0, -0.5, -1.0)]
+            f.writeframes(b"".join((v + 128).to_bytes(1, "little") if width == 1 else v.to_bytes(width, "little", signed=True) for v in whole))
+        assert readers.decode_wav(sink.getvalue()).tolist() == [0.25, -0.75]
+
+
+def test_chord_folder_and_curves(spark, tmp_path):
+    (tmp_path / "segments.csv").write_text("track_id,chord_label\nb,N\n")
+    np.save(tmp_path / "embeddings.npy", np.array([[1.0, 2.0]]))
+    assert readers.read_chord_folder(spark, str(tmp_path)).first().track_id == "b"
+    (tmp_path / "segments_aligned.csv").write_text("track_id,chord_label\na,C:maj\n")
+    assert readers.read_chord_folder(spark, str(tmp_path)).first().track_id == "a"
+    with pytest.raises(ValueError, match="several files"):
+        readers.read_chords(spark, str(tmp_path / "*.csv"), str(tmp_path / "embeddings.npy"))
+    curve = spark.createDataFrame([(1, 0.5), (0, 1.0)], "lag int, rho double")
+    assert np.load(io.BytesIO(writers.curve_file(curve, "lag", "rho"))).tolist() == [1.0, 0.5]
+    spectra = spark.createDataFrame([(2, 1, 1.0, 0.3), (2, 0, 0.0, 0.1), (1, 0, 0.0, 0.2)], "factor int, k int, frequency double, mean double")
+    found = np.load(io.BytesIO(writers.spectra_archive(spectra)))
+    assert found["factor_2"].tolist() == [0.1, 0.3] and found["freq_1"].tolist() == [0.0]
+    assert writers.write_files(spark.createDataFrame([("x/y.bin", b"ab")], "name string, content binary"), str(tmp_path)) == 1 and (tmp_path / "x/y.bin").read_bytes() == b"ab"
+    with pytest.raises(ValueError, match="mounted"):
+        writers.write_files(spark.createDataFrame([("y", b"")], "name string, content binary"), "hdfs://host/x")

@@ -98,3 +98,25 @@ def test_sql_functions(spark):
     assert np.allclose(m, np.abs(np.fft.rfft([1, 2, 4, -1])) / 2)
     rows = spark.sql("select * from spectrum(array(1d, 2d, 4d, -1d))").collect()
     assert np.allclose([r.magnitude for r in sorted(rows)], m)
+
+
+def test_more_transforms(spark):
+    from bandlake.functions import bands
+    from bandlake.operators.aggregates import correlation, student_p
+    from bandlake.operators.metrics import batch_mean
+
+    x = np.random.default_rng(3).standard_normal(700)
+    df = spark.createDataFrame([(x.tolist(), [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]], "b", ["[CLS]", "a", "[SEP]"], [True, False, True])], "x array<double>, m array<array<double>>, c string, t array<string>, s array<boolean>")
+    bank = bands.mel_filter_bank(65, 8)
+    r = df.select(transforms.dct_sums(F.col("x")).alias("d"), transforms.mel_spectrogram(F.col("x"), bank, 128, 64).alias("g"), arrays.transpose(F.col("m")).alias("m"), arrays.one_hot(F.col("c"), ["a", "b"]).alias("h"), arrays.without_special(F.col("t"), F.col("s")).alias("t")).first()
+    k, t = np.arange(700)[:, None], np.arange(700)[None]
+    assert np.allclose(r.d, 2 * (np.cos(np.pi * (2 * t + 1) * k / 1400) @ x)) and r.m == [[1.0, 4.0], [2.0, 5.0], [3.0, 6.0]] and r.h == [0.0, 1.0] and r.t == ["a"]
+    padded = np.pad(x, 64)
+    power = np.array([np.abs(np.fft.rfft(padded[i : i + 128] * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(128) / 128)))) ** 2 for i in range(0, len(padded) - 127, 64)]) @ bank.T
+    assert np.allclose(np.array(r.g).reshape(power.shape), np.maximum(10 * np.log10(power / power.max()), -80), atol=1e-6) and max(r.g) == 0
+    # critical values of Student's t, from tables
+    assert np.allclose(student_p(np.array([2.228, 12.706, 1.96, 0.0, 2.704]), np.array([10, 1, 1e6, 5, 40])), [0.05, 0.05, 0.05, 1.0, 0.01], atol=2e-4)
+    rows = spark.createDataFrame([(float(i), float(i * i % 17), i % 3) for i in range(60)] + [(None, 1.0, 0)], "x double, y double, b int")
+    found = correlation(rows, "x", "y").first()
+    assert abs(found.p - student_p([found.t], [58.0])[0]) < 1e-12 and 0 < found.p < 1 and correlation(rows.limit(5), "x", "y").first().p is None
+    assert batch_mean(spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 5.0)], "b int, v double"), "b", "v").first().v == 3.5
