@@ -28,7 +28,7 @@ from bandlake.llm.packing import expand, pack, squeeze, unpack
 from bandlake.llm.wordbytes import Words, batches, mix64, text_bytes
 
 ROWS = "fragment long, batch string, blob binary"
-SEGMENTS = 8
+SEGMENTS = 2
 OFTEN = 32
 RINGS = (0, 64, 1 << 40)
 _BITS = np.uint64(24)
