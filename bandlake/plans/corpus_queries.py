@@ -113,7 +113,13 @@ def token_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.select("item_id", "dim", F.explode("series").alias("v")).groupBy("item_id", "dim").agg(rounded(F.avg("v")).alias("mean"))
 
 
-@query()
+@query(
+    "with t as (select item_id, string_split(lower(text), ' ') as w from benchmark where text is not null), x as (select item_id, d, unnest(range(0, len(w))) as t, unnest(w) as w, len(w) as n from t, (select unnest(range(0, 2)) as d)), "
+    "v as (select item_id, d, t, n, cast(('0x' || substr(md5(w || '#' || d), 1, 8))::bigint as double) / 2147483648.0 - 1.0 as v from x), "
+    "c as (select v.item_id, v.d, k.t as k, v.n, sum(v.v * cos(pi() * (2 * v.t + 1) * k.t / (2 * v.n))) * case when k.t = 0 then sqrt(1 / cast(v.n as double)) else sqrt(2 / cast(v.n as double)) end as c from v join v k on k.item_id = v.item_id and k.d = v.d group by v.item_id, v.d, k.t, v.n), "
+    "p as (select *, k * 64 // n as lo, ((k + 1) * 64 + n - 1) // n as hi from c), w as (select *, greatest(0, least(hi, 8) - lo) / cast(hi - lo as double) as low, greatest(0, hi - greatest(lo, 8)) / cast(hi - lo as double) as high from p) "
+    "select item_id, cast(d as integer) as dim, round(sum(c * c * low * low), 6) + 0.0 as low, round(sum(c * c * high * high), 6) + 0.0 as high from w group by item_id, d"
+)
 def dsl_filter_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Energy of each item's token series after a low and a high filter."""
     tokens = F.split(F.lower("text"), " ")

@@ -214,3 +214,38 @@ def test_band_layouts_by_definition():
             left = (len(wide) + 1) // 2
             assert len(wide) == n % count and wide == [*range(left), *range(count - len(wide) + left, count)]
             assert [lo for lo, _ in bands.allocated(n, count, exact=False)] == [b * (n // count) for b in range(count)]
+
+
+def test_text_probe(spark, tmp_path):
+    from bandlake.operators import text_probe as tp
+
+    rnd = np.random.default_rng(2)
+    words, kinds = ["red", "blue", "run", "jump"], {"red": "ADJ", "blue": "ADJ", "run": "VERB", "jump": "VERB"}
+
+    def texts(n, shift):
+        out = []
+        for i in range(n):
+            w = [words[j] for j in rnd.integers(0, 4, 6)]
+            out.append((i + shift, [" ".join(w)], [kinds[x] for x in w], "token"))
+        return spark.createDataFrame(out, "id int, texts array<string>, labels array<string>, level string")
+
+    train, valid = texts(40, 0), texts(15, 100)
+    scores, said = tp.text_probe(train, valid)
+    assert scores.first().accuracy == 1.0 and said.count() == 90 and {r.prediction for r in said.collect()} == {"ADJ", "VERB"}
+    assert tp.text_probe(train, valid, "auto(4)")[0].first().accuracy > 0.9
+    assert tp.text_probe(train, valid, "band(16, 12, 15)")[0].first().accuracy < 1.0
+    pairs = spark.createDataFrame([(i, ["red red", "run" if i % 2 else "jump"], ["yes" if i % 2 else "no"], "multiple") for i in range(30)], "id int, texts array<string>, labels array<string>, level string")
+    found, guesses = tp.text_probe(pairs, pairs, pooling="mean", repeats=2)
+    assert [r.accuracy for r in found.collect()] == [1.0, 1.0] and guesses.count() == 60
+    for bad in ({"classifier": "tree"}, {"pooling": "max"}, {"encoder": "none"}):
+        with pytest.raises(ValueError, match="unknown"):
+            tp.text_probe(train, valid, **bad)
+    with pytest.raises(ValueError, match="not in the training"):
+        tp.text_probe(train, pairs)
+    got = tp.run_tasks({"a": (train, valid)}, ["nofilter()", "band(16, 0, 3)"]).collect()
+    assert [(r.task, r.filter) for r in got] == [("a", "nofilter()"), ("a", "band(16, 0, 3)")]
+    data = spark.createDataFrame([(str(i % 2), [float(i % 2), float(i)], i % 5 == 0) for i in range(40)], "label string, features array<double>, is_test boolean")
+    fitted = probes.fit_probes(data, [probes.Probe("all", None, ((0, 2),)), probes.Probe("b", "1", ((0, 1),))])
+    tp.save_fitted(spark, fitted, str(tmp_path / "f"))
+    again = tp.load_fitted(spark, str(tmp_path / "f"))
+    assert sorted(map(str, probes.evaluate(data, again).collect())) == sorted(map(str, probes.evaluate(data, fitted).collect()))
