@@ -28,6 +28,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fragments_for(docs: DataFrame, text: str = "text", each: int = 24 << 20) -> int:
+    """How many groups to deal the texts' windows, lines or n-grams to: twice the shuffle partitions, or as many as give a group `each` bytes of text."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 def _forest(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of a block as stars around the smallest node of each tree (union-find)."""
     root: dict[int, int] = {}
@@ -46,10 +52,6 @@ def _forest(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["u", "v"])
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first())
-
-
 def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, component) of every node of edges(a, b): the smallest node that it reaches.
 
@@ -62,7 +64,6 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
     e = written(e.coalesce(blocks).mapInArrow(_forest, "u long, v long"), "edges")
     if blocks == 1:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-    before = _signature(e)
     for _ in range(limit):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -70,11 +71,10 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.expr("inline(if(v = m, array(struct(u as x, m as y)), array(struct(v as x, m as y), struct(u as x, m as y))))").alias("u", "v"))
-        e = written(small.distinct(), "edges")
-        now = _signature(e)
-        if now == before:
+        last, e = e, written(small.distinct(), "edges")
+        # both tables hold distinct edges: they are equal if neither has an edge that the other lacks
+        if not e.join(last, ["u", "v"], "left_anti").take(1) and not last.join(e, ["u", "v"], "left_anti").take(1):
             break
-        before = now
     else:
         raise RuntimeError("components did not converge")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component"))

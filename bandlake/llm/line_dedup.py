@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandlake.llm.components import connected_components, written
+from bandlake.llm.components import connected_components, fragments_for, written
 from bandlake.llm.packing import expand, squeeze
 from bandlake.llm.wordbytes import batches, mix64
 
@@ -255,7 +255,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 def line_classes(docs: DataFrame, edits: int = EDITS, least_length: int = LEAST_LENGTH) -> tuple[DataFrame, DataFrame]:
     """(lines, classes): every line's doc_id, row, place and h, and (h, component) of the lines that have near lines."""
     spark = docs.sparkSession
-    n_fragments = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_fragments = fragments_for(docs)
     lines = _lines(docs)
     long = lines.where(f"length(line) >= {least_length}")
     entries = written(_entries(long, edits, n_fragments), "entries")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandlake.llm.components import connected_components, written
+from bandlake.llm.components import connected_components, fragments_for, written
 from bandlake.llm.packing import expand, pack, squeeze, unpack
 from bandlake.llm.wordbytes import Words, batches, mix64, text_bytes
 
@@ -274,8 +274,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     give the same rows in the same order when a lost partition is computed again, as files do.
     """
     spark = docs.sparkSession
-    n_fragments = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    n_fragments = fragments_for(docs)
     sets = written(_shared_sets(docs, n, percent, n_fragments), "sets")
     shared = sets.where("grams is not null")
     nodes = written(_ordered_sets(shared.dropDuplicates(["sid", "check"]).select("sid", "n", "grams"), percent, n_fragments), "nodes")

@@ -26,7 +26,7 @@ from bandlake.llm.packing import pack, unpack
 from bandlake.llm.wordbytes import Words, batches, text_bytes
 
 SYMBOLS = 256
-GROUP_SUFFIXES = 2_000_000
+GROUP_SUFFIXES, BUCKET_SUFFIXES = 2_000_000, 4_000_000
 LEAST_GROUP = 25_000
 
 RESULT = "doc_id long, n_words long, n_removed long, span_start array<int>, span_words array<int>, kept_text string"
@@ -47,7 +47,7 @@ def _leaf(trie: np.ndarray, symbols: np.ndarray, starts: np.ndarray) -> np.ndarr
 
 
 def plan_prefixes(docs: DataFrame, min_words: int, n_buckets: int, group_suffixes: int = GROUP_SUFFIXES) -> tuple[np.ndarray, np.ndarray]:
-    """(trie, bucket of each leaf). The driver sees counts of symbols only: 65,536 at first, then 256 for each
+    """(trie, bucket of each leaf). There are n_buckets, or as many as leave a bucket BUCKET_SUFFIXES suffixes. The driver sees counts of symbols only: 65,536 at first, then 256 for each
     prefix that is still too large, which are at most suffixes / group size many."""
 
     def count(trie: np.ndarray | None, depth: int) -> dict[tuple[int, int], int]:
@@ -76,6 +76,7 @@ def plan_prefixes(docs: DataFrame, min_words: int, n_buckets: int, group_suffixe
     pairs = np.zeros((SYMBOLS, SYMBOLS), np.int64)
     for (_, code), n in count(None, 0).items():
         pairs[code // SYMBOLS, code % SYMBOLS] = n
+    n_buckets = max(n_buckets, -(-int(pairs.sum()) // BUCKET_SUFFIXES))
     capacity = min(group_suffixes, max(LEAST_GROUP, int(pairs.sum()) // (2 * n_buckets)))
     nodes: list[np.ndarray] = [np.zeros(SYMBOLS, np.int64)]
     sizes: list[int] = []
