@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -13,21 +14,34 @@ from bandlake.session import shared_folder
 
 BLOCK_EDGES = 500_000
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK = threading.Lock()
+_WRITTEN: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")  # once written, the plan's shuffle files are of no use
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
+    _WRITTEN.append(path)
+    with _LOCK:  # the setting is the session's
+        before = spark.conf.get(_CLEAN, "false")
+        spark.conf.set(_CLEAN, "true")  # once written, the plan's shuffle files are of no use
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_written(spark) -> int:
+    """Deletes the tables that `written` has made in this process and returns their number; results that still read them must be stored first."""
+    n = 0
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def fragments_for(docs: DataFrame, text: str = "text", each: int = 24 << 20) -> int:
     """How many groups to deal the texts' windows, lines or n-grams to: twice the shuffle partitions, or as many as give a group `each` bytes of text."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]

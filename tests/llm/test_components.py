@@ -22,3 +22,9 @@ def test_components_of_many_blocks(spark, monkeypatch):
     got = {r.node: r.component for r in components.connected_components(frame).collect()}
     assert got == {x: find(x) for x in root}
     assert components.connected_components(frame.where("a < -9")).count() == 0
+
+
+def test_written_tables_are_deleted(spark):
+    delete_written(spark)
+    a, b = written(spark.range(3), "a"), written(spark.range(2), "b")
+    assert a.count() + b.count() == 5 and delete_written(spark) == 2 and delete_written(spark) == 0
