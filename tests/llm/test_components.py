@@ -25,6 +25,6 @@ def test_components_of_many_blocks(spark, monkeypatch):
 
 
 def test_written_tables_are_deleted(spark):
-    delete_written(spark)
-    a, b = written(spark.range(3), "a"), written(spark.range(2), "b")
-    assert a.count() + b.count() == 5 and delete_written(spark) == 2 and delete_written(spark) == 0
+    components.delete_written(spark)
+    a, b = components.written(spark.range(3), "a"), components.written(spark.range(2), "b")
+    assert a.count() + b.count() == 5 and components.delete_written(spark) == 2 and components.delete_written(spark) == 0
