@@ -95,14 +95,17 @@ def sentence_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.evaluate(truth, predicted).select(F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"), "n_bad")
 
 
-_CHORDS = ["N", "C:maj7", "A:min7", "G:7", "C", "D:sus4", "E:min/5", "A:b:c", "F:maj", "B:hdim7"]
+_QUALITIES = ["maj7", "min7", "7", "sus4", "min/5", "b:c", "maj", "hdim7"]
+_CHORD_SQL = "case item_id % 11 when 0 then 'N' when 1 then 'C' else (['C', 'D', 'E', 'F#', 'Bb'])[1 + item_id % 5] || ':' || ([" + ", ".join(f"'{q}'" for q in _QUALITIES) + f"])[1 + length(text) % {len(_QUALITIES)}] end"
 
 
-@query(
-    "with c as (select * from (values " + ", ".join(f"('{c}')" for c in _CHORDS) + ") v(original_chord)), p as (select *, string_split(original_chord, ':') as s from c) select original_chord, case when original_chord = 'N' or len(s) <> 2 then 'N' when s[2] like 'maj%' or s[2] = '7' then s[1] || ':maj' when s[2] like 'min%' then s[1] || ':min' else 'N' end as chord_label from p"
-)
+@query(f"with p as (select item_id, {_CHORD_SQL} as original_chord from benchmark where text is not null), q as (select *, string_split(original_chord, ':') as s from p) select item_id, original_chord, case when original_chord = 'N' or len(s) <> 2 then 'N' when s[2] like 'maj%' or s[2] = '7' then s[1] || ':maj' when s[2] like 'min%' then s[1] || ':min' else 'N' end as chord_label from q")
 def chord_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in _CHORDS], "original_chord string").withColumn("chord_label", text.simplify_chord(F.col("original_chord")))
+    """A chord for each item, of a root by its number and a quality by its length, simplified."""
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    made = F.concat(pick(["C", "D", "E", "F#", "Bb"], F.col("item_id") % 5), F.lit(":"), pick(_QUALITIES, F.length("text") % len(_QUALITIES)))
+    chord = F.when(F.col("item_id") % 11 == 0, "N").when(F.col("item_id") % 11 == 1, "C").otherwise(made)
+    return table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", chord.alias("original_chord")).withColumn("chord_label", text.simplify_chord(F.col("original_chord")))
 
 
 @query("with t as (select item_id, string_split(lower(text), ' ') as w from benchmark), x as (select item_id, d, unnest(range(0, len(w))) as t, unnest(w) as w, len(w) as n from t, (select unnest(range(0, 2)) as d)), v as (select item_id, d, t, n, cast(('0x' || substr(md5(w || '#' || d), 1, 8))::bigint as double) / 2147483648.0 - 1.0 as v from x) select item_id, cast(d as integer) as dim, round(avg(v), 6) + 0.0 as mean from v group by all")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandlake.functions import arrays, bands, transforms
-from bandlake.operators import corpus, metrics, probes
+from bandlake.operators import corpus, metrics, probes, text_probe
 from bandlake.plans.registry import SERIES_SQL, embeddings, query, rfft_sql, rounded
 from bandlake.session import table
 
@@ -145,3 +145,14 @@ def learnt_token_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items.select("item_id", F.transform("words", lambda w: F.when(F.length(w) > 4, "long").otherwise("short")).alias("labels"), corpus.hashed_embedding(F.col("words"), 3).alias("features"))
     logits, *_ = probes.learn_filter(rows, 8, steps=15)
     return spark.createDataFrame([(k, round(float(1 / (1 + 2.718281828459045**-v)), 4)) for k, v in enumerate(logits)], "k int, openness double")
+
+
+@query()
+def text_probe_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a token classifier of short and long words under three filters."""
+    words = F.filter(F.split(F.lower("text"), " "), lambda w: w != "")
+    items = table(spark, sf_dir, "benchmark").where("text is not null").select(F.col("item_id").alias("id"), words.alias("words")).where("size(words) > 0")
+    labels = F.transform("words", lambda w: F.when(F.length(w) > 4, "long").otherwise("short"))
+    data = items.select("id", F.array(F.array_join("words", " ")).alias("texts"), labels.alias("labels"), F.lit("token").alias("level"))
+    found = text_probe.run_tasks({"lengths": (data.where("id % 4 <> 0"), data.where("id % 4 = 0"))}, ["nofilter()", "band(64, 0, 15)", "band(64, 16, 63)"])
+    return found.select("task", "filter", *(rounded(c, 4).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")))
