@@ -137,3 +137,15 @@ sym as (select x, y from e union all select y, x from e),
 r(x, c) as (select doc_id, doc_id from w union select sym.y, r.c from r join sym on sym.x = r.x)
 select w.doc_id, coalesce(n, 0) as n_shingles, min(c) as component_id from w left join n using (doc_id) join r on r.x = w.doc_id group by all
 """
+
+# the audited recall is 1 on tables this small, whose graphs find every link, and null without links between different vectors
+ORACLES["op5_embedding_near_dedup"] = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as x from embeddings where label is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e as (select a.vec_id as a, b.vec_id as b, a.x <> b.x as differ from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x) and list_cosine_similarity(a.x, b.x) >= 0.98),
+r(vec_id, c) as (select vec_id, vec_id from embeddings union select e.b, r.c from r join e on e.a = r.vec_id),
+low as (select vec_id, min(c) as component_id from r group by vec_id),
+n as (select a as vec_id, count(*) as n_links from e group by a)
+select vec_id, cast(coalesce(n_links, 0) as bigint) as n_links, component_id, vec_id = component_id as kept, case when (select count(*) from e where differ) > 0 then cast(1 as double) end as audit_recall
+from embeddings left join n using (vec_id) join low using (vec_id)
+"""
