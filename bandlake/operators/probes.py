@@ -27,7 +27,7 @@ from bandlake.operators.ranking import group_split, stratified_split
 
 MAX_WIDTH = 512
 MIN_POSITIVES = 10
-SLOTS = 16
+TASKS = 64
 BLOCK = 512
 
 
@@ -102,12 +102,12 @@ class Descent:
 
 
 def summed(rows: DataFrame, parts) -> dict[int, np.ndarray]:
-    """Sums of {number: vector} that `parts` makes of a task's batches, added over the tasks by number, in two levels."""
+    """Sums of {number: vector} that `parts` makes of a task's batches, added by number: over TASKS tasks at a time by a shuffle, then on the driver."""
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = parts(stream)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([TaskContext.get().partitionId() % SLOTS] * len(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["probe", "slot", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([TaskContext.get().partitionId() // TASKS] * len(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["probe", "slot", "v"])
 
     def add(t: pa.Table) -> pa.Table:
         total = np.frombuffer(t["v"][0].as_py()).copy()
@@ -118,7 +118,7 @@ def summed(rows: DataFrame, parts) -> dict[int, np.ndarray]:
     shape = "probe long, slot long, v binary"
     found = rows.mapInArrow(task, shape).groupBy("probe", "slot").applyInArrow(add, shape)
     out: dict[int, np.ndarray] = {}
-    for r in found.collect():  # SLOTS vectors a probe at most
+    for r in found.collect():  # a vector of each probe for every TASKS tasks
         out[r["probe"]] = out.get(r["probe"], 0) + np.frombuffer(r["v"])
     return out
 
