@@ -12,6 +12,7 @@ from bandlake.llm.line_dedup import line_dedup
 from bandlake.llm.mixing import mix_sources
 from bandlake.llm.ngram_join import ngram_join
 from bandlake.llm.quality import quality
+from bandlake.llm.source_divergence import source_divergence
 from bandlake.llm.substring_dedup import substring_dedup
 from bandlake.llm.toxicity import toxicity
 from bandlake.llm.vector_dedup import vector_dedup
@@ -149,3 +150,28 @@ n as (select a as vec_id, count(*) as n_links from e group by a)
 select vec_id, cast(coalesce(n_links, 0) as bigint) as n_links, component_id, vec_id = component_id as kept, case when (select count(*) from e where differ) > 0 then cast(1 as double) end as audit_recall
 from embeddings left join n using (vec_id) join low using (vec_id)
 """
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, terms = source_divergence(_table(spark, sf_dir, "documents"))
+    both = pairs.withColumn("part", F.lit("pair")).unionByName(terms.withColumn("part", F.lit("term")))
+    return both.select("lang", "source", "part", "item", "value", F.col("rank").cast("int").alias("rank"))
+
+
+ORACLES["op13_source_divergence"] = r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
+w as (select r, lang, source, unnest(ws) as term from d),
+kept as (select lang, term, count(*) as n from w group by all having count(distinct r) >= 30),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from w semi join kept using (lang, term) group by all),
+v as (select lang, count(*) as v, sum(n) as total from kept group by lang),
+own as (select lang, source, sum(n) as total from c group by all),
+p as (select g.lang, g.source, kept.term, coalesce(c.n, 0) as n, cast(1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (coalesce(own.total, 0) + 5 * v.v) as bigint) as p, cast(1 + (1000000000 * (kept.n + 5)) // (v.total + 5 * v.v) as bigint) as q
+  from g join kept using (lang) join v using (lang) left join own using (lang, source) left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(sum(abs(x.p - y.p)), 0) as bigint) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join p x on x.lang = a.lang and x.source = a.source left join p y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all),
+terms as (select lang, source, 'term' as part, term as item, p - q as value from p where n > 0 and p > q),
+ranked as (select *, cast(row_number() over (partition by lang, source, part order by value desc, encode(item)) as integer) as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50
+"""
