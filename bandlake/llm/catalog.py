@@ -11,6 +11,7 @@ from bandlake.llm.license_scan import license_scan
 from bandlake.llm.line_dedup import line_dedup
 from bandlake.llm.mixing import mix_sources
 from bandlake.llm.ngram_join import ngram_join
+from bandlake.llm.periodic_runs import periodic_runs
 from bandlake.llm.quality import quality
 from bandlake.llm.source_divergence import source_divergence
 from bandlake.llm.substring_dedup import substring_dedup
@@ -152,6 +153,30 @@ from embeddings left join n using (vec_id) join low using (vec_id)
 """
 
 
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text of the documents, every tenth (by a checksum of the id) with words that repeat from a place on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    some = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words").cast("long"))
+    some = some.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    some = some.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    a, p = F.col("a"), F.col("p")
+    planted = F.array_join(F.transform("words", lambda w, i: F.when(i < a, w).otherwise(F.get("words", (a + (i - a) % p).cast("int")))), " ")
+    return some.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_repeats(_table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    best = F.col("best")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
 @query
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, terms = source_divergence(_table(spark, sf_dir, "documents"))
