@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bandlake.llm.arc_to_warc import arc_round_trip
 from bandlake.llm.decontaminate import decontaminate
+from bandlake.llm.katz import katz_scores
 from bandlake.llm.license_scan import license_scan
 from bandlake.llm.line_dedup import line_dedup
 from bandlake.llm.mixing import mix_sources
@@ -177,6 +178,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(_table(spark, sf_dir, "documents"), held_out=F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 @query
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, terms = source_divergence(_table(spark, sf_dir, "documents"))
