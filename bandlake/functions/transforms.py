@@ -17,6 +17,10 @@ from pyspark.sql.functions import arrow_udf
 from bandlake.functions import arrays
 
 
+#: Longer series are not multiplied by a basis of cosines.
+BASIS = 512
+
+
 def by_length(series: pa.Array, f: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
     """Applies f to the stacked rows of each length."""
     values = series.cast(pa.list_(pa.float64()))
@@ -49,6 +53,31 @@ def dct_basis(n: int) -> np.ndarray:
     return basis
 
 
+def dct_rows(x: np.ndarray) -> np.ndarray:
+    """Orthonormal cosine transform along the last axis; long rows by way of a Fourier transform, as a basis grows with the square."""
+    n = x.shape[-1]
+    if n <= BASIS:
+        return x @ dct_basis(n).T
+    v = np.concatenate([x[..., ::2], x[..., 1::2][..., ::-1]], axis=-1)
+    y = (np.fft.fft(v, axis=-1) * np.exp(-0.5j * np.pi * np.arange(n) / n)).real * np.sqrt(2.0 / n)
+    y[..., 0] /= np.sqrt(2.0)
+    return y
+
+
+def inverse_dct_rows(y: np.ndarray) -> np.ndarray:
+    n = y.shape[-1]
+    if n <= BASIS:
+        return y @ dct_basis(n)
+    y = y * np.sqrt(n / 2.0)
+    y[..., 0] *= np.sqrt(2.0)
+    back = np.concatenate([np.zeros_like(y[..., :1]), y[..., :0:-1]], axis=-1)
+    v = np.fft.ifft((y - 1j * back) * np.exp(0.5j * np.pi * np.arange(n) / n), axis=-1).real
+    x = np.empty_like(v)
+    x[..., ::2] = v[..., : n - n // 2]
+    x[..., 1::2] = v[..., n - n // 2 :][..., ::-1]
+    return x
+
+
 def _rfft(x: np.ndarray) -> np.ndarray:
     return np.abs(np.fft.rfft(x, axis=1)) / np.sqrt(x.shape[1])
 
@@ -76,7 +105,7 @@ def rfft_magnitude(c: Column, window: str | None = None) -> Column:
 
 
 def dct(c: Column) -> Column:
-    return _arrow(lambda x: x @ dct_basis(x.shape[1]).T)(c)
+    return _arrow(dct_rows)(c)
 
 
 def dct_sums(c: Column) -> Column:
@@ -86,7 +115,7 @@ def dct_sums(c: Column) -> Column:
         n = x.shape[1]
         scale = np.full(n, np.sqrt(2.0 * n))
         scale[0] = 2 * np.sqrt(n)
-        return x @ dct_basis(n).T * scale
+        return dct_rows(x) * scale
 
     return _arrow(f)(c)
 
@@ -107,7 +136,7 @@ def mel_spectrogram(c: Column, bank: np.ndarray, length: int = 512, hop: int = 1
 
 
 def inverse_dct(c: Column) -> Column:
-    return _arrow(lambda x: x @ dct_basis(x.shape[1]))(c)
+    return _arrow(inverse_dct_rows)(c)
 
 
 def autocorrelation(c: Column, max_lag: int) -> Column:
@@ -130,16 +159,42 @@ def pooled_filter(weights: np.ndarray, n: int) -> np.ndarray:
     return (total[high] - total[low]) / (high - low)
 
 
+def unpooled_filter(values: np.ndarray, size: int) -> np.ndarray:
+    """The transpose of pooled_filter: what a gradient by the pooled filter is by the filter."""
+    n = len(values)
+    low, high = np.arange(n) * size // n, -(-(np.arange(n) + 1) * size // n)
+    edge = np.zeros(size + 1)
+    np.add.at(edge, low, values / (high - low))
+    np.add.at(edge, high, -values / (high - low))
+    return np.cumsum(edge[:-1])
+
+
+def openness(weights: np.ndarray, n: int, sigmoid: bool) -> np.ndarray:
+    """The filter for a series of length n: pooled, then, for a learnt one, its sigmoid."""
+    w = pooled_filter(weights, n)
+    return 1 / (1 + np.exp(-w)) if sigmoid else w
+
+
+def _filtered(weights: np.ndarray, sigmoid: bool) -> Callable[[np.ndarray], np.ndarray]:
+    return lambda x: inverse_dct_rows(dct_rows(x) * openness(weights, x.shape[-1], sigmoid))
+
+
 def frequency_filter(c: Column, weights: np.ndarray, sigmoid: bool = False) -> Column:
     """Cosine transform, times the filter pooled to the series' length, and back."""
+    return _arrow(_filtered(weights, sigmoid))(c)
 
-    def f(x: np.ndarray) -> np.ndarray:
-        w = pooled_filter(weights, x.shape[1])
-        w = 1 / (1 + np.exp(-w)) if sigmoid else w
-        basis = dct_basis(x.shape[1])
-        return (x @ basis.T * w) @ basis
 
-    return _arrow(f)(c)
+def filter_lanes(c: Column, weights: np.ndarray, sigmoid: bool = False) -> Column:
+    """frequency_filter of each series of an array of series, row by row."""
+
+    @arrow_udf("array<array<double>>")
+    def run(rows: pa.Array) -> pa.Array:
+        rows = rows.cast(pa.list_(pa.list_(pa.float64())))
+        found = by_length(rows.flatten(), _filtered(weights, sigmoid))
+        sizes = pa.compute.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), found, mask=rows.is_null() if rows.null_count else None)
+
+    return run(c)
 
 
 TRANSFORMS: dict[str, Callable[..., Column]] = {"dct": dct, "fft": rfft_magnitude, "dft": rfft_magnitude, "haar": arrays.haar}
