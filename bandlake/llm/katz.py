@@ -5,7 +5,7 @@ backoff weight times the probability after the context without its first token,
 exactly: what the discounts of a context leave is shared among the tokens it wasn't seen with.
 
 n-grams are counted in groups partitioned by context, order by order. A batch of documents sends each of its distinct n-grams once, with its training count and the probability
-of its shorter form; a group adds counts, discounts them, weights its contexts and answers each batch with probabilities. Answers of an order are a stored table that the next order
+of its shorter form; a group adds counts, discounts them, weighs its contexts and answers each batch with counts, denominators and weights. Answers of an order are a stored table that the next order
 reads. A context with more occurrences than a group should hold is split by its tokens; the parts' sums make its weight, and there are fewer such contexts than groups.
 """
 
@@ -186,7 +186,7 @@ def _answers(model: Model, tokens: Tokens, rows: list[tuple[int, int, int, bytes
     for order in range(1, upto + 1):
         context, token, own, number = tokens.distinct(order)
         m = len(context)
-        value, count = np.zeros(m), np.zeros(m, np.int64)
+        whole, weight, count = np.ones(m), np.ones(m), np.zeros(m, np.int64)
         told = {(f, kind): blob for o, f, kind, blob in rows if o == order}
         if order == 1:
             group, heavy = _dealt(token, model.groups), np.zeros(m, bool)
@@ -198,19 +198,20 @@ def _answers(model: Model, tokens: Tokens, rows: list[tuple[int, int, int, bytes
             some = np.flatnonzero(heavy == (kind == HEAVY))
             for g, p in _parts(group[some]):
                 p = some[p]
-                v, c = _unframed(told[g, kind])
-                if order > 1:
-                    value[p] = _decoded(v, np.float64)
+                c, w, a = _unframed(told[g, kind])
                 count[p] = _decoded(c, np.int64)
+                if order > 1 and kind == LIGHT:
+                    own = np.cumsum(np.concatenate([[True], context[p][1:] != context[p][:-1]])) - 1
+                    whole[p], weight[p] = _decoded(w, np.int64)[own], _decoded(a, np.float64)[own]
         if order == 1:
             value = single(count, model.tally[1], model.discount[1])
             first_counts = count[number]
-        elif heavy.any():
-            # the group knew its part of the context only: discounted counts, or 0 for what wasn't seen
-            known, whole, weight = model.split[order]
-            k = np.searchsorted(known, context[heavy])
-            lower = probability[at[heavy]]
-            value[heavy] = np.where(count[heavy] > 0, value[heavy] / whole[k], weight[k] * lower)
+        else:
+            if heavy.any():  # their groups knew parts of the contexts only
+                known, wholes, weights = model.split[order]
+                k = np.searchsorted(known, context[heavy])
+                whole[heavy], weight[heavy] = wholes[k], weights[k]
+            value = np.where(count > 0, kept(count, model.discount[order]) / whole, weight * probability[at])
         probability, seen_now = value[number], count[number]
         # the context of the next order is the n-gram that ends one token before
         context_seen = np.where(tokens.place > 0, np.concatenate([[0], seen_now[:-1]]), model.train_docs)
@@ -239,7 +240,7 @@ def _count_singles(t: pa.Table, fragment: int) -> pa.RecordBatch:
     total, back = _sum_by(np.concatenate([k for k, _ in parts]), np.concatenate([v.astype(np.int64) for _, v in parts]))
     each = np.split(total[back], np.cumsum([len(k) for k, _ in parts])[:-1])
     names = t["batch"].to_pylist()
-    return _row([fragment] * (len(names) + 1), [*names, None], [LIGHT] * len(names) + [SUMS], [*(_framed(b"", _coded(x)) for x in each), None], [None] * len(names) + [[1, *_tally(total)]])
+    return _row([fragment] * (len(names) + 1), [*names, None], [LIGHT] * len(names) + [SUMS], [*(_framed(_coded(x), b"", b"") for x in each), None], [None] * len(names) + [[1, *_tally(total)]])
 
 
 def _tally_only(t: pa.Table, order: int) -> pa.RecordBatch:
@@ -256,7 +257,7 @@ def _requested(context: np.ndarray, token: np.ndarray, count: np.ndarray, lower:
 
 
 def _answer_group(t: pa.Table, fragment: int, order: int, discount: np.ndarray) -> pa.RecordBatch:
-    """Probabilities of a group's n-grams, told to each batch."""
+    """Counts of a group's n-grams, and their contexts' denominators and weights, told to each batch."""
     sent = []
     for blob in t["blob"]:
         a, b, c, d = _unframed(blob.as_py())
@@ -279,10 +280,18 @@ def _answer_group(t: pa.Table, fragment: int, order: int, discount: np.ndarray)
     less = kept(count, discount)
     sums = [np.add.reduceat(x, at) for x in (count.astype(np.float64), less, np.where(count > 0, lower, 0.0))]
     whole, weight = weigh(*sums)
-    value = np.where(heavy, less, np.where(count > 0, less / whole[group], weight[group] * lower))
-    value, count = value[back], count[back]
-    edges = np.cumsum([len(x[0]) for x in sent])[:-1]
-    blobs = [_framed(_coded(v), _coded(c)) for v, c in zip(np.split(value, edges), np.split(count, edges), strict=True)]
+    blobs, at_ = [], 0
+    for kind, (own, *_) in zip(kinds, sent, strict=True):
+        k = back[at_ : at_ + len(own)]
+        at_ += len(own)
+        if kind == HEAVY:
+            blobs.append(_framed(_coded(count[k]), b"", b""))
+            continue
+        # a denominator and, where an n-gram of the batch wasn't seen, a weight for each context
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        g = group[k[first]]
+        lacks = np.add.reduceat(count[k] == 0, first) > 0
+        blobs.append(_framed(_coded(count[k]), _coded(whole[g].astype(np.int64)), _coded(np.where(lacks, weight[g], 0.0))))
     names, frag = t["batch"].to_pylist(), [fragment] * len(kinds)
     split = np.flatnonzero(heavy[at])
     if len(split):
