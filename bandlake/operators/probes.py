@@ -505,68 +505,6 @@ def run_pipeline(df: DataFrame, config: dict) -> DataFrame:
     return found.select(F.concat_ws("_", "kind", "band").alias("metric"), "target", F.col("accuracy").alias("value"))
 
 
-def learn_filter(df: DataFrame, n_frequencies: int, features: str = "features", labels: str = "labels", steps: int = 60, l2: float = 1e-3, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray, list[str], list[float]]:
-    """A frequency filter and a token classifier learnt together: (filter logits, class weights, classes, losses).
-
-    Rows hold `features`, an array of series (one a dimension, over the tokens), and `labels`, one a token. Series are cosine transformed, multiplied by the
-    sigmoid of the filter (pooled to their length), transformed back, and classified token by token; loss and gradients are summed over the tasks.
-    """
-    classes = sorted(r[0] for r in df.select(F.explode(labels).alias("l")).where("l is not null").distinct().collect())
-    dims = df.select(F.max(F.size(features))).first()[0] or 0
-    rows = df.select(F.col(labels).cast("array<string>").alias("y"), F.col(features).cast("array<array<double>>").alias("x"))
-    state, losses = Descent(np.zeros(n_frequencies + len(classes) * (dims + 1))), []
-    for _ in range(steps):
-        trial = state.trial
-
-        def parts(stream: Iterator[pa.RecordBatch], trial=trial) -> dict[int, np.ndarray]:
-            logits, w = trial[:n_frequencies], trial[n_frequencies:].reshape(len(classes), dims + 1)
-            open_, total = 1 / (1 + np.exp(-logits)), 0
-            for batch in stream:
-                for y, x in zip(batch.column("y").to_pylist(), batch.column("x").to_pylist(), strict=True):
-                    x = np.array(x, dtype=float)
-                    n = x.shape[1]
-                    hot = np.array([[k == v for k in classes] for v in y], dtype=float)
-                    basis = transforms.dct_basis(n)
-                    pool = np.stack([transforms.pooled_filter(e, n) for e in np.eye(n_frequencies)], axis=1)
-                    spectrum = x @ basis.T
-                    seen = (spectrum * (pool @ open_)) @ basis
-                    xs = np.concatenate([seen.T, np.ones((n, 1))], axis=1)
-                    part = _part(xs, hot, hot.sum(axis=1), w, False)
-                    z = xs @ w.T
-                    z -= z.max(axis=1, keepdims=True)
-                    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
-                    back = ((p * hot.sum(axis=1, keepdims=True) - hot) @ w[:, :-1]).T  # the loss by the filtered series
-                    by_filter = pool.T @ (spectrum * (back @ basis.T)).sum(axis=0) * open_ * (1 - open_)
-                    total = total + np.concatenate([part[:1], by_filter, part[1:], [float(hot.sum())]])
-            return {0: total} if np.ndim(total) else {}
-
-        v = summed(rows, parts)[0]
-        losses.append(float(v[0] / v[-1]))
-        if state.tell(v[0] / v[-1] + 0.5 * l2 * float(trial @ trial), v[1:-1] / v[-1] + l2 * trial, tolerance):
-            break
-    return state.at[:n_frequencies], state.at[n_frequencies:].reshape(len(classes), dims + 1), classes, losses
-
-
-def label_tokens(df: DataFrame, logits: np.ndarray, weights: np.ndarray, classes: Sequence[str], features: str = "features") -> DataFrame:
-    """df with `predicted`, a label for each token, by a learnt filter and classifier."""
-    n_frequencies = len(logits)
-    kept = [c for c in df.columns if c not in (features, "predicted")]
-
-    def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            said = []
-            for x in batch.column(features).to_pylist():
-                x = np.array(x, dtype=float)
-                pool = np.stack([transforms.pooled_filter(e, x.shape[1]) for e in np.eye(n_frequencies)], axis=1)
-                basis = transforms.dct_basis(x.shape[1])
-                seen = (x @ basis.T * (pool @ (1 / (1 + np.exp(-logits))))) @ basis
-                said.append([classes[i] for i in (seen.T @ weights[:, :-1].T + weights[:, -1]).argmax(axis=1)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(said, pa.list_(pa.string()))], [*kept, "predicted"])
-
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept), "predicted array<string>"])
-    return df.select(*kept, features).mapInArrow(task, shape)
-
-
 def cluster_positions(df: DataFrame, key: str, vector: str, k: int = 8, seed: int = 42) -> DataFrame:
     """k-means clusters of the rows' arrays: key, cluster."""
     ready = df.select(key, array_to_vector(vector).alias("features"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandlake.functions import arrays, bands, transforms
-from bandlake.operators import corpus, metrics, probes, text_probe
+from bandlake.functions.subwords import pieces, read_vocabulary
+from bandlake.operators import corpus, encoding, metrics, probes, text_probe, training
 from bandlake.plans.registry import SERIES_SQL, embeddings, query, rfft_sql, rounded
-from bandlake.session import table
+from bandlake.session import stored, table
 
 
 def _magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +144,7 @@ def learnt_token_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), " "), lambda w: w != "")
     items = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", words.alias("words")).where("size(words) > 0")
     rows = items.select("item_id", F.transform("words", lambda w: F.when(F.length(w) > 4, "long").otherwise("short")).alias("labels"), corpus.hashed_embedding(F.col("words"), 3).alias("features"))
-    logits, *_ = probes.learn_filter(rows, 8, steps=15)
+    logits, *_ = training.learn_filter(rows, 8, steps=15)
     return spark.createDataFrame([(k, round(float(1 / (1 + 2.718281828459045**-v)), 4)) for k, v in enumerate(logits)], "k int, openness double")
 
 
@@ -154,5 +155,49 @@ def text_probe_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").where("text is not null").select(F.col("item_id").alias("id"), words.alias("words")).where("size(words) > 0")
     labels = F.transform("words", lambda w: F.when(F.length(w) > 4, "long").otherwise("short"))
     data = items.select("id", F.array(F.array_join("words", " ")).alias("texts"), labels.alias("labels"), F.lit("token").alias("level"))
-    found = text_probe.run_tasks({"lengths": (data.where("id % 4 <> 0"), data.where("id % 4 = 0"))}, ["nofilter()", "band(64, 0, 15)", "band(64, 16, 63)"])
+    found = text_probe.run_tasks({"lengths": (data.where("id % 4 <> 0"), data.where("id % 4 = 0"))}, ["nofilter()", "band(64, 0, 15)", "band(64, 16, 63)"], solver="convex")
     return found.select("task", "filter", *(rounded(c, 4).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")))
+
+
+#: A public vocabulary; any file of this form will do.
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as a corpus labelled by role."""
+    rows = table(spark, sf_dir, "conversations").where("text is not null and role is not null")
+    return rows.select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.array("text").alias("texts"), F.array("role").alias("labels"), F.lit("sequence").alias("level"), (F.crc32(F.col("conv_id").cast("string")) % 5 == 0).alias("held_out"))
+
+
+def _encoder(spark: SparkSession, corpus_: DataFrame) -> encoding.PieceEncoder:
+    vocabulary = read_vocabulary(spark, VOCABULARY)
+    return encoding.PieceEncoder(vocabulary, encoding.train_vectors(corpus_, vocabulary, dims=16))
+
+
+@query()
+def turn_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sub-word pieces of every turn: how many, how many words and characters they cover, and a digest of numbers and offsets."""
+    vocabulary = read_vocabulary(spark, VOCABULARY)
+    p = table(spark, sf_dir, "conversations").select("conv_id", "turn", pieces(F.array("text"), vocabulary).alias("p"))
+    digest = F.md5(F.array_join(F.transform(F.arrays_zip("p.ids", "p.start", "p.end"), lambda x: F.concat_ws(",", x["ids"], x["start"], x["end"])), " "))
+    return p.select("conv_id", "turn", F.size("p.ids").alias("n_pieces"), (F.array_max("p.word") + 1).alias("n_words"), F.array_max("p.end").alias("n_chars"), digest.alias("digest"))
+
+
+@query()
+def turn_role_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History of a classifier of turns' roles with a learnt frequency filter, over sub-word encodings, trained by mini-batches."""
+    turns = _turns(spark, sf_dir)
+    encoder = _encoder(spark, turns.where("not held_out"))
+    learnt, check = (stored(text_probe.token_rows(text_probe.encode(turns.where(c).drop("held_out"), encoder)), "turns") for c in ("not held_out", "held_out"))
+    newest, _ = training.train(learnt, check, filter_size=16, epochs=4, batches=4, rate=0.05)
+    return training.history_table(spark, newest).select("epoch", *(rounded(c, 4).alias(c) for c in ("train_loss", "train_accuracy", "valid_loss", "valid_accuracy", "rate")), "best")
+
+
+@query()
+def turn_role_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of role classifiers of turns, mean-pooled after filters, over two seeds each, with their mean and deviation over the seeds."""
+    turns = _turns(spark, sf_dir)
+    encoder = _encoder(spark, turns.where("not held_out"))
+    tasks = {"roles": tuple(turns.where(c).drop("held_out") for c in ("not held_out", "held_out"))}
+    found = text_probe.run_tasks(tasks, ["nofilter()", "band(64, 0, 7)", "band(64, 8, 63)"], (1, 2), encoder=encoder, pooling="mean", epochs=3, batches=4, rate=0.05)
+    return found.select("task", "filter", "seed", *(rounded(c, 4).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandlake.functions import text as T
-from bandlake.operators import aggregates, corpus, metrics, probes, ranking
+from bandlake.operators import aggregates, corpus, metrics, probes, ranking, training
 
 
 def test_splits(spark):
@@ -172,9 +172,9 @@ def test_filter_is_learnt(spark):
         slow, fast = np.cos(np.pi * t / len(t) + i), 2 * rnd.standard_normal() * np.cos(np.pi * t * 0.9)
         rows.append((i, (slow > 0).astype(int).astype(str).tolist(), [(slow + fast).tolist(), fast.tolist()]))
     df = spark.createDataFrame(rows, "id int, labels array<string>, features array<array<double>>").persist()
-    logits, weights, classes, losses = probes.learn_filter(df, 8, steps=40)
+    logits, weights, classes, losses = training.learn_filter(df, 8, steps=40)
     assert classes == ["0", "1"] and losses[-1] < 0.5 * losses[0]
-    said = probes.label_tokens(df, logits, weights, classes).orderBy("id").collect()
+    said = training.label_tokens(df, logits, weights, classes).orderBy("id").collect()
     right = [a == b for r in said for a, b in zip(r.labels, r.predicted, strict=True)]
     assert np.mean(right) > 0.9
 
@@ -242,8 +242,50 @@ def test_text_probe(spark, tmp_path):
             tp.text_probe(train, valid, **bad)
     with pytest.raises(ValueError, match="not in the training"):
         tp.text_probe(train, pairs)
-    got = tp.run_tasks({"a": (train, valid)}, ["nofilter()", "band(16, 0, 3)"]).collect()
-    assert [(r.task, r.filter) for r in got] == [("a", "nofilter()"), ("a", "band(16, 0, 3)")]
+    # ids that are shared or missing, under a filter too
+    odd = train.limit(5).withColumn("id", F.when(F.col("id") < 2, 7).when(F.col("id") < 4, None).otherwise(F.col("id")))
+    for text in ("nofilter()", "band(16, 0, 3)"):
+        found = tp.encode(odd, filter_text=text)
+        assert found.count() == 5 and {len(r.features) for r in found.collect()} == {8} and {len(x) for r in found.collect() for x in r.features} == {6}
+    with pytest.raises(ValueError, match="1 texts have other numbers"):
+        tp.text_probe(train.unionByName(spark.createDataFrame([(900, ["red"], ["ADJ", "VERB"], "token")], train.schema)), valid)
+
+
+def test_seeds_count_and_tasks_are_not_run_twice(spark, tmp_path):
+    from bandlake.operators import text_probe as tp
+
+    rnd = np.random.default_rng(5)
+    make = lambda n: spark.createDataFrame([(i, [" ".join(w)], [("a" if x < "w5" else "b") if rnd.random() < 0.7 else "a" for x in w], "token") for i in range(n) for w in [[f"w{k}" for k in rnd.integers(0, 10, 5)]]], "id int, texts array<string>, labels array<string>, level string")
+    tasks, path = {"noisy": (make(30), make(30))}, str(tmp_path / "runs")
+    options = {"epochs": 2, "batches": 2, "rate": 0.02, "path": path}
+    got = tp.run_tasks(tasks, ["nofilter()"], (1, 2, 3), **options).collect()
+    again = tp.run_tasks(tasks, ["nofilter()"], (1, 2, 3), **options).collect()
+    assert len(got) == 3 and len({(r.accuracy, r.macro_f1) for r in got}) == 3 and got == again
+    learnt = tp.run_tasks(tasks, ["auto(4)", "band(8, 0, 2)"], (1,), **(options | {"path": None})).collect()
+    assert [(r["filter"], r.seed) for r in learnt] == [("auto(4)", 1), ("band(8, 0, 2)", 1)]
+
+
+def test_text_probe_over_pieces(spark, tmp_path):
+    from bandlake.functions.subwords import Vocabulary, byte_symbols
+    from bandlake.operators import encoding
+    from bandlake.operators import text_probe as tp
+
+    names = [*byte_symbols(), *(s + "</w>" for s in byte_symbols()), "red</w>", "run</w>", "jump"]
+    v = Vocabulary({p: k for k, p in enumerate(names)}, len(names), len(names) + 1)
+    encoder = encoding.PieceEncoder(v, np.random.default_rng(3).normal(size=(len(v), 6)))
+    words, kinds = ["red", "blue", "run", "jumps"], {"red": "ADJ", "blue": "ADJ", "run": "VERB", "jumps": "VERB"}
+    rnd = np.random.default_rng(6)
+    rows = [(i, [" ".join(w)], [kinds[x] for x in w], "token") for i in range(30) for w in [[words[k] for k in rnd.integers(0, 4, 5)]]]
+    df = spark.createDataFrame(rows, "id int, texts array<string>, labels array<string>, level string")
+    cache = encoding.EncodingCache(spark, str(tmp_path / "c"))
+    scores, said = tp.text_probe(df, df, encoder=encoder, cache=cache)
+    n = {"red": 1, "blue": 4, "run": 1, "jumps": 2}
+    assert said.count() == sum(n[w] for r in rows for w in r[1][0].split()) and scores.first().accuracy == 1.0 and cache.added == 0
+
+
+def test_saved_probes(spark, tmp_path):
+    from bandlake.operators import text_probe as tp
+
     data = spark.createDataFrame([(str(i % 2), [float(i % 2), float(i)], i % 5 == 0) for i in range(40)], "label string, features array<double>, is_test boolean")
     fitted = probes.fit_probes(data, [probes.Probe("all", None, ((0, 2),)), probes.Probe("b", "1", ((0, 1),))])
     tp.save_fitted(spark, fitted, str(tmp_path / "f"))
