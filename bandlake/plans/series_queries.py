@@ -295,23 +295,28 @@ def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # series built from relational tables
 
-_DAYS = "date_diff('day', timestamp '1992-01-01', l_shipdate)"  # 32 buckets of 80 days hold all shipments, 1992 to 1998
-_SUPPLIED = f"g as (select l_suppkey as vec_id, ({_DAYS} // 80) as t, sum(l_quantity) as v from lineitem where {_DAYS} between 0 and 32 * 80 - 1 group by all)"
+# 32 buckets of equal width from the first shipment to the last
+_SUPPLIED = (
+    "r as (select min(cast(l_shipdate as date)) as lo, date_diff('day', min(cast(l_shipdate as date)), max(cast(l_shipdate as date))) // 32 + 1 as width from lineitem), "
+    "g as (select l_suppkey as vec_id, {by}date_diff('day', lo, cast(l_shipdate as date)) // width as t, sum(l_quantity) as v from lineitem, r group by all)"
+)
 
 
 def supplied(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Each supplier's quantities in 32 buckets of 80 days, zeros included."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("vec_id"), *by, F.floor(F.datediff("l_shipdate", F.lit("1992-01-01")) / 80).cast("int").alias("t"), "l_quantity")
-    return long_series(rows, "vec_id", "t", "l_quantity", 32, by)
+    """Each supplier's quantities in 32 buckets of equal width that hold all shipments, zeros included."""
+    rows = table(spark, sf_dir, "lineitem")
+    ends = rows.agg(F.min(F.to_date("l_shipdate")).alias("lo"), F.max(F.to_date("l_shipdate")).alias("hi")).select("lo", (F.floor(F.datediff("hi", "lo") / 32) + 1).alias("width"))  # one row
+    dated = rows.crossJoin(F.broadcast(ends)).withColumn("t", F.floor(F.datediff("l_shipdate", "lo") / F.col("width")).cast("int"))
+    return long_series(dated.select(F.col("l_suppkey").alias("vec_id"), *by, "t", "l_quantity"), "vec_id", "t", "l_quantity", 32, by)
 
 
-@query(f"with {_SUPPLIED}, {rfft_sql('g', 32, 'vec_id')} select cast(k as integer) as k, round(avg(m), 4) as mean from d group by k")
+@query(f"with {_SUPPLIED.format(by='')}, {rfft_sql('g', 32, 'vec_id')} select cast(k as integer) as k, round(avg(m), 4) as mean from d group by k")
 def lineitem_supplier_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.mean_spectrum(supplied(spark, sf_dir)).select("k", rounded("mean", 4).alias("mean"))
 
 
 @query(
-    f"with g as (select l_suppkey as vec_id, l_returnflag, ({_DAYS} // 80) as t, sum(l_quantity) as v from lineitem where {_DAYS} between 0 and 32 * 80 - 1 group by all), {rfft_sql('g', 32, 'vec_id, l_returnflag')}, b as (select i as band, i * 4 as lo, i * 4 + 4 as hi from (select unnest(range(0, 4)) as i)) "
+    f"with {_SUPPLIED.format(by='l_returnflag, ')}, {rfft_sql('g', 32, 'vec_id, l_returnflag')}, b as (select i as band, i * 4 as lo, i * 4 + 4 as hi from (select unnest(range(0, 4)) as i)) "
     "select l_returnflag, cast(band as integer) as band, round(avg(m), 4) as mean from d join b on k >= lo and k < hi group by all"
 )
 def lineitem_band_energy_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:

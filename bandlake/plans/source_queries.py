@@ -23,15 +23,16 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_PLAIN = "regexp_replace(text, '[^ -~]', '', 'g')"
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items with a text, as it is: line ends and all."""
+    return table(spark, sf_dir, "benchmark").where("text is not null")
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items whose texts are printable ASCII."""
-    return table(spark, sf_dir, "benchmark").where("text is not null").withColumn("text", F.regexp_replace("text", "[^ -~]", ""))
+#: A text as one line of a format that has no line ends in its values.
+_LINE = "regexp_replace(text, '[\\t\\r\\n]', ' ', 'g')"
 
 
-@query(f"select t as text, array_to_string(list_transform(string_split(t, ' '), lambda w: cast(length(w) as varchar)), ' ') as label from (select {_PLAIN} || ' \"q\"' as t from benchmark where text is not null)")
+@query(f"select t as text, array_to_string(list_transform(string_split(t, ' '), lambda w: cast(length(w) as varchar)), ' ') as label from (select text || ' \"q\"' as t from benchmark where text is not null)")
 def corpus_csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "csv")
     items = _items(spark, sf_dir).select(F.concat("text", F.lit(' "q"')).alias("text"))
@@ -48,10 +49,11 @@ def two_header_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_hierarchical_csv(spark, folder)
 
 
-@query(f"select {_PLAIN} as text0, reverse({_PLAIN}) as text1, case item_id % 3 when 0 then 'entailment' when 1 then 'neutral' else 'contradiction' end as label from benchmark where text is not null")
+@query(f"select {_LINE} as text0, 'not ' || {_LINE} as text1, case item_id % 3 when 0 then 'entailment' when 1 then 'neutral' else 'contradiction' end as label from benchmark where text is not null")
 def inference_pairs_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "tsv")
-    _items(spark, sf_dir).select(F.concat_ws("\t", (F.col("item_id") % 3).cast("string"), "text", F.reverse("text"))).write.text(folder)
+    line = F.regexp_replace("text", r"[\t\r\n]", " ")
+    _items(spark, sf_dir).select(F.concat_ws("\t", (F.col("item_id") % 3).cast("string"), line, F.concat(F.lit("not "), line))).write.text(folder)
     pairs = readers.read_pairs_tsv(spark, folder).withColumn("label", F.col("label").cast("int"))
     return corpus.convert_inference(pairs)
 
@@ -60,13 +62,16 @@ _TREE = "'20news-bydate-' || case when item_id % 3 = 0 then 'test' else 'train'
 
 
 @query(
-    f"with r as (select {_TREE} as tree, 'topic' || (item_id % 4) as label, {_PLAIN} as text, {_TREE} || '/topic' || (item_id % 4) || '/' || item_id as id from benchmark where text is not null), "
+    f"with r as (select {_TREE} as tree, 'topic' || (item_id % 4) as label, regexp_replace(text, '[^\\x{{0}}-\\x{{ff}}]', '?', 'g') as text, {_TREE} || '/topic' || (item_id % 4) || '/' || item_id as id from benchmark where text is not null), "
     "k as (select *, row_number() over (partition by tree order by md5(id || '-42'), id) as rank, count(*) over (partition by tree) as n from r) select id, text, label, case when tree like '%-test' then 'test' when rank <= floor(n * 0.2 + 0.5) then 'dev' else 'train' end as split from k"
 )
 def newsgroups_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of files, a file an item, written and read back; texts are in ISO-8859-1."""
+    folder = _folder(spark, "news")
     tree = F.concat(F.lit("20news-bydate-"), F.when(F.col("item_id") % 3 == 0, "test").otherwise("train"))
-    path = F.concat(F.lit("/data/"), tree, F.lit("/topic"), F.col("item_id") % 4, F.lit("/"), F.col("item_id"))
-    return corpus.convert_newsgroups(_items(spark, sf_dir).select(path.alias("path"), F.encode("text", "ISO-8859-1").alias("content")))
+    name = F.concat(tree, F.lit("/topic"), F.col("item_id") % 4, F.lit("/"), F.col("item_id"))
+    writers.write_files(_items(spark, sf_dir).select(name.alias("name"), F.encode(F.regexp_replace("text", r"[^\x{0}-\x{ff}]", "?"), "ISO-8859-1").alias("content")), folder)
+    return corpus.convert_newsgroups(readers.read_files(spark, folder))
 
 
 @query(
@@ -78,11 +83,11 @@ def review_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.convert_reviews(rows).groupBy("lang", "split", "view", "label").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("characters"))
 
 
-_WORDS = f"list_filter(string_split(regexp_replace({_PLAIN}, '[()]', '', 'g'), ' '), lambda w: w <> '')"
+_WORDS = "list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda w: w <> '')"
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(spark, sf_dir).select("item_id", F.filter(F.split(F.regexp_replace("text", "[()]", ""), " "), lambda w: w != "").alias("words"))
+    return _items(spark, sf_dir).select("item_id", F.filter(F.split("text", r"[ \t\r\n]+"), lambda w: w != "").alias("words"))
 
 
 @query(
@@ -111,13 +116,13 @@ def entity_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"with b as (select item_id as id, 't' || (item_id % 2) as g, {_PLAIN} as t from benchmark where text is not null), x as (select g, t, min(id) as id from b group by all), p as (select *, row_number() over (partition by g order by md5(cast(id as varchar) || '-42'), id) - 1 as a, count(*) over (partition by g) as size from x), "
+    f"with b as (select item_id as id, 't' || (item_id % 2) as g, text as t from benchmark where text is not null), x as (select g, t, min(id) as id from b group by all), p as (select *, row_number() over (partition by g order by md5(cast(id as varchar) || '-42'), id) - 1 as a, count(*) over (partition by g) as size from x), "
     "m as (select b.id, y.id as answer_id, '0' as label from b join p x using (g, t) join p y on y.g = x.g and x.size > 1 and y.a = (x.a + 1) % x.size union all select id, id, '1' from b), l as (select unnest(['en', 'de']) as lang) "
-    "select lang, case when ('0x' || substr(md5(cast(m.id as varchar) || '-42'), 1, 8))::bigint / 4294967296.0 < 0.2 then 'dev' else 'train' end as split, case when lang = 'de' then upper(q.t) else q.t end as text0, case when lang = 'de' then upper('answer ' || r.t) else 'answer ' || r.t end as text1, label, m.id from m join b q on q.id = m.id join b r on r.id = answer_id, l"
+    "select lang, case when ('0x' || substr(md5(cast(m.id as varchar) || '-42'), 1, 8))::bigint / 4294967296.0 < 0.2 then 'dev' else 'train' end as split, case when lang = 'de' then 'zu ' || q.t else q.t end as text0, case when lang = 'de' then 'zu answer ' || r.t else 'answer ' || r.t end as text1, label, m.id from m join b q on q.id = m.id join b r on r.id = answer_id, l"
 )
 def question_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, answer = F.concat(F.lit("t"), F.col("item_id") % 2), F.concat(F.lit("answer "), "text")
-    both = lambda c: F.create_map(F.lit("en"), c(lambda x: x), F.lit("de_DE"), c(F.upper))
+    both = lambda c: F.create_map(F.lit("en"), c(lambda x: x), F.lit("de_DE"), c(lambda x: F.concat(F.lit("zu "), x)))
     rows = _items(spark, sf_dir).select(F.col("item_id").alias("id"), both(lambda f: f(F.col("text"))).alias("queries"), both(lambda f: F.struct(kind.alias("type"), f(answer).alias("text"))).alias("answers"))
     return corpus.convert_questions(rows)
 

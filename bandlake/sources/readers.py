@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SERIES = "sample_id long, label string, feature_idx int, series array<double>"
@@ -171,11 +171,18 @@ def read_jams(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_conllu(spark: SparkSession, path: str) -> DataFrame:
-    """path, sentence, words, tags, relations of CoNLL-U treebanks; ranges and empty nodes are left out."""
-    raw = spark.read.text(path, lineSep="\n\n").select(F.col("_metadata.file_path").alias("path"), "value").withColumn("sentence", F.xxhash64("path", "value"))
-    rows = F.filter(F.transform(F.split("value", "\n"), lambda line: F.split(line, "\t")), lambda c: F.get(c, F.lit(0)).rlike(r"^\d+$") & (F.size(c) >= 8))
+    """path, sentence, words, tags, relations of CoNLL-U treebanks; ranges and empty nodes are left out.
+
+    Files with any line ends are read; those with carriage returns as one record each, others split wherever a block begins. `sentence` numbers a file's sentences by content and, among equal ones, by
+    count, so it is the same however files are split.
+    """
+    raw = spark.read.text(path, lineSep="\n\n").select(F.col("_metadata.file_path").alias("path"), F.explode(F.split("value", r"(?:\r?\n){2,}|\r{2,}")).alias("value"))
+    rows = F.filter(F.transform(F.split("value", r"\r?\n|\r"), lambda line: F.split(line, "\t")), lambda c: F.get(c, F.lit(0)).rlike(r"^\d+$") & (F.size(c) >= 8))
     at = lambda i: F.transform("rows", lambda c: F.get(c, F.lit(i)))
-    return raw.withColumn("rows", rows).where(F.size("rows") > 0).select("path", "sentence", at(1).alias("words"), at(3).alias("tags"), at(7).alias("relations"))
+    found = raw.withColumn("rows", rows).where(F.size("rows") > 0).withColumn("own", F.xxhash64("rows"))
+    equal = F.row_number().over(Window.partitionBy("path", "own").orderBy("own"))
+    found = found.withColumn("sentence", F.xxhash64("path", "own", equal))
+    return found.select("path", "sentence", at(1).alias("words"), at(3).alias("tags"), at(7).alias("relations"))
 
 
 def treebank_name(path: F.Column) -> F.Column:

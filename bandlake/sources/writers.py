@@ -21,7 +21,7 @@ def write_series(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), m
 def write_corpus(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
     """CSV with every value quoted; arrays of labels are joined by spaces."""
     flat = df.select(*(F.array_join(c, " ").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes))
-    flat.write.mode(mode).partitionBy(*partition_by).option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    flat.write.mode(mode).partitionBy(*partition_by).option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_metrics(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

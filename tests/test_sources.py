@@ -42,6 +42,19 @@ def test_text_formats(spark, tmp_path):
     (tmp_path / "en_ewt-ud-dev.conllu").write_text(tree + "\n" + tree.replace("end", "cat") + "\n")
     found = readers.read_conllu(spark, str(tmp_path / "en_ewt-ud-dev.conllu"))
     assert sorted(r.words[1] for r in found.collect()) == ["cat", "end"] and found.select(readers.treebank_name(F.col("path"))).first()[0] == "en-ewt-dev"
+    # equal sentences keep ids of their own, whatever the line ends and however files are split
+    twice = (tree + "\n") * 2 + tree.replace("end", "cat") + "\n"
+    (tmp_path / "fr_x-ud-dev.conllu").write_bytes(twice.replace("\n", "\r\n").encode())
+    (tmp_path / "fr_y-ud-dev.conllu").write_text(twice)
+    both = spark.read.text(str(tmp_path / "fr_y-ud-dev.conllu")).count()
+    rows = [(r.path[-19:-16], r.sentence, tuple(r.words), tuple(r.relations)) for r in readers.read_conllu(spark, str(tmp_path / "fr_*")).collect()]
+    assert both and len(rows) == 6 == len({r[:2] for r in rows}) and len({r[2:] for r in rows}) == 2
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        small = [(r.path[-19:-16], r.sentence, tuple(r.words), tuple(r.relations)) for r in readers.read_conllu(spark, str(tmp_path / "fr_*")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(small) == sorted(rows)
     (tmp_path / "p.tsv").write_text('0\ta "b\tc\n1\td\te\n')
     assert readers.read_pairs_tsv(spark, str(tmp_path / "p.tsv")).count() == 2
 
@@ -122,3 +135,12 @@ def test_chord_folder_and_curves(spark, tmp_path):
     assert writers.write_files(spark.createDataFrame([("x/y.bin", b"ab")], "name string, content binary"), str(tmp_path)) == 1 and (tmp_path / "x/y.bin").read_bytes() == b"ab"
     with pytest.raises(ValueError, match="mounted"):
         writers.write_files(spark.createDataFrame([("y", b"")], "name string, content binary"), "hdfs://host/x")
+
+
+def test_lineitem_series_hold_every_row(spark):
+    from bandlake.plans.series_queries import supplied
+
+    sf = "/root/testdata/sf0.001"
+    total = spark.read.parquet(f"{sf}/lineitem.parquet").agg(F.sum("l_quantity").cast("double"), F.countDistinct("l_suppkey")).first()
+    got = supplied(spark, sf).agg(F.sum(F.aggregate("series", F.lit(0.0), lambda a, x: a + x)), F.count("*"), F.min(F.size("series")), F.max(F.size("series"))).first()
+    assert abs(got[0] - total[0]) < 1e-6 and got[1] == total[1] and got[2] == got[3] == 32
