@@ -86,21 +86,20 @@ with recursive d as (select doc_id, source, coalesce('=' || source, '') as src,
 b as (select greatest(8, (count(*) + 49999) // 50000) as block, count(*) as total from documents),
 sizes as (select src, count(*) as size from d group by 1),
 c as (select count(*) as n, max(pow(size, 0.5)) as top from sizes),
-scaled as (select pow(10.0, greatest(0, 17 - ceil(log10((total // block + n + 1) * n))) - floor(log10(top))) as scale from b, c),
+scaled as (select pow(10.0, greatest(0, 17 - ceil(log10((total // block + n + n + 1) * n))) - floor(log10(top))) as scale from b, c),
 shares as (select src, size, greatest(1, cast(round(pow(size, 0.5) * scale) as bigint)) as parts from sizes, scaled),
-whole as (select cast(sum(parts) as bigint) as p from shares),
-one as (select list(struct_pack(src := src, parts := parts) order by parts desc, src) as s, any_value(p) as p, cast(min(ceil((size // block + 1) * cast(p as double) / parts)) as bigint) as slots from shares, whole, b),
-fold(t, s, p, slots, turn, pick) as (
-  select cast(-1 as bigint), s, p, slots, list_transform(s, lambda x: cast(0 as bigint)), cast(0 as bigint) from one
+one as (select list(struct_pack(src := src, parts := parts, size := size) order by parts desc, src) as s, cast(sum(parts) as bigint) as p from shares),
+fold(t, s, p, block, turn, rest, began, pick, number, place, held) as (
+  select cast(-1 as bigint), s, p, block, list_transform(s, lambda x: cast(0 as bigint)), list_transform(s, lambda x: x.size), cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), cast(0 as bigint) from one, b
   union all
-  select t + 1, s, p, slots, list_transform(turn, lambda v, i: case when i = k then v + 1 else v end), k
-  from (select t, s, p, slots, turn, cast(list_position(due, list_min(due)) as bigint) as k
-        from (select *, list_transform(s, lambda x, i: case when turn[i] * p // x.parts <= t + 1 then ((turn[i] + 1) * p + x.parts - 1) // x.parts end) as due from fold where t + 1 <= slots) a) b
+  select t + 1, s, case when rest[k] <= block then p - s[k].parts else p end, block, case when rest[k] <= block then list_transform(turn, lambda v: cast(0 as bigint)) else list_transform(turn, lambda v, i: case when i = k then v + 1 else v end) end,
+    list_transform(rest, lambda v, i: case when i = k then v - block else v end), case when rest[k] <= block then t + 2 else began end, k, (s[k].size - rest[k]) // block, place + held, least(block, rest[k])
+  from (select *, cast(list_position(due, list_min(due)) as bigint) as k
+        from (select *, list_transform(s, lambda x, i: case when rest[i] > 0 and turn[i] * p // x.parts <= t + 1 - began then ((turn[i] + 1) * p + x.parts - 1) // x.parts end) as due from fold where list_max(rest) > 0) a) b
 ),
-plan as (select t as slot, s[pick].src as src, turn[pick] - 1 as turn from fold where t >= 0),
-ends as (select min(slot) as mix_end from shares join plan using (src), b where plan.turn = size // block)
-select doc_id, source, cast(slot as bigint) as mix_block, cast(slot * block + n % block as bigint) as mix_position, slot is not null as in_mix
-from d cross join b cross join ends left join plan on plan.src = d.src and plan.turn = n // block and slot < mix_end
+plan as (select t as slot, s[pick].src as src, number as turn, place from fold where t >= 0)
+select doc_id, source, cast(slot as bigint) as mix_block, cast(place + n % block as bigint) as mix_position, slot is not null as in_mix
+from d cross join b left join plan on plan.src = d.src and plan.turn = n // block
 """
 
 
