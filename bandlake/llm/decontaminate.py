@@ -11,13 +11,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"  # private-use letters
+NUMBER, NAME, UNIT, JOIN = "\ue001", "\ue002", "\ue003", "\ue004"  # private-use letters
 WINDOW, LEAST_ITEM = 8, 5
 LEAST_WORDS = 13
 BROADCAST_WINDOWS = 500_000
 _WORDS = "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|hundred|thousand|million|billion"
 _UNITS = "km|cm|mm|m|miles?|feet|foot|inch(?:es)?|yards?|kg|g|mg|tons?|pounds?|lbs?|ounces?|oz|l|ml|lit(?:er|re)s?|gallons?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|h|min|s|ms|mph|kmh|dollars?|cents?|euros?|usd|eur|percent|degrees?|celsius|fahrenheit|kelvin|watts?|volts?|joules?|newtons?|hz|khz|mhz|bytes?|kb|mb|gb"
-_TOKEN = r"[^\p{L}\p{M}\p{N}" + NUMBER + NAME + UNIT + "]+"
+_TENS = "twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety"
+_DIGITS = "one|two|three|four|five|six|seven|eight|nine"
+#: What stands within a number: separators between digits (1,250 or 2.5, 3/4, 3-5, 10:30) and the hyphen of twenty-five.
+_WITHIN = rf"(?<=\p{{N}})[.,/:'’\u2013-](?=\p{{N}})|(?<=(?<![\p{{L}}\p{{N}}])(?i:{_TENS}))[ -](?=(?i:{_DIGITS})(?![\p{{L}}\p{{N}}]))"
+#: Words that begin a sentence and are no names.
+_OPENERS = "what|which|who|whom|whose|when|where|why|how|if|the|a|an|in|on|at|of|for|to|from|by|with|is|are|was|were|do|does|did|can|could|will|would|should|let|find|there|this|that|these|those|it|he|she|they|we|you|given|suppose|consider|each|every|all|some|after|before|during|while|because|since"
+_TOKEN = r"[^\p{L}\p{M}\p{N}" + NUMBER + NAME + UNIT + JOIN + "]+"
+
+
+def _whole_numbers(text: Column) -> Column:
+    """The text with every number as one token, however it is written."""
+    return F.regexp_replace(text, _WITHIN, JOIN)
+
+
+def _without_first_name(text: Column) -> Column:
+    """An item without its first word if that looks like a name and the item has a number: questions of that kind are asked under any name."""
+    first = rf"^\p{{Lu}}\p{{Ll}}+(?<!^(?i:{_OPENERS}))(?=[ ,])[ ,]+"
+    return F.when(F.regexp_like(text, F.lit(rf"\p{{N}}|(?<![\p{{L}}\p{{N}}])(?i:{_WORDS}|{_TENS})(?![\p{{L}}\p{{N}}])")), F.regexp_replace(text, first, "")).otherwise(text)
 
 
 def _named(text: Column) -> Column:
@@ -27,7 +44,7 @@ def _named(text: Column) -> Column:
 
 def _numbered(text: Column) -> Column:
     """The text with a placeholder for each number and unit; every token stays one token."""
-    numbers = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}])(?:\p{{N}}+|(?i:{_WORDS}))(?![\p{{L}}\p{{N}}])", NUMBER)
+    numbers = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}])(?:\p{{N}}+(?:{JOIN}\p{{N}}+)*|(?i:{_WORDS}|{_TENS})(?:{JOIN}(?i:{_DIGITS}))?)(?![\p{{L}}\p{{N}}])", NUMBER)
     return F.when(F.contains(numbers, F.lit(NUMBER)), F.regexp_replace(numbers, rf"(?<={NUMBER}[ -]?)(?i:{_UNITS})(?![\p{{L}}\p{{N}}])", UNIT)).otherwise(numbers)
 
 
@@ -74,15 +91,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A pair is contaminated if the windows of one occurrence cover LEAST_WORDS words in a row, or all of a shorter item, as plain words, or as
     templates with at least four fifths of the slot values mapped one to one; the figures are those of the best occurrence.
-    Templates of WINDOW words (all words of a shorter item) of which over half are slots don't count. An item of fewer than LEAST_ITEM words is found where it is a whole line. A word at the start of a sentence is never a slot, so an item of up to LEAST_WORDS words that
-    begins with a name is found under that name only. Null and empty texts share
+    Templates of WINDOW words (all words of a shorter item) of which over half are slots don't count. An item of fewer than LEAST_ITEM words is found where it is a whole line. A number is one slot, however it is written (1,250, 2.5, 3/4, twenty-five). A word at the start of a sentence is never a slot; the first word of an item
+    with a number is left out of it if it looks like a name, so the item is found under any. Null and empty texts share
     nothing. Rows of one id are one document, or item, but an occurrence lies within one row; rows with a null doc_id count as one document, items with a null id are not looked for. With `by_text` there is a
     row for each text of an id, with its hash as doc_row. Letters compare without case; punctuation and
     other columns don't matter. Pairs without a shared window are not returned.
     """
     keys = ["doc_id", "item_id", *(["doc_row"] if by_text else [])]
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null and item_id is not null").withColumn("size", F.size(F.filter(F.split(F.lower("text"), _TOKEN), lambda x: x != "")))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), _whole_numbers(F.col(item_text_col).cast("string")).alias("text")).where("text is not null and item_id is not null").withColumn("size", F.size(F.filter(F.split(F.lower("text"), _TOKEN), lambda x: x != "")))
     short, items = items.where(f"size between 1 and {LEAST_ITEM - 1}"), items.where(f"size >= {LEAST_ITEM}").withColumn("item_row", F.xxhash64("text")).withColumn("text", F.expr(rf"regexp_replace(text, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '')"))
+    nameless = F.size(F.filter(F.split(F.lower("text"), _TOKEN), lambda x: x != ""))
+    items = items.withColumn("whole", F.col("text")).withColumn("text", _without_first_name(F.col("text"))).withColumn("text", F.when(nameless >= LEAST_ITEM, F.col("text")).otherwise(F.col("whole"))).drop("whole").withColumn("size", nameless)
     lengths = sorted(r.n for r in items.select(F.least("size", F.lit(WINDOW)).alias("n")).distinct().collect()) or [WINDOW]
     # within a document an item's first word can look like a name: its first window is looked for in that form too
     begun = _windows(items.withColumn("text", F.concat(F.lit("a "), "text")), lengths).where("at = 2 and kind > 0").withColumn("at", F.lit(1))
@@ -97,7 +116,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     known = known.select("h", "item_id", "item_row", "length", "place", "n_item_windows", "n_all", F.col("at").alias("item_at"), F.col("values").alias("item_values"))
     if known.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("doc_row", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("doc_row", F.xxhash64("text")).withColumn("text", _whole_numbers(F.col("text")))
     # an occurrence of an item is a diagonal: its windows are all as far from the item's
     met = _windows(rows, lengths).join(known, ["h", "length"]).withColumn("diagonal", F.col("at") - F.col("item_at"))
     pairs = F.arrays_zip(F.col("item_values").alias("b"), F.col("values").alias("d"))

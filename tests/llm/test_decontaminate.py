@@ -1,3 +1,5 @@
+import random
+
 import regex
 
 from bandlake.llm.catalog import QUERIES
@@ -65,6 +67,50 @@ def test_other_names(spark):
     assert len({r.doc_row for r in by_text}) == 2
 
 
+def test_numbers_are_one_slot_and_first_names_don_t_matter(spark):
+    items = [(1, "Alice has 3 apples and 5 pears. How many fruits does she have?", "q"), (2, "A tank holds 1,250 litres and leaks 2.5 litres each day until it is empty", "q"), (3, "The shop sold twenty-five red hats and 3/4 of the blue ones", "q")]
+    docs = [
+        (1, "Bob has 4 apples and 7 pears. How many fruits does she have?", "x"), (2, "we know: a tank holds 900 litres and leaks 3 litres each day until it is empty", "x"), (3, "a tank holds 3,100 litres and leaks 4.5 litres each day until it is empty, yes", "x"),
+        (4, "The shop sold seven red hats and 5 of the blue ones", "x"), (5, "the shop sold 1'000 red hats and ninety-nine of the blue ones", "x"), (6, items[0][1], "x"), (7, "Bob has 4 apples and 7 plums. How many fruits does she have?", "x"), (8, "The tank holds water and leaks every day until it is empty", "x"),
+    ]
+    assert {k for k, r in run(spark, docs, items).items() if r.contaminated} == {(1, 1), (2, 2), (3, 2), (4, 3), (5, 3), (6, 1)}
+
+
+def test_templates_match_brute_force(spark):
+    """Questions from templates under other names, numbers and units, some with values that don't map one to one or with another word: found if and only if the values do."""
+    rnd = random.Random(3)
+    stems = [
+        "{N} buys {a} pens and {b} books, then gives {n} exactly {a} pens for the class",
+        "a train covers {b} {u} in {a} hours while {n} waits {a} hours at the old station",
+        "{N} pours {a} {u} of water and {b} {u} of milk before {n} adds {a} {u} of cream",
+    ]
+    names = ["Alice", "Bruno", "Chloe", "David"]
+
+    def fill(stem, spoil=False):
+        a, b = rnd.sample(["3", "12", "1,250", "2.5", "seven", "forty-two", "3/4"], 2)
+        text, (first, other) = stem, rnd.sample(names, 2)
+        for slot, v in (("{N}", first), ("{n}", other), ("{u}", rnd.choice(["km", "miles", "litres", "cm"])), ("{b}", b)):
+            text = text.replace(slot, v)
+        if spoil:
+            for _ in range(text.count("{a}")):
+                text = text.replace("{a}", rnd.choice([x for x in ("5", "6", "8.25", "nine", "11") if x not in text]), 1)
+        return text.replace("{a}", a)
+
+    items = [(i, fill(s), "q") for i, s in enumerate(stems)]
+    docs, want = [], set()
+    for d in range(60):
+        i = rnd.randrange(3)
+        kind = d % 3
+        text = fill(stems[i], spoil=kind == 1)
+        if kind == 2:
+            text = text.replace(" and ", " or ").replace(" while ", " when ").replace(" before ", " after ").replace(" then ", " soon ")
+        docs.append((d, rnd.choice(["", "Some words stand here first. "]) + text + rnd.choice([".", " and so on it goes."]), "x"))
+        if kind == 0:
+            want.add((d, i))
+    got = {k for k, r in run(spark, docs, items).items() if r.contaminated}
+    assert got == want
+
+
 def test_empty(spark):
     assert run(spark, []) == {} == run(spark, [(1, "a b c d e f g h", "x")], [])
 
