@@ -15,26 +15,29 @@ NUMBER, NAME, UNIT, JOIN = "\ue001", "\ue002", "\ue003", "\ue004"  # private-use
 WINDOW, LEAST_ITEM = 8, 5
 LEAST_WORDS = 13
 BROADCAST_WINDOWS = 500_000
-_WORDS = "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|hundred|thousand|million|billion"
+_WORDS = "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion"
 _UNITS = "km|cm|mm|m|miles?|feet|foot|inch(?:es)?|yards?|kg|g|mg|tons?|pounds?|lbs?|ounces?|oz|l|ml|lit(?:er|re)s?|gallons?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|h|min|s|ms|mph|kmh|dollars?|cents?|euros?|usd|eur|percent|degrees?|celsius|fahrenheit|kelvin|watts?|volts?|joules?|newtons?|hz|khz|mhz|bytes?|kb|mb|gb"
 _TENS = "twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety"
 _DIGITS = "one|two|three|four|five|six|seven|eight|nine"
-#: What stands within a number: separators between digits (1,250 or 2.5, 3/4, 3-5, 10:30) and the hyphen of twenty-five.
-_WITHIN = rf"(?<=\p{{N}})[.,/:'’\u2013-](?=\p{{N}})|(?<=(?<![\p{{L}}\p{{N}}])(?i:{_TENS}))[ -](?=(?i:{_DIGITS})(?![\p{{L}}\p{{N}}]))"
+#: What stands within a number: separators between digits (1,250 or 2.5, 3/4, 3-5, 10:30) and the blank or hyphen of twenty-five.
+_SEPARATOR = r"[.,/:'’\u2013-]"
 #: Words that begin a sentence and are no names.
 _OPENERS = "what|which|who|whom|whose|when|where|why|how|if|the|a|an|in|on|at|of|for|to|from|by|with|is|are|was|were|do|does|did|can|could|will|would|should|let|find|there|this|that|these|those|it|he|she|they|we|you|given|suppose|consider|each|every|all|some|after|before|during|while|because|since"
 _TOKEN = r"[^\p{L}\p{M}\p{N}" + NUMBER + NAME + UNIT + JOIN + "]+"
 
 
 def _whole_numbers(text: Column) -> Column:
-    """The text with every number as one token, however it is written."""
-    return F.regexp_replace(text, _WITHIN, JOIN)
+    """The text with every number as one token, however it is written. Most texts have nothing to join, which plain searches tell."""
+    digits = F.when(F.regexp_like(text, F.lit(rf"\p{{N}}{_SEPARATOR}\p{{N}}")), F.regexp_replace(text, rf"(?<=\p{{N}}){_SEPARATOR}(?=\p{{N}})", JOIN)).otherwise(text)
+    spelled = F.regexp_replace(digits, rf"(?<![\p{{L}}\p{{N}}])((?i:{_TENS}))[ -]((?i:{_DIGITS}))(?![\p{{L}}\p{{N}}])", f"$1{JOIN}$2")
+    some = [F.contains(text, F.lit(x)) for x in ("ty-", "ty ", "TY-", "TY ")]
+    return F.when(some[0] | some[1] | some[2] | some[3], spelled).otherwise(digits)
 
 
 def _without_first_name(text: Column) -> Column:
     """An item without its first word if that looks like a name and the item has a number: questions of that kind are asked under any name."""
     first = rf"^\p{{Lu}}\p{{Ll}}+(?<!^(?i:{_OPENERS}))(?=[ ,])[ ,]+"
-    return F.when(F.regexp_like(text, F.lit(rf"\p{{N}}|(?<![\p{{L}}\p{{N}}])(?i:{_WORDS}|{_TENS})(?![\p{{L}}\p{{N}}])")), F.regexp_replace(text, first, "")).otherwise(text)
+    return F.when(F.regexp_like(text, F.lit(rf"\p{{N}}|(?<![\p{{L}}\p{{N}}])(?i:{_WORDS})(?![\p{{L}}\p{{N}}])")), F.regexp_replace(text, first, "")).otherwise(text)
 
 
 def _named(text: Column) -> Column:
@@ -44,7 +47,7 @@ def _named(text: Column) -> Column:
 
 def _numbered(text: Column) -> Column:
     """The text with a placeholder for each number and unit; every token stays one token."""
-    numbers = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}])(?:\p{{N}}+(?:{JOIN}\p{{N}}+)*|(?i:{_WORDS}|{_TENS})(?:{JOIN}(?i:{_DIGITS}))?)(?![\p{{L}}\p{{N}}])", NUMBER)
+    numbers = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}])(?:\p{{N}}+(?:{JOIN}\p{{N}}+)*|(?i:{_WORDS})(?:{JOIN}(?i:{_DIGITS}))?)(?![\p{{L}}\p{{N}}])", NUMBER)
     return F.when(F.contains(numbers, F.lit(NUMBER)), F.regexp_replace(numbers, rf"(?<={NUMBER}[ -]?)(?i:{_UNITS})(?![\p{{L}}\p{{N}}])", UNIT)).otherwise(numbers)
 
 
