@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from bandlake.functions import arrays
+from bandlake.functions import arrays, bands
 
 
 #: Longer series are not multiplied by a basis of cosines.
@@ -120,19 +120,20 @@ def dct_sums(c: Column) -> Column:
     return _arrow(f)(c)
 
 
+def mel_decibels(x: np.ndarray, bank: np.ndarray, length: int, hop: int) -> np.ndarray:
+    """(rows, frames, bands): see mel_spectrogram. Frames are taken in blocks, so that a long series needs no copy of all of them."""
+    x = np.pad(x, ((0, 0), (length // 2, length // 2)))
+    frames = np.lib.stride_tricks.sliding_window_view(x, length, axis=1)[:, ::hop]
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / length)
+    power = np.concatenate([np.abs(np.fft.rfft(frames[:, i : i + 256] * hann, axis=2)) ** 2 @ bank.T for i in range(0, max(1, frames.shape[1]), 256)], axis=1)
+    db = 10 * np.log10(np.maximum(power, 1e-10)) - 10 * np.log10(np.maximum(power.max(axis=(1, 2), keepdims=True), 1e-10))
+    return np.maximum(db, -80)
+
+
 def mel_spectrogram(c: Column, bank: np.ndarray, length: int = 512, hop: int = 128) -> Column:
     """Decibels below the loudest, frame by frame: |rfft|^2 of Hann-windowed frames times a bank of length // 2 + 1 columns, at most 80 below. Frames
     are centred on multiples of `hop`, and the series is extended by zeros."""
-
-    def f(x: np.ndarray) -> np.ndarray:
-        x = np.pad(x, ((0, 0), (length // 2, length // 2)))
-        frames = np.lib.stride_tricks.sliding_window_view(x, length, axis=1)[:, ::hop]
-        hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / length)
-        power = np.abs(np.fft.rfft(frames * hann, axis=2)) ** 2 @ bank.T
-        db = 10 * np.log10(np.maximum(power, 1e-10)) - 10 * np.log10(np.maximum(power.max(axis=(1, 2), keepdims=True), 1e-10))
-        return np.maximum(db, -80).reshape(len(x), -1)
-
-    return _arrow(f)(c)
+    return _arrow(lambda x: mel_decibels(x, bank, length, hop).reshape(len(x), -1))(c)
 
 
 def inverse_dct(c: Column) -> Column:
@@ -214,3 +215,31 @@ def apply_transform(c: Column, name: str, window: str | None = None) -> Column:
 def spectrum(c: Column, alias: tuple[str, str] = ("k", "magnitude")) -> Column:
     """A generator of (k, value) rows."""
     return F.posexplode(c).alias(*alias)
+
+
+def decomposed(c: Column, n_bands: int, size: int | None = None) -> Column:
+    """A series as its parts in each of n_bands bands: rows of an array, first the series itself, then a row a band. Bands are those of bands.allocated(size, n_bands),
+    pooled to the series' length; without a size they are allocated over its own frequencies, so that the rows of the bands sum to the series (shorter series leave bands empty)."""
+
+    @arrow_udf("array<array<double>>")
+    def run(series: pa.Array) -> pa.Array:
+        def f(x: np.ndarray) -> np.ndarray:
+            n = x.shape[1]
+            y = dct_rows(x)
+            parts = [x]
+            if size is None:
+                layout = bands.allocated(n, n_bands) if n >= n_bands else [(k, k + 1) if k < n else (0, 0) for k in range(n_bands)]
+                gates = [((np.arange(n) >= lo) & (np.arange(n) < hi)).astype(float) for lo, hi in layout]
+            else:
+                gates = [pooled_filter(((np.arange(size) >= lo) & (np.arange(size) < hi)).astype(float), n) for lo, hi in bands.allocated(size, n_bands, exact=False)]
+            parts += [inverse_dct_rows(y * g) for g in gates]
+            return np.concatenate(parts, axis=1)
+
+        flat = by_length(series, f)
+        rows = n_bands + 1
+        sizes = (pa.compute.list_value_length(flat).fill_null(0).to_numpy(zero_copy_only=False) // rows).astype(np.int64)
+        inner = np.concatenate([[0], np.cumsum(np.repeat(sizes, rows))]).astype(np.int32)
+        outer = np.arange(len(flat) + 1, dtype=np.int32) * rows
+        return pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), flat.flatten()), mask=flat.is_null() if flat.null_count else None)
+
+    return run(c)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
@@ -124,3 +124,34 @@ def lookup_join(df: DataFrame, table: DataFrame, key: str, value: str, small_row
     clean = table.select(key, F.when(~F.isnan(value), F.col(value)).alias(value)).groupBy(key).agg(F.max(value).alias(value))
     small = clean.count() <= small_rows
     return df.join(F.broadcast(clean) if small else clean, key, "left")
+
+
+def band_decomposition(df: DataFrame, keys: Sequence[str], features: str, n_bands: int, size: int | None = None) -> DataFrame:
+    """keys, dim, band, token, value of an array of series (one a dimension, over tokens): band 0 is the series itself, 1 to n_bands its parts, which sum to it unless a filter `size` is given.
+    A series at a time is taken apart in one Arrow pass."""
+    each = df.select(*keys, F.posexplode(features).alias("dim", "_x"))
+    rows = each.select(*keys, "dim", F.posexplode(transforms.decomposed(F.col("_x").cast("array<double>"), n_bands, size)).alias("band", "_y"))
+    return rows.select(*keys, "dim", "band", F.posexplode("_y").alias("token", "value"))
+
+
+def spectrum_surfaces(df: DataFrame, sample: str, dim: str, series: str = "series", dim_step: int = 1, transform: str = "fft") -> DataFrame:
+    """Two surfaces over frequency, as rows axis, at, k, value: mean magnitudes of each sample, numbered from 1 by falling energy (then by sample), and of each `dim_step`-th dimension."""
+    if dim_step < 1:
+        raise ValueError("dim_step is at least 1")
+    m = df.select(sample, dim, transforms.apply_transform(arrays.doubles(series), transform).alias("_m"))
+    energy = m.groupBy(sample).agg(F.sum(F.aggregate("_m", F.lit(0.0), lambda a, x: a + x * x)).alias("_e"))
+    ranked = ordered_places(energy, [F.col("_e").desc(), F.col(sample)], "at").select(sample, "at")
+    long = m.select(sample, dim, F.posexplode("_m").alias("k", "v"))
+    by_sample = long.groupBy(sample, "k").agg(F.avg("v").alias("value")).join(ranked, sample).select(F.lit("sample").alias("axis"), "at", "k", "value")
+    by_dim = long.where(F.col(dim) % dim_step == 0).groupBy(F.col(dim).cast("long").alias("at"), "k").agg(F.avg("v").alias("value"))
+    return by_sample.unionByName(by_dim.select(F.lit("dimension").alias("axis"), "at", "k", "value"))
+
+
+def ordered_places(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """df with the rows' places (from 1) in an order, by a range exchange and counts of its parts instead of one task's window."""
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    own = Window.partitionBy("_part").orderBy(*order)
+    placed = sorted_.withColumn("_own", F.row_number().over(own))
+    counts = sorted_.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a part
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")

@@ -40,6 +40,17 @@ def target_first(table: DataFrame, target: object) -> DataFrame:
     return table.select("*", order("y_true").alias("row"), order("y_pred").alias("column"))
 
 
+def targets_first(tables: DataFrame, by: list[str]) -> DataFrame:
+    """Confusion tables (by, y_true, y_pred, n) once for each of their labels as `target`, with row and column numbers that put it first and leave the others in order.
+    A table's labels are numbered once, so the work is the tables' size times their labels."""
+    labels = tables.select(*by, F.col("y_true").alias("y")).union(tables.select(*by, "y_pred")).distinct()
+    ranked = labels.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("y")) - 1)
+    as_ = lambda name, at: ranked.select(*by, F.col("y").alias(name), F.col("i").alias(at))
+    rows = tables.join(as_("y_true", "_t"), [*by, "y_true"]).join(as_("y_pred", "_p"), [*by, "y_pred"]).join(as_("target", "_g"), by)
+    place = lambda c: F.when(F.col(c) == F.col("_g"), 0).when(F.col(c) < F.col("_g"), F.col(c) + 1).otherwise(F.col(c))
+    return rows.select(*by, "target", "y_true", "y_pred", "n", place("_t").alias("row"), place("_p").alias("column"))
+
+
 def weight_profile(coefficients: DataFrame) -> DataFrame:
     """k, weight from (feature_idx, k, weight): mean absolute weight a frequency, scaled to [0, 1]; flat profiles are 0."""
     per_k = coefficients.groupBy("k").agg(F.avg(F.abs("weight")).alias("w"))

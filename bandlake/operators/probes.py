@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandlake.functions import arrays, bands, transforms
@@ -28,7 +28,7 @@ from bandlake.operators.ranking import group_split, stratified_split
 MAX_WIDTH = 512
 MIN_POSITIVES = 10
 TASKS = 64
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 64 << 20
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,8 @@ class Descent:
 
 
 def summed(rows: DataFrame, parts) -> dict[int, np.ndarray]:
-    """Sums of {number: vector} that `parts` makes of a task's batches, added by number: over TASKS tasks at a time by a shuffle, then on the driver."""
+    """Sums of {number: vector} that `parts` makes of a task's batches, added by number on the executors: over TASKS tasks at a time, then over all. The driver receives a vector a
+    number, however many tasks there are."""
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = parts(stream)
@@ -116,17 +117,20 @@ def summed(rows: DataFrame, parts) -> dict[int, np.ndarray]:
         return pa.table({"probe": t["probe"][:1], "slot": t["slot"][:1], "v": pa.array([total.tobytes()], pa.binary())})
 
     shape = "probe long, slot long, v binary"
-    found = rows.mapInArrow(task, shape).groupBy("probe", "slot").applyInArrow(add, shape)
-    out: dict[int, np.ndarray] = {}
-    for r in found.collect():  # a vector of each probe for every TASKS tasks
-        out[r["probe"]] = out.get(r["probe"], 0) + np.frombuffer(r["v"])
-    return out
+    found = rows.mapInArrow(task, shape).groupBy("probe", "slot").applyInArrow(add, shape).groupBy("probe").applyInArrow(add, shape)
+    return {r["probe"]: np.frombuffer(r["v"]) for r in found.collect()}
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    width = len(batch.column("features").flatten()) // max(1, batch.num_rows)
+    each = max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, width))))
+    for at in range(0, batch.num_rows, each):
+        yield batch.slice(at, each)
 
 
 def _matrix(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(labels, features) of a batch in blocks of rows."""
-    for at in range(0, batch.num_rows, BLOCK):
-        part = batch.slice(at, BLOCK)
+    """(labels, features) of a batch in blocks of rows, of BLOCK_BYTES at most."""
+    for part in _slices(batch):
         yield np.array(part.column("label").to_pylist(), dtype=object), np.asarray(part.column("features").flatten(), dtype=np.float64).reshape(part.num_rows, -1)
 
 
@@ -298,8 +302,7 @@ def predictions(data: DataFrame, fitted: Fitted, keep: Sequence[str] = (), only_
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in stream:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
+            for part in _slices(batch):
                 for label, x in _matrix(part):
                     for p, said in _decisions(fitted, (x - fitted.mean) / fitted.scale):
                         said = said if p.target is None else np.where(said, p.target, "rest")
@@ -479,6 +482,64 @@ def band_confusions(data: DataFrame, layout: Sequence[tuple[int, int]]) -> DataF
     return data.sparkSession.createDataFrame(rows, out.schema)
 
 
+def confusion_relations(df: DataFrame, label: str, id_col: str, series: str = "series", transform: str = "fft", n_bands: int = 8, feature: str | None = None, seed: int = 42) -> DataFrame:
+    """Confusion tables of multinomial probes on the series over time, on their whole spectrum and on each of n_bands bands, trained together on one split: variant (time, spectrum,
+    band), band, target, y_true, y_pred, n, row, column. Every table is there once for each class, which is put first."""
+    x = arrays.doubles(series)
+    both = F.concat(x, transforms.apply_transform(x, transform))
+    if feature is None:
+        flat, n_features = df.select(label, id_col, both.alias("features")), 1
+    else:
+        flat = flatten_samples(df.select(id_col, label, feature, both.alias("series")), id_col, label, [feature])
+        n_features = df.select(feature).distinct().count()
+    data = split_features(flat, label, id_col, "features", seed=seed).persist()
+    try:
+        steps = df.select(F.max(F.size(series))).first()[0] or 0
+        width = _width(data) // max(1, n_features)
+        spans = {"time|-1": (0, steps), "spectrum|-1": (steps, width)} | {f"band|{i}": (steps + lo, steps + hi) for i, (lo, hi) in enumerate(bands.equal_count(width - steps, n_bands))}
+        fitted = fit_probes(data, [Probe(n, None, (s,), width, n_features) for n, s in spans.items() if s[1] > s[0]])
+        said = predictions(data, fitted).groupBy("probe", "label", "prediction").agg(F.count("*").alias("n")).collect()  # classes squared a probe
+    finally:
+        data.unpersist()
+    counts: dict[str, dict[tuple[str, str], int]] = {}
+    for r in said:
+        counts.setdefault(r["probe"], {})[r["label"], r["prediction"]] = r["n"]
+    rows = []
+    for name, table in counts.items():
+        labels = sorted({x for pair in table for x in pair})
+        rows += [(name.split("|")[0], int(name.split("|")[1]), a, b, table.get((a, b), 0)) for a in labels for b in labels]
+    tables = df.sparkSession.createDataFrame(rows, "variant string, band int, y_true string, y_pred string, n long")
+    return metrics.targets_first(tables, ["variant", "band"])
+
+
+def band_mean_probes(df: DataFrame, label: str, id_col: str, series: str = "series", band_width: int = 4, feature: str | None = None, seed: int = 42, min_positives: int = MIN_POSITIVES) -> DataFrame:
+    """For each class with min_positives samples, one-vs-rest probes on the mean magnitude of every band (of every feature): label, n, accuracy, band, magnitude (the class's mean over
+    samples and features) and weight (the mean absolute weight over features, scaled to 0..1 within the class)."""
+    n = df.select(F.max(F.size(series))).first()[0] or 0
+    layout = bands.equal_width(n // 2 + 1, band_width)
+    if not layout:
+        raise ValueError(f"no whole band of {band_width} in {n // 2 + 1} coefficients")
+    m = transforms.rfft_magnitude(arrays.doubles(series))
+    some = df.where(F.col(label).isNotNull()).select(id_col, label, *([feature] if feature else []), m.alias("_m"))
+    means = some.withColumn("series", F.array(*(arrays.mean(arrays.band_slice(F.col("_m"), lo, hi)) for lo, hi in layout)))
+    flat = flatten_samples(means, id_col, label, [feature] if feature else [])
+    data = split_features(flat, label, id_col, "features", seed=seed).persist()
+    try:
+        width = _width(data)
+        fitted = fit_probes(data, [Probe(t, t, ((0, width),)) for t in labels_of(data)], min_positives=min_positives)
+        found = {r["target"]: r["accuracy"] for r in evaluate(data, fitted).collect()}
+        weights = coefficients(data, fitted, width // len(layout))
+    finally:
+        data.unpersist()
+    per = weights.groupBy(F.col("probe").alias("label"), F.col("k").alias("band")).agg(F.avg(F.abs("weight")).alias("w"))
+    ends = Window.partitionBy("label")
+    lo, hi = F.min("w").over(ends), F.max("w").over(ends)
+    per = per.withColumn("weight", F.when(hi > lo, (F.col("w") - lo) / (hi - lo)).otherwise(0.0)).drop("w")
+    profile = means.select(F.col(label).cast("string").alias("label"), id_col, F.posexplode("series").alias("band", "v")).groupBy("label", "band").agg(F.avg("v").alias("magnitude"), F.countDistinct(id_col).alias("n"))
+    scores = df.sparkSession.createDataFrame(list(found.items()), "label string, accuracy double")
+    return profile.join(scores, "label").join(per, ["label", "band"]).select("label", "n", "accuracy", "band", "magnitude", "weight")
+
+
 def run_pipeline(df: DataFrame, config: dict) -> DataFrame:
     """A probe described by a configuration, as rows metric, target, value.
 

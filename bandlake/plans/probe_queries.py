@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bandlake.functions import arrays, bands, transforms
 from bandlake.functions.subwords import pieces, read_vocabulary
-from bandlake.operators import corpus, encoding, metrics, probes, text_probe, training
+from bandlake.operators import convolution, corpus, encoding, metrics, probes, ranking, text_probe, training
 from bandlake.plans.registry import SERIES_SQL, embeddings, query, rfft_sql, rounded
 from bandlake.session import stored, table
 
@@ -201,3 +201,31 @@ def turn_role_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = {"roles": tuple(turns.where(c).drop("held_out") for c in ("not held_out", "held_out"))}
     found = text_probe.run_tasks(tasks, ["nofilter()", "band(64, 0, 7)", "band(64, 8, 63)"], (1, 2), encoder=encoder, pooling="mean", epochs=3, batches=4, rate=0.05)
     return found.select("task", "filter", "seed", *(rounded(c, 4).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")))
+
+
+@query()
+def convolution_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of a convolution probe on samples of four features of 16 steps."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("series", i * 16 + 1, F.lit(16)))
+    rows = embeddings(spark, sf_dir).where("label is not null").select(F.col("label").cast("string").alias("label"), "vec_id", parts.alias("features"))
+    data = ranking.stratified_split(rows, "label", "vec_id").persist()
+    try:
+        fitted = convolution.fit_convolution(data, channels=(16, 16), epochs=5, batches=4, rate=0.01)
+        said = stored(convolution.convolved(data, fitted, ["vec_id"]), "said")
+    finally:
+        data.unpersist()
+    report = metrics.class_report(metrics.confusion(said, "label", "prediction"))
+    return report.select("label", *(rounded(c, 4).alias(c) for c in ("precision", "recall", "f1")), "support")
+
+
+@query()
+def probe_confusion_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusions over time, on the spectrum and on bands, each class first in turn."""
+    return probes.confusion_relations(embeddings(spark, sf_dir), "label", "vec_id", n_bands=4)
+
+
+@query()
+def probe_band_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes of each class on band means, with its mean magnitudes and the probe's weights."""
+    found = probes.band_mean_probes(_features(spark, sf_dir), "label", "vec_id", band_width=3, feature="feature_idx")
+    return found.select("label", "n", "band", *(rounded(c, 4).alias(c) for c in ("accuracy", "magnitude", "weight")))

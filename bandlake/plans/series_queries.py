@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandlake.functions import arrays, bands, transforms
+from bandlake.functions import arrays, audio, bands, transforms
 from bandlake.operators import aggregates, ranking
 from bandlake.plans.registry import SERIES_SQL, dct_sql, embeddings, query, rfft_sql, rounded, window_sql
 from bandlake.session import table
@@ -348,3 +348,39 @@ def heatmap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = embeddings(spark, sf_dir).select("vec_id", transforms.rfft_magnitude(F.col("series")).alias("m"))
     norm = F.sqrt(F.aggregate("m", F.lit(0.0), lambda a, x: a + x * x))
     return m.withColumn("e", norm).select("vec_id", F.posexplode("m").alias("k", "v"), "e").select("vec_id", "k", rounded(F.col("v") / (F.col("e") + 1e-8)).alias("v"), rounded("e").alias("energy"))
+
+
+_TAPS = "(2.0 / 3) * case when t = 0 then 1 else sin(pi() * 2 * t / 3) / (pi() * 2 * t / 3) end * (0.5 + 0.5 * cos(pi() * t / 24))"
+
+
+@query(
+    f"with {SERIES_SQL}, j as (select unnest(range(0, 43)) as j), p as (select vec_id, j, v, cast(j * 1.5 - t as double) as t from s, j where abs(j * 1.5 - t) < 24) "
+    f"select vec_id, cast(j as integer) as t, round(sum(v * {_TAPS}), 6) + 0.0 as v from p group by vec_id, j"
+)
+def series_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series at two thirds of their rate."""
+    found = embeddings(spark, sf_dir).select("vec_id", F.posexplode(audio.resample(F.col("series"), 3, 2)).alias("t", "v"))
+    return found.withColumn("v", rounded("v"))
+
+
+@query(
+    f"with {SERIES_SQL}, {dct_sql()}, parts as (select vec_id, cast(1 + k // 16 as integer) as band, t, sum(m * cos(pi() * (2 * t + 1) * k / 128) * case when k = 0 then sqrt(cast(1.0 / 64 as double)) else sqrt(cast(2.0 / 64 as double)) end) as v from d, (select unnest(range(0, 64)) as t) group by all) "
+    "select vec_id, 0 as band, cast(t as integer) as token, round(v, 6) + 0.0 as value from s union all select vec_id, band, cast(t as integer), round(v, 6) + 0.0 from parts"
+)
+def series_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series and their parts in four bands, step by step."""
+    found = aggregates.band_decomposition(embeddings(spark, sf_dir).select("vec_id", F.array("series").alias("x")), ["vec_id"], "x", 4)
+    return found.select("vec_id", "band", "token", rounded("value").alias("value"))
+
+
+@query(
+    "with s as (select vec_id, f, t, v from (select vec_id, unnest(range(0, 64)) // 16 as f, unnest(range(0, 64)) % 16 as t, cast(unnest(embedding) as double) as v from embeddings)), "
+    + rfft_sql("s", 16, "vec_id, f")
+    + ", e as (select vec_id, row_number() over (order by sum(m * m) desc, vec_id) as rank from d group by vec_id) "
+    "select 'sample' as axis, cast(rank as bigint) as at, cast(k as integer) as k, round(avg(m), 6) + 0.0 as value from d join e using (vec_id) group by all union all select 'dimension', cast(f as bigint), cast(k as integer), round(avg(m), 6) + 0.0 from d where f % 2 = 0 group by all"
+)
+def spectrum_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean spectra by sample, ranked by energy, and by every second dimension."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("series", i * 16 + 1, F.lit(16)))
+    rows = embeddings(spark, sf_dir).select("vec_id", F.posexplode(parts).alias("f", "x"))
+    return aggregates.spectrum_surfaces(rows, "vec_id", "f", "x", dim_step=2).withColumn("value", rounded("value"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bandlake.functions.audio import resampled
+
 SERIES = "sample_id long, label string, feature_idx int, series array<double>"
 LABEL_KEYS = ("genres", "composers", "labels")
 
@@ -213,6 +215,22 @@ def decode_wav(content: bytes) -> np.ndarray:
         return x.reshape(-1, f.getnchannels()).mean(axis=1)
 
 
+def wav_rate(content: bytes) -> int:
+    with wave.open(io.BytesIO(content)) as f:
+        return f.getframerate()
+
+
+def loaded_wav(content: bytes, rate: int | None = None, seconds: float | None = None) -> np.ndarray:
+    """Mono samples of a PCM file at another rate, of which the middle `seconds` stay."""
+    x = decode_wav(content)
+    own = wav_rate(content)
+    if rate and rate != own:
+        x = resampled(x[None], own, rate)[0]
+    if seconds is not None and len(x) > (n := round(seconds * (rate or own))):
+        x = x[(len(x) - n) // 2 :][:n]
+    return x
+
+
 def register_embedder(name: str, load: Callable[[str], Callable[[bytes], np.ndarray]]) -> None:
     """load(argument) runs once a task and returns a function from a file's bytes to a (features, steps) array."""
     _EMBEDDERS[name] = load
@@ -245,7 +263,13 @@ def long_series(df: DataFrame, sample: str, at: str, value: str, length: int, by
     return held.select(sample, *by, filled.alias("series"))
 
 
-register_embedder("waveform", lambda _: decode_wav)
+def _load_waveform(argument: str) -> Callable[[bytes], np.ndarray]:
+    """`argument` is a rate and seconds, as in '16000,30'; either may be left out."""
+    rate, _, seconds = argument.partition(",")
+    return lambda content: loaded_wav(content, int(rate) if rate else None, float(seconds) if seconds else None)
+
+
+register_embedder("waveform", _load_waveform)
 
 
 def read_chords(spark: SparkSession, csv_path: str, npy_path: str) -> DataFrame:
