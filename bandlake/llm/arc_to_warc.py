@@ -6,12 +6,13 @@ takes each document by its declared length, and writes the equivalent WARC/1.1 r
 and digests are synthesised. A payload that a smaller page has already becomes a revisit record.
 
 Archives are rows (path, content), read from files by `arc_files` or written by `pages_to_arcs`; gzip members are expanded. A page's number travels in the
-stored HTTP head (`X-Page-ID`), and records without one can be numbered by file and place.
+stored HTTP head (`X-Bandlake-Page-ID`), and records without one can be numbered by file and place.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,13 +24,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandlake.llm.components import written
+from bandlake.llm.components import to_be_deleted, written
 from bandlake.session import shared_folder
 
 FIELDS = {1: b"URL IP-address Archive-date Content-type Archive-length", 2: b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 LEAST_REVISIT = 100
 FILE_BYTES = 16 << 20
-_PAGE = "X-Page-ID"
+_PAGE = "X-Bandlake-Page-ID"
+_IP, _DATE = rb"\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]*:[0-9A-Fa-f:.]+|-", rb"\d{4,14}"
+#: Header lines by version. The address and the date are found first, so URLs, content types and file names may hold blanks.
+_LINES = {
+    1: re.compile(rb"(.*) (%b) (%b) (.*) (\d+)\s*" % (_IP, _DATE)),
+    2: re.compile(rb"(.*) (%b) (%b) (.*) (\d{1,3}|-) (\S+) (\S+) (\d+|-) (.*) (\d+)\s*" % (_IP, _DATE)),
+}
+_BLANK_LINE = re.compile(rb"\r?\n\r?\n")
 
 
 @dataclass
@@ -69,7 +77,6 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
     version = int(block[0].split(b" ", 1)[0])
     if FIELDS.get(version) != block[1].strip():
         raise ValueError(f"fields of version {version} are not known: {block[1]!r}")
-    count = len(FIELDS[version].split(b" "))
     at = line_end + 1 + size
     while True:
         while at < len(data) and data[at] in b"\r\n":
@@ -77,13 +84,15 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         if at >= len(data):
             return
         line_end = data.find(b"\n", at)
-        part = data[at : line_end if line_end >= 0 else len(data)].decode("utf-8", "replace").rsplit(" ", count - 1)
-        if line_end < 0 or len(part) != count or not part[-1].strip().isdigit():
-            raise ValueError(f"not an ARC header line: {part[0][:80]}")
-        size = int(part[-1])
+        line = data[at : line_end if line_end >= 0 else len(data)]
+        found = _LINES[version].fullmatch(line) if line_end >= 0 else None
+        if not found:
+            raise ValueError(f"not an ARC header line: {line[:80]!r}")
+        url, ip, date, kind, *more = (x.decode("utf-8", "replace") for x in found.groups())
+        size = int(more[-1])
         if line_end + 1 + size > len(data):
-            raise ValueError(f"the document of {part[0][:80]} is cut off")
-        yield ArcRecord(*part[:4], data[line_end + 1 : line_end + 1 + size], part[4] if version == 2 else "")
+            raise ValueError(f"the document of {url[:80]} is cut off")
+        yield ArcRecord(url, ip, date, kind, data[line_end + 1 : line_end + 1 + size], more[0] if version == 2 else "")
         at = line_end + 1 + size
 
 
@@ -97,19 +106,23 @@ def _stamp(date: str) -> str:
 
 
 def split_http(document: bytes) -> tuple[bytes, bytes]:
-    """(HTTP head with its blank line, payload); a document without one is all payload."""
-    if document.startswith(b"HTTP/"):
-        at = document.find(b"\r\n\r\n")
-        if at >= 0:
-            return document[: at + 4], document[at + 4 :]
+    """(HTTP head with its blank line, payload), with line ends of either kind; a document without one is all payload."""
+    if document.startswith(b"HTTP/") and (blank := _BLANK_LINE.search(document)):
+        return document[: blank.end()], document[blank.end() :]
     return b"", document
 
 
+def _number(text: bytes | str | None) -> int | None:
+    """A page's number as it was written, None for anything else."""
+    found = re.fullmatch(r"-?\d{1,19}", (text.decode("latin-1") if isinstance(text, bytes) else text or "").strip())
+    return int(found[0]) if found and -(1 << 63) <= int(found[0]) < 1 << 63 else None
+
+
 def _page_id(head: bytes) -> int | None:
-    for line in head.split(b"\r\n"):
+    for line in head.split(b"\n"):
         name, _, value = line.partition(b":")
         if name.strip().lower() == _PAGE.lower().encode():
-            return int(value)
+            return _number(value)
     return None
 
 
@@ -283,8 +296,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 for h, block in read_warc(content.as_py()):
                     payload = split_http(block)[1] if h["warc-type"] == "response" else None
                     rows.append((
-                        int(h[_PAGE.lower()]) if _PAGE.lower() in h else None, h["warc-target-uri"], h["warc-date"], h["warc-type"], len(payload) if payload is not None else int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha256:"),
-                        int(h["x-refers-to-page-id"]) if "x-refers-to-page-id" in h else None, hashlib.sha256(payload).hexdigest() if payload is not None else None,
+                        _number(h.get(_PAGE.lower())), h["warc-target-uri"], h["warc-date"], h["warc-type"], len(payload) if payload is not None else int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha256:"),
+                        _number(h.get("x-refers-to-page-id")), hashlib.sha256(payload).hexdigest() if payload is not None else None,
                     ))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
@@ -297,6 +310,6 @@ _TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.stri
 
 def arc_round_trip(spark: SparkSession, pages: DataFrame, **columns: str) -> DataFrame:
     """Writes pages as ARC files to the shared folder, converts these, writes the WARC archives and reads them back."""
-    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    folder = to_be_deleted(f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}")
     arcs = pages_to_arcs(pages, f"{folder}/arc", **columns)
     return read_archives(write_archives(convert_archives(arcs), f"{folder}/warc"))

@@ -22,7 +22,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    to_be_deleted(path)
     with _LOCK:  # the setting is the session's
         before = spark.conf.get(_CLEAN, "false")
         spark.conf.set(_CLEAN, "true")  # once written, the plan's shuffle files are of no use
@@ -33,6 +33,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def to_be_deleted(path: str) -> str:
+    """A folder that delete_written deletes too."""
+    _WRITTEN.append(path)
+    return path
+
+
 def delete_written(spark) -> int:
     """Deletes the tables that `written` has made in this process and returns their number; results that still read them must be stored first."""
     n = 0

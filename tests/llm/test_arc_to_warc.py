@@ -62,3 +62,28 @@ def test_files_of_a_folder(spark, tmp_path):
     assert sorted(r.record_type for r in found.values()) == ["resource", "response", "revisit"] and found["http://a/2"].record_type == "resource"
     a, b = found["http://a/1"], found["http://b/1"]
     assert {a.refers_to, b.refers_to} == {None, min(a.page_id, b.page_id)} and a.payload_digest == b.payload_digest and b.date == "2000-01-01T00:00:00Z"
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Heads with bare line ends, content types and URLs with blanks, and headers of the kind this library writes with other values."""
+    page = b"<html>" + b"x" * 150
+    heads = [b"HTTP/1.0 200 OK\nServer: x\n\n", b"HTTP/1.0 200 OK\r\nX-Page-ID: home\r\nX-Bandlake-Page-ID: home\r\n\r\n", b"HTTP/1.0 200 OK\r\nX-Bandlake-Page-ID: 99999999999999999999\r\n\n", b"HTTP/1.0 200 OK\r\nX-Page-ID: 7\r\n\r\n"]
+    records = [ArcRecord(f"http://a/{i} b 5.6.7.8 x", "1.2.3.4" if i else "2001:db8::1", "20010203040506", "text/html; charset=x", h + page + bytes([65 + i]), "200") for i, h in enumerate(heads)]
+    for version in (1, 2):
+        (tmp_path / f"v{version}.arc").write_bytes(write_arc(records, version))
+    got = list(read_arc((tmp_path / "v1.arc").read_bytes()))
+    assert [(r.url, r.ip, r.date, r.content_type, r.document) for r in got] == [(r.url, r.ip, r.date, r.content_type, r.document) for r in records]
+    assert list(read_arc((tmp_path / "v2.arc").read_bytes())) == records
+    rows = read_archives(write_archives(convert_archives(arc_files(spark, str(tmp_path)), number=True), str(tmp_path / "warc"))).collect()
+    assert len(rows) == 8 and {r.payload_digest for r in rows} == {hashlib.sha256(page + bytes([65 + i])).hexdigest() for i in range(4)}
+    assert {r.payload_bytes for r in rows} == {len(page) + 1} and sorted(r.record_type for r in rows) == ["response"] * 4 + ["revisit"] * 4
+    plain = read_arcs(arc_files(spark, str(tmp_path))).collect()
+    assert {r.page_id for r in plain} == {None}
+
+
+def test_written_archives_can_be_deleted(spark):
+    from bandlake.llm.components import delete_written
+
+    delete_written(spark)
+    assert arc_round_trip(spark, spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")).count() == 1
+    assert delete_written(spark) == 4
