@@ -105,10 +105,12 @@ def summed(rows: DataFrame, parts) -> dict[int, np.ndarray]:
     """Sums of {number: vector} that `parts` makes of a task's batches, added by number on the executors: over TASKS tasks at a time, then over all. The driver receives a vector a
     number, however many tasks there are."""
 
+    each = TASKS
+
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = parts(stream)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([TaskContext.get().partitionId() // TASKS] * len(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["probe", "slot", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([TaskContext.get().partitionId() // each] * len(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["probe", "slot", "v"])
 
     def add(t: pa.Table) -> pa.Table:
         total = np.frombuffer(t["v"][0].as_py()).copy()

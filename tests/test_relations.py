@@ -79,7 +79,7 @@ def test_sums_reach_the_driver_once(spark, monkeypatch):
     monkeypatch.setattr(probes, "TASKS", 2)
     found = probes.summed(df.select("label", "features"), lambda stream: {k: v for k, v in [(0, sum(np.array([b.num_rows, 1.0]) for b in stream))] if np.ndim(v)})
     assert found[0][0] == 200 and found[0][1] >= 8
-    fitted = probes.fit_probes(df, [probes.Probe("a", "1", ((0, 3),))], balanced=False, scale=False)
+    fitted = probes.fit_probes(df, [probes.Probe("a", "1", ((0, 3),))], scale=False)
     assert np.allclose(fitted.weights[0][0], newton(x, y), atol=1e-4)
 
 
