@@ -100,6 +100,27 @@ def convert_inference(df: DataFrame) -> DataFrame:
     return df.select(F.col("premise").alias("text0"), F.col("hypothesis").alias("text1"), T.inference_label(F.col("label")).alias("label"))
 
 
+#: The languages and splits of the multilingual inference corpus.
+INFERENCE_LANGUAGES, INFERENCE_SPLITS = ("de", "en", "es", "fr", "zh"), {"train": "train", "validation": "dev", "test": "test"}
+
+
+def convert_inference_layout(df: DataFrame, languages: tuple[str, ...] = INFERENCE_LANGUAGES) -> DataFrame:
+    """Rows (lang, split, premise, hypothesis, label) of the languages as lang, split (train, dev, test), text0, text1, label: what write_corpus puts into a folder a language and split.
+    A row without a premise, hypothesis or known label, or of another split, is an error."""
+    names = F.create_map(*(F.lit(x) for pair in INFERENCE_SPLITS.items() for x in pair))
+    rows = df.where(F.col("lang").isin(*languages)).withColumn("_split", F.try_element_at(names, F.col("split")))
+    found = rows.select("lang", F.col("_split").alias("split"), F.col("premise").alias("text0"), F.col("hypothesis").alias("text1"), T.inference_label(F.col("label")).alias("label"))
+    return complete(found, ["split", "text0", "text1", "label"])
+
+
+def complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df, whose rows all have a value in each of the columns: any others are counted and are an error."""
+    lacking = df.agg(*(F.sum(F.col(c).isNull().cast("long")).alias(c) for c in columns)).first().asDict()
+    if bad := {c: n for c, n in lacking.items() if n}:
+        raise ValueError(f"rows without a value: {bad}")
+    return df
+
+
 def convert_parses(lines: DataFrame, column: str = "value") -> DataFrame:
     words, tags = T.treebank_tokens(F.col(column))
     return lines.where(F.length(F.trim(column)) > 0).select(F.array_join(words, " ").alias("text"), F.array_join(tags, " ").alias("label"))

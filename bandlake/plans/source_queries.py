@@ -58,6 +58,21 @@ def inference_pairs_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.convert_inference(pairs)
 
 
+@query(
+    "with r as (select lang, case doc_id % 10 when 0 then 'test' when 1 then 'dev' else 'train' end as split, coalesce(text, '') as text, (['entailment', 'neutral', 'contradiction'])[1 + doc_id % 3] as label from documents where lang in ('de', 'en', 'es', 'fr', 'zh')) "
+    "select lang, split, label, count(*) as n, cast(sum(length(text)) as bigint) as premise_characters, cast(sum(4 + length(text)) as bigint) as hypothesis_characters from r group by all"
+)
+def inference_layout_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as premises with hypotheses, written in a folder a language and split and read back."""
+    folder = _folder(spark, "inference")
+    text = F.coalesce("text", F.lit(""))
+    split = F.when(F.col("doc_id") % 10 == 0, "test").when(F.col("doc_id") % 10 == 1, "validation").otherwise("train")
+    rows = table(spark, sf_dir, "documents").select("lang", split.alias("split"), F.concat(F.lit("p: "), text).alias("premise"), F.concat(F.lit("not p: "), text).alias("hypothesis"), (F.col("doc_id") % 3).alias("label"))
+    writers.write_corpus(corpus.convert_inference_layout(rows), folder, ("lang", "split"))
+    found = readers.read_corpus_csv(spark, folder)
+    return found.groupBy("lang", "split", "label").agg(F.count("*").alias("n"), F.sum(F.length("text0") - 3).alias("premise_characters"), F.sum(F.length("text1") - 3).alias("hypothesis_characters"))
+
+
 _TREE = "'20news-bydate-' || case when item_id % 3 = 0 then 'test' else 'train' end"
 
 

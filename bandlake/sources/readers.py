@@ -146,8 +146,18 @@ def read_corpus_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
 
 
-def read_pairs_tsv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", schema="label string, premise string, hypothesis string", quote="").where("premise is not null and hypothesis is not null")
+def read_pairs_tsv(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """label, premise, hypothesis of a file of tab-separated lines. Lines that lack one are left out, or with strict are an error that tells their number."""
+    rows = spark.read.csv(path, sep="\t", schema="label string, premise string, hypothesis string", quote="")
+    if strict and (bad := rows.where("label is null or premise is null or hypothesis is null").count()):
+        raise ValueError(f"{bad} lines of {path} lack a label, premise or hypothesis")
+    return rows.where("premise is not null and hypothesis is not null")
+
+
+def read_inference_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """split, label, premise, hypothesis of a folder of train_w_filtering.tsv and dev.tsv."""
+    parts = [read_pairs_tsv(spark, f"{folder}/{name}.tsv", strict=True).withColumn("split", F.lit(split)) for split, name in (("train", "train_w_filtering"), ("dev", "dev"))]
+    return parts[0].unionByName(parts[1])
 
 
 def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:

@@ -144,3 +144,22 @@ def test_lineitem_series_hold_every_row(spark):
     total = spark.read.parquet(f"{sf}/lineitem.parquet").agg(F.sum("l_quantity").cast("double"), F.countDistinct("l_suppkey")).first()
     got = supplied(spark, sf).agg(F.sum(F.aggregate("series", F.lit(0.0), lambda a, x: a + x)), F.count("*"), F.min(F.size("series")), F.max(F.size("series"))).first()
     assert abs(got[0] - total[0]) < 1e-6 and got[1] == total[1] and got[2] == got[3] == 32
+
+
+def test_inference_corpora(spark, tmp_path):
+    from bandlake.operators import corpus
+
+    rows = [("en", "validation", "a", "b", 0), ("zh", "train", "c", "d", 2), ("sw", "train", "e", "f", 1)]
+    shape = "lang string, split string, premise string, hypothesis string, label int"
+    got = corpus.convert_inference_layout(spark.createDataFrame(rows, shape)).collect()
+    assert {tuple(r) for r in got} == {("en", "dev", "a", "b", "entailment"), ("zh", "train", "c", "d", "contradiction")}
+    for bad in (("en", "train", None, "x", 0), ("en", "other", "x", "y", 0), ("en", "train", "x", "y", 9)):
+        with pytest.raises(ValueError, match="without a value"):
+            corpus.convert_inference_layout(spark.createDataFrame([*rows, bad], shape))
+    (tmp_path / "train_w_filtering.tsv").write_text("entailment\ta \"b\tc\nneutral\td\te\n")
+    (tmp_path / "dev.tsv").write_text("neutral\tx\ty\n")
+    found = readers.read_inference_folder(spark, str(tmp_path))
+    assert {(r.split, r.label, r.premise) for r in found.collect()} == {("train", "entailment", 'a "b'), ("train", "neutral", "d"), ("dev", "neutral", "x")}
+    (tmp_path / "dev.tsv").write_text("neutral\tx\n")
+    with pytest.raises(ValueError, match="1 lines"):
+        readers.read_inference_folder(spark, str(tmp_path))
