@@ -306,8 +306,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = docs.select(*columns).withColumn("_id", key).withColumn("_text", row).join(repeats.withColumnsRenamed({"doc_id": "_id", "row": "_text"}), ["_id", "_text"], "left")
     split = joined.withColumn("_lines", F.split(F.col(text_col), "\n"))
     blank = f"btrim(x, '{_BLANK}')"
-    split = split.withColumn("removed_places", F.when(F.col("_gone").isNotNull(), F.expr(f"filter(array_distinct(transform(array_sort(_gone), g -> g.place)), p -> p < size(_lines) and array_contains(_gone, struct(p as place, xxhash64({blank.replace('x', '_lines[p]')}) as h)))")).otherwise(F.array().cast("array<int>")))
-    text = F.when(F.size("removed_places") > 0, F.expr("array_join(filter(_lines, (x, i) -> not array_contains(removed_places, i)), '\n')")).otherwise(F.col(text_col))
+    # of a row's lines those whose place and content repeat; keys are strings, which Spark's array functions look up by hash
+    own = f"transform(filter(array_distinct(transform(array_sort(_gone), g -> g.place)), p -> p < size(_lines)), p -> concat(p, ':', xxhash64({blank.replace('x', '_lines[p]')})))"
+    gone = f"transform(array_intersect({own}, transform(_gone, g -> concat(g.place, ':', g.h))), k -> cast(substring_index(k, ':', 1) as int))"
+    split = split.withColumn("removed_places", F.when(F.col("_gone").isNotNull(), F.expr(gone)).otherwise(F.array().cast("array<int>")))
+    text = F.when(F.size("removed_places") > 0, F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), removed_places), i -> _lines[i]), '\n')")).otherwise(F.col(text_col))
     n_lines = F.coalesce(F.expr(f"size(filter(_lines, x -> {blank} <> ''))"), F.lit(0))
     kept = split.withColumn("n_lines", F.greatest(n_lines, F.lit(0)).cast("long")).withColumn("n_removed", F.size("removed_places").cast("long")).withColumn(text_col, text)
     return kept.select(*columns, "n_lines", "n_removed", "removed_places")
