@@ -177,6 +177,27 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# crc32 bit by bit; a run of period q is a stretch of places whose words come again q words later, so pairs of equal words are joined and numbered
+ORACLES["op11_periodic_runs"] = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::bigint)),
+  lambda x, b: list_reduce(list_prepend(xor(x, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) as h from documents),
+g as (select *, len(ws) as n, h // 10 as g, h % 10 = 0 and len(ws) > 0 as planted from d),
+a as (select *, case when planted then g % n end as a from g),
+p as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
+t as (select row_number() over () as r, doc_id, n, case when planted then list_transform(range(1, n + 1), lambda i: case when i - 1 < a then ws[i] else ws[1 + a + (i - 1 - a) % p] end) else ws end as ws from p),
+w as (select r, n, unnest(range(0, n)) as i, unnest(ws) as x from t),
+e as (select a.r, b.i - a.i as q, a.i, a.i - row_number() over (partition by a.r, b.i - a.i order by a.i) as island from w a join w b on a.r = b.r and a.x = b.x and b.i > a.i and 4 * (b.i - a.i) <= a.n),
+s as (select r, q, min(i) as start, count(*) + q as length from e group by r, q, island having count(*) + q >= greatest(6, 4 * q)),
+runs as (select r, start, length, min(q) as period from s group by all),
+best as (select * from runs qualify row_number() over (partition by r order by length * 1000000000000 // period desc, start, period) = 1),
+told as (select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from runs group by r),
+gone as (select distinct r, unnest(range(start + period, start + length)) as i from runs),
+kept as (select r, string_agg(x, ' ' order by i) as x from w anti join gone using (r, i) group by r)
+select doc_id, cast(coalesce(n_runs, 0) as bigint) as n_runs, cast(start as bigint) as start, cast(length as bigint) as length, cast(period as bigint) as period, cast(1000 * length // period as bigint) as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(x, '')) as collapsed_sha256
+from t left join best using (r) left join told using (r) left join kept using (r)
+"""
+
+
 @query
 def op12_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(_table(spark, sf_dir, "documents"), held_out=F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
