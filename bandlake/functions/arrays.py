@@ -107,6 +107,12 @@ def one_hot(c: Column, classes: Sequence[str]) -> Column:
     return F.array(*(F.when(c == k, 1.0).otherwise(0.0) for k in classes))
 
 
+def class_number(c: Column, classes: Sequence[str]) -> Column:
+    """The place of the value among the sorted distinct classes, from 0; null for another value or null."""
+    at = F.array_position(F.array(*(F.lit(k) for k in sorted(set(classes)))), c.cast("string"))
+    return F.when(at > 0, at - 1).cast("int")
+
+
 def without_special(tokens: Column, special: Column) -> Column:
     """The tokens whose flag in `special` is false."""
     return F.transform(F.filter(F.arrays_zip(tokens.alias("t"), special.alias("s")), lambda x: ~x["s"]), lambda x: x["t"])
