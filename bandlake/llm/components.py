@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import threading
 import uuid
 from collections.abc import Iterator
@@ -10,9 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bandlake.llm.wordbytes import BATCH_BYTES
 from bandlake.session import shared_folder
 
 BLOCK_EDGES = 500_000
+GROUP_BYTES = 24 << 20
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCK = threading.Lock()
 _WRITTEN: list[str] = []
@@ -48,10 +51,12 @@ def delete_written(spark) -> int:
     return n
 
 
-def fragments_for(docs: DataFrame, text: str = "text", each: int = 24 << 20) -> int:
-    """How many groups to deal the texts' windows, lines or n-grams to: twice the shuffle partitions, or as many as give a group `each` bytes of text."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
-    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+def sizes_for(docs: DataFrame, text: str = "text") -> tuple[int, int, int]:
+    """(groups, bytes of a group, bytes of a batch) to deal the texts' windows, lines or n-grams by: twice the shuffle partitions, or as many as give a group GROUP_BYTES of text. Above a terabyte groups and
+    batches grow as the root of the input, so that a batch, a quarter of a group, sends every group about 16 entries or more in a packed row."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long") + 8), F.lit(0))).first()[0]
+    group = max(GROUP_BYTES, math.isqrt(560 * size))
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // group)), group, max(BATCH_BYTES, group // 4)
 
 
 def _forest(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,6 @@ reads. A context with more occurrences than a group should hold is split by its
 
 from __future__ import annotations
 
-import math
 import struct
 from collections.abc import Iterator
 
@@ -21,12 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandlake.llm.components import written
+from bandlake.llm.components import sizes_for, written
 from bandlake.llm.packing import _join, _planes, _width, expand, pack, squeeze, unpack
-from bandlake.llm.wordbytes import BATCH_BYTES, Words, batches, mix64, text_bytes
+from bandlake.llm.wordbytes import Words, batches, mix64, text_bytes
 
 CUTOFF = 5
-GROUP_BYTES = 24 << 20
 END, BEGIN = np.uint64(0x9B1A615C3D0E2F47), np.uint64(0x5D2E8C0F71A3B695)
 ROWS = "fragment long, batch string, kind int, blob binary, sums array<long>"
 HEADER, LIGHT, HEAVY, TALLY, SUMS = range(5)
@@ -301,13 +299,6 @@ def _answer_group(t: pa.Table, fragment: int, order: int, discount: np.ndarray)
     return _row(frag, names, kinds, blobs)
 
 
-def _size_of(docs: DataFrame) -> tuple[int, int]:
-    """(bytes of a batch, number of groups): groups of 24 MB of text, more for inputs so large that a batch would send a group fewer than about 16 n-grams."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 8), F.lit(0))).first()[0]
-    group = max(GROUP_BYTES, math.isqrt(560 * size))
-    return max(BATCH_BYTES, group // 4), max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // group))
-
-
 def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, order: int = 2, limit: int | None = None, groups: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known (tokens seen in training), train_tokens, base_score (log10 probability by single tokens, one added to each count) and score
     (log10 probability by Katz backoff of n-grams of `order` tokens) of every row.
@@ -322,8 +313,8 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("order is at least 1")
     out = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (~out).alias("train"))
-    size, n_groups = _size_of(docs)
-    model = Model(groups or n_groups, limit or max(GROUP_BYTES, size * 4) // 6)
+    n_groups, group_bytes, size = sizes_for(docs)
+    model = Model(groups or n_groups, limit or group_bytes // 6)
 
     def named(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
         part = TaskContext.get().partitionId()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandlake.llm.components import connected_components, fragments_for, written
+from bandlake.llm.components import connected_components, sizes_for, written
 from bandlake.llm.packing import expand, squeeze
 from bandlake.llm.wordbytes import batches, mix64
 
@@ -137,11 +137,11 @@ def _keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(keys), np.concatenate(rows), np.concatenate(kinds), parity
 
 
-def _entries(lines: DataFrame, edits: int, n_fragments: int) -> DataFrame:
+def _entries(lines: DataFrame, edits: int, n_fragments: int, batch_bytes: int) -> DataFrame:
     """Index entries and probes (key, h, sketch, kind) whose key several lines have."""
 
     def scatter(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches(stream, "line", 3 << 20):
+        for t in batches(stream, "line", batch_bytes):
             h = np.asarray(t["h"])
             _, first = np.unique(h, return_index=True)
             t = t.take(pa.array(first))
@@ -255,10 +255,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 def line_classes(docs: DataFrame, edits: int = EDITS, least_length: int = LEAST_LENGTH) -> tuple[DataFrame, DataFrame]:
     """(lines, classes): every line's doc_id, row, place and h, and (h, component) of the lines that have near lines."""
     spark = docs.sparkSession
-    n_fragments = fragments_for(docs)
+    n_fragments, _, batch_bytes = sizes_for(docs)
     lines = _lines(docs)
     long = lines.where(f"length(line) >= {least_length}")
-    entries = written(_entries(long, edits, n_fragments), "entries")
+    entries = written(_entries(long, edits, n_fragments, batch_bytes // 2), "entries")
     texts = _texts(entries, long)
     component = links = compared = None
     for ring in RINGS:

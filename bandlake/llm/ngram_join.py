@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandlake.llm.components import connected_components, fragments_for, written
+from bandlake.llm.components import connected_components, sizes_for, written
 from bandlake.llm.packing import expand, pack, squeeze, unpack
 from bandlake.llm.wordbytes import Words, batches, mix64, text_bytes
 
@@ -119,12 +119,12 @@ def _lists(keys: np.ndarray, row: np.ndarray, keep: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].view(np.int64)))
 
 
-def _shared_sets(docs: DataFrame, n: int, percent: int, n_fragments: int) -> DataFrame:
+def _shared_sets(docs: DataFrame, n: int, percent: int, n_fragments: int, batch_bytes: int) -> DataFrame:
     """Every document's set size, and the shared n-grams of those that can link."""
 
     def scatter(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for seq, t in enumerate(batches(stream, "text")):
+        for seq, t in enumerate(batches(stream, "text", batch_bytes)):
             gram, row = shingles(t, n)
             digest = [np.zeros(t.num_rows, np.uint64) for _ in range(2)]
             for i, d in enumerate(digest):
@@ -275,8 +275,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n_fragments = fragments_for(docs)
-    sets = written(_shared_sets(docs, n, percent, n_fragments), "sets")
+    n_fragments, _, batch_bytes = sizes_for(docs)
+    sets = written(_shared_sets(docs, n, percent, n_fragments, batch_bytes), "sets")
     shared = sets.where("grams is not null")
     nodes = written(_ordered_sets(shared.dropDuplicates(["sid", "check"]).select("sid", "n", "grams"), percent, n_fragments), "nodes")
     links, compared, component = None, None, None

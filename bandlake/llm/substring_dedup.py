@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bandlake.llm.components import sizes_for
 from bandlake.llm.packing import pack, unpack
 from bandlake.llm.wordbytes import Words, batches, text_bytes
 
@@ -46,8 +47,8 @@ def _leaf(trie: np.ndarray, symbols: np.ndarray, starts: np.ndarray) -> np.ndarr
     return -at - 1
 
 
-def plan_prefixes(docs: DataFrame, min_words: int, n_buckets: int, group_suffixes: int = GROUP_SUFFIXES) -> tuple[np.ndarray, np.ndarray]:
-    """(trie, bucket of each leaf). There are n_buckets, or as many as leave a bucket BUCKET_SUFFIXES suffixes. The driver sees counts of symbols only: 65,536 at first, then 256 for each
+def plan_prefixes(docs: DataFrame, min_words: int, n_buckets: int, group_suffixes: int = GROUP_SUFFIXES, bucket_suffixes: int = BUCKET_SUFFIXES) -> tuple[np.ndarray, np.ndarray]:
+    """(trie, bucket of each leaf). There are n_buckets, or as many as leave a bucket bucket_suffixes suffixes. The driver sees counts of symbols only: 65,536 at first, then 256 for each
     prefix that is still too large, which are at most suffixes / group size many."""
 
     def count(trie: np.ndarray | None, depth: int) -> dict[tuple[int, int], int]:
@@ -163,13 +164,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     arise, as only smaller ids remove. Other columns are not read. The input must give the same rows in the same
     order when a lost partition is computed again, as files do.
     """
-    n_buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    trie, buckets = plan_prefixes(docs, min_words, n_buckets)
+    _, group_bytes, batch_bytes = sizes_for(docs)
+    n_buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    trie, buckets = plan_prefixes(docs, min_words, n_buckets, bucket_suffixes=max(BUCKET_SUFFIXES, group_bytes // 6))
 
     def suffixes(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for seq, t in enumerate(batches(stream, "text")):
+        for seq, t in enumerate(batches(stream, "text", batch_bytes)):
             t = _sorted(t)
             nodes = _Nodes(t, min_words, trie, buckets)
             sink = io.BytesIO()

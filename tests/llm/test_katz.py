@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bandlake.llm import katz
+from bandlake.llm import components, katz
 from bandlake.llm.catalog import QUERIES
 from bandlake.llm.katz import katz_scores
 
@@ -86,7 +86,8 @@ def table(spark, rows):
 
 @pytest.mark.parametrize(("order", "limit", "groups"), [(1, None, 3), (2, None, None), (2, 4, 5), (3, 6, 3)])
 def test_matches_recursion_over_dictionaries(spark, monkeypatch, order, limit, groups):
-    monkeypatch.setattr(katz, "BATCH_BYTES", 1500)
+    monkeypatch.setattr(components, "BATCH_BYTES", 1500)
+    monkeypatch.setattr(components, "GROUP_BYTES", 4000)
     rows = corpus()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
     found = katz_scores(table(spark, rows), held_out=F.crc32(F.col("doc_id").cast("string")) % 4 == 2, order=order, limit=limit, groups=groups).collect()
