@@ -42,7 +42,8 @@ def _mounted(folder: str) -> str:
 
 
 def write_files(files: DataFrame, folder: str) -> int:
-    """Writes (name, content) rows as files of a mounted folder, each at once under its name, and returns their number. A task that runs again writes the same files."""
+    """Writes (name, content) rows as files of a mounted folder, each at once under its name, and returns their number. A task that runs again writes the same files. Files that
+    aren't there afterwards as the driver sees the folder (it is not mounted everywhere) are an error."""
     root = _mounted(folder)
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,9 +55,14 @@ def write_files(files: DataFrame, folder: str) -> int:
                 with open(part, "wb") as f:
                     f.write(content.as_buffer())
                 os.replace(part, path)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
-
-    return files.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(task, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            yield pa.RecordBatch.from_arrays([batch.column("name")], ["name"])
+
+    written = files.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(task, "name string")
+    found = written.agg(F.count("*").alias("n"), F.countDistinct("name").alias("names")).first()
+    there = sum(not name.endswith(".part") for _, _, names in os.walk(root) for name in names)
+    if there < found["names"]:
+        raise OSError(f"{found['names']} files were written, but {there} are in {folder}: mount it for the driver and all executors")
+    return found["n"]
 
 
 def npz_archives(samples: DataFrame, rows: int = 1024, label_key: str = "genres") -> DataFrame:

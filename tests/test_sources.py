@@ -163,3 +163,11 @@ def test_inference_corpora(spark, tmp_path):
     (tmp_path / "dev.tsv").write_text("neutral\tx\n")
     with pytest.raises(ValueError, match="1 lines"):
         readers.read_inference_folder(spark, str(tmp_path))
+
+
+def test_files_that_the_driver_does_not_see_are_an_error(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(f"d/{i}", b"x") for i in range(5)], "name string, content binary")
+    assert writers.write_files(df, str(tmp_path / "a")) == 5
+    monkeypatch.setattr(writers.os, "walk", lambda root: iter([(root, [], ["0"])]))
+    with pytest.raises(OSError, match="mount it"):
+        writers.write_files(df, str(tmp_path / "b"))
