@@ -130,3 +130,19 @@ def test_hidden_states_and_labels(spark):
     kept = encoding.content(encoder.rows(df))
     row = kept.withColumn("l", encoding.piece_labels(F.col("labels"), F.col("pieces.word"), F.col("pieces.text"))).first()
     assert row["l"] == ["A", "B", "B", "C"] and len(row["features"]) == 3 and {len(s) for s in row["features"]} == {4} and not any(row["pieces"]["special"])
+
+
+def test_pieces_take_few_bytes():
+    """A task holds machine integers, not objects, for the pieces of its texts."""
+    import tracemalloc
+
+    splitter = subwords.Splitter(small("re"))
+    text = "rerun area 7 " * 20_000
+    n = len(splitter.split("rerun area 7 ")) * 20_000
+    tracemalloc.start()
+    found = splitter.columns(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(x) for x in found] == [n] * 4 and peak < 40 * n
+    splitter._word("a" * 5000)
+    assert "a" * 5000 not in splitter.known
