@@ -17,6 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandlake.functions.subwords import PIECES, Vocabulary, pieces
+from bandlake.session import stored
+
+#: Bytes of hidden states that a task makes and hands on at a time.
+BLOCK_BYTES = 4 << 20
 
 #: What an encoder adds: pieces and `features`, an array of series (one a dimension, over the pieces).
 ENCODED = f"pieces {PIECES}, features array<array<double>>"
@@ -36,6 +40,7 @@ def train_vectors(texts: DataFrame, vocabulary: Vocabulary, dims: int = 32, wind
         raise ValueError("dims is from 1 to 64")
     rows = texts.select(pieces(F.col("texts"), vocabulary)["ids"].alias("ids"))
     pairs = rows.select(F.explode(neighbours(F.col("ids"), window)).alias("p")).select("p.a", "p.b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = stored(pairs, "pairs")  # read eight times below: the texts are split once
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "n").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "n"))
     both = both.groupBy("x", "y").agg(F.sum("n").alias("n"))
     single = both.groupBy("x").agg(F.sum("n").alias("m"))
@@ -55,6 +60,18 @@ def train_vectors(texts: DataFrame, vocabulary: Vocabulary, dims: int = 32, wind
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def blocks(sizes: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
+    """(first, number) of neighbouring rows that take BLOCK_BYTES at most when each is as long as the longest of them; a longer row is on its own."""
+    first, longest = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        longest = max(longest, size)
+        if i > first and (i + 1 - first) * longest * width > BLOCK_BYTES:
+            yield first, i - first
+            first, longest = i, size
+    if len(sizes) > first:
+        yield first, len(sizes) - first
+
+
 @dataclass
 class PieceEncoder:
     """Hidden states of pieces: each its own vector, with what stands before and after it, fading by `fade` a place."""
@@ -73,14 +90,31 @@ class PieceEncoder:
 
     def hidden(self, ids: np.ndarray) -> np.ndarray:
         """(dimensions, pieces) of a text."""
-        x = self.vectors[ids]
+        return self.states(ids, np.array([len(ids)])).T
+
+    def states(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(pieces, dimensions) of texts one after the other, `sizes` pieces each; a step goes through all of them together."""
+        longest = int(sizes.max(initial=0))
+        inside = np.arange(longest) < sizes[:, None]
+        x = np.zeros((len(sizes), longest, self.vectors.shape[1]))
+        x[inside] = self.vectors[ids]
         around = np.zeros_like(x)
-        for line, out in ((x, around), (x[::-1], around[::-1])):
-            state = np.zeros(x.shape[1])
-            for i in range(len(line)):
-                out[i] += state
-                state = self.fade * (state + line[i])
-        return np.tanh(x + self.mix * around).T
+        for places in (range(longest), range(longest - 1, -1, -1)):
+            state = np.zeros((len(sizes), x.shape[2]))
+            for i in places:
+                around[:, i] += state
+                state = self.fade * (state + x[:, i])
+        return np.tanh(x[inside] + self.mix * around[inside])
+
+    def _features(self, ids: pa.Array) -> pa.Array:
+        """Hidden states of an array of lists of pieces: an array of series, one a dimension, for each."""
+        sizes = np.asarray(pa.compute.list_value_length(ids).fill_null(0)).astype(np.int64)
+        valid, dims = np.asarray(ids.is_valid()), self.vectors.shape[1]
+        found = self.states(np.asarray(ids.flatten()).astype(np.int64), sizes)
+        flat = [s.T.reshape(-1) for s in np.split(found, np.cumsum(sizes)[:-1])] if len(sizes) else [found.reshape(-1)]
+        inner = np.concatenate([[0], np.cumsum(np.repeat(sizes[valid], dims))]).astype(np.int32)
+        outer = np.concatenate([[0], np.cumsum(valid * dims)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), pa.array(np.concatenate(flat))), mask=pa.array(~valid))
 
     def rows(self, df: DataFrame, limit: int | None = None) -> DataFrame:
         """df with `pieces` and `features` of its column `texts`."""
@@ -93,8 +127,9 @@ class PieceEncoder:
             own.vectors, own.fade, own.mix = shared.value
             for batch in stream:
                 ids = pa.compute.struct_field(batch.column("pieces"), "ids")
-                found = [None if x is None else own.hidden(np.asarray(x, np.int64)).tolist() for x in ids.to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.list_(pa.float64())))], names)
+                for at, n in blocks(np.asarray(pa.compute.list_value_length(ids).fill_null(0)), 8 * own.vectors.shape[1]):
+                    part = batch.slice(at, n)
+                    yield pa.RecordBatch.from_arrays([*part.columns, own._features(ids.slice(at, n))], names)
 
         shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), ENCODED])
         return split.mapInArrow(task, shape)

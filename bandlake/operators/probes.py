@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from bandlake.functions import arrays, bands, transforms
 from bandlake.operators import metrics
 from bandlake.operators.ranking import group_split, stratified_split
+from bandlake.session import small_batches
 
 MAX_WIDTH = 512
 MIN_POSITIVES = 10
@@ -120,7 +121,8 @@ def summed(rows: DataFrame, parts) -> dict[int, np.ndarray]:
 
     shape = "probe long, slot long, v binary"
     found = rows.mapInArrow(task, shape).groupBy("probe", "slot").applyInArrow(add, shape).groupBy("probe").applyInArrow(add, shape)
-    return {r["probe"]: np.frombuffer(r["v"]) for r in found.collect()}
+    with small_batches(rows.sparkSession):
+        return {r["probe"]: np.frombuffer(r["v"]) for r in found.collect()}
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

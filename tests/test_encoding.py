@@ -146,3 +146,49 @@ def test_pieces_take_few_bytes():
     assert [len(x) for x in found] == [n] * 4 and peak < 40 * n
     splitter._word("a" * 5000)
     assert "a" * 5000 not in splitter.known
+
+
+def test_states_are_handed_on_in_blocks(spark, monkeypatch):
+    """A task hands on bounded blocks of hidden states, the same as those of each text on its own."""
+    v = small("re")
+    vectors = encoding.train_vectors(spark.createDataFrame([(["rerun area"],)], "texts array<string>"), v, dims=4)
+    encoder = encoding.PieceEncoder(v, vectors)
+    sizes = np.array([3, 0, 5, 5, 40, 1])
+    ids = np.arange(sizes.sum()) % len(v)
+    each = np.split(ids, np.cumsum(sizes)[:-1])
+    assert np.array_equal(encoder.states(ids, sizes), np.concatenate([encoder.hidden(x).T for x in each]))
+    slow = []
+    for line in each:
+        x, around = vectors[line], np.zeros((len(line), 4))
+        for to, state in ((range(len(line)), np.zeros(4)), (range(len(line) - 1, -1, -1), np.zeros(4))):
+            for i in to:
+                around[i] += state
+                state = encoder.fade * (state + x[i])
+        slow.append(np.tanh(x + encoder.mix * around))
+    assert np.allclose(encoder.states(ids, sizes), np.concatenate(slow), rtol=0, atol=1e-14)
+    monkeypatch.setattr(encoding, "BLOCK_BYTES", 10 * 32)
+    found = list(encoding.blocks(sizes, 32))
+    assert [a for a, _ in found] == np.cumsum([0, *(n for _, n in found)])[:-1].tolist() and sum(n for _, n in found) == len(sizes)
+    assert all(n == 1 or n * sizes[a : a + n].max() <= 10 for a, n in found)
+
+
+def test_python_gets_bounded_batches(spark):
+    """Stored tables and sums hand Python a few megabytes at a time, not 10,000 rows; the session is as before afterwards."""
+    import pyarrow as pa
+
+    from bandlake.operators.probes import summed
+    from bandlake.session import BATCH_BYTES, stored
+
+    def largest(stream):
+        sizes = [b.nbytes for b in stream]
+        return {0: np.array([float(max(sizes) > 2 * BATCH_BYTES), len(sizes)])} if sizes else {}
+
+    def told(stream):
+        for b in stream:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    wide = spark.range(0, 3000, 1, 1).select(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda x: x.cast("double") + F.col("id")).alias("x"))
+    over, batches = summed(wide, largest)[0]
+    assert over == 0 and batches > 2
+    assert stored(wide.mapInArrow(told, "n long"), "told").agg(F.max("n")).first()[0] <= 2 * BATCH_BYTES
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
