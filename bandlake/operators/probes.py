@@ -205,8 +205,18 @@ def fit_probes(data: DataFrame, probes: Sequence[Probe], scale: bool = True, bal
 
     Scaling uses population deviations of the training rows, constant features keep scale 1. Probes whose target has fewer
     than min_positives rows, or all rows, are skipped and named in the result; so are multinomial ones of fewer than two classes. Newton steps end when no coefficient moves by
-    more than `tolerance`, quasi-Newton ones when no mean derivative is above it.
+    more than `tolerance`, quasi-Newton ones when no mean derivative is above it. Every step reads the rows, so they are held for the steps unless the caller holds them.
     """
+    held = data.storageLevel.useMemory or data.storageLevel.useDisk
+    data = data if held else data.persist()
+    try:
+        return _fit(data, probes, scale, balanced, c, steps, tolerance, min_positives, max_width)
+    finally:
+        if not held:
+            data.unpersist()
+
+
+def _fit(data: DataFrame, probes: Sequence[Probe], scale: bool, balanced: bool, c: float, steps: int, tolerance: float, min_positives: int, max_width: int) -> Fitted:
     train = data.where(~F.col("is_test")).select("label", "features")
     counts = {r["label"]: (r["n"], r["train"]) for r in data.groupBy("label").agg(F.count("*").alias("n"), F.sum((~F.col("is_test")).cast("int")).alias("train")).collect()}
     classes = sorted(k for k, (_, t) in counts.items() if t)

@@ -291,3 +291,20 @@ def test_saved_probes(spark, tmp_path):
     tp.save_fitted(spark, fitted, str(tmp_path / "f"))
     again = tp.load_fitted(spark, str(tmp_path / "f"))
     assert sorted(map(str, probes.evaluate(data, again).collect())) == sorted(map(str, probes.evaluate(data, fitted).collect()))
+
+
+def test_steps_dont_split_again(spark):
+    """The rows of a fit are computed once, not at every step."""
+    from bandlake.operators.probes import Probe, fit_probes
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(stream):
+        for batch in stream:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(80).selectExpr("cast(id % 3 as string) as label", "array(cast(id % 7 as double), cast(id % 5 as double)) as features", "id % 5 = 0 as is_test")
+    data = rows.mapInArrow(counted, rows.schema)
+    fit_probes(data, [Probe("all", None, ((0, 2),))])
+    assert seen.value == 80 and not data.storageLevel.useMemory
