@@ -2,7 +2,7 @@
 
 Features are the distinct n-grams of characters (ASCII letters lower-cased, white space as blanks) of a whole text, hashed to a fixed
 width. The model, a weight per hash, is fitted on at most `max_train` labelled texts of `max_bytes` in all, those with the smallest
-hash of their id, and has a fixed size whatever the corpus; scoring is one pass over the texts.
+hash of their id, by one task, and has a fixed size whatever the corpus; the driver gets its weights only. Scoring is one pass over the texts.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def features(t: pa.Table, sizes: tuple[int, ...]) -> Iterator[np.ndarray]:
         yield h[stamp[h] == order]
 
 
-def fit(texts: list[str], labels: np.ndarray, sizes: tuple[int, ...] = (6, 8), smooth: float = 1.0, l2: float = 0.05, least: int = 3, faint: float = 1.2, steps: int = 80) -> NgramModel:
+def fit(texts: list[str] | pa.ChunkedArray, labels: np.ndarray, sizes: tuple[int, ...] = (6, 8), smooth: float = 1.0, l2: float = 0.05, least: int = 3, faint: float = 1.2, steps: int = 80) -> NgramModel:
     """Logistic regression on log-count ratios, by accelerated gradient descent. Ratios below `faint` count as
     none. Every fifth text is left out of the fit and calibrates the scale and bias of the scores. Texts of one class
     only: a score near that class for every text."""
@@ -60,18 +60,14 @@ def fit(texts: list[str], labels: np.ndarray, sizes: tuple[int, ...] = (6, 8), s
     learn = np.arange(len(y)) % 5 != 0
     if min(y[learn].sum(), (1 - y[learn]).sum()) < 10 or min(y[~learn].sum(), (1 - y[~learn]).sum()) < 5:
         learn[:] = True  # too few of a class to leave any out
-    count = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
-    for x, label, use in zip(_features_of(texts, sizes), labels, learn, strict=True):
-        if use:
-            count[int(label)][x] += 1
-    p, q = smooth + count[1], smooth + count[0]
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    ratio[(count[0] + count[1] < least) | (np.abs(ratio) < faint)] = 0
-    lists = [x[ratio[x] != 0] for x in _features_of(texts, sizes)]
+    known, ratio = _ratios(zip(_features_of(texts, sizes), labels, learn, strict=True), smooth, least, faint)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[known] = np.arange(len(known), dtype=np.int32)
+    lists = [at[at >= 0] for at in (place[x] for x in _features_of(texts, sizes))]
     flat, row, value = _matrix([x for x, use in zip(lists, learn, strict=True) if use], ratio)
     t = y[learn]
     n = len(t)
-    w, bias = np.zeros(1 << BITS), 0.0
+    w, bias = np.zeros(len(known)), 0.0
     norm = float(np.bincount(row, weights=value.astype(np.float64) ** 2, minlength=n).max()) or 1.0
     rate, last, last_bias = 4.0 / (norm + 1.0), w, bias
     share = np.where(t > 0, 0.5 / t.mean(), 0.5 / (1 - t.mean()))
@@ -81,16 +77,31 @@ def fit(texts: list[str], labels: np.ndarray, sizes: tuple[int, ...] = (6, 8), s
         z = np.bincount(row, weights=v[flat] * value, minlength=n) + vb
         g = share * (_sigmoid(z) - t) / n
         last, last_bias = w, bias
-        w = v - rate * (np.bincount(flat, weights=value * g[row], minlength=1 << BITS) + l2 / n * v)
+        w = v - rate * (np.bincount(flat, weights=value * g[row], minlength=len(known)) + l2 / n * v)
         bias = vb - rate * g.sum()
     check = ~learn if (~learn).any() else learn
     flat, row, value = _matrix([x for x, use in zip(lists, check, strict=True) if use], ratio)
     scale, shift = _calibrate(np.bincount(row, weights=w[flat] * value, minlength=int(check.sum())) + bias, y[check])
-    return NgramModel(sizes, (w * ratio * scale).astype(np.float32), float(bias * scale + shift))
+    weight = np.zeros(1 << BITS, np.float32)
+    weight[known] = w * ratio * scale
+    return NgramModel(sizes, weight, float(bias * scale + shift))
+
+
+def _ratios(rows: Iterator[tuple[np.ndarray, int, bool]], smooth: float, least: int, faint: float) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes whose log-count ratio isn't taken for none, and their ratios."""
+    count = np.zeros((2, 1 << BITS), np.int32)
+    for x, label, use in rows:
+        if use:
+            count[int(label)][x] += 1
+    p, q = smooth + count[1], smooth + count[0]
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    known = np.flatnonzero((count.sum(axis=0) >= least) & (np.abs(ratio) >= faint))
+    return known, ratio[known]
 
 
-def _features_of(texts: list[str], sizes: tuple[int, ...]) -> Iterator[np.ndarray]:
-    for t in batches(iter(pa.table({"text": pa.array(texts, pa.string())}).to_batches()), "text", 1 << 20):
+def _features_of(texts: list[str] | pa.ChunkedArray, sizes: tuple[int, ...]) -> Iterator[np.ndarray]:
+    column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+    for t in batches(iter(pa.table({"text": column}).to_batches()), "text", 1 << 20):
         yield from features(t, sizes)
 
 
@@ -134,9 +145,9 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_train: int, max_bytes: int = MAX_BYTES) -> tuple[list[str], np.ndarray]:
-    """At most max_train labelled texts, the same for any layout of the tables, ordered by id. Rows of one id and text count once;
-    a text that would bring the sample over max_bytes is left out of it, so that the sample fits the driver whatever the ids and lengths."""
+def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_train: int, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(doc_id, text, label) of at most max_train labelled texts, the same for any layout of the tables. Rows of one id and text count once;
+    a text that would bring the sample over max_bytes is left out of it, so that the sample fits a task whatever the ids and lengths."""
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     ids = ids.groupBy("doc_id").agg(F.max("label").alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
@@ -148,10 +159,35 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: st
             total += r["size"]
             chosen.append((r["doc_id"], r["h"]))
     picked = docs.sparkSession.createDataFrame(chosen, "doc_id long, h long").join(F.broadcast(ids), "doc_id")
-    sample = rows.join(F.broadcast(picked), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).orderBy("doc_id", "text").select("text", "label").toArrow()
+    return rows.join(F.broadcast(picked), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "text", "label")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_train: int, max_bytes: int = MAX_BYTES) -> tuple[list[str], np.ndarray]:
+    """The training sample's texts and labels, ordered by id and text."""
+    sample = training_sample(docs, labels, label_col, id_col, text_col, max_train, max_bytes).orderBy("doc_id", "text").select("text", "label").toArrow()
     return sample["text"].to_pylist(), sample["label"].to_numpy()
 
 
+def _fit_task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model's sizes, its weights that aren't 0 and its bias, of all rows of the task."""
+    if parts := list(stream):
+        t = pa.Table.from_batches(parts)
+        model = fit(t["text"], t["label"].to_numpy())
+        known = np.flatnonzero(model.weight).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in ((list(model.sizes), pa.list_(pa.int32())), (known.tobytes(), pa.binary()), (model.weight[known].tobytes(), pa.binary()), (model.bias, pa.float64()))], ["sizes", "known", "weight", "bias"])
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_train: int) -> NgramModel:
+    """The model of the training sample, fitted by one task: neither the texts nor what the fit makes of them reach the driver."""
+    sample = training_sample(docs, labels, label_col, id_col, text_col, max_train).repartition(1).sortWithinPartitions("doc_id", "text").select("text", "label")
+    found = sample.mapInArrow(_fit_task, "sizes array<int>, known binary, weight binary, bias double").collect()
+    if not found:
+        return fit([], np.zeros(0))
+    weight = np.zeros(1 << BITS, np.float32)
+    weight[np.frombuffer(found[0]["known"], np.int32)] = np.frombuffer(found[0]["weight"], np.float32)
+    return NgramModel(tuple(found[0]["sizes"]), weight, found[0]["bias"])
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (score >= threshold) of every row.
 
@@ -159,7 +195,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     given twice counts as its largest; a null id is not held out. Without labels every score is 0.5, with
     labels of one class it is near that class. Repeated rows get equal scores. Other columns are not read.
     """
-    model = fit(*training_rows(docs, labels, label_col, id_col, text_col, max_train))
+    model = fitted(docs, labels, label_col, id_col, text_col, max_train)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +209,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
     """The rows of docs that `toxicity` doesn't predict toxic, in one pass without a shuffle of the texts."""
-    model = fit(*training_rows(docs, labels, label_col, id_col, text_col, max_train))
+    model = fitted(docs, labels, label_col, id_col, text_col, max_train)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

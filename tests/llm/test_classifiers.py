@@ -118,3 +118,16 @@ def test_training_rows_are_bounded(spark):
     assert len(texts) == len(y) == 20 and texts == x.training_rows(docs.repartition(5), labels, "toxic", "doc_id", "text", 20)[0]
     texts, _ = x.training_rows(docs, labels, "toxic", "doc_id", "text", 1000, 500)
     assert 0 < sum(map(len, texts)) <= 500
+
+
+def test_toxicity_is_fitted_by_a_task(spark, monkeypatch):
+    texts = [f"{'vile trash talk' if i % 3 == 0 else 'lovely morning walk'} number {i * i}" for i in range(200)] + [None]
+    docs = spark.createDataFrame([(i, text, "s", "l") for i, text in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(len(texts))], LABELS)
+    want = x.fit(*x.training_rows(docs, labels, "toxic", "doc_id", "text", 150))
+    monkeypatch.setattr(x, "fit", None)  # the driver neither gets the texts nor fits; workers import their own
+    monkeypatch.setattr(x, "training_rows", None)
+    got = x.fitted(docs, labels, "toxic", "doc_id", "text", 150)
+    assert (got.weight == want.weight).all() and (got.bias, got.sizes) == (want.bias, want.sizes) and want.weight.any()
+    assert x.toxicity(docs, labels).count() == x.toxicity(docs.repartition(3), labels).count() == len(texts)
+    assert x.drop_toxic(docs, labels).count() == x.toxicity(docs, labels).where("predicted = 0").count() < len(texts)
