@@ -7,6 +7,7 @@ one with a null in it, gives null; an empty one gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +46,13 @@ def by_length(series: pa.Array, f: Callable[[np.ndarray], np.ndarray]) -> pa.Arr
     return pa.array(rows, pa.list_(pa.float64()))
 
 
+@lru_cache(maxsize=2)
 def dct_basis(n: int) -> np.ndarray:
-    """Orthonormal cosines, a row per frequency."""
+    """Orthonormal cosines, a row per frequency; the last ones are kept, as a block goes there and back."""
     k, t = np.arange(n)[:, None], np.arange(n)[None, :]
     basis = np.cos(np.pi * (2 * t + 1) * k / (2 * n)) * np.sqrt(2.0 / n)
     basis[0] /= np.sqrt(2.0)
+    basis.flags.writeable = False
     return basis
 
 

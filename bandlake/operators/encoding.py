@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,11 +107,31 @@ class PieceEncoder:
                 state = self.fade * (state + x[:, i])
         return np.tanh(x[inside] + self.mix * around[inside])
 
-    def _features(self, ids: pa.Array) -> pa.Array:
-        """Hidden states of an array of lists of pieces: an array of series, one a dimension, for each."""
+    def share(self, spark: SparkSession) -> Broadcast:
+        """What tasks need to make states, a vector a piece of the vocabulary: received() takes it there."""
+        return spark.sparkContext.broadcast((self.vectors, self.fade, self.mix))
+
+    @staticmethod
+    def received(shared: Broadcast) -> PieceEncoder:
+        own = PieceEncoder.__new__(PieceEncoder)
+        own.vectors, own.fade, own.mix = shared.value
+        return own
+
+    def content_states(self, ids: np.ndarray, sizes: np.ndarray, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """states() without those of special pieces, and how many each text has left."""
+        keep = ~special
+        before, ends = np.concatenate([[0], np.cumsum(keep)]), np.cumsum(sizes)
+        return self.states(ids, sizes)[keep], before[ends] - before[ends - sizes]
+
+    def _features(self, ids: pa.Array, special: pa.Array | None = None) -> pa.Array:
+        """Hidden states of an array of lists of pieces: an array of series, one a dimension, for each. With `special`, those pieces have none."""
         sizes = np.asarray(pa.compute.list_value_length(ids).fill_null(0)).astype(np.int64)
         valid, dims = np.asarray(ids.is_valid()), self.vectors.shape[1]
-        found = self.states(np.asarray(ids.flatten()).astype(np.int64), sizes)
+        flat_ids = np.asarray(ids.flatten()).astype(np.int64)
+        if special is None:
+            found = self.states(flat_ids, sizes)
+        else:
+            found, sizes = self.content_states(flat_ids, sizes, special.flatten().to_numpy(zero_copy_only=False).astype(bool))
         flat = [s.T.reshape(-1) for s in np.split(found, np.cumsum(sizes)[:-1])] if len(sizes) else [found.reshape(-1)]
         inner = np.concatenate([[0], np.cumsum(np.repeat(sizes[valid], dims))]).astype(np.int32)
         outer = np.concatenate([[0], np.cumsum(valid * dims)]).astype(np.int32)
@@ -118,21 +139,28 @@ class PieceEncoder:
 
     def rows(self, df: DataFrame, limit: int | None = None) -> DataFrame:
         """df with `pieces` and `features` of its column `texts`."""
-        split = df.withColumn("pieces", pieces(F.col("texts"), self.vocabulary, limit))
-        shared = df.sparkSession.sparkContext.broadcast((self.vectors, self.fade, self.mix))  # a vector a piece of the vocabulary
-        names = [*df.columns, "pieces", "features"]
+        return self.with_features(df.withColumn("pieces", pieces(F.col("texts"), self.vocabulary, limit)))
+
+    def with_features(self, df: DataFrame, specials: bool = True) -> DataFrame:
+        """df with `features` of its column `pieces` (ids and special), of begins and ends too or not."""
+        shared = self.share(df.sparkSession)
+        names = [*df.columns, "features"]
 
         def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = PieceEncoder.__new__(PieceEncoder)
-            own.vectors, own.fade, own.mix = shared.value
+            own = PieceEncoder.received(shared)
             for batch in stream:
-                ids = pa.compute.struct_field(batch.column("pieces"), "ids")
+                ids, special = (pa.compute.struct_field(batch.column("pieces"), n) for n in ("ids", "special"))
                 for at, n in blocks(np.asarray(pa.compute.list_value_length(ids).fill_null(0)), 8 * own.vectors.shape[1]):
                     part = batch.slice(at, n)
-                    yield pa.RecordBatch.from_arrays([*part.columns, own._features(ids.slice(at, n))], names)
+                    yield pa.RecordBatch.from_arrays([*part.columns, own._features(ids.slice(at, n), None if specials else special.slice(at, n))], names)
+
+        shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "features array<array<double>>"])
+        return df.mapInArrow(task, shape)
+
 
-        shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), ENCODED])
-        return split.mapInArrow(task, shape)
+def kept(encoded: Column) -> Column:
+    """The number of pieces that are neither begins nor ends; 0 for null."""
+    return F.coalesce(F.size(F.filter(encoded["special"], lambda s: ~s)), F.lit(0))
 
 
 def text_key(texts: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandlake.functions import arrays, bands, transforms
+from bandlake.functions.subwords import pieces
 from bandlake.operators import corpus, encoding, metrics, probes, training
 from bandlake.operators.ranking import hash_order
 from bandlake.session import stored
@@ -63,13 +64,22 @@ def encode(df: DataFrame, encoder="hashed", filter_text: str = "nofilter()", poo
     return rows
 
 
+def piece_rows(df: DataFrame, encoder: encoding.PieceEncoder, limit: int | None = None) -> DataFrame:
+    """df (id, texts, labels, level) for training.train with the same encoder: `pieces` (ids and special) instead of the texts, and labels as encode() gives them. Tasks make the series of the pieces."""
+    found = df.withColumn("pieces", pieces(F.col("texts"), encoder.vocabulary, limit))
+    inner = F.filter(F.arrays_zip("pieces.word", "pieces.text", "pieces.special"), lambda x: ~x["special"])
+    by_piece = encoding.piece_labels(F.col("labels"), F.transform(inner, lambda x: x["word"]), F.transform(inner, lambda x: x["text"]))
+    found = found.withColumn("labels", F.when(F.col("level") == "token", by_piece).otherwise(F.col("labels")))
+    return found.drop("texts").withColumn("pieces", F.struct("pieces.ids", "pieces.special"))
+
+
 def _length(features: Column) -> Column:
     return F.coalesce(F.size(F.get(features, 0)), F.lit(0))
 
 
 def token_rows(encoded: DataFrame) -> DataFrame:
-    """Encoded rows with one label a token: those of a corpus labelled by token as they are, else the text's label for each. Rows labelled by token whose numbers differ are an error."""
-    n = _length(F.col("features"))
+    """Encoded rows (or piece_rows) with one label a token: those of a corpus labelled by token as they are, else the text's label for each. Rows labelled by token whose numbers differ are an error."""
+    n = _length(F.col("features")) if "features" in encoded.columns else encoding.kept(F.col("pieces"))
     token = F.col("level") == "token"
     bad = encoded.where(token & (n > 0) & ~F.coalesce(F.size("labels") == n, F.lit(False))).count()
     if bad:

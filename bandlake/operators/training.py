@@ -9,17 +9,22 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandlake.functions import transforms
+from bandlake.operators import encoding
 from bandlake.operators.probes import Descent, summed
 from bandlake.session import stored
 
 BLOCK_BYTES = 16 << 20
+#: Pieces of a file: of fewer a batch has fewer files than there are cores, and no file has more.
+LEAST_PIECES, MOST_PIECES = 20_000, 1_000_000
 BETAS, EPSILON, THRESHOLD = (0.9, 0.999), 1e-8, 1e-4
 HISTORY = "epoch int, train_loss double, train_accuracy double, valid_loss double, valid_accuracy double, rate double, best boolean"
 
@@ -107,35 +112,69 @@ def loss_and_gradient(y: np.ndarray, x: np.ndarray, filter_logits: np.ndarray, c
     return np.concatenate([[loss, hits, known.sum()], by_filter, by_classifier.reshape(-1)])
 
 
-def _passed(rows: DataFrame, state: State, gradient: bool) -> np.ndarray:
-    """Sums over all rows at the state's weights."""
+def remade(batch: pa.RecordBatch, encoder: encoding.PieceEncoder) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """stacked() of a batch of pieces, whose hidden states are made here, in blocks of texts of like lengths."""
+    ids, special = (pa.compute.struct_field(batch.column("pieces"), n) for n in ("ids", "special"))
+    sizes = np.asarray(pa.compute.list_value_length(ids)).astype(np.int64)
+    n = np.asarray(pa.compute.list_value_length(batch.column("y"))).astype(np.int64)
+    flat, special, y = np.asarray(ids.flatten()).astype(np.int64), special.flatten().to_numpy(zero_copy_only=False).astype(bool), np.asarray(batch.column("y").flatten())
+    at, at_y, dims = np.cumsum(sizes) - sizes, np.cumsum(n) - n, encoder.vectors.shape[1]
+    order = np.lexsort((sizes, n))
+    for first, count in encoding.blocks(sizes[order], 8 * dims):
+        some = order[first : first + count]
+        places = np.repeat(at[some] - np.cumsum(sizes[some]) + sizes[some], sizes[some]) + np.arange(sizes[some].sum())
+        found, _ = encoder.content_states(flat[places], sizes[some], special[places])
+        for size in np.unique(n[some]):
+            here = n[some] == size
+            if size:
+                yield y[at_y[some[here]][:, None] + np.arange(size)], found[np.repeat(here, n[some])].reshape(-1, size, dims).transpose(0, 2, 1)
+
+
+def _passed(rows: DataFrame, state: State, gradient: bool, shared: Broadcast | None = None) -> np.ndarray:
+    """Sums over all rows at the state's weights; with an encoder that is shared, of pieces."""
     dims, logits, classifier = state.dims, state.filter, state.classifier
 
     def parts(stream: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         total = 0
+        encoder = shared and encoding.PieceEncoder.received(shared)
         for batch in stream:
-            for y, x in stacked(batch, dims):
+            for y, x in remade(batch, encoder) if encoder else stacked(batch, dims):
                 total = total + loss_and_gradient(y, x, logits, classifier, gradient)
         return {0: total} if np.ndim(total) else {}
 
     return summed(rows, parts).get(0, np.zeros(3 + (len(state.weights) if gradient else 0)))
 
 
-def ready(df: DataFrame, classes: Sequence[str], features: str = "features", labels: str = "labels") -> DataFrame:
-    """(y, x) of encoded rows: numbers of the labels, -1 for a null or unknown one, and the series. Rows whose numbers of labels and of tokens differ are an error."""
-    n = F.coalesce(F.size(F.get(features, 0)), F.lit(0))
+def ready(df: DataFrame, classes: Sequence[str], features: str = "features", labels: str = "labels", pieces: bool = False) -> DataFrame:
+    """(y, x) of encoded rows: numbers of the labels, -1 for a null or unknown one, and the series; (y, pieces) of rows of pieces. Rows whose numbers of labels and of tokens differ are an error."""
+    n = encoding.kept(F.col("pieces")) if pieces else F.coalesce(F.size(F.get(features, 0)), F.lit(0))
     bad = df.where(~F.coalesce(F.size(labels) == n, F.lit(False)) & (F.coalesce(n, F.lit(0)) > 0)).count()
     if bad:
         raise ValueError(f"{bad} texts have other numbers of labels than of tokens")
     known = F.array(*(F.lit(c) for c in classes)) if classes else F.array().cast("array<string>")
     y = F.transform(labels, lambda v: F.coalesce(F.array_position(known, v.cast("string")), F.lit(0)).cast("int") - 1)
-    return df.where(n > 0).select(y.alias("y"), F.col(features).cast("array<array<double>>").alias("x"))
+    return df.where(n > 0).select(y.alias("y"), F.col("pieces") if pieces else F.col(features).cast("array<array<double>>").alias("x"))
+
+
+def dealt(rows: DataFrame, batches: int, seed: int, encoder: encoding.PieceEncoder | None = None) -> DataFrame:
+    """Rows with their mini-batch, stored by it. Pieces are dealt as their series would be, which are neither stored nor shuffled."""
+    batch = F.pmod(F.xxhash64("y", "x", F.lit(seed)), F.lit(batches)).cast("int")
+    if encoder is None:
+        return stored(rows.withColumn("batch", batch).hint("rebalance", "batch"), "mini-batches", by="batch")
+    some = encoder.with_features(rows, specials=False).withColumnRenamed("features", "x").withColumn("batch", batch).select(*rows.columns, "batch")
+    return stored(spread(some, parts_of(rows, batches), F.col("batch"), batches), "mini-batches", by="batch")
 
 
-def dealt(rows: DataFrame, batches: int, seed: int) -> DataFrame:
-    """Rows with their mini-batch, stored by it."""
-    some = rows.withColumn("batch", F.pmod(F.xxhash64("y", "x", F.lit(seed)), F.lit(batches)).cast("int"))
-    return stored(some.hint("rebalance", "batch"), "mini-batches", by="batch")
+def parts_of(rows: DataFrame, shares: int = 1) -> int:
+    """In how many parts to store each of equal shares of rows of pieces, which take few bytes but much work: as many as there are cores, if they are worth it, and more if they are large."""
+    each = (rows.agg(F.sum(F.size("pieces.ids"))).first()[0] or 0) / shares
+    return max(1, min(rows.sparkSession.sparkContext.defaultParallelism, ceil(each / LEAST_PIECES)), ceil(each / MOST_PIECES))
+
+
+def spread(rows: DataFrame, parts: int, share: Column | None = None, shares: int = 1) -> DataFrame:
+    """Rows in `parts` partitions a share, dealt in turn. Rows that come from files are in the same order when a lost task reads them again, and go where they went before."""
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")
+    return rows.withColumn("_place", place if share is None else share * parts + place).repartitionById(parts * shares, F.col("_place")).drop("_place")
 
 
 def adam(state: State, gradient: np.ndarray) -> None:
@@ -148,7 +187,7 @@ def adam(state: State, gradient: np.ndarray) -> None:
 
 def train(
     learn: DataFrame, check: DataFrame, filter_size: int = 0, epochs: int = 30, batches: int = 8, rate: float = 1e-3, decay: float = 0.5, early_stop: int = 1, seed: int = 42,
-    path: str | None = None, resume: bool = False, features: str = "features", labels: str = "labels", classes: Sequence[str] | None = None,
+    path: str | None = None, resume: bool = False, features: str = "features", labels: str = "labels", classes: Sequence[str] | None = None, encoder: encoding.PieceEncoder | None = None,
 ) -> tuple[State, State]:
     """(newest state, best state) of a classifier of each token of encoded rows, learnt on `learn` and watched on `check`.
 
@@ -156,29 +195,34 @@ def train(
     takes a step for every mini-batch, in an order drawn by seed and epoch, and measures the validation loss (means over tokens). The rate is multiplied by `decay` after an epoch that
     didn't lower it by a ten-thousandth; training stops when more than `early_stop` epochs have passed since the best one. Starting weights and mini-batches depend on the seed.
 
+    With an encoder, rows have `pieces` (ids and special) instead of features, as text_probe.piece_rows makes them, and labels for those that aren't special: a step makes its rows' hidden
+    states, so that no table holds them, which take 8 bytes a dimension and piece.
+
     With a path the newest and the best state are stored there, and resume goes on from the newest: the result is that of a run that wasn't interrupted.
     """
     if classes is None:
-        each = learn.select(F.explode(labels).alias("l")).unionByName(check.select(F.explode(labels).alias("l")))
+        each = learn.select(F.explode(F.array_distinct(labels)).alias("l")).unionByName(check.select(F.explode(F.array_distinct(labels)).alias("l")))
         classes = sorted(r[0] for r in each.select(F.col("l").cast("string")).where("l is not null").distinct().collect())
     spark = learn.sparkSession
-    dims = learn.select(F.max(F.size(features))).first()[0] or 0
+    dims = encoder.vectors.shape[1] if encoder else learn.select(F.max(F.size(features))).first()[0] or 0
     state = load_state(spark, path) if path and resume else None
     if state is None:
         state = fresh_state(classes, dims, filter_size, seed, rate)
     elif (state.classes, state.dims, state.filter_size, state.seed) != (list(classes), dims, filter_size, seed):
         raise ValueError("the stored state is of other classes, dimensions, filter or seed")
-    rows = dealt(ready(learn, classes, features, labels), batches, seed)
-    watched = stored(ready(check, classes, features, labels), "validation")
+    rows = dealt(ready(learn, classes, features, labels, bool(encoder)), batches, seed, encoder)
+    watched = ready(check, classes, features, labels, bool(encoder))
+    watched = stored(spread(watched, parts_of(watched)) if encoder else watched, "validation")
+    shared = encoder and encoder.share(spark)
     best = load_state(spark, path, "best") if path and state.history else None
     while len(state.history) < epochs and not _stopped(state, early_stop):
         epoch, seen = len(state.history) + 1, np.zeros(3)
         for b in np.random.default_rng([seed, epoch]).permutation(batches).tolist():
-            v = _passed(rows.where(F.col("batch") == b).select("y", "x"), state, True)
+            v = _passed(rows.where(F.col("batch") == b).drop("batch"), state, True, shared)
             if v[2]:
                 seen += v[:3]
                 adam(state, v[3:] / v[2])
-        v = _passed(watched, state, False)
+        v = _passed(watched, state, False, shared)
         loss = float(v[0] / max(1.0, v[2]))
         state.history.append({"epoch": epoch, "train_loss": float(seen[0] / max(1.0, seen[2])), "train_accuracy": float(seen[1] / max(1.0, seen[2])), "valid_loss": loss, "valid_accuracy": float(v[1] / max(1.0, v[2])), "rate": state.rate})
         if loss < state.plateau * (1 - THRESHOLD):

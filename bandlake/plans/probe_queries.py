@@ -188,8 +188,8 @@ def turn_role_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History of a classifier of turns' roles with a learnt frequency filter, over sub-word encodings, trained by mini-batches."""
     turns = _turns(spark, sf_dir)
     encoder = _encoder(spark, turns.where("not held_out"))
-    learnt, check = (text_probe.token_rows(stored(text_probe.encode(turns.where(c).drop("held_out"), encoder), "turns")) for c in ("not held_out", "held_out"))
-    newest, _ = training.train(learnt, check, filter_size=16, epochs=4, batches=4, rate=0.05)
+    learnt, check = (text_probe.token_rows(stored(text_probe.piece_rows(turns.where(c).drop("held_out"), encoder), "turns")) for c in ("not held_out", "held_out"))
+    newest, _ = training.train(learnt, check, filter_size=16, epochs=4, batches=4, rate=0.05, encoder=encoder)
     return training.history_table(spark, newest).select("epoch", *(rounded(c, 4).alias(c) for c in ("train_loss", "train_accuracy", "valid_loss", "valid_accuracy", "rate")), "best")
 
 

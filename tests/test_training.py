@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +164,50 @@ def test_predictions_and_mismatches(spark):
     assert np.mean(hits) > 0.8 and abs(np.mean(hits) - best.history[-1]["valid_accuracy"]) < 1e-9
     with pytest.raises(ValueError, match="1 texts"):
         training.train(spark.createDataFrame([(1, [[1.0, 2.0]], ["a"]), (2, [[1.0]], ["b"])], SHAPE), data)
+
+
+def test_pieces_train_as_their_series(spark):
+    """Rows of pieces, whose series the steps make, give the history and weights of stored series; no stored table holds hidden states."""
+    from urllib.parse import urlparse
+
+    from bandlake.functions.subwords import Vocabulary, byte_symbols
+    from bandlake.operators import encoding, text_probe
+    from bandlake.session import shared_folder
+
+    names = [*byte_symbols(), *(s + "</w>" for s in byte_symbols()), "red</w>", "run</w>", "jump"]
+    v = Vocabulary({p: k for k, p in enumerate(names)}, len(names), len(names) + 1)
+    encoder = encoding.PieceEncoder(v, np.random.default_rng(3).normal(size=(len(v), 6)))
+    rnd, words = np.random.default_rng(6), ["red", "blue", "run", "jumps"]
+    line = lambda n: [words[k] for k in rnd.integers(0, 4, n)]
+    data = [(i, [" ".join(w)], ["a" if x in ("red", "run") else None if i % 9 == 0 else "b" for x in w], "token") for i, w in ((i, line(1 + i % 7)) for i in range(40))]
+    data += [(100 + i, [" ".join(line(3)), " ".join(line(i))], ["ab"[i % 2]], "sequence") for i in range(9)] + [(200, [""], ["a"], "sequence"), (201, [None], ["b"], "sequence"), (202, None, ["b"], "sequence")]
+    df = spark.createDataFrame(data, "id int, texts array<string>, labels array<string>, level string").repartition(3)
+    made, series = text_probe.token_rows(text_probe.piece_rows(df, encoder)), text_probe.token_rows(text_probe.encode(df, encoder))
+    assert {f.name: f.dataType.simpleString() for f in made.schema}["pieces"] == "struct<ids:array<int>,special:array<boolean>>"
+    again = encoder.with_features(made, specials=False)
+    assert {r.id: (r.labels, r.features) for r in again.collect()} == {r.id: (r.labels, r.features) for r in series.collect()}
+    for size in (0, 4):
+        options = {"filter_size": size, "epochs": 3, "batches": 3, "rate": 0.05}
+        plain, best = training.train(series.where("id % 3 > 0"), series.where("id % 3 = 0"), **options)
+        folder = urlparse(shared_folder(spark)).path
+        before = set(os.listdir(folder))
+        state, best_state = training.train(made.where("id % 3 > 0"), made.where("id % 3 = 0"), encoder=encoder, **options)
+        assert state.classes == plain.classes and np.allclose(state.weights, plain.weights, atol=1e-10) and np.allclose(best_state.weights, best.weights, atol=1e-10)
+        assert [pytest.approx(h, abs=1e-10) for h in plain.history] == state.history
+        shapes = [spark.read.parquet(f"{folder}/{d}").schema.simpleString() for d in set(os.listdir(folder)) - before]
+        assert len(shapes) == 2 and not any("double" in s for s in shapes)
+
+
+def test_pieces_are_spread_over_cores(spark, monkeypatch):
+    """A batch has files for all cores, though its rows take few bytes; every row is in one of them."""
+    rows = spark.range(0, 200, 1, 1).select(F.array(F.lit(0)).alias("y"), F.struct(F.array_repeat(F.col("id").cast("int"), 5).alias("ids"), F.array_repeat(F.lit(False), 5).alias("special")).alias("pieces"))
+    assert training.parts_of(rows) == 1 and training.parts_of(rows.limit(0)) == 1
+    monkeypatch.setattr(training, "LEAST_PIECES", 100)
+    parts = training.parts_of(rows, 2)
+    assert parts == spark.sparkContext.defaultParallelism == 4
+    monkeypatch.setattr(training, "MOST_PIECES", 50)
+    assert training.parts_of(rows, 2) == 10
+    share = F.pmod(F.floor(F.col("pieces.ids")[0] / 4).cast("int"), F.lit(2))
+    found = training.spread(rows, parts, share, 2).select(F.spark_partition_id().alias("p"), F.col("pieces.ids")[0].alias("id")).collect()
+    sizes = {p: [r.id for r in found if r.p == p] for p in range(8)}
+    assert sorted(r.id for r in found) == list(range(200)) and all(len({i // 4 % 2 for i in x}) == 1 and len(x) == 25 for x in sizes.values())
