@@ -19,6 +19,7 @@ from bandlake.session import stored
 ENCODERS: dict[str, Callable[[Column], Column]] = {"hashed": lambda tokens: corpus.hashed_embedding(tokens, 8)}
 POOLINGS: dict[str, Callable[[Column], Column]] = {"mean": arrays.mean}
 CLASSIFIERS = ("linear",)
+SCORES = ("accuracy", "macro_f1", "weighted_f1")
 
 
 def register_encoder(name: str, f: Callable[[Column], Column]) -> None:
@@ -166,7 +167,8 @@ def load_fitted(spark: SparkSession, path: str) -> probes.Fitted:
 
 
 def run_tasks(tasks: dict[str, tuple[DataFrame, DataFrame]], filters: Sequence[str], seeds: Sequence[int] = (42,), solver: str = "adam", parallel: int = 4, path: str | None = None, encoder="hashed", pooling: str | None = None, **loop) -> DataFrame:
-    """Scores of every task (a train and a validation corpus), filter and seed: task, filter, seed, accuracy, macro_f1, weighted_f1.
+    """Scores of every task (a train and a validation corpus), filter and seed: task, filter, seed, accuracy, macro_f1, weighted_f1, and of each score its mean and deviation over the seeds of the
+    task and filter (accuracy_mean, accuracy_std, ...).
 
     A task is encoded once a filter, for all seeds, and `parallel` runs go at a time. With a path each run keeps its states there and its scores once it is done; runs whose scores are there aren't run again.
     """
@@ -195,7 +197,16 @@ def run_tasks(tasks: dict[str, tuple[DataFrame, DataFrame]], filters: Sequence[s
             jobs += [(name, text, s, learnt, check) for s in seeds]
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         rows = list(pool.map(lambda j: one(*j), jobs))
-    return spark.createDataFrame(rows, shape)
+    return over_seeds(spark.createDataFrame(rows, shape))
+
+
+def over_seeds(found: DataFrame) -> DataFrame:
+    """Scores of runs with their means and population deviations over the seeds of each task and filter."""
+    by = ["task", "filter"]
+    for score in SCORES:
+        each = metrics.across_runs(found, by, score).select(*by, F.col("mean").alias(f"{score}_mean"), F.col("std").alias(f"{score}_std"))
+        found = found.join(F.broadcast(each), by)
+    return found
 
 
 def _there(spark: SparkSession, path: str) -> bool:

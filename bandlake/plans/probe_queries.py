@@ -200,7 +200,7 @@ def turn_role_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = _encoder(spark, turns.where("not held_out"))
     tasks = {"roles": tuple(turns.where(c).drop("held_out") for c in ("not held_out", "held_out"))}
     found = text_probe.run_tasks(tasks, ["nofilter()", "band(64, 0, 7)", "band(64, 8, 63)"], (1, 2), encoder=encoder, pooling="mean", epochs=3, batches=4, rate=0.05)
-    return found.select("task", "filter", "seed", *(rounded(c, 4).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")))
+    return found.select("task", "filter", "seed", *(rounded(f"{c}{part}", 4).alias(f"{c}{part}") for part in ("", "_mean", "_std") for c in text_probe.SCORES))
 
 
 @query()

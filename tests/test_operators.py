@@ -265,6 +265,23 @@ def test_seeds_count_and_tasks_are_not_run_twice(spark, tmp_path):
     assert [(r["filter"], r.seed) for r in learnt] == [("auto(4)", 1), ("band(8, 0, 2)", 1)]
 
 
+def test_tasks_have_means_and_deviations_over_seeds(spark):
+    """Each run's scores, beside them their mean and deviation over the seeds of its task and filter, in the query too."""
+    from bandlake import catalog
+    from bandlake.operators import text_probe as tp
+
+    rnd = np.random.default_rng(5)
+    make = lambda n: spark.createDataFrame([(i, [" ".join(w)], [("a" if x < "w5" else "b") if rnd.random() < 0.7 else "a" for x in w], "token") for i in range(n) for w in [[f"w{k}" for k in rnd.integers(0, 10, 5)]]], "id int, texts array<string>, labels array<string>, level string")
+    found = tp.run_tasks({"noisy": (make(30), make(30))}, ["nofilter()", "band(8, 0, 2)"], (1, 2, 3), epochs=1, batches=2, rate=0.02).collect()
+    query = catalog.QUERIES["turn_role_filters"](spark, "/root/testdata/sf0.001").collect()
+    assert len(found) == 6 and len(query) == 6 and {r["accuracy_std"] > 0 for r in found} >= {True}
+    for rows, near in ((found, 1e-12), (query, 2e-4)):
+        for r in rows:
+            for score in ("accuracy", "macro_f1", "weighted_f1"):
+                each = [x[score] for x in rows if (x["task"], x["filter"]) == (r["task"], r["filter"])]
+                assert r[f"{score}_mean"] == pytest.approx(np.mean(each), abs=near) and r[f"{score}_std"] == pytest.approx(np.std(each), abs=near)
+
+
 def test_text_probe_over_pieces(spark, tmp_path):
     from bandlake.functions.subwords import Vocabulary, byte_symbols
     from bandlake.operators import encoding
