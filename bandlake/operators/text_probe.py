@@ -34,7 +34,8 @@ def tokens_of(texts: Column, limit: int | None = None) -> Column:
 
 
 def encode(df: DataFrame, encoder="hashed", filter_text: str = "nofilter()", pooling: str | None = None, limit: int | None = None, cache: encoding.EncodingCache | None = None) -> DataFrame:
-    """df (id, texts, labels, level) with `features`, an array of series (one a dimension). Separators, begins and ends go, unless the series are pooled: then each is one value.
+    """df (id, texts, labels, level) with `features`, an array of series (one a dimension). Separators, begins and ends go, unless the series are pooled: then each is one value. A learnt filter
+    comes before the pooling, so `pooled_from` says of how many values each is the mean: training.train filters it as it does the mean of so many.
 
     encoder is a registered name, or an object that adds `pieces` and `features` (encoding.PieceEncoder), whose encodings a cache may keep; the labels of a corpus labelled by token are then
     those of the words, one a piece. Every row stays, whatever its id; texts without tokens have empty series.
@@ -57,9 +58,12 @@ def encode(df: DataFrame, encoder="hashed", filter_text: str = "nofilter()", poo
             rows = rows.withColumn("labels", F.when(F.col("level") == "token", by_piece).otherwise(F.col("labels")))
     rows = rows.select(*kept, "features")
     weights = bands.parse_filter(filter_text)
-    if weights is not None and not filter_text.strip().lower().startswith("auto"):
+    auto = filter_text.strip().lower().startswith("auto")
+    if weights is not None and not auto:
         rows = rows.withColumn("features", transforms.filter_lanes(F.col("features"), weights))
     if pooling is not None:
+        if auto:
+            rows = rows.withColumn(training.POOLED, _length(F.col("features")))
         pooled = F.transform("features", lambda x: F.array(POOLINGS[pooling](x)))
         rows = rows.withColumn("features", F.when(_length(F.col("features")) > 0, pooled).otherwise(F.col("features")))
     return rows

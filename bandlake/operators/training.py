@@ -25,6 +25,8 @@ from bandlake.session import stored
 BLOCK_BYTES = 16 << 20
 #: Pieces of a file: of fewer a batch has fewer files than there are cores, and no file has more.
 LEAST_PIECES, MOST_PIECES = 20_000, 1_000_000
+#: The column that says of how many tokens pooled series are the mean.
+POOLED = "pooled_from"
 BETAS, EPSILON, THRESHOLD = (0.9, 0.999), 1e-8, 1e-4
 HISTORY = "epoch int, train_loss double, train_accuracy double, valid_loss double, valid_accuracy double, rate double, best boolean"
 
@@ -69,28 +71,29 @@ def fresh_state(classes: Sequence[str], dims: int, filter_size: int, seed: int,
     return State(list(classes), dims, filter_size, seed, w, np.zeros_like(w), np.zeros_like(w), rate=rate)
 
 
-def stacked(batch: pa.RecordBatch, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(labels (m, n), features (m, dims, n)) of a batch's rows of one length, in blocks of bounded bytes."""
+def stacked(batch: pa.RecordBatch, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray, int | None]]:
+    """(labels (m, n), features (m, dims, n), of how many tokens a series is the mean) of a batch's rows of one length, in blocks of bounded bytes; None for series that are not pooled."""
     inner = batch.column("x").flatten()
     flat = np.asarray(inner.flatten(), dtype=np.float64)
     y = np.asarray(batch.column("y").flatten())
     n = np.asarray(pa.compute.list_value_length(batch.column("y"))).astype(np.int64)
     at_y, at_x = np.cumsum(n) - n, (np.cumsum(n) - n) * dims
-    for size in np.unique(n[n > 0]):
-        rows = np.flatnonzero(n == size)
+    tokens = np.asarray(batch.column(POOLED)).astype(np.int64) if POOLED in batch.schema.names else np.zeros(len(n), np.int64)
+    for size, of in np.unique(np.stack([n, tokens], 1)[n > 0], axis=0).tolist():
+        rows = np.flatnonzero((n == size) & (tokens == of))
         each = max(1, BLOCK_BYTES // (8 * dims * int(size)))
         for k in range(0, len(rows), each):
             some = rows[k : k + each]
-            yield y[at_y[some][:, None] + np.arange(size)], flat[at_x[some][:, None] + np.arange(dims * size)].reshape(len(some), dims, size)
+            yield y[at_y[some][:, None] + np.arange(size)], flat[at_x[some][:, None] + np.arange(dims * size)].reshape(len(some), dims, size), of or None
 
 
-def loss_and_gradient(y: np.ndarray, x: np.ndarray, filter_logits: np.ndarray, classifier: np.ndarray, gradient: bool = True) -> np.ndarray:
+def loss_and_gradient(y: np.ndarray, x: np.ndarray, filter_logits: np.ndarray, classifier: np.ndarray, gradient: bool = True, tokens: int | None = None) -> np.ndarray:
     """[loss, hits, labelled tokens, gradient by the filter, by the classifier] summed over rows of one length. The filter is pooled to the length, then its sigmoid
-    taken; labels below 0 don't count."""
+    taken; labels below 0 don't count. A mean of `tokens` tokens is what their lowest frequency leaves, so the filter of that length acts on it by its first value."""
     n, size = x.shape[2], len(filter_logits)
     if size:
         spectrum = transforms.dct_rows(x)
-        open_ = transforms.openness(filter_logits, n, True)
+        open_ = transforms.openness(filter_logits, tokens or n, True)[:n]
         x = transforms.inverse_dct_rows(spectrum * open_)
     z = np.einsum("mdn,cd->mnc", x, classifier[:, :-1], optimize=True) + classifier[:, -1]
     z -= z.max(axis=2, keepdims=True)
@@ -108,11 +111,12 @@ def loss_and_gradient(y: np.ndarray, x: np.ndarray, filter_logits: np.ndarray, c
     by_filter = np.zeros(0)
     if size:
         back = transforms.dct_rows(np.einsum("mnc,cd->mdn", p, classifier[:, :-1], optimize=True))
-        by_filter = transforms.unpooled_filter((spectrum * back).sum(axis=(0, 1)) * open_ * (1 - open_), size)
+        by_open = (spectrum * back).sum(axis=(0, 1)) * open_ * (1 - open_)
+        by_filter = transforms.unpooled_filter(np.pad(by_open, (0, (tokens or n) - n)), size)
     return np.concatenate([[loss, hits, known.sum()], by_filter, by_classifier.reshape(-1)])
 
 
-def remade(batch: pa.RecordBatch, encoder: encoding.PieceEncoder) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def remade(batch: pa.RecordBatch, encoder: encoding.PieceEncoder) -> Iterator[tuple[np.ndarray, np.ndarray, None]]:
     """stacked() of a batch of pieces, whose hidden states are made here, in blocks of texts of like lengths."""
     ids, special = (pa.compute.struct_field(batch.column("pieces"), n) for n in ("ids", "special"))
     sizes = np.asarray(pa.compute.list_value_length(ids)).astype(np.int64)
@@ -127,7 +131,7 @@ def remade(batch: pa.RecordBatch, encoder: encoding.PieceEncoder) -> Iterator[tu
         for size in np.unique(n[some]):
             here = n[some] == size
             if size:
-                yield y[at_y[some[here]][:, None] + np.arange(size)], found[np.repeat(here, n[some])].reshape(-1, size, dims).transpose(0, 2, 1)
+                yield y[at_y[some[here]][:, None] + np.arange(size)], found[np.repeat(here, n[some])].reshape(-1, size, dims).transpose(0, 2, 1), None
 
 
 def _passed(rows: DataFrame, state: State, gradient: bool, shared: Broadcast | None = None) -> np.ndarray:
@@ -138,22 +142,23 @@ def _passed(rows: DataFrame, state: State, gradient: bool, shared: Broadcast | N
         total = 0
         encoder = shared and encoding.PieceEncoder.received(shared)
         for batch in stream:
-            for y, x in remade(batch, encoder) if encoder else stacked(batch, dims):
-                total = total + loss_and_gradient(y, x, logits, classifier, gradient)
+            for y, x, tokens in remade(batch, encoder) if encoder else stacked(batch, dims):
+                total = total + loss_and_gradient(y, x, logits, classifier, gradient, tokens)
         return {0: total} if np.ndim(total) else {}
 
     return summed(rows, parts).get(0, np.zeros(3 + (len(state.weights) if gradient else 0)))
 
 
 def ready(df: DataFrame, classes: Sequence[str], features: str = "features", labels: str = "labels", pieces: bool = False) -> DataFrame:
-    """(y, x) of encoded rows: numbers of the labels, -1 for a null or unknown one, and the series; (y, pieces) of rows of pieces. Rows whose numbers of labels and of tokens differ are an error."""
+    """(y, x) of encoded rows: numbers of the labels, -1 for a null or unknown one, and the series (and of how many tokens they are means, if a learnt filter is to come first); (y, pieces) of rows of pieces. Rows whose numbers of labels and of tokens differ are an error."""
     n = encoding.kept(F.col("pieces")) if pieces else F.coalesce(F.size(F.get(features, 0)), F.lit(0))
     bad = df.where(~F.coalesce(F.size(labels) == n, F.lit(False)) & (F.coalesce(n, F.lit(0)) > 0)).count()
     if bad:
         raise ValueError(f"{bad} texts have other numbers of labels than of tokens")
     known = F.array(*(F.lit(c) for c in classes)) if classes else F.array().cast("array<string>")
     y = F.transform(labels, lambda v: F.coalesce(F.array_position(known, v.cast("string")), F.lit(0)).cast("int") - 1)
-    return df.where(n > 0).select(y.alias("y"), F.col("pieces") if pieces else F.col(features).cast("array<array<double>>").alias("x"))
+    more = [POOLED] if POOLED in df.columns and not pieces else []
+    return df.where(n > 0).select(y.alias("y"), F.col("pieces") if pieces else F.col(features).cast("array<array<double>>").alias("x"), *more)
 
 
 def dealt(rows: DataFrame, batches: int, seed: int, encoder: encoding.PieceEncoder | None = None) -> DataFrame:
@@ -312,9 +317,11 @@ def predict(df: DataFrame, state: State, features: str = "features") -> DataFram
             at = np.flatnonzero(has)
             lengths = np.asarray(pa.compute.list_value_length(x.filter(pa.array(has)).flatten()))[::dims] if len(at) else np.zeros(0, np.int64)
             y = pa.array([[i] * int(n) for i, n in zip(at, lengths, strict=True)], pa.list_(pa.int32()))
-            for number, values in stacked(pa.RecordBatch.from_arrays([y, x.filter(pa.array(has))], ["y", "x"]), dims):
+            more = {n: batch.column(n).filter(pa.array(has)) for n in names if n == POOLED}
+            for number, values, tokens in stacked(pa.RecordBatch.from_arrays([y, x.filter(pa.array(has)), *more.values()], ["y", "x", *more]), dims):
                 if len(logits):
-                    values = transforms.inverse_dct_rows(transforms.dct_rows(values) * transforms.openness(logits, values.shape[2], True))
+                    open_ = transforms.openness(logits, tokens or values.shape[2], True)[: values.shape[2]]
+                    values = transforms.inverse_dct_rows(transforms.dct_rows(values) * open_)
                 best = (np.einsum("mdn,cd->mnc", values, classifier[:, :-1], optimize=True) + classifier[:, -1]).argmax(axis=2)
                 for i, row in zip(number[:, 0].tolist(), classes[best].tolist(), strict=True):
                     said[i] = row

@@ -211,3 +211,45 @@ def test_pieces_are_spread_over_cores(spark, monkeypatch):
     found = training.spread(rows, parts, share, 2).select(F.spark_partition_id().alias("p"), F.col("pieces.ids")[0].alias("id")).collect()
     sizes = {p: [r.id for r in found if r.p == p] for p in range(8)}
     assert sorted(r.id for r in found) == list(range(200)) and all(len({i // 4 % 2 for i in x}) == 1 and len(x) == 25 for x in sizes.values())
+
+
+@pytest.mark.parametrize("n", [1, 3, 9])
+def test_learnt_filters_come_before_pooling(n):
+    """Loss and gradient of pooled series are those of series that are filtered at their own length, then pooled."""
+    rnd = np.random.default_rng(n)
+    m, dims, classes, size = 5, 3, 2, 4
+    x, y = rnd.normal(size=(m, dims, n)), rnd.integers(0, classes, (m, 1))
+    w = rnd.normal(size=size + classes * (dims + 1))
+
+    def slow(v):
+        basis, c = transforms.dct_basis(n), v[size:].reshape(classes, dims + 1)
+        seen = ((x @ basis.T * transforms.openness(v[:size], n, True)) @ basis).mean(axis=2)
+        z = seen @ c[:, :-1].T + c[:, -1]
+        return (np.log(np.exp(z).sum(axis=1)) - z[np.arange(m), y[:, 0]]).sum()
+
+    got = training.loss_and_gradient(y, x.mean(axis=2, keepdims=True), w[:size], w[size:].reshape(classes, dims + 1), True, n)
+    assert got[0] == pytest.approx(slow(w)) and got[2] == m
+    for at in range(len(w)):
+        assert got[3 + at] == pytest.approx(numeric(slow, w, at), abs=1e-5)
+
+
+def test_tasks_pool_after_the_learnt_filter(spark):
+    """Predictions and scores of a pooled task with a learnt filter are those of whole series, filtered by their lengths, then pooled."""
+    from bandlake.operators import text_probe as tp
+
+    rnd = np.random.default_rng(8)
+    data = [(i, [" ".join(f"w{k}" for k in rnd.integers(0, 6, 1 + i % 9))], ["a" if i % 9 > 3 else "b"], "sequence") for i in range(60)] + [(99, [""], ["a"], "sequence")]
+    df = spark.createDataFrame(data, "id int, texts array<string>, labels array<string>, level string")
+    pooled, whole = tp.encode(df, "hashed", "auto(4)", "mean"), tp.encode(df, "hashed", "nofilter()")
+    assert {r.id: r.pooled_from for r in pooled.collect()} == {r.id: len(r.features[0]) if r.features else 0 for r in whole.collect()}
+    options = {"filter_size": 4, "epochs": 3, "batches": 2, "rate": 0.5}
+    state, best = training.train(tp.token_rows(pooled), tp.token_rows(pooled), **options)
+    c, said = best.classifier, {r.id: r.predicted for r in training.predict(tp.token_rows(pooled), best).collect()}
+    assert len(said) == 60 and len({round(float(v), 6) for v in best.filter}) > 1
+    for r in whole.where("id < 99").collect():
+        x = np.array(r.features)
+        basis = transforms.dct_basis(x.shape[1])
+        seen = ((x @ basis.T * transforms.openness(best.filter, x.shape[1], True)) @ basis).mean(axis=1)
+        assert said[r.id] == [best.classes[int((c[:, :-1] @ seen + c[:, -1]).argmax())]]
+    found = tp.run_tasks({"t": (df, df)}, ["auto(4)"], (42,), pooling="mean", epochs=3, batches=2, rate=0.5).first()
+    assert found.accuracy == pytest.approx(np.mean([said[r[0]] == r[2] for r in data if r[0] in said]))
